@@ -26,6 +26,12 @@ def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output(_read(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import pii_digest
+
+    return pii_digest(_read(spark, sf_dir, "documents"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix
 
@@ -64,7 +70,7 @@ FROM d
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_token_output": op1_token_output, "op4_mixing": op4_mixing, "op6_exact_dedup": op6_exact_dedup, "op8_warc": op8_warc}
+    return {"op1_token_output": op1_token_output, "op2_pii": op2_pii, "op4_mixing": op4_mixing, "op6_exact_dedup": op6_exact_dedup, "op8_warc": op8_warc}
 
 
 def oracle_sql() -> dict[str, str]:
