@@ -32,6 +32,12 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_digest(_read(spark, sf_dir, "documents"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import suffix_dedup
+
+    return suffix_dedup(_read(spark, sf_dir, "documents")).drop("spans")
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix
 
@@ -70,7 +76,7 @@ FROM d
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_token_output": op1_token_output, "op2_pii": op2_pii, "op4_mixing": op4_mixing, "op6_exact_dedup": op6_exact_dedup, "op8_warc": op8_warc}
+    return {"op1_token_output": op1_token_output, "op2_pii": op2_pii, "op3_suffix_dedup": op3_suffix_dedup, "op4_mixing": op4_mixing, "op6_exact_dedup": op6_exact_dedup, "op8_warc": op8_warc}
 
 
 def oracle_sql() -> dict[str, str]:
