@@ -75,8 +75,14 @@ FROM d
 """
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard_join import jaccard_components
+
+    return jaccard_components(_read(spark, sf_dir, "documents"), 3, 90)
+
+
 def queries() -> dict[str, Query]:
-    return {"op1_token_output": op1_token_output, "op2_pii": op2_pii, "op3_suffix_dedup": op3_suffix_dedup, "op4_mixing": op4_mixing, "op6_exact_dedup": op6_exact_dedup, "op8_warc": op8_warc}
+    return {"op1_token_output": op1_token_output, "op2_pii": op2_pii, "op3_suffix_dedup": op3_suffix_dedup, "op4_mixing": op4_mixing, "op6_exact_dedup": op6_exact_dedup, "op8_warc": op8_warc, "op9_jaccard_join": op9_jaccard_join}
 
 
 def oracle_sql() -> dict[str, str]:
