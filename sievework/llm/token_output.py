@@ -30,11 +30,10 @@ MAGIC = b"SWTOKEN1"
 FOOTER = struct.Struct("<IIQQQ8s")
 #: Ids in a block.
 BLOCK_IDS = 65_536
-#: Pieces that a worker remembers; beyond, it starts anew.
-CACHE = 400_000
+#: Pieces that a worker remembers; beyond, it starts anew (a single batch may hold more).
+CACHE = 600_000
 #: Marks that may be cut from the end of a piece after a letter or digit: there the tokenizer always cuts too.
 TAIL = ".,!%&*$#;:?"
-_SPLIT = str.maketrans({c: " " for c in WHITE})
 
 
 def width(vocabulary: int) -> int:
@@ -132,7 +131,12 @@ class TokenReader:
 
 
 class PieceEncoder:
-    """Encodes texts piece by piece, remembering the pieces' ids as little-endian bytes."""
+    """Encodes texts piece by piece, remembering the pieces' ids as little-endian bytes.
+
+    New words are encoded many at a time, joined by spaces: a run of letters is one word to the
+    tokenizer, and the last of its ids, and only that, is one of a token with the word-end mark. Where
+    the count of such ids doesn't match, and for all other pieces, each piece is encoded alone.
+    """
 
     def __init__(self, path: str, ordinary: bool = True):
         from tokenizers import Tokenizer
@@ -140,54 +144,56 @@ class PieceEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = ordinary
         self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        self.is_end = np.zeros(self.vocabulary, bool)
+        self.is_end[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
         self.pieces: dict[str, bytes] = {}
-        self.stems: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {}
 
-    def _encode(self, new: list[str]) -> list[bytes]:
+    def _alone(self, new: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(new, add_special_tokens=False)]
 
-    def learn(self, new: set[str]) -> None:
-        """Remember the ids of new pieces. A tail of marks after a letter or digit is encoded apart."""
-        if len(self.pieces) + len(new) > CACHE:
-            self.pieces.clear()
-        if len(self.stems) > CACHE:
-            self.stems.clear()
-        cut, missing = {}, set()
-        for piece in new:
-            stem = piece.rstrip(TAIL)
-            if not stem or not stem[-1].isalnum():
-                stem = piece
-            tail = piece[len(stem):]
-            if stem.isascii() and stem.isalnum():
-                stem = stem.lower()
-            cut[piece] = (stem, tail)
-            missing.update(x for x in (stem, tail) if x and x not in self.stems)
-        order = sorted(missing)
-        for at in range(0, len(order), 4096):
-            self.stems.update(zip(order[at:at + 4096], self._encode(order[at:at + 4096]), strict=True))
-        self.stems[""] = b""
-        for piece, (stem, tail) in cut.items():
-            self.pieces[piece] = self.stems[stem] + self.stems[tail]
-
-    def encode(self, text: str) -> bytes:
-        """All ids of a text, four bytes each."""
-        pieces = text.translate(_SPLIT).split(" ") if len(text) < 64 else _fast_split(text)
+    def _joined(self, words: list[str]) -> list[bytes]:
+        ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
+        ends = np.flatnonzero(self.is_end[ids]) + 1
+        if len(ends) != len(words):
+            return self._alone(words)
+        raw, cut = ids.tobytes(), [0, *(ends * 4).tolist()]
+        return [raw[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
+
+    def learn(self, new: list[str]) -> None:
+        """Remember the ids of new pieces: a word and a tail of marks apart, other pieces whole."""
+        if len(self.words) > CACHE:
+            self.words.clear()
+        if len(self.marks) > CACHE // 4:
+            self.marks.clear()
+        stems = [p.rstrip(TAIL) for p in new]
+        keys = [(w.lower() if w.isascii() else w) if w.isalpha() else None for w in stems]
+        tails = [p[len(w):] if k else p for p, w, k in zip(new, stems, keys, strict=True)]
+        for missing, known, encode in ((set(keys) - self.words.keys() - {None}, self.words, self._joined), (set(tails) - self.marks.keys() - {""}, self.marks, self._alone)):
+            order = sorted(missing)
+            for at in range(0, len(order), 4096):
+                known.update(zip(order[at:at + 4096], encode(order[at:at + 4096]), strict=True))
+        words, marks = self.words, self.marks
+        marks[""] = b""
+        self.pieces.update(zip(new, [words[k] + marks[t] if k else marks[t] for k, t in zip(keys, tails, strict=True)], strict=True))
+
+    def encode_many(self, texts: list[str]) -> list[bytes]:
+        """All ids of each text, four bytes each."""
+        split = [_split(t) for t in texts]
         known = self.pieces
         known[""] = b""
-        try:
-            return b"".join([known[p] for p in pieces])
-        except KeyError:
-            out = []
-            for at in range(0, len(pieces), CACHE // 4):
-                part = pieces[at:at + CACHE // 4]
-                if new := {p for p in part if p not in known}:
-                    self.learn(new | ({p for p in part} if len(known) + len(new) > CACHE else set()))
-                    known[""] = b""
-                out.append(b"".join([known[p] for p in part]))
-            return b"".join(out)
-
-
-def _fast_split(text: str) -> list[str]:
+        new = list(set().union(*split) - known.keys())
+        if len(known) + len(new) > CACHE:
+            known.clear()
+            new = list(set().union(*split))
+        self.learn(new)
+        known[""] = b""
+        return [b"".join([known[p] for p in pieces]) for pieces in split]
+
+
+def _split(text: str) -> list[str]:
+    """The text's pieces between white space, and empty ones."""
     for c in WHITE[1:]:
         if c in text:
             text = text.replace(c, " ")
@@ -228,15 +234,15 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 1, path: str | N
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    enc = encoder(tokenizer)
+                enc = encoder(tokenizer)
+                for doc_id, ids in zip(part.column(0).to_pylist(), enc.encode_many(part.column(1).to_pylist()), strict=True):
                     if writer is None:
                         context = TaskContext.get()
                         name = f"{base}/part-{context.partitionId():06d}-{context.taskAttemptId()}.tok"
                         fs.create_dir(base, recursive=True)
                         out, first = fs.open_output_stream(name), doc_id
                         writer = TokenWriter(out, width(max(enc.vocabulary, end_id + 1)), block_ids)
-                    writer.add(doc_id, np.frombuffer(enc.encode(text) + end, "<u4"))
+                    writer.add(doc_id, np.frombuffer(ids + end, "<u4"))
         if writer is not None:
             writer.close()
             out.close()
