@@ -81,9 +81,32 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_read(spark, sf_dir, "documents"), 3, 90)
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontamination import leaks
+
+    return leaks(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
+OP7_SQL = r"""
+WITH w AS (SELECT 0 AS side, doc_id AS id, text FROM documents UNION ALL SELECT 1, item_id, text FROM benchmark),
+x AS (SELECT side, id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM w WHERE id IS NOT NULL),
+s AS (SELECT DISTINCT side, id, array_to_string(words[i:i + 4], ' ') AS shingle FROM (SELECT side, id, words, unnest(range(1, len(words) - 3)) AS i FROM x)),
+q AS (SELECT id AS item_id, shingle, count(*) OVER (PARTITION BY id) AS item_shingles FROM s WHERE side = 1)
+SELECT s.id AS doc_id, q.item_id, count(*) AS shared, q.item_shingles, count(*) / q.item_shingles AS containment
+FROM s JOIN q USING (shingle) WHERE s.side = 0
+GROUP BY s.id, q.item_id, q.item_shingles HAVING 100 * count(*) >= 80 * q.item_shingles
+"""
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import classify
+
+    return classify(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Query]:
-    return {"op1_token_output": op1_token_output, "op2_pii": op2_pii, "op3_suffix_dedup": op3_suffix_dedup, "op4_mixing": op4_mixing, "op6_exact_dedup": op6_exact_dedup, "op8_warc": op8_warc, "op9_jaccard_join": op9_jaccard_join}
+    return {"op1_token_output": op1_token_output, "op2_pii": op2_pii, "op3_suffix_dedup": op3_suffix_dedup, "op4_mixing": op4_mixing, "op6_exact_dedup": op6_exact_dedup, "op7_decontamination": op7_decontamination, "op8_warc": op8_warc, "op9_jaccard_join": op9_jaccard_join, "op10_quality": op10_quality}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_exact_dedup": OP6_SQL, "op8_warc": OP8_SQL}
+    return {"op6_exact_dedup": OP6_SQL, "op7_decontamination": OP7_SQL, "op8_warc": OP8_SQL}
