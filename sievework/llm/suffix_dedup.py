@@ -97,7 +97,7 @@ def find_anchors(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.nda
         low[max(0, end - LENGTH + 1):end] = 0
     pad = np.zeros(LEFT, np.uint64)
     at = np.flatnonzero(_slide(np.concatenate((pad, low, pad)), LENGTH - K + 1, np.maximum) == h)
-    return at, h[at]
+    return at, mixed(h[at])  # smallest hashes are small: mixed again, they spread evenly over buckets
 
 
 def chunks(docs: Iterator[tuple[int, bytes]]) -> Iterator[tuple[np.ndarray, np.ndarray, list[tuple[int, bytes, int, int]]]]:
