@@ -104,8 +104,14 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import classify
+
+    return classify(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Query]:
-    return {"op1_token_output": op1_token_output, "op2_pii": op2_pii, "op3_suffix_dedup": op3_suffix_dedup, "op4_mixing": op4_mixing, "op6_exact_dedup": op6_exact_dedup, "op7_decontamination": op7_decontamination, "op8_warc": op8_warc, "op9_jaccard_join": op9_jaccard_join, "op10_quality": op10_quality}
+    return {"op1_token_output": op1_token_output, "op2_pii": op2_pii, "op3_suffix_dedup": op3_suffix_dedup, "op4_mixing": op4_mixing, "op5_toxicity": op5_toxicity, "op6_exact_dedup": op6_exact_dedup, "op7_decontamination": op7_decontamination, "op8_warc": op8_warc, "op9_jaccard_join": op9_jaccard_join, "op10_quality": op10_quality}
 
 
 def oracle_sql() -> dict[str, str]:
