@@ -1,7 +1,8 @@
 """Removal of repeated passages with hash-compared suffix sorting.
 
 Texts are bytes. A byte goes when a string of LENGTH bytes that covers it also starts in a document
-with a smaller doc_id. No position is left out, yet few leave their task:
+with a smaller doc_id. No position is left out, yet few leave their task. Whole copies go first: of equal texts
+(by SHA-256) only the one with the smallest doc_id is looked into, the others lose everything. Then:
 
 1. Every window of LENGTH bytes has an anchor, the K-byte string in it with the smallest hash; equal
    windows have equal anchors at equal places. Each shard of documents sends its distinct anchors,
@@ -97,7 +98,7 @@ def find_anchors(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.nda
         low[max(0, end - LENGTH + 1):end] = 0
     pad = np.zeros(LEFT, np.uint64)
     at = np.flatnonzero(_slide(np.concatenate((pad, low, pad)), LENGTH - K + 1, np.maximum) == h)
-    return at, mixed(h[at])  # smallest hashes are small: mixed again, they spread evenly over buckets
+    return at, mixed(h[at]) >> np.uint64(16)  # smallest hashes are small: mixed again, they spread evenly over buckets
 
 
 def chunks(docs: Iterator[tuple[int, bytes]]) -> Iterator[tuple[np.ndarray, np.ndarray, list[tuple[int, bytes, int, int]]]]:
@@ -241,16 +242,63 @@ def smallest_owner(anchor: np.ndarray, around: np.ndarray, left: np.ndarray, rig
 _CONTEXT = np.dtype([("anchor", "<u8"), ("hash", "<u8"), ("owner", "<i8"), ("many", "u1"), ("left", "u1"), ("right", "u1"), ("around", "u1", (LEFT + RIGHT,))])
 _ANSWER = np.dtype([("anchor", "<u8"), ("hash", "<u8"), ("owner", "<i8"), ("where", "<u4")])
 _SCHEMA = "bucket long, shard long, payload binary"
+#: Bits of an anchor's hash; it travels as six bytes. The lowest bit says whether several documents have it.
+ANCHOR_BITS = 48
 
 
-def _bucket_rows(shard: int, values: np.ndarray, keys: np.ndarray, buckets: int) -> pa.RecordBatch:
-    """One row for each bucket of the sorted keys."""
-    bounds = [(b << 64) // buckets for b in range(1, buckets)]
+def _bucket_rows(shard: int, values: np.ndarray, keys: np.ndarray, buckets: int, bits: int = 64, pack=np.ndarray.tobytes) -> pa.RecordBatch:
+    """One row for each bucket of the sorted keys of so many bits."""
+    bounds = [(b << bits) // buckets for b in range(1, buckets)]
     cut = [0, *np.searchsorted(keys, np.array(bounds, np.uint64)).tolist(), len(keys)]
-    rows = [(b, values[x:y].tobytes()) for b, (x, y) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if y > x]
+    rows = [(b, pack(values[x:y])) for b, (x, y) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if y > x]
     return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([shard] * len(rows), pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["bucket", "shard", "payload"])
 
 
+def _pack_anchors(h: np.ndarray) -> bytes:
+    return h.view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def _unpack_anchors(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    return out.view("<u8").ravel()
+
+
+def _squeeze(rows: np.ndarray) -> bytes:
+    """Contexts, field by field, compressed."""
+    raw = b"".join(np.ascontiguousarray(rows[n]).tobytes() for n in rows.dtype.names)
+    return len(rows).to_bytes(8, "little") + pa.Codec("zstd").compress(raw, asbytes=True)
+
+
+def _unsqueeze(raw: bytes) -> np.ndarray:
+    rows, at = np.zeros(int.from_bytes(raw[:8], "little"), _CONTEXT), 0
+    data = pa.Codec("zstd").decompress(raw[8:], rows.nbytes, asbytes=True)
+    for n in rows.dtype.names:
+        size = rows[n].nbytes
+        rows[n] = np.frombuffer(data, _CONTEXT[n].base, size // _CONTEXT[n].base.itemsize, at).reshape(rows[n].shape)
+        at += size
+    return rows
+
+
+_COPY = np.dtype([("doc_id", "<i8"), ("print", "<i8")])
+
+
+def _print(raw: bytes) -> int:
+    return int.from_bytes(hashlib.sha256(raw).digest()[:8], "big", signed=True)
+
+
+class _Copies:
+    """Whether a document of a shard is a later copy of another."""
+
+    def __init__(self, root: str, shard: int):
+        self.prints: dict[int, set[int]] = {}
+        for doc_id, value in _read_shard(root, shard, _COPY).tolist():
+            self.prints.setdefault(doc_id, set()).add(value)
+
+    def __contains__(self, doc: tuple[int, bytes]) -> bool:
+        return doc[0] in self.prints and _print(doc[1]) in self.prints[doc[0]]
+
+
 def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Iterator[tuple[int, bytes]]]]:
     """(shard, its documents) in the order they come; a shard's documents must be used before the next."""
     import itertools
@@ -276,11 +324,12 @@ def _read_shard(root: str, shard: int, kind: np.dtype) -> np.ndarray:
     return np.concatenate([np.frombuffer(p, kind) for p in parts]) if parts else np.zeros(0, kind)
 
 
-def _send_anchors(buckets: int):
+def _send_anchors(buckets: int, copy_root: str):
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard, docs in _shards(batches):
+            copies = _Copies(copy_root, shard)
             held, size = [], 0
-            for data, ends, segments in chunks(docs):
+            for data, ends, segments in chunks(d for d in docs if d not in copies):
                 at, h = find_anchors(data, ends)
                 if not len(at):
                     continue
@@ -316,11 +365,11 @@ def _merged(parts: list[np.ndarray]) -> np.ndarray:
 
 def _anchor_rows(shard: int, held: list[np.ndarray], buckets: int) -> pa.RecordBatch:
     keys = _merged(held)
-    return _bucket_rows(shard, keys, keys, buckets)
+    return _bucket_rows(shard, keys, keys, buckets, ANCHOR_BITS, _pack_anchors)
 
 
 def _shared_anchors(rows: pd.DataFrame) -> pd.DataFrame:
-    own = [np.frombuffer(p, "<u8") for p in rows["payload"]]
+    own = [_unpack_anchors(p) for p in rows["payload"]]
     merged = _merged(own)
     shared = merged[(merged & np.uint64(1)) == 1]
     out = [(s, x[np.isin(x | np.uint64(1), shared)] & ~np.uint64(1)) for s, x in zip(rows["shard"], own, strict=True)] if len(shared) else []
@@ -337,12 +386,12 @@ def _anchored(data: np.ndarray, ends: np.ndarray, shared: np.ndarray) -> tuple[n
     return at[hit], h[hit]
 
 
-def _send_contexts(buckets: int, root: str):
+def _send_contexts(buckets: int, root: str, copy_root: str):
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard, docs in _shards(batches):
-            shared = np.unique(_read_shard(root, shard, np.dtype("<u8")))
+            shared, copies = np.unique(_read_shard(root, shard, np.dtype("<u8"))), _Copies(copy_root, shard)
             held, size = [], 0
-            for data, ends, segments in chunks(docs):
+            for data, ends, segments in chunks(d for d in docs if d not in copies):
                 at, h = _anchored(data, ends, shared)
                 if not len(at):
                     continue
@@ -356,11 +405,11 @@ def _send_contexts(buckets: int, root: str):
                     held = [_best(np.concatenate(held))]
                     size = len(held[0])
                     if size >= GATHER >> 3:
-                        yield _bucket_rows(shard, held[0], held[0]["anchor"], buckets)
+                        yield _bucket_rows(shard, held[0], held[0]["anchor"], buckets, ANCHOR_BITS, _squeeze)
                         held, size = [], 0
             if held:
                 rows = _best(np.concatenate(held))
-                yield _bucket_rows(shard, rows, rows["anchor"], buckets)
+                yield _bucket_rows(shard, rows, rows["anchor"], buckets, ANCHOR_BITS, _squeeze)
 
     return send
 
@@ -377,7 +426,7 @@ def _best(rows: np.ndarray) -> np.ndarray:
 
 
 def _answer_contexts(rows: pd.DataFrame) -> pd.DataFrame:
-    own = [np.frombuffer(p, _CONTEXT) for p in rows["payload"]]
+    own = [_unsqueeze(p) for p in rows["payload"]]
     whole = _best(np.concatenate(own))
     low = smallest_owner(whole["anchor"], whole["around"], whole["left"], whole["right"], whole["owner"])
     useful = (whole["many"] > 0) | (low < whole["owner"][:, None]).any(axis=1)
@@ -415,16 +464,25 @@ def _within(counts: np.ndarray) -> np.ndarray:
     return np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
 
 
-def _mark(shared_root: str, answer_root: str):
+def _mark(copy_root: str, answer_root: str):
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard, docs in _shards(batches):
+            copies, gone = _Copies(copy_root, shard), []
+
+            def rest(docs=docs, copies=copies, gone=gone):
+                for doc in docs:
+                    if doc in copies:
+                        gone.append((doc[0], *_removed(doc[1], [np.arange(max(0, len(doc[1]) - LENGTH + 1))])))
+                    else:
+                        yield doc
+
             answers = np.unique(_read_shard(answer_root, shard, _ANSWER))
             keys = answers["anchor"] ^ (answers["hash"] << np.uint64(1))
             order = np.argsort(keys, kind="stable")
             answers, keys = answers[order], keys[order]
             shared = np.unique(answers["anchor"])
             starts: dict[int, list[np.ndarray]] = {}
-            for data, ends, segments in chunks(docs):
+            for data, ends, segments in chunks(rest()):
                 at, h = _anchored(data, ends, shared)
                 if len(at):
                     segment, _, _, _, key = contexts(data, ends, at)
@@ -447,20 +505,25 @@ def _mark(shared_root: str, answer_root: str):
                 for doc_id, raw, start, n in segments:
                     if start + n >= len(raw):
                         out.append((doc_id, *_removed(raw, starts.pop(id(raw), None))))
-                if out:
-                    yield pa.RecordBatch.from_pydict({k: [o[i] for o in out] for i, k in enumerate(("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"))}, schema=_RESULT)
+                yield _result(out + gone)
+                gone.clear()
+            yield _result(gone)
 
     return mark
 
 
+def _result(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({k: [r[i] for r in rows] for i, k in enumerate(_RESULT.names)}, schema=_RESULT)
+
+
 _RESULT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("spans", pa.list_(pa.int64()))])
 
 
 def _removed(raw: bytes, starts: list[np.ndarray] | None) -> tuple[int, int, int, str, list[int]]:
     """Length, removed bytes, removed runs, digest of what is left, and the runs' bounds."""
-    if not starts:
+    at = np.unique(np.concatenate(starts)) if starts else np.zeros(0, np.int64)
+    if not len(at):
         return len(raw), 0, 0, hashlib.sha256(raw).hexdigest(), []
-    at = np.unique(np.concatenate(starts))
     new = np.flatnonzero(np.r_[True, np.diff(at) > LENGTH])
     begin, end = at[new], at[np.append(new[1:], len(at)) - 1] + LENGTH
     digest, last = hashlib.sha256(), 0
@@ -481,12 +544,30 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
     columns are ignored.
     """
     spark = docs.sparkSession
-    buckets = slots(spark)
+    buckets = 2 * slots(spark)
     rows = staged(texts(docs).select(F.spark_partition_id().cast("long").alias("shard"), "doc_id", "text"), "suffix-texts")
-    shared, answers = workdir(spark, "suffix-shared"), workdir(spark, "suffix-answers")
-    sent = rows.mapInArrow(_send_anchors(buckets), _SCHEMA)
+    copies, shared, answers = (workdir(spark, f"suffix-{n}") for n in ("copies", "shared", "answers"))
+    _later_copies(rows).repartition("shard").write.partitionBy("shard").parquet(copies)
+    sent = rows.mapInArrow(_send_anchors(buckets, copies), _SCHEMA)
     sent.groupBy("bucket").applyInPandas(_shared_anchors, "shard long, payload binary").repartition("shard").write.partitionBy("shard").parquet(shared)
-    sent = rows.mapInArrow(_send_contexts(buckets, shared), _SCHEMA)
+    sent = rows.mapInArrow(_send_contexts(buckets, shared, copies), _SCHEMA)
     sent.groupBy("bucket").applyInPandas(_answer_contexts, "shard long, payload binary").repartition("shard").write.partitionBy("shard").parquet(answers)
     drop_dir(spark, shared)
-    return rows.mapInArrow(_mark(shared, answers), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>")
+    return rows.mapInArrow(_mark(copies, answers), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>")
+
+
+def _later_copies(rows: DataFrame) -> DataFrame:
+    """shard, payload: doc_id and the head of the digest of each document whose whole text a smaller doc_id has."""
+    seen = rows.select("shard", "doc_id", F.unhex(F.sha2("text", 256)).alias("digest"))
+    first = seen.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
+    # a third of all rows may share a digest: the adaptive planner splits this join's large partitions
+    later = seen.join(first, "digest").where("doc_id > first").select("shard", "doc_id", "digest")
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = np.zeros(len(batch), _COPY)
+            out["doc_id"] = batch["doc_id"]
+            out["print"] = [int.from_bytes(d[:8], "big", signed=True) for d in batch["digest"]]
+            yield pd.DataFrame([(s, out[at].tobytes()) for s, at in batch.groupby("shard").indices.items()], columns=["shard", "payload"])
+
+    return later.mapInPandas(pack, "shard long, payload binary")
