@@ -192,7 +192,7 @@ def knee(curve: np.ndarray, window: int = 1, sensitivity: float = 10) -> list[in
     out, limit, top = [], None, None
     for i in range(1, n):
         if i < n - 1 and gap[i] > gap[i - 1] and gap[i] >= gap[i + 1]:
-            limit, top = gap[i] - sensitivity / (n - 1) / 1.0 * np.mean(np.diff(x)), i
+            limit, top = gap[i] - sensitivity / (n - 1), i
         elif limit is not None and gap[i] < limit:
             out.append(top)
             limit = None

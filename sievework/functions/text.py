@@ -6,15 +6,34 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Words that never make a search phrase on their own.
-STOPWORDS = "a an and are as at be by for from in is of on or that the this to was were will with".split()
-# Headings of the sections of a paper, in the order in which they are tried.
+STOPWORDS = (
+    "a an the and or not no nor of in on at to for with by from is are was were be been being have has had do does did "
+    "will would could should may might its it this that these those other others another such some any all both "
+    "given based including using via versus apparent apparently commonly used patients patient studies study"
+).split()
+# Words that lexical retrieval leaves out.
+SEARCH_STOPWORDS = (
+    "a an the is are was were be been being have has had do does did will would could should may might shall must can its it the "
+    "of in on at to for with by from and or not but if this that which who as such any all some than more most less very also"
+).split()
+# Separators of the phrases of a text.
+SEPARATORS = r"(?i)\s+and\s+|\s+or\s+|\s+with\s+|\s+for\s+|[,;]\s*|\s*/\s*"
+# Headings of the sections of a paper.
 SECTIONS = {
-    "ABSTRACT": ["abstract", "summary"],
+    "ABSTRACT": ["abstract"],
     "INTRODUCTION": ["introduction", "background"],
-    "METHODS": ["methods", "method", "materials and methods", "methodology"],
-    "RESULTS": ["results", "findings"],
+    "METHODS": ["method", "methods", "methodology", "materials and method", "materials and methods", "material and methods"],
+    "RESULTS": ["result", "results", "finding", "findings"],
     "DISCUSSION": ["discussion"],
     "CONCLUSION": ["conclusion", "conclusions"],
+    "REFERENCES": ["references", "bibliography"],
+}
+# Words, in lower case, by which sentences are candidates for an element.
+ELEMENT_WORDS = {
+    "population": ["patient", "participant", "subject", "n=", "sample", "cohort", "population", "adult", "child", "men", "women", "aged", "enrolled", "recruited", "inclusion criteria"],
+    "intervention": ["treat", "therap", "drug", "medication", "intervent", "dose", " mg ", " g ", "regimen", "surgery", "procedure", "administered", "received", "assigned"],
+    "comparator": ["control", "placebo", "comparator", "comparison", "versus", " vs ", "standard care", "usual care", "sham"],
+    "outcome": ["outcome", "mortality", "survival", "efficacy", "effect", "measure", "endpoint", "assess", "rate", "score", "event", "reduction", "incidence", "risk", "hazard"],
 }
 
 
@@ -45,13 +64,18 @@ def tokens(c) -> Column:
 
 def search_tokens(c) -> Column:
     """tokens() of three characters and more that aren't stopwords."""
-    return F.filter(tokens(c), lambda t: (F.length(t) >= 3) & ~t.isin(STOPWORDS))
+    return F.filter(tokens(c), lambda t: (F.length(t) >= 3) & ~t.isin(SEARCH_STOPWORDS))
 
 
 def words(c) -> Column:
     return F.filter(F.split(F.trim(c), r"\s+"), lambda w: w != "")
 
 
+def content_words(c) -> Column:
+    """Words of three characters and more that aren't stopwords."""
+    return F.filter(words(c), lambda w: ~F.lower(w).isin(STOPWORDS) & (F.length(w) >= 3))
+
+
 def approx_tokens(c) -> Column:
     """Estimate of model tokens: three words are four tokens, at least one."""
     return F.greatest(F.lit(1), F.floor(F.size(words(c)) / F.lit(0.75)).cast("int"))
@@ -109,16 +133,16 @@ def phrases(c) -> Column:
     Order of first occurrence, without repeats (ignoring case).
     """
     plain = F.regexp_replace(F.regexp_replace(text_or_empty(c), r"\([^)]*\)", " "), r"\s+", " ")
-    parts = F.transform(F.split(plain, r"(?i)\s+(?:and|or|with|for)\s+|[,;/]"), lambda p: F.trim(p))
+    parts = F.transform(F.split(plain, SEPARATORS), lambda p: F.trim(p))
     stop = "|".join(STOPWORDS)
     parts = F.transform(parts, lambda p: F.regexp_replace(p, rf"(?i)^(?:(?:{stop})(?:\s+|$))+", ""))
-    kept = F.filter(parts, lambda p: F.size(search_tokens(p)) > 0)
+    kept = F.filter(parts, lambda p: F.size(content_words(p)) > 0)
     return F.aggregate(kept, F.array().cast("array<string>"), lambda acc, p: F.when(F.exists(acc, lambda q: F.lower(q) == F.lower(p)), acc).otherwise(F.concat(acc, F.array(p))))
 
 
 def tiab_term(c) -> Column:
     """A title/abstract term: short phrases quoted, longer ones as content words joined by AND."""
-    content = F.filter(words(c), lambda w: ~F.lower(w).isin(STOPWORDS))
+    content = content_words(c)
     return F.when(F.size(words(c)) <= 3, F.concat(F.lit('"'), c, F.lit('"[TIAB]'))).otherwise(F.concat(F.lit("("), F.array_join(F.transform(content, lambda w: F.concat(w, F.lit("[TIAB]"))), " AND "), F.lit(")")))
 
 
