@@ -21,7 +21,7 @@ _WHITE = np.zeros(256, bool)
 _WHITE[[9, 10, 11, 12, 13, 32]] = True
 _STEPS = np.array([pow(0xD6E8FEB86659FD93, i, 1 << 64) for i in range(1, 65)], np.uint64)
 #: Bytes that are hashed at once.
-PIECE = 1 << 21
+PIECE = 1 << 20
 
 
 def word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:

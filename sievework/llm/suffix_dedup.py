@@ -34,7 +34,7 @@ from .common import drop_dir, open_fs, slots, staged, texts, workdir
 
 LENGTH, K = 50, 24
 #: Bytes that are hashed at once, and the most of one document among them.
-CHUNK, SEGMENT = 1 << 21, 1 << 20
+CHUNK, SEGMENT = 1 << 20, 1 << 19
 #: Anchors that a task gathers before it sends them.
 GATHER = 1 << 20
 LEFT, RIGHT = LENGTH - K, LENGTH
@@ -559,9 +559,10 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
 def _later_copies(rows: DataFrame) -> DataFrame:
     """shard, payload: doc_id and the head of the digest of each document whose whole text a smaller doc_id has."""
     seen = rows.select("shard", "doc_id", F.unhex(F.sha2("text", 256)).alias("digest"))
-    first = seen.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
-    # a third of all rows may share a digest: the adaptive planner splits this join's large partitions
-    later = seen.join(first, "digest").where("doc_id > first").select("shard", "doc_id", "digest")
+    # a row for each digest and shard: no digest has more rows than there are shards
+    held = staged(seen.groupBy("digest", "shard").agg(F.collect_list("doc_id").alias("ids")), "suffix-held")
+    first = held.groupBy("digest").agg(F.min(F.array_min("ids")).alias("first"), F.sum(F.size("ids")).alias("n")).where("n > 1").select("digest", "first")
+    later = held.join(first, "digest").select("shard", F.explode(F.filter("ids", lambda i: i > F.col("first"))).alias("doc_id"), "digest")
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
