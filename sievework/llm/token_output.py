@@ -14,6 +14,7 @@ by its row in the manifest, so a repeated or lost attempt leaves nothing visible
 
 from __future__ import annotations
 
+import itertools
 import struct
 import zlib
 from collections.abc import Iterator
@@ -135,14 +136,19 @@ class PieceEncoder:
 
     New words are encoded many at a time, joined by spaces: a run of letters is one word to the
     tokenizer, and the last of its ids, and only that, is one of a token with the word-end mark. Where
-    the count of such ids doesn't match, and for all other pieces, each piece is encoded alone.
+    the count of such ids doesn't match, and for all other pieces, each piece is encoded alone. Words of
+    Latin-1 letters in lower case are what the tokenizer's normaliser would leave alone and its splitter
+    would not split, so they go through the same model without these two.
     """
 
     def __init__(self, path: str, ordinary: bool = True):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = ordinary
+        self.plain = Tokenizer.from_file(path)
+        self.plain.normalizer = None
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.is_end = np.zeros(self.vocabulary, bool)
         self.is_end[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
@@ -154,7 +160,7 @@ class PieceEncoder:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(new, add_special_tokens=False)]
 
     def _joined(self, words: list[str]) -> list[bytes]:
-        ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
+        ids = np.array(self.plain.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
         ends = np.flatnonzero(self.is_end[ids]) + 1
         if len(ends) != len(words):
             return self._alone(words)
@@ -168,7 +174,7 @@ class PieceEncoder:
         if len(self.marks) > CACHE // 4:
             self.marks.clear()
         stems = [p.rstrip(TAIL) for p in new]
-        keys = [(w.lower() if w.isascii() else w) if w.isalpha() else None for w in stems]
+        keys = [w.lower() if w.isalpha() and (w.isascii() or max(w) <= "\xff") else None for w in stems]
         tails = [p[len(w):] if k else p for p, w, k in zip(new, stems, keys, strict=True)]
         for missing, known, encode in ((set(keys) - self.words.keys() - {None}, self.words, self._joined), (set(tails) - self.marks.keys() - {""}, self.marks, self._alone)):
             order = sorted(missing)
@@ -183,10 +189,10 @@ class PieceEncoder:
         split = [_split(t) for t in texts]
         known = self.pieces
         known[""] = b""
-        new = list(set().union(*split) - known.keys())
+        new = list(set(itertools.chain.from_iterable(split)) - known.keys())
         if len(known) + len(new) > CACHE:
             known.clear()
-            new = list(set().union(*split))
+            new = list(set(itertools.chain.from_iterable(split)))
         self.learn(new)
         known[""] = b""
         return [b"".join([known[p] for p in pieces]) for pieces in split]
