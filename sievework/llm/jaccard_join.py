@@ -3,11 +3,11 @@
 Links are found in three steps, none of which lists the pairs of a group of copies:
 
 1. Equal shingle sets fall together; only one document stands for each distinct set.
-2. A set is cut into so many parts by hash that two sets similar enough have a part in common that is
-   equal in both (pigeonhole; the number of parts depends on the size class). Shards send each
-   distinct part once to the bucket of its hash and learn the smallest document that has it.
-   Documents with a shared part are candidates; their components by shared parts are the areas that
-   have to be searched.
+2. Shards send their distinct shingles, once each with a count, to the bucket of their hash, and learn
+   which of them several sets have, and about how many. A set of which fewer than ``percent`` in a
+   hundred shingles are shared links with nothing. The others have, in one order of all shingles from
+   rare to frequent, a prefix that any set they link with shares a shingle of. Their components by
+   shared prefix shingles are the areas that have to be searched.
 3. Each area is cut into blocks of similar set sizes and bounded numbers; each pair of blocks that
    can hold links is one T-occurrence search: a block's sets become inverted lists; for each query
    set the short lists are merged, the longest ones only probed by binary search (DivideSkip), and
@@ -27,70 +27,16 @@ from pyspark.sql import functions as F
 
 from .common import components, drop_dir, slots, staged, texts, workdir
 from .shingles import blocks, by_shard, distinct, shingles
-from .suffix_dedup import _bucket_rows, _read_shard, mixed
+from .suffix_dedup import _bucket_rows, _read_shard, _read_shard_parts, mixed
 
-#: Documents of a block, about; parts that a task gathers before it sends them.
+#: Documents of a block, about; shingles that a task gathers before it sends them.
 BLOCK, GATHER = 256, 1 << 20
+#: Bits of a shingle's hash within a set, and of what travels to its bucket (six bytes).
+BITS, SENT = 52, 48
 #: Cost of a probe against a merge step in the choice of the long lists.
 MU = 0.0085
 
 
-def size_classes(percent: int, most: int) -> np.ndarray:
-    """Lower bounds of size classes: sets of a link lie in one class or in neighbouring ones."""
-    bounds = [1, 2]
-    while bounds[-1] <= most:
-        bounds.append(max(bounds[-1] + 1, (bounds[-1] - 1) * 100 // percent + 1))
-    bounds.append(max(bounds[-1] + 1, (bounds[-1] - 1) * 100 // percent + 1))
-    bounds.append(max(bounds[-1] + 1, (bounds[-1] - 1) * 100 // percent + 1))
-    return np.array(bounds)
-
-
-def parts_of(bounds: np.ndarray, percent: int, c: int) -> tuple[int, int]:
-    """Number of parts for the sets of classes c and c + 1, and the empty parts that a set may have besides.
-
-    Linked sets of these classes differ in at most H elements, so at least parts - H parts are equal.
-    With 1 + spare of these, one that isn't empty is among them unless a set has more than spare empty
-    parts; such a set sends the mark of its class, too. No parts: links of these classes are equal sets.
-    """
-    largest = int(bounds[c + 2]) - 1
-    differ = (100 - percent) * 2 * largest // (100 + percent)
-    if differ == 0:
-        return 0, 0
-    spare = 4 + int(np.ceil(2 * (differ + 1) * np.exp(-float(bounds[c]) / (differ + 1))))
-    return differ + 1 + spare, spare
-
-
-def part_keys(h: np.ndarray, count: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """(key, number of the set) of the parts of sets that are given by their ascending hashes."""
-    if not len(h):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    bounds = size_classes(percent, int(count.max()))
-    own = np.searchsorted(bounds, count, "right") - 1
-    first = np.concatenate(([0], np.cumsum(count)[:-1]))
-    full, keys, owners = mixed(h), [], []
-    for shift in (0, 1):
-        pair = own - shift
-        known = {int(c): parts_of(bounds, percent, int(c)) for c in np.unique(pair[(count > 0) & (pair >= 0)])}
-        parts = np.array([known.get(int(c), (0, 0))[0] if n else 0 for c, n in zip(pair, count, strict=True)])
-        spare = np.array([known.get(int(c), (0, 0))[1] for c in pair])
-        sets = np.flatnonzero(parts > 0)
-        if not len(sets):
-            continue
-        at = np.repeat(first[sets], count[sets]) + np.arange(count[sets].sum()) - np.repeat(np.cumsum(count[sets]) - count[sets], count[sets])
-        owner = np.repeat(sets, count[sets])
-        part = ((h[at] >> np.uint64(20)) * np.repeat(parts[sets], count[sets]).astype(np.uint64)) >> np.uint64(32)
-        new = np.flatnonzero(np.r_[True, (part[1:] != part[:-1]) | (owner[1:] != owner[:-1])])
-        total = np.add.reduceat(full[at], new)
-        label = part[new] * np.uint64(0x9E3779B97F4A7C15) + pair[owner[new]].astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
-        keys.append(mixed(total ^ mixed(label)))
-        owners.append(owner[new])
-        filled = np.bincount(owner[new], minlength=len(count))
-        marked = sets[parts[sets] - filled[sets] > spare[sets]]
-        keys.append(mixed(pair[marked].astype(np.uint64) * np.uint64(0x165667B19E3779F9) + np.uint64(7)))
-        owners.append(marked)
-    return (np.concatenate(keys), np.concatenate(owners)) if keys else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-
-
 def required(a: int | np.ndarray, b: int | np.ndarray, percent: int):
     """The smallest intersection that links sets of these sizes: 100 * i >= percent * (a + b - i)."""
     return -(-percent * (a + b) // (100 + percent))
@@ -156,19 +102,41 @@ def _roots(parent: np.ndarray) -> np.ndarray:
     return label
 
 
-_PART = np.dtype([("key", "<u8"), ("owner", "<i8"), ("many", "u1")])
+def _pack(keys: np.ndarray, marks: np.ndarray) -> bytes:
+    """Keys of SENT bits and a byte each."""
+    return np.ascontiguousarray(keys).view(np.uint8).reshape(-1, 8)[:, :6].tobytes() + marks.astype(np.uint8).tobytes()
 
 
-def _least(rows: np.ndarray) -> np.ndarray:
-    """One row for each key: the smallest owner, and whether there are several."""
-    order = np.lexsort((rows["owner"], rows["key"]))
-    key, owner = rows["key"][order], rows["owner"][order]
-    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(rows) else np.zeros(0, np.int64)
-    last = np.append(first[1:], len(rows)) - 1
-    out = rows[order[first]]
-    if len(rows):
-        out["many"] = np.maximum(np.maximum.reduceat(rows["many"][order], first), owner[first] != owner[last])
-    return out
+def _unpack(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = len(raw) // 7
+    keys = np.zeros((n, 8), np.uint8)
+    keys[:, :6] = np.frombuffer(raw, np.uint8, 6 * n).reshape(-1, 6)
+    return keys.view("<u8").ravel(), np.frombuffer(raw, np.uint8, n, 6 * n)
+
+
+def _counted(keys: np.ndarray, marks: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and their counts."""
+    if marks is None:
+        keys = np.sort(keys)
+        first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
+        return keys[first], np.diff(np.append(first, len(keys)))
+    order = np.argsort(keys, kind="stable")
+    keys, marks = keys[order], marks[order].astype(np.int64)
+    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
+    return keys[first], np.add.reduceat(marks, first) if len(keys) else marks
+
+
+def prefix_tokens(h: np.ndarray, rarity: np.ndarray, percent: int) -> np.ndarray:
+    """The shingles by which a set must be found. ``rarity``: 0 for shingles that no other set has, else rising with their number.
+
+    None if the set has too few shared shingles to link with any other.
+    """
+    least = -(-percent * len(h) // 100)
+    shared = np.flatnonzero(rarity > 0)
+    if len(shared) < least:
+        return h[:0]
+    order = np.lexsort((h[shared], rarity[shared]))
+    return h[shared[order[:len(shared) - least + 1]]]
 
 
 def _sets(texts_: list[str], k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -220,60 +188,63 @@ def _chosen(root: str, k: int, batches: Iterator[pa.RecordBatch]) -> Iterator[tu
             yield shard, ids[yes], h[keep], count[yes]
 
 
-def _send_parts(root: str, k: int, percent: int, buckets: int):
+def _send_shingles(root: str, k: int, buckets: int):
+    def rows(shard: int, held: list[np.ndarray]) -> pa.RecordBatch:
+        keys, count = _counted(np.concatenate(held))
+        both = np.rec.fromarrays((keys, np.minimum(count, 255)), names="key,count")
+        return _bucket_rows(shard, both, keys, buckets, SENT, lambda x: _pack(x["key"], x["count"]))
+
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, at = [], 0, None
-        for shard, ids, h, count in _chosen(root, k, batches):
+        for shard, _, h, _ in _chosen(root, k, batches):
             if held and (shard != at or size >= GATHER):
-                rows = _least(np.concatenate(held))
-                yield _bucket_rows(at, rows, rows["key"], buckets)
+                yield rows(at, held)
                 held, size = [], 0
-            keys, owner = part_keys(h, count, percent)
-            rows = np.zeros(len(keys), _PART)
-            rows["key"], rows["owner"] = keys, ids[owner]
-            held.append(rows)
-            size, at = size + len(rows), shard
+            held.append(h >> np.uint64(BITS - SENT))
+            size, at = size + len(h), shard
         if held:
-            rows = _least(np.concatenate(held))
-            yield _bucket_rows(at, rows, rows["key"], buckets)
+            yield rows(at, held)
 
     return send
 
 
-def _shared_parts(rows: pd.DataFrame) -> pd.DataFrame:
-    own = [np.frombuffer(p, _PART) for p in rows["payload"]]
-    whole = _least(np.concatenate(own))
-    whole = whole[whole["many"] > 0]
+def _shared_shingles(rows: pd.DataFrame) -> pd.DataFrame:
+    """Each shard's shingles that several sets have, with the binary logarithm of their number."""
+    own = [_unpack(p) for p in rows["payload"]]
+    keys, count = _counted(np.concatenate([k for k, _ in own]), np.concatenate([c for _, c in own]))
+    keys, rarity = keys[count > 1], np.floor(np.log2(np.maximum(count[count > 1], 2))).astype(np.uint8)
     out = []
-    for s, x in zip(rows["shard"], own, strict=True):
-        if len(whole):
-            at = np.minimum(np.searchsorted(whole["key"], x["key"]), len(whole) - 1)
-            mine = whole[at[whole["key"][at] == x["key"]]]
-            if len(mine):
-                out.append((s, mine.tobytes()))
+    for s, (mine, _) in zip(rows["shard"], own, strict=True):
+        if len(keys):
+            at = np.minimum(np.searchsorted(keys, mine), len(keys) - 1)
+            hit = keys[at] == mine
+            if hit.any():
+                out.append((s, _pack(mine[hit], rarity[at[hit]])))
     return pd.DataFrame(out, columns=["shard", "payload"])
 
 
 def _candidates(root: str, shared_root: str, k: int, percent: int):
-    """Candidate documents with their sets, and the smallest document of each shared part."""
+    """Candidate documents with their sets and prefix shingles."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, shared = None, np.zeros(0, _PART)
+        at, keys, rarity = None, np.zeros(0, np.uint64), np.zeros(0, np.uint8)
         for shard, ids, h, count in _chosen(root, k, batches):
             if shard != at:
-                at, shared = shard, np.unique(_read_shard(shared_root, shard, _PART))
-            if not len(shared):
+                parts = [_unpack(p) for p in _read_shard_parts(shared_root, shard)]
+                at, keys, rarity = shard, np.concatenate([p[0] for p in parts] or [keys[:0]]), np.concatenate([p[1] for p in parts] or [rarity[:0]])
+                keys, first = np.unique(keys, return_index=True)
+                rarity = rarity[first]
+            if not len(keys):
                 continue
-            keys, owner = part_keys(h, count, percent)
-            place = np.minimum(np.searchsorted(shared["key"], keys), len(shared) - 1)
-            hit = shared["key"][place] == keys
-            owner, centre = owner[hit], shared["owner"][place[hit]]
-            links = np.unique(np.stack((owner, centre), axis=1), axis=0) if len(owner) else np.zeros((0, 2), np.int64)
-            docs, start = np.unique(links[:, 0], return_index=True)
-            ends, first = np.append(start[1:], len(links)), np.concatenate(([0], np.cumsum(count)))
-            yield pa.RecordBatch.from_pydict(
-                {"doc_id": ids[docs], "n": count[docs], "body": [h[first[d]:first[d + 1]].tobytes() for d in docs], "centres": [links[a:b, 1].tolist() for a, b in zip(start, ends, strict=True)]},
-                schema=pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("body", pa.binary()), ("centres", pa.list_(pa.int64()))]))
+            mine = h >> np.uint64(BITS - SENT)
+            place = np.minimum(np.searchsorted(keys, mine), len(keys) - 1)
+            rare = np.where(keys[place] == mine, rarity[place], 0)
+            ends, out = np.cumsum(count), []
+            shared = np.add.reduceat(np.append(rare > 0, False).astype(np.int64), np.append(0, ends[:-1])) if len(count) else ends
+            for d in np.flatnonzero((count > 0) & (shared * 100 >= percent * count)):
+                own = slice(ends[d] - count[d], ends[d])
+                out.append((ids[d], count[d], h[own].tobytes(), prefix_tokens(h[own], rare[own], percent).astype(np.int64).tolist()))
+            yield pa.RecordBatch.from_pydict({n: [o[i] for o in out] for i, n in enumerate(("doc_id", "n", "body", "tokens"))}, schema=pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("body", pa.binary()), ("tokens", pa.list_(pa.int64()))]))
 
     return find
 
@@ -347,12 +318,15 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFr
                 yield pd.DataFrame({"shard": [shard], "payload": [np.stack((own["stands"], own["print1"]), axis=1).astype("<i8").tobytes()]})
 
     same.select("at", "stands", "print1").repartition("at").mapInPandas(packed, "shard long, payload binary").write.partitionBy("shard").parquet(chosen)
-    sent = rows.mapInArrow(_send_parts(chosen, k, percent, slots(spark)), "bucket long, shard long, payload binary")
-    sent.groupBy("bucket").applyInPandas(_shared_parts, "shard long, payload binary").repartition("shard").write.partitionBy("shard").parquet(shared)
-    candidates = staged(rows.mapInArrow(_candidates(chosen, shared, k, percent), "doc_id long, n long, body binary, centres array<long>"), "join-candidates")
+    sent = rows.mapInArrow(_send_shingles(chosen, k, 2 * slots(spark)), "bucket long, shard long, payload binary")
+    sent.groupBy("bucket").applyInPandas(_shared_shingles, "shard long, payload binary").repartition("shard").write.partitionBy("shard").parquet(shared)
+    candidates = staged(rows.mapInArrow(_candidates(chosen, shared, k, percent), "doc_id long, n long, body binary, tokens array<long>"), "join-candidates")
     for path in (chosen, shared):
         drop_dir(spark, path)
-    areas = components(candidates.select(F.col("doc_id").alias("u"), F.explode("centres").alias("v")), "join-area")
+    tokens = candidates.select("doc_id", F.explode("tokens").alias("token"))
+    centres = tokens.groupBy("token").agg(F.min("doc_id").alias("centre"), F.max("doc_id").alias("last")).where("centre < last").select("token", "centre")
+    # a shingle may be in a third of all candidates' prefixes: the adaptive planner splits this join's large partitions
+    areas = components(tokens.join(centres, "token").select(F.col("doc_id").alias("u"), F.col("centre").alias("v")), "join-area")
     links = staged(_units(candidates, areas, percent).groupBy("unit").applyInPandas(_search(percent), "u long, v long"), "join-links")
     # rows that share a doc_id but not their set are one node
     own = members.where("doc_id <> stands").select(F.col("doc_id").alias("u"), F.col("stands").alias("v")).join(members.groupBy("doc_id").agg(F.count_distinct("stands").alias("n")).where("n > 1").select(F.col("doc_id").alias("u")), "u")

@@ -313,14 +313,19 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Iterator[t
         yield shard, ((r[1], r[2].encode()) for r in own)
 
 
-def _read_shard(root: str, shard: int, kind: np.dtype) -> np.ndarray:
-    """What a stage has written for one shard."""
+def _read_shard_parts(root: str, shard: int) -> list:
+    """What a stage has written for one shard, a buffer for each row."""
     import pyarrow.parquet as pq
     from pyarrow import fs as pafs
 
     fs, base = open_fs(root)
     files = fs.get_file_info(pafs.FileSelector(f"{base}/shard={shard}", allow_not_found=True))
-    parts = [p.as_buffer() for f in files if f.path.endswith(".parquet") for p in pq.ParquetFile(fs.open_input_file(f.path)).read(["payload"]).column(0)]
+    return [p.as_buffer() for f in files if f.path.endswith(".parquet") for p in pq.ParquetFile(fs.open_input_file(f.path)).read(["payload"]).column(0)]
+
+
+def _read_shard(root: str, shard: int, kind: np.dtype) -> np.ndarray:
+    """All of it as one array."""
+    parts = _read_shard_parts(root, shard)
     return np.concatenate([np.frombuffer(p, kind) for p in parts]) if parts else np.zeros(0, kind)
 
 

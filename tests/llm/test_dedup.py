@@ -4,7 +4,7 @@ import re
 from pyspark.sql import functions as F
 
 from sievework.llm.exact_dedup import LsmIndex, exact_dedup
-from sievework.llm.jaccard_join import jaccard_components, required, size_classes, t_occurrence
+from sievework.llm.jaccard_join import jaccard_components, prefix_tokens, required, t_occurrence
 from sievework.llm.suffix_dedup import suffix_dedup, suffix_sort
 
 import numpy as np
@@ -135,12 +135,18 @@ def test_jaccard_components(spark):
     assert jaccard_components(fixtures.empty(spark)).collect() == []
 
 
-def test_size_classes_hold_all_links():
+def test_prefixes_of_links_meet():
+    draw = np.random.default_rng(9)
     for percent in (80, 90):
-        bounds = size_classes(percent, 3000)
-        for a in range(1, 2500, 7):
-            c, largest = np.searchsorted(bounds, [a, a * 100 // percent], "right") - 1
-            assert largest - c <= 1
+        for _ in range(300):
+            n = int(draw.integers(1, 60))
+            x = np.unique(draw.integers(0, 10 ** 6, n).astype("<u8"))
+            y = np.unique(np.concatenate((x[draw.random(len(x)) < 0.93], draw.integers(0, 10 ** 6, int(draw.integers(0, 4))).astype("<u8"))))
+            both = np.intersect1d(x, y)
+            rarity = {int(h): int(draw.integers(1, 9)) for h in both}
+            one, two = (prefix_tokens(s, np.array([rarity.get(int(h), 0) for h in s]), percent) for s in (x, y))
+            if len(y) and 100 * len(both) >= percent * len(np.union1d(x, y)):
+                assert len(np.intersect1d(one, two))
 
 
 def test_t_occurrence_skips_nothing():
