@@ -17,6 +17,7 @@ from __future__ import annotations
 import itertools
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +33,7 @@ FOOTER = struct.Struct("<IIQQQ8s")
 #: Ids in a block.
 BLOCK_IDS = 65_536
 #: Pieces that a worker remembers; beyond, it starts anew (a single batch may hold more).
-CACHE = 600_000
+CACHE = 400_000
 #: Marks that may be cut from the end of a piece after a letter or digit: there the tokenizer always cuts too.
 TAIL = ".,!%&*$#;:?"
 
@@ -134,11 +135,9 @@ class TokenReader:
 class PieceEncoder:
     """Encodes texts piece by piece, remembering the pieces' ids as little-endian bytes.
 
-    New words are encoded many at a time, joined by spaces: a run of letters is one word to the
-    tokenizer, and the last of its ids, and only that, is one of a token with the word-end mark. Where
-    the count of such ids doesn't match, and for all other pieces, each piece is encoded alone. Words of
-    Latin-1 letters in lower case are what the tokenizer's normaliser would leave alone and its splitter
-    would not split, so they go through the same model without these two.
+    Words whose lower case is of ASCII and Latin-1 letters are what the tokenizer's normaliser would
+    only put in lower case and its splitter would not split, so in lower case they go straight to its
+    model, byte for byte; all other pieces go through the whole tokenizer, each alone.
     """
 
     def __init__(self, path: str, ordinary: bool = True):
@@ -146,12 +145,9 @@ class PieceEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = ordinary
-        self.plain = Tokenizer.from_file(path)
-        self.plain.normalizer = None
-        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        byte_level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.simple = {c: byte_level.pre_tokenize_str(chr(c))[0][0] for c in [*range(97, 123), *range(0xDF, 0xF7), *range(0xF8, 0x100)]}
         self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        self.is_end = np.zeros(self.vocabulary, bool)
-        self.is_end[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
         self.pieces: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
         self.marks: dict[str, bytes] = {}
@@ -159,13 +155,9 @@ class PieceEncoder:
     def _alone(self, new: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(new, add_special_tokens=False)]
 
-    def _joined(self, words: list[str]) -> list[bytes]:
-        ids = np.array(self.plain.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
-        ends = np.flatnonzero(self.is_end[ids]) + 1
-        if len(ends) != len(words):
-            return self._alone(words)
-        raw, cut = ids.tobytes(), [0, *(ends * 4).tolist()]
-        return [raw[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
+    def _words(self, words: list[str]) -> list[bytes]:
+        tokenize, table = self.tokenizer.model.tokenize, self.simple
+        return [array("I", [t.id for t in tokenize(w if w.isascii() else w.translate(table))]).tobytes() for w in words]
 
     def learn(self, new: list[str]) -> None:
         """Remember the ids of new pieces: a word and a tail of marks apart, other pieces whole."""
@@ -174,9 +166,10 @@ class PieceEncoder:
         if len(self.marks) > CACHE // 4:
             self.marks.clear()
         stems = [p.rstrip(TAIL) for p in new]
-        keys = [w.lower() if w.isalpha() and (w.isascii() or max(w) <= "\xff") else None for w in stems]
+        simple = self.simple.keys()
+        keys = [(low if (low := w.lower()).isascii() or simple >= set(map(ord, low)) else None) if w.isalpha() else None for w in stems]
         tails = [p[len(w):] if k else p for p, w, k in zip(new, stems, keys, strict=True)]
-        for missing, known, encode in ((set(keys) - self.words.keys() - {None}, self.words, self._joined), (set(tails) - self.marks.keys() - {""}, self.marks, self._alone)):
+        for missing, known, encode in ((set(keys) - self.words.keys() - {None}, self.words, self._words), (set(tails) - self.marks.keys() - {""}, self.marks, self._alone)):
             order = sorted(missing)
             for at in range(0, len(order), 4096):
                 known.update(zip(order[at:at + 4096], encode(order[at:at + 4096]), strict=True))
@@ -195,7 +188,7 @@ class PieceEncoder:
             new = list(set(itertools.chain.from_iterable(split)))
         self.learn(new)
         known[""] = b""
-        return [b"".join([known[p] for p in pieces]) for pieces in split]
+        return [b"".join(map(known.__getitem__, pieces)) for pieces in split]
 
 
 def _split(text: str) -> list[str]:
