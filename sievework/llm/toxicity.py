@@ -10,8 +10,9 @@ kernel is an inner product of subsequence weights, the machine's decision - a co
 landmarks - is summed up in one table of subsequence weights, with which every unit of every text is
 scored in bulk. A document's score comes from its units' decisions by a calibrated logistic model.
 
-Only the text is an input of a score. Fitting uses about SAMPLE labelled documents, chosen by a hash of
-doc_id, never those that are held out.
+Only the text is an input of a score. Fitting uses about SAMPLE toxic and twice as many other labelled
+documents at most, chosen by a hash of doc_id, never those that are held out; calibration weighs them
+back to their true shares.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from .quality import logistic, logits, sigmoid
 from .shingles import PIECE, _grouped, _pieces, blocks
 from .suffix_dedup import PrefixHash, mixed
 
-SAMPLE, LANDMARKS, ROUNDS = 6_000, 256, 2
+SAMPLE, LANDMARKS, ROUNDS = 1_200, 256, 2
 DECAY, SPAN = 0.6, 7
 THRESHOLD = 0.7
 #: Toxic units whose copies with an inserted letter are learned, too.
@@ -187,8 +188,11 @@ def svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float = 20.0, ro
     return w
 
 
-def fit(raws: list[bytes], toxic: np.ndarray, apart: np.ndarray) -> dict:
-    """The model: a table of subsequence weights with its constant, and a document's weights."""
+def fit(raws: list[bytes], toxic: np.ndarray, apart: np.ndarray, share: tuple[float, float] = (1.0, 1.0)) -> dict:
+    """The model: a table of subsequence weights with its constant, and a document's weights.
+
+    ``share``: which part of all other and of all toxic labelled documents the sample holds.
+    """
     train = ~apart
     if len(np.unique(toxic[train])) < 2:
         return {"table": np.zeros(32 ** 3), "constant": -1.0, "document": np.r_[np.zeros(6), -30.0 if not toxic.any() else 30.0]}
@@ -259,10 +263,21 @@ def fit(raws: list[bytes], toxic: np.ndarray, apart: np.ndarray) -> dict:
         negatives = np.setdiff1d(np.union1d(negatives, hard), positives)
     features = pooled(units, units.decide(table) + constant)
     use = apart if len(np.unique(toxic[apart])) == 2 else np.ones(len(raws), bool)
-    document = logistic(features[use], toxic[use].astype(float), np.ones(int(use.sum())), 0.5)
+    weight = np.where(toxic[use] == 1, 1 / share[1], 1 / share[0])
+    document = logistic(features[use], toxic[use].astype(float), weight / weight.mean(), 0.5)
+    document[-1] += np.log(THRESHOLD / (1 - THRESHOLD)) - best_cut(logits(features[use], document), toxic[use], weight)
     return {"table": table, "constant": constant, "document": document}
 
 
+def best_cut(z: np.ndarray, y: np.ndarray, weight: np.ndarray) -> float:
+    """Where to cut a decision value for the best harmonic mean of precision and recall."""
+    order = np.argsort(-z, kind="stable")
+    hit = np.cumsum(np.where(y == 1, weight, 0)[order])
+    value = 2 * hit / (np.cumsum(weight[order]) + weight[y == 1].sum())
+    k = int(value.argmax())
+    return float((z[order[k]] + z[order[min(k + 1, len(z) - 1)]]) / 2)
+
+
 def inserted(codes: np.ndarray, draw: np.random.Generator) -> np.ndarray:
     """Two copies of each unit of four letters or more, with a letter put in somewhere inside."""
     out = []
@@ -297,13 +312,17 @@ def _rows(docs: DataFrame) -> DataFrame:
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
     """Fit on about ``sample`` labelled documents that aren't held out; labels: doc_id, toxic (1 or 0)."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(~held_out(F.col("doc_id")))
-    n = known.count()
-    some = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1e6 * min(1.0, sample / max(1, n))))
-    # about ``sample`` rows, whatever the size of the tables: broadcast and collected
+    total = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
+    share = tuple(min(1.0, n / max(1, total.get(value, 0))) for value, n in ((0, 2 * sample), (1, sample)))
+    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))
+    some = known.where(draw < F.when(F.col("toxic") == 1, int(1e6 * share[1])).otherwise(int(1e6 * share[0])))
+    # about three times ``sample`` rows, whatever the size of the tables: broadcast and collected
     got = staged(_rows(docs).join(F.broadcast(some), "doc_id"), "toxic-sample").orderBy("doc_id", "text").collect()
     toxic = np.array([r["toxic"] for r in got], np.int64)
     apart = np.array([zlib.crc32(f"apart{r['doc_id']}".encode()) % 3 == 0 for r in got], bool)
-    return fit([r["text"].encode() for r in got], toxic, apart)
+    raws = [r["text"].encode() for r in got]
+    del got
+    return fit(raws, toxic, apart, share)
 
 
 def score(docs: DataFrame, model: dict) -> DataFrame:
