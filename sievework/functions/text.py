@@ -42,6 +42,11 @@ def text_or_empty(c) -> Column:
     return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
 
 
+def strip(c) -> Column:
+    """The text without white space at its ends."""
+    return F.regexp_replace(c, r"^\s+|\s+$", "")
+
+
 def doi_key(c) -> Column:
     """DOI without its resolver prefix, trimmed, in lower case; empty is null."""
     return F.nullif(F.regexp_replace(F.lower(F.trim(c)), r"^https?://(dx\.)?doi\.org/", ""), F.lit(""))
@@ -179,7 +184,7 @@ def text_sections(c) -> Column:
     """map label -> text of a paper's sections: a heading is a line of its own; what stands before is OTHER."""
     names = "|".join(n for ns in SECTIONS.values() for n in sorted(ns, key=len, reverse=True))
     pattern = rf"(?im)^[\x20\t]*(?:\d+\.?[\x20\t]*)?({names})[\x20\t]*:?[\x20\t]*$"
-    heads, bodies = F.regexp_extract_all(c, F.lit(pattern), F.lit(1)), F.transform(F.split(c, pattern), lambda b: F.trim(b))
+    heads, bodies = F.regexp_extract_all(c, F.lit(pattern), F.lit(1)), F.transform(F.split(c, pattern), strip)
     parts = F.filter(F.arrays_zip(F.concat(F.array(F.lit("")), heads).alias("head"), bodies.alias("body")), lambda p: p["body"] != "")
     labelled = F.transform(parts, lambda p: F.struct(section_of(p["head"]).alias("label"), p["body"].alias("body")))
     labels = F.array_distinct(F.transform(labelled, lambda p: p["label"]))
@@ -209,8 +214,8 @@ def exclusion_reason(c, length: int = 200) -> Column:
 
 def conclusion(c) -> Column:
     """First paragraph after a Conclusion heading, else the last paragraph."""
-    found = F.nullif(F.trim(F.regexp_extract(c, r"(?is)##\s*conclusions?[^\n]*\n+(.+?)(?:\n\s*\n|$)", 1)), F.lit(""))
-    return F.coalesce(found, F.element_at(F.filter(F.split(F.trim(c), r"\n\s*\n"), lambda p: F.trim(p) != ""), -1))
+    found = F.nullif(strip(F.regexp_extract(c, r"(?is)##\s*conclusions?[^\n]*\n+(.+?)(?:\n\s*\n|$)", 1)), F.lit(""))
+    return F.coalesce(found, F.element_at(F.filter(F.split(strip(c), r"\n\s*\n"), lambda p: strip(p) != ""), -1))
 
 
 def medline_doi(aid: Column, lid: Column) -> Column:

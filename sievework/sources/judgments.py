@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import medline_doi, medline_year, strip_markup
+from ..functions.text import medline_doi, medline_year, strip, strip_markup
 
 CORPUS = "pmid string, title string, abstract string, y_abstract tinyint, is_calib tinyint"
 
@@ -44,7 +44,7 @@ def topic_file(spark: SparkSession, path: str) -> DataFrame:
     whole = spark.read.text(path, wholetext=True)
 
     def block(name: str) -> Column:
-        return F.trim(F.regexp_extract("value", rf"(?ms)^{name}:[\x20\t]*(.*?)(?=^\w+:|\z)", 1))
+        return strip(F.regexp_extract("value", rf"(?ms)^{name}:[\x20\t]*(.*?)(?=^\w+:|\z)", 1))
 
     pids = F.filter(F.split(block("Pids"), r"\s+"), lambda p: p.rlike("^[0-9]+$"))
     return whole.select(block("Title").alias("title"), F.regexp_replace(block("Query"), r"\s+", " ").alias("query"), pids.alias("pmids"))
