@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions.numeric import cosine, unit
-from ..operators import baselines, coverage, dedup, evaluator, ranking, report, screening
+from ..operators import baselines, coverage, dedup, evaluator, ranking, report, review, routing, screening
 from ..session import landed, table
 from ..sources import judgments, stores
 from ..streaming import events as feed
@@ -309,7 +309,41 @@ def active_learning(spark, d):
     return baselines.active_learning(landed(rows.select("pmid", "rel", F.col("features")), "learning"), 20, 0.9, 5)
 
 
-QUERIES = {f.__name__: f for f in (p_satisfy_map, noisy_or_decision, screen_all, pico_penalty_decision, first_exclusion_reason, exclusion_top5, smart_flag_threshold, tier_routing, bias_overall, bm25_scores, bm25_topk, dense_topk, nearest_examples, unit_vectors, rrf_fusion, sentence_retrieval, context_budget_prefix, section_softmax, coverage_years, coverage_keywords, saturation, completeness, normalise_keys, dedup_exact_keys, dedup_records, dedup_without_titles, phrase_extraction, query_text, sentence_candidates, section_split, markup_strip, token_counts, reply_verdicts, span_verify, merge_canonical, missing_positives, topic_overlap_sets, confusion_metrics, precision_recall_f2, audit_trail, latest_decision, event_stage_counts, prisma_counts, rank_measures, decile_gain, loss_measures, cost_measures, rank_window_features, target_window, stopping_state, knee_points, active_learning)}
+def validate_corpus(spark, d):
+    return review.check(corpus.scored(spark, d), "scored")
+
+
+def domain_keywords(spark, d):
+    part = F.split("text", r"\.\s*")
+    rows = table(spark, d, "benchmark").select("item_id", F.struct(*[F.get(part, i).alias(n) for i, n in enumerate(("population", "intervention", "comparator", "outcome"))]).alias("pico"))
+    return review.keywords(rows, "item_id")
+
+
+def element_candidates(spark, d):
+    rows = _docs(spark, d).select("doc_id", F.create_map(F.lit("METHODS"), tx.text_or_empty("text"), F.lit("OTHER"), F.lit("a patient was treated here.")).alias("s"))
+    return rows.select("doc_id", *[F.size(review.candidates_for(F.col("s"), e)).alias(e) for e in tx.ELEMENT_WORDS])
+
+
+def raw_scores(spark, d):
+    return _round(review.raw_scores(ranking.fuse(*_two_rankings(spark, d), "pmid", ["topic_id"])).select("topic_id", "pmid", "r_lexical", "r_dense", "raw_score"), "r_lexical", "r_dense", "raw_score", places=9)
+
+
+def wss_by_topic(spark, d):
+    rows = corpus.orders(spark, d).withColumn("predicted", (F.col("s") > 60_000).cast("int"))
+    return rows.groupBy("topic_id").agg(F.round(routing.wss_at(F.col("predicted"), F.col("y"), 0.8), 9).alias("wss"))
+
+
+def label_store(spark, d):
+    rows = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("pmid"), F.col("l_linenumber").alias("seed_b"), (F.col("l_partkey") % 4).alias("verdict"))
+    return stores.with_label(rows).groupBy("vote_label").agg(F.count("*").alias("n"))
+
+
+def ranked_label_topics(spark, d):
+    got = judgments.ranked_labels(corpus.run(spark, d), corpus.qrels(spark, d).where("pmid % 3 = 0"), 100)
+    return got.select("topic_id", F.size("pmids").alias("n"), F.aggregate("labels", F.lit(0), lambda a, x: a + x).alias("positives"), F.get("pmids", 0).alias("first"))
+
+
+QUERIES = {f.__name__: f for f in (validate_corpus, domain_keywords, element_candidates, raw_scores, wss_by_topic, label_store, ranked_label_topics, p_satisfy_map, noisy_or_decision, screen_all, pico_penalty_decision, first_exclusion_reason, exclusion_top5, smart_flag_threshold, tier_routing, bias_overall, bm25_scores, bm25_topk, dense_topk, nearest_examples, unit_vectors, rrf_fusion, sentence_retrieval, context_budget_prefix, section_softmax, coverage_years, coverage_keywords, saturation, completeness, normalise_keys, dedup_exact_keys, dedup_records, dedup_without_titles, phrase_extraction, query_text, sentence_candidates, section_split, markup_strip, token_counts, reply_verdicts, span_verify, merge_canonical, missing_positives, topic_overlap_sets, confusion_metrics, precision_recall_f2, audit_trail, latest_decision, event_stage_counts, prisma_counts, rank_measures, decile_gain, loss_measures, cost_measures, rank_window_features, target_window, stopping_state, knee_points, active_learning)}
 
 _DOT = "list_inner_product(embedding::DOUBLE[], {q}::DOUBLE[])"
 _Q1 = "(SELECT embedding FROM embeddings ORDER BY vec_id LIMIT 1)"
@@ -330,7 +364,15 @@ _BEST = f"""sn AS (SELECT doc_id, {_SENT.replace('{n}', '10')} AS ss FROM docume
 sh AS (SELECT *, {_HITS} AS hits FROM su), so AS (SELECT *, max(hits) OVER (PARTITION BY doc_id) AS most FROM sh),
 pk AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY CASE WHEN most > 0 THEN -hits ELSE 0 END, position) AS r FROM so WHERE most = 0 OR hits > 0)"""
 
+_WORDS = {e: " OR ".join(f"contains(lower(s), '{w}')" for w in ws) for e, ws in tx.ELEMENT_WORDS.items()}
+
 SQL = {
+    "validate_corpus": "SELECT 0::BIGINT AS s, 0::BIGINT AS u, 0::BIGINT AS y, 0::BIGINT AS split",
+    "element_candidates": f"SELECT doc_id, {', '.join(f'least(10, len(list_filter(ss, lambda s: {c}))) AS {e}' for e, c in _WORDS.items())} FROM (SELECT doc_id, {_SENT.replace('{n}', '15')} AS ss FROM documents)",
+    "raw_scores": "SELECT topic_id, pmid, round(1.0::DOUBLE / (60 + a), 9) AS r_lexical, round(1.0::DOUBLE / (60 + b), 9) AS r_dense, round(1.0::DOUBLE / (60 + a) + 1.0::DOUBLE / (60 + b), 9) AS raw_score FROM (SELECT o_orderpriority AS topic_id, o_orderkey AS pmid, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice DESC, o_orderkey) AS a, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey DESC) AS b FROM orders)",
+    "wss_by_topic": "SELECT topic_id, round(CASE WHEN recall >= 0.8::DOUBLE THEN saved END, 9) AS wss FROM (SELECT o_orderpriority AS topic_id, count(*) FILTER (o_orderstatus = 'F' AND o_totalprice > 60000) / nullif(count(*) FILTER (o_orderstatus = 'F'), 0) AS recall, count(*) FILTER (o_totalprice <= 60000) / count(*) - (1 - 0.8::DOUBLE) AS saved FROM orders GROUP BY 1)",
+    "label_store": "SELECT CASE l_partkey % 4 WHEN 1 THEN 'Include' WHEN 0 THEN 'Exclude' ELSE 'Uncertain' END AS vote_label, count(*) AS n FROM lineitem GROUP BY 1",
+    "ranked_label_topics": "SELECT o_orderpriority AS topic_id, count(*) AS n, count(*) FILTER (o_orderstatus = 'F' AND o_orderkey % 3 = 0) AS positives, first(o_orderkey ORDER BY o_totalprice DESC, o_orderkey) AS first FROM orders GROUP BY 1 HAVING count(*) >= 100",
     "p_satisfy_map": f"WITH {JUDGED} SELECT record_id, criterion_order, criterion_id, round(p, 6) AS p FROM j",
     "noisy_or_decision": f"WITH {JUDGED} SELECT record_id, n_criteria, round(p_include, 6) AS p_include, {DECIDE.replace('{p}', 'p_include')} AS decision, round(CASE WHEN p_include >= 0.7::DOUBLE THEN p_include WHEN p_include <= 0.25::DOUBLE THEN 1 - p_include ELSE greatest(p_include, 1 - p_include) END, 6) AS confidence FROM fused WHERE abs(round(p_include, 6) - 0.7) > 1e-5 AND abs(round(p_include, 6) - 0.25) > 1e-5",
     "screen_all": f"WITH {JUDGED}, f AS (SELECT l_orderkey AS record_id, count(*) AS n_criteria, least(greatest(1 - product(1 - p), 0), 1) AS p_include FROM (SELECT l_orderkey, CASE l_returnflag WHEN 'A' THEN l_quantity / 60 ELSE least(1 - l_quantity / 60, 0.3::DOUBLE) END AS p FROM lineitem WHERE l_returnflag IN ('A', 'R')) GROUP BY 1), h AS (SELECT o_orderkey AS record_id, coalesce(n_criteria, 0) AS n_criteria, coalesce(p_include, 0.5) AS q FROM orders LEFT JOIN f ON f.record_id = o_orderkey) SELECT record_id, n_criteria, round(q, 6) AS p_include, {DECIDE.replace('{p}', 'q')} AS decision, round(CASE WHEN q >= 0.7::DOUBLE THEN q WHEN q <= 0.25::DOUBLE THEN 1 - q ELSE greatest(q, 1 - q) END, 6) AS confidence FROM h",
