@@ -59,8 +59,15 @@ def staged(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of an Arrow batch, where the session doesn't say: texts are long, and a batch is held by JVM and Python alike.
+BATCH_ROWS = 2_000
+_BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and text (null: empty) of the rows that have an identifier."""
+    if docs.sparkSession.conf.get(_BATCH_CONF) == "10000":
+        docs.sparkSession.conf.set(_BATCH_CONF, str(BATCH_ROWS))
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).where(F.col("doc_id").isNotNull())
 
 

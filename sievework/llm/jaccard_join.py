@@ -303,7 +303,8 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFr
     rows without a doc_id are left out; an empty table gives an empty result; extra columns are ignored.
     """
     spark = docs.sparkSession
-    rows = staged(texts(docs).select(F.spark_partition_id().cast("long").alias("shard"), "doc_id", "text"), "join-texts")
+    text_path, body_path = workdir(spark, "join-texts"), workdir(spark, "join-candidates")
+    rows = staged(texts(docs).select(F.spark_partition_id().cast("long").alias("shard"), "doc_id", "text"), "join-texts", text_path)
     sets = staged(rows.mapInArrow(_describe(k), "shard long, doc_id long, n_shingles long, print1 long, print2 long"), "join-sets")
     same = sets.where("n_shingles > 0").groupBy("n_shingles", "print1", "print2").agg(F.min_by(F.struct("doc_id", "shard"), F.struct("doc_id", "shard")).alias("first"))
     same = staged(same.select("n_shingles", "print1", "print2", "first.*").withColumnsRenamed({"doc_id": "stands", "shard": "at"}), "join-same")
@@ -320,14 +321,15 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFr
     same.select("at", "stands", "print1").repartition("at").mapInPandas(packed, "shard long, payload binary").write.partitionBy("shard").parquet(chosen)
     sent = rows.mapInArrow(_send_shingles(chosen, k, 2 * slots(spark)), "bucket long, shard long, payload binary")
     sent.groupBy("bucket").applyInPandas(_shared_shingles, "shard long, payload binary").repartition("shard").write.partitionBy("shard").parquet(shared)
-    candidates = staged(rows.mapInArrow(_candidates(chosen, shared, k, percent), "doc_id long, n long, body binary, tokens array<long>"), "join-candidates")
-    for path in (chosen, shared):
+    candidates = staged(rows.mapInArrow(_candidates(chosen, shared, k, percent), "doc_id long, n long, body binary, tokens array<long>"), "join-candidates", body_path)
+    for path in (chosen, shared, text_path):
         drop_dir(spark, path)
     tokens = candidates.select("doc_id", F.explode("tokens").alias("token"))
     centres = tokens.groupBy("token").agg(F.min("doc_id").alias("centre"), F.max("doc_id").alias("last")).where("centre < last").select("token", "centre")
     # a shingle may be in a third of all candidates' prefixes: the adaptive planner splits this join's large partitions
     areas = components(tokens.join(centres, "token").select(F.col("doc_id").alias("u"), F.col("centre").alias("v")), "join-area")
     links = staged(_units(candidates, areas, percent).groupBy("unit").applyInPandas(_search(percent), "u long, v long"), "join-links")
+    drop_dir(spark, body_path)
     # rows that share a doc_id but not their set are one node
     own = members.where("doc_id <> stands").select(F.col("doc_id").alias("u"), F.col("stands").alias("v")).join(members.groupBy("doc_id").agg(F.count_distinct("stands").alias("n")).where("n > 1").select(F.col("doc_id").alias("u")), "u")
     found = components(links.unionByName(own.select("u", "v")), "join-components").select(F.col("node").alias("stands"), "component")
