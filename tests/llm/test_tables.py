@@ -108,3 +108,14 @@ def test_pipeline_stages(spark, tmp_path):
     assert mixed.columns == columns and times == {d: c for d, c in copies.items() if c}
     assert pipeline.token_stage(spark, mixed, str(tmp_path)).count() == mixed.count()
     assert pipeline.run(spark, str(tmp_path)).count() == mixed.count()
+
+
+def test_mixing_stage_of_unique_ids(spark, tmp_path):
+    import corpus_pipeline as pipeline
+
+    docs = fixtures.docs(spark).where("doc_id is not null").dropDuplicates(["doc_id"])
+    mixed = pipeline.mixing_stage(spark, docs, str(tmp_path))
+    times, copies = {}, {r["doc_id"]: r["copies"] for r in mixing.mix(docs.drop("n")).collect()}
+    for d, _ in _plain(mixed):
+        times[d] = times.get(d, 0) + 1
+    assert mixed.columns == docs.columns and times == {d: c for d, c in copies.items() if c}
