@@ -34,5 +34,6 @@ def saturation(total: Column, before: Column) -> tuple[Column, Column]:
 
 def completeness(records: DataFrame, targets: int) -> DataFrame:
     """Share of the target databases seen, years seen, coefficient of variation of the years' counts, saturated below 0.5."""
-    years = records.where("year is not null").groupBy("year").agg(F.count("*").alias("n")).agg(F.count("*").alias("n_years"), (F.stddev_pop("n") / F.avg("n")).alias("cv"))
-    return records.agg((F.count_distinct("source") / F.lit(targets)).alias("db_coverage"), F.count("*").alias("n_records")).crossJoin(years).withColumn("saturated", F.col("cv") < 0.5)
+    years = records.where("year is not null").groupBy("year").agg(F.count("*").alias("n")).agg(F.struct(F.count("*").alias("n_years"), (F.stddev_pop("n") / F.avg("n")).alias("cv")).alias("y"))
+    out = records.agg((F.count_distinct("source") / F.lit(targets)).alias("db_coverage"), F.count("*").alias("n_records")).withColumn("y", years.scalar())
+    return out.select("db_coverage", "n_records", "y.n_years", "y.cv").withColumn("saturated", F.col("cv") < 0.5)

@@ -23,14 +23,13 @@ def bm25(docs: DataFrame, tokens: Column, query: list[str], key: str = "doc_id")
     pass makes the lengths; only the query's postings are joined with them.
     """
     sized = docs.select(key, tokens.alias("tokens")).select(key, "tokens", F.size("tokens").alias("dl"))
-    stats = sized.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
+    stats = sized.agg(F.struct(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl")).alias("s"))
     vocabulary = sized.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    n = F.col("n_docs")
-    idf = F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
+    idf = F.log(F.col("s.n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
     wanted = F.array(*[F.lit(t) for t in query])
-    # one row: number of documents, mean length and mean idf
-    whole = vocabulary.select("df").groupBy("df").agg(F.count("*").alias("terms")).join(F.broadcast(stats)).agg(F.first("n_docs").alias("n_docs"), F.first("avgdl").alias("avgdl"), (F.sum(idf * F.col("terms")) / F.sum("terms")).alias("mean_idf"))
-    terms = vocabulary.where(F.array_contains(wanted, F.col("term"))).join(F.broadcast(whole)).select("term", "avgdl", F.when(idf < 0, F.lit(EPSILON) * F.col("mean_idf")).otherwise(idf).alias("idf"))
+    # one row: the mean idf, from how many terms have which document frequency
+    mean = vocabulary.groupBy("df").agg(F.count("*").alias("terms")).withColumn("s", stats.scalar()).agg((F.sum(idf * F.col("terms")) / F.sum("terms")).alias("m"))
+    terms = vocabulary.where(F.array_contains(wanted, F.col("term"))).withColumn("s", stats.scalar()).select("term", "s.avgdl", F.when(idf < 0, F.lit(EPSILON) * mean.scalar()).otherwise(idf).alias("idf"))
     times = F.aggregate(wanted, F.lit(0), lambda a, t: a + (t == F.col("term")).cast("int"))
     hits = sized.select(key, "dl", F.explode(F.filter("tokens", lambda t: F.array_contains(wanted, t))).alias("term")).groupBy(key, "dl", "term").agg(F.count("*").alias("tf"))
     # the query's terms: no more rows than the query has words
