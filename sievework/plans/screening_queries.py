@@ -116,7 +116,7 @@ def vote_topk_slots(spark, d):
 
 
 def purge_empty(spark, d):
-    rows = table(spark, d, "events").select("event_id", F.when(F.col("event_id") % 7 == 0, F.lit("{}")).when(F.col("event_id") % 11 == 0, F.lit(" ")).when(F.col("event_id") % 13 == 0, F.lit(None).cast("string")).otherwise(F.col("props")).alias("response"))
+    rows = table(spark, d, "events").select("event_id", F.when(F.col("value") < 10, F.lit("{}")).when(F.col("value") < 20, F.lit(" ")).when(F.col("value") < 30, F.lit(None).cast("string")).otherwise(F.col("props")).alias("response"))
     return stores.without_empty(rows).select("event_id", "response")
 
 
@@ -357,7 +357,7 @@ SQL = {
     "vote_cache_stats": _with(VOTES, "SELECT slot, count(*) AS votes, count(DISTINCT pmid) AS documents FROM votes GROUP BY slot"),
     "vote_first_wins": "SELECT l_partkey AS model_id, l_linenumber AS seed_b, l_orderkey AS pmid, l_quantity AS value FROM (SELECT *, row_number() OVER (PARTITION BY l_partkey, l_linenumber ORDER BY l_orderkey, l_suppkey, l_quantity, l_extendedprice) AS r FROM lineitem) WHERE r = 1",
     "vote_topk_slots": "SELECT l_orderkey, count(*) AS n, max(r) AS slots, sum(l_linenumber)::BIGINT AS sum_slots FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS r FROM lineitem) WHERE r <= 3 GROUP BY l_orderkey",
-    "purge_empty": "SELECT event_id, response FROM (SELECT event_id, CASE WHEN event_id % 7 = 0 THEN '{}' WHEN event_id % 11 = 0 THEN ' ' WHEN event_id % 13 = 0 THEN NULL ELSE props END AS response FROM events) WHERE response IS NOT NULL AND trim(response) NOT IN ('', '{}')",
+    "purge_empty": "SELECT event_id, response FROM (SELECT event_id, CASE WHEN value < 10 THEN '{}' WHEN value < 20 THEN ' ' WHEN value < 30 THEN NULL ELSE props END AS response FROM events) WHERE response IS NOT NULL AND trim(response) NOT IN ('', '{}')",
     "dry_run_calls": _with(VOTES, "SELECT count(*) AS documents, count(*) FILTER (have = 3) AS cached, round(avg((have = 3)::INT), 9) AS hit_rate, sum(3 - have)::BIGINT AS calls FROM (SELECT o_orderkey, least(coalesce(n, 0), 3) AS have FROM orders LEFT JOIN (SELECT pmid, count(*) AS n FROM votes WHERE vote <> 'Uncertain' GROUP BY pmid) v ON v.pmid = o_orderkey)"),
     "scored_corpus": _with(SCORED, "SELECT topic_id, pmid, round(s, 9) AS s, round(u, 9) AS u, y, y_hat, is_split FROM scored"),
     "split_three_way": _with(SCORED, "SELECT topic_id, is_split, count(*) AS n, sum(y)::BIGINT AS positives FROM scored GROUP BY topic_id, is_split"),

@@ -55,7 +55,7 @@ def screen_all(spark, d):
 
 
 def pico_penalty_decision(spark, d):
-    flags = F.when(F.col("record_id") % 3 == 0, F.array(F.lit(screening.MISMATCH))).otherwise(F.array().cast("array<string>"))
+    flags = F.when(F.col("n_criteria") > 4, F.array(F.lit(screening.MISMATCH))).otherwise(F.array().cast("array<string>"))
     p, decision = screening.final_decision(F.col("p_include"), flags)
     return _round(screening.fused(screening.judged(_judgments(spark, d)), ["record_id"]).select("record_id", p.alias("p"), decision.alias("decision")), "p")
 
@@ -103,7 +103,8 @@ def dense_topk(spark, d):
 
 def nearest_examples(spark, d):
     rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    return _round(ranking.nearest(rows.where("id % 5 = 1"), rows.where("id < 40"), 3), "score")
+    # the buffer holds 40 examples: its capacity
+    return _round(ranking.nearest(rows, rows.orderBy("id").limit(40), 3), "score")
 
 
 def unit_vectors(spark, d):
@@ -218,12 +219,12 @@ def span_verify(spark, d):
 
 
 def merge_canonical(spark, d):
-    fetched = _docs(spark, d).select(F.col("doc_id").alias("pmid"), F.col("source").alias("title")).where("pmid % 3 <> 0")
+    fetched = _docs(spark, d).select(F.col("doc_id").alias("pmid"), F.col("source").alias("title"), "lang").where("lang = 'en'").drop("lang")
     return dedup.complete_with(fetched, table(spark, d, "labels").select(F.col("doc_id").alias("pmid")))
 
 
 def missing_positives(spark, d):
-    have = _docs(spark, d).where("doc_id % 5 <> 0").select(F.col("doc_id").alias("pmid"))
+    have = _docs(spark, d).where("lang = 'en'").select(F.col("doc_id").alias("pmid"))
     return judgments.missing_ids(table(spark, d, "labels").where("quality = 1").select(F.col("doc_id").alias("pmid")), have)
 
 
@@ -260,7 +261,7 @@ def event_stage_counts(spark, d):
 
 
 def prisma_counts(spark, d):
-    facts = table(spark, d, "orders").select((F.col("o_orderkey") % 7 != 0).alias("kept"), F.when(F.col("o_orderstatus") == "O", "EXCLUDE").otherwise("INCLUDE").alias("abstract_decision"), (F.col("o_custkey") % 3 != 0).alias("retrieved"), F.when(F.col("o_totalprice") < 100_000, "EXCLUDE").otherwise("INCLUDE").alias("final_decision"))
+    facts = table(spark, d, "orders").select((F.col("o_orderpriority") != "5-LOW").alias("kept"), F.when(F.col("o_orderstatus") == "O", "EXCLUDE").otherwise("INCLUDE").alias("abstract_decision"), (F.year("o_orderdate") >= 1994).alias("retrieved"), F.when(F.col("o_totalprice") < 100_000, "EXCLUDE").otherwise("INCLUDE").alias("final_decision"))
     return report.flow_counts(facts)
 
 
@@ -339,7 +340,7 @@ def label_store(spark, d):
 
 
 def ranked_label_topics(spark, d):
-    got = judgments.ranked_labels(corpus.run(spark, d), corpus.qrels(spark, d).where("pmid % 3 = 0"), 100)
+    got = judgments.ranked_labels(corpus.run(spark, d), corpus.qrels(spark, d).where("rel = 1"), 100)
     return got.select("topic_id", F.size("pmids").alias("n"), F.aggregate("labels", F.lit(0), lambda a, x: a + x).alias("positives"), F.get("pmids", 0).alias("first"))
 
 
@@ -372,11 +373,11 @@ SQL = {
     "raw_scores": "SELECT topic_id, pmid, round(1.0::DOUBLE / (60 + a), 9) AS r_lexical, round(1.0::DOUBLE / (60 + b), 9) AS r_dense, round(1.0::DOUBLE / (60 + a) + 1.0::DOUBLE / (60 + b), 9) AS raw_score FROM (SELECT o_orderpriority AS topic_id, o_orderkey AS pmid, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice DESC, o_orderkey) AS a, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey DESC) AS b FROM orders)",
     "wss_by_topic": "SELECT topic_id, round(CASE WHEN recall >= 0.8::DOUBLE THEN saved END, 9) AS wss FROM (SELECT o_orderpriority AS topic_id, count(*) FILTER (o_orderstatus = 'F' AND o_totalprice > 60000) / nullif(count(*) FILTER (o_orderstatus = 'F'), 0) AS recall, count(*) FILTER (o_totalprice <= 60000) / count(*) - (1 - 0.8::DOUBLE) AS saved FROM orders GROUP BY 1)",
     "label_store": "SELECT CASE l_partkey % 4 WHEN 1 THEN 'Include' WHEN 0 THEN 'Exclude' ELSE 'Uncertain' END AS vote_label, count(*) AS n FROM lineitem GROUP BY 1",
-    "ranked_label_topics": "SELECT o_orderpriority AS topic_id, count(*) AS n, count(*) FILTER (o_orderstatus = 'F' AND o_orderkey % 3 = 0) AS positives, first(o_orderkey ORDER BY o_totalprice DESC, o_orderkey) AS first FROM orders GROUP BY 1 HAVING count(*) >= 100",
+    "ranked_label_topics": "SELECT o_orderpriority AS topic_id, count(*) AS n, count(*) FILTER (o_orderstatus = 'F') AS positives, first(o_orderkey ORDER BY o_totalprice DESC, o_orderkey) AS first FROM orders GROUP BY 1 HAVING count(*) >= 100",
     "p_satisfy_map": f"WITH {JUDGED} SELECT record_id, criterion_order, criterion_id, round(p, 6) AS p FROM j",
     "noisy_or_decision": f"WITH {JUDGED} SELECT record_id, n_criteria, round(p_include, 6) AS p_include, {DECIDE.replace('{p}', 'p_include')} AS decision, round(CASE WHEN p_include >= 0.7::DOUBLE THEN p_include WHEN p_include <= 0.25::DOUBLE THEN 1 - p_include ELSE greatest(p_include, 1 - p_include) END, 6) AS confidence FROM fused WHERE abs(round(p_include, 6) - 0.7) > 1e-5 AND abs(round(p_include, 6) - 0.25) > 1e-5",
     "screen_all": f"WITH {JUDGED}, f AS (SELECT l_orderkey AS record_id, count(*) AS n_criteria, least(greatest(1 - product(1 - p), 0), 1) AS p_include FROM (SELECT l_orderkey, CASE l_returnflag WHEN 'A' THEN l_quantity / 60 ELSE least(1 - l_quantity / 60, 0.3::DOUBLE) END AS p FROM lineitem WHERE l_returnflag IN ('A', 'R')) GROUP BY 1), h AS (SELECT o_orderkey AS record_id, coalesce(n_criteria, 0) AS n_criteria, coalesce(p_include, 0.5) AS q FROM orders LEFT JOIN f ON f.record_id = o_orderkey) SELECT record_id, n_criteria, round(q, 6) AS p_include, {DECIDE.replace('{p}', 'q')} AS decision, round(CASE WHEN q >= 0.7::DOUBLE THEN q WHEN q <= 0.25::DOUBLE THEN 1 - q ELSE greatest(q, 1 - q) END, 6) AS confidence FROM h",
-    "pico_penalty_decision": f"WITH {JUDGED}, g AS (SELECT record_id, least(greatest(CASE WHEN record_id % 3 = 0 THEN p_include * 0.8 ELSE p_include END, 0), 1) AS q FROM fused) SELECT record_id, round(q, 6) AS p, {DECIDE.replace('{p}', 'q')} AS decision FROM g",
+    "pico_penalty_decision": f"WITH {JUDGED}, g AS (SELECT record_id, least(greatest(CASE WHEN n_criteria > 4 THEN p_include * 0.8 ELSE p_include END, 0), 1) AS q FROM fused) SELECT record_id, round(q, 6) AS p, {DECIDE.replace('{p}', 'q')} AS decision FROM g",
     "first_exclusion_reason": f"WITH {JUDGED} SELECT record_id, substr(criterion_text, 1, 80) AS reason FROM (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY criterion_order, criterion_text) AS r FROM j WHERE p <= 0.25::DOUBLE) WHERE r = 1",
     "exclusion_top5": f"WITH {JUDGED}, e AS (SELECT record_id, substr(criterion_text, 1, 80) AS reason FROM (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY criterion_order, criterion_text) AS r FROM j WHERE p <= 0.25::DOUBLE) WHERE r = 1) SELECT reason, count(*) AS n FROM e GROUP BY reason ORDER BY n DESC, reason LIMIT 5",
     "smart_flag_threshold": f"WITH {JUDGED}, g AS (SELECT round(p_include, 6) AS p, {DECIDE.replace('{p}', 'p_include')} AS decision FROM fused), q AS (SELECT quantile_cont(p, [0.75, 0.85, 0.9, 0.95]) AS q FROM g), c AS (SELECT any_value(q) AS q, count(*) FILTER (p >= q[1]) AS a, count(*) FILTER (p >= q[2]) AS b, count(*) FILTER (p >= q[3]) AS c FROM g, q), t AS (SELECT CASE WHEN a <= 400 THEN q[1] WHEN b <= 250 THEN q[2] WHEN c <= 150 THEN q[3] ELSE q[4] END AS t FROM c) SELECT decision, CASE WHEN decision = 'UNCERTAIN' OR p >= t THEN 'UNCERTAIN' ELSE 'EXCLUDE' END AS final, count(*) AS n FROM g, t GROUP BY ALL",
@@ -385,7 +386,7 @@ SQL = {
     "bm25_scores": f"WITH {_BM25} SELECT doc_id, score FROM sc",
     "bm25_topk": f"WITH {_BM25} SELECT doc_id, score, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM sc ORDER BY score DESC, doc_id LIMIT 20",
     "dense_topk": f"SELECT vec_id, score, row_number() OVER (ORDER BY score DESC, vec_id) AS rank FROM (SELECT vec_id, round({_COS}, 6) AS score FROM embeddings) ORDER BY score DESC, vec_id LIMIT 20",
-    "nearest_examples": "SELECT query_id, example_id, round(score, 6) AS score FROM (SELECT q.vec_id AS query_id, e.vec_id AS example_id, list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) DESC, e.vec_id) AS r FROM embeddings q, embeddings e WHERE q.vec_id % 5 = 1 AND e.vec_id < 40) WHERE r <= 3",
+    "nearest_examples": "SELECT query_id, example_id, round(score, 6) AS score FROM (SELECT q.vec_id AS query_id, e.vec_id AS example_id, list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) DESC, e.vec_id) AS r FROM embeddings q, (SELECT * FROM embeddings ORDER BY vec_id LIMIT 40) e) WHERE r <= 3",
     "unit_vectors": "SELECT vec_id, round(list_sum(embedding::DOUBLE[]) / sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])), 5) AS sum_unit FROM embeddings",
     "rrf_fusion": "SELECT topic_id, pmid, a AS rank_lexical, b AS rank_dense, round(1.0::DOUBLE / (60 + a) + 1.0::DOUBLE / (60 + b), 9) AS rrf, 1.0::DOUBLE / (60 + a) + 1.0::DOUBLE / (60 + b) >= 0.01::DOUBLE AS kept FROM (SELECT o_orderpriority AS topic_id, o_orderkey AS pmid, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice DESC, o_orderkey) AS a, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey DESC) AS b FROM orders)",
     "sentence_retrieval": f"WITH {_BEST} SELECT doc_id, position, hits FROM pk WHERE r <= 5",
@@ -401,15 +402,15 @@ SQL = {
     "markup_strip": r"SELECT page_id, md5(trim(regexp_replace(regexp_replace(coalesce(html, ''), '<[^>]+>', '', 'g'), '\s+', ' ', 'g'))) AS digest, substr(regexp_replace(regexp_replace(lower(url), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g'), 1, 48) AS slug FROM pages",
     "sentence_candidates": f"SELECT doc_id, len(c) AS n, md5(array_to_string(c, '|')) AS digest FROM (SELECT doc_id, list_filter({_SENT.replace('{n}', '15')}, lambda s: {_HITS} > 0)[1:10] AS c FROM documents)",
     "reply_verdicts": r"SELECT conv_id, turn, CASE WHEN contains(upper(t), 'INCLUDE') AND NOT contains(upper(t), 'EXCLUDE') THEN 'INCLUDE' ELSE 'EXCLUDE' END AS verdict, substr(trim(regexp_extract(t, '(?is)EXCLUDE[:\s]+(.+)', 1)), 1, 40) AS reason FROM (SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 'INCLUDE: ' ELSE 'Exclude: ' END || text AS t FROM conversations)",
-    "merge_canonical": "SELECT doc_id AS pmid, source AS title FROM documents WHERE doc_id % 3 <> 0 UNION ALL SELECT DISTINCT doc_id, NULL FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE doc_id % 3 <> 0)",
-    "missing_positives": "SELECT DISTINCT doc_id AS pmid FROM labels WHERE quality = 1 AND doc_id NOT IN (SELECT doc_id FROM documents WHERE doc_id % 5 <> 0)",
+    "merge_canonical": "SELECT doc_id AS pmid, source AS title FROM documents WHERE lang = 'en' UNION ALL SELECT DISTINCT doc_id, NULL FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE lang = 'en')",
+    "missing_positives": "SELECT DISTINCT doc_id AS pmid FROM labels WHERE quality = 1 AND doc_id NOT IN (SELECT doc_id FROM documents WHERE lang = 'en')",
     "topic_overlap_sets": "WITH a AS (SELECT DISTINCT l_orderkey FROM lineitem WHERE l_returnflag = 'A'), b AS (SELECT DISTINCT l_orderkey FROM lineitem WHERE l_returnflag = 'R') SELECT *, n_only_a = 0 AND n_only_b = 0 AS equal FROM (SELECT (SELECT count(*) FROM (FROM a INTERSECT FROM b)) AS n_both, (SELECT count(*) FROM (FROM a EXCEPT FROM b)) AS n_only_a, (SELECT count(*) FROM (FROM b EXCEPT FROM a)) AS n_only_b)",
     "confusion_metrics": "WITH c AS (SELECT count(*) AS n_total, count(quality) AS n_judged, count(*) FILTER (quality = 1 AND n_chars >= 800) AS tp, count(*) FILTER (quality = 0 AND n_chars >= 800) AS fp, count(*) FILTER (quality = 1 AND n_chars < 800) AS fn, count(*) FILTER (quality = 0 AND n_chars < 800) AS tn FROM documents LEFT JOIN labels USING (doc_id)), w AS (SELECT *, tp / (tp + fn) AS x, (tp + fn)::DOUBLE AS n FROM c) SELECT n_total, n_judged, tp, fp, fn, tn, round(x, 9) AS recall, round(1 - x, 9) AS fnr, round((tn + fn) / n_total - 0.05, 9) AS wss, round(n_judged / n_total, 9) AS coverage, round((x + 3.8416 / (2 * n) - 1.96 * sqrt(x * (1 - x) / n + 3.8416 / (4 * n * n))) / (1 + 3.8416 / n), 9) AS recall_low, round((x + 3.8416 / (2 * n) + 1.96 * sqrt(x * (1 - x) / n + 3.8416 / (4 * n * n))) / (1 + 3.8416 / n), 9) AS recall_high FROM w",
     "precision_recall_f2": "WITH c AS (SELECT count(*) FILTER (quality = 1 AND n_chars >= 800) AS tp, count(*) FILTER (quality = 0 AND n_chars >= 800) AS fp, count(*) FILTER (quality = 1 AND n_chars < 800) AS fn FROM documents LEFT JOIN labels USING (doc_id)), p AS (SELECT tp / (tp + fp) AS p, tp / (tp + fn) AS r FROM c) SELECT round_even(p, 4) AS precision, round_even(r, 4) AS recall, round_even(2 * p * r / (p + r), 4) AS f1, round_even(5 * p * r / (4 * p + r), 4) AS f2 FROM p",
     "audit_trail": "SELECT event_type AS stage, count(*) AS n, count(DISTINCT user_id) AS models, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS first, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last FROM events GROUP BY event_type",
     "latest_decision": "SELECT user_id, event_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1",
     "event_stage_counts": "SELECT event_type, count(*) AS n FROM events GROUP BY event_type",
-    "prisma_counts": "WITH f AS (SELECT o_orderkey % 7 <> 0 AS k, o_orderstatus <> 'O' AS a, o_custkey % 3 <> 0 AS g, o_totalprice >= 100000 AS i FROM orders) SELECT count(*) AS identified, count(*) FILTER (NOT k) AS duplicates, count(*) FILTER (k) AS screened, count(*) FILTER (k AND NOT a) AS abstract_excluded, count(*) FILTER (k AND a) AS sought, count(*) FILTER (k AND a AND NOT g) AS not_retrieved, count(*) FILTER (k AND a AND g) AS assessed, count(*) FILTER (k AND a AND g AND NOT i) AS fulltext_excluded, count(*) FILTER (k AND a AND g AND i) AS included FROM f",
+    "prisma_counts": "WITH f AS (SELECT o_orderpriority <> '5-LOW' AS k, o_orderstatus <> 'O' AS a, year(o_orderdate) >= 1994 AS g, o_totalprice >= 100000 AS i FROM orders) SELECT count(*) AS identified, count(*) FILTER (NOT k) AS duplicates, count(*) FILTER (k) AS screened, count(*) FILTER (k AND NOT a) AS abstract_excluded, count(*) FILTER (k AND a) AS sought, count(*) FILTER (k AND a AND NOT g) AS not_retrieved, count(*) FILTER (k AND a AND g) AS assessed, count(*) FILTER (k AND a AND g AND NOT i) AS fulltext_excluded, count(*) FILTER (k AND a AND g AND i) AS included FROM f",
     "rank_measures": f"WITH {_RUN} SELECT topic_id, n_docs, n_rel, ap, last_rel, at_95, area, round((n_docs - last_rel) / n_docs, 6) AS wss_100, round((n_docs - at_95) / n_docs - 0.05, 6) AS wss_95 FROM (SELECT topic_id, any_value(n_docs) AS n_docs, any_value(n_rel)::BIGINT AS n_rel, round(sum(CASE WHEN rel = 1 THEN seen / rank END) / any_value(n_rel), 6) AS ap, max(CASE WHEN rel = 1 THEN rank END) AS last_rel, min(CASE WHEN seen >= round_even(n_rel * 0.95, 0) THEN rank END) AS at_95, round_even(sum(seen - rel / 2) / (any_value(n_rel) * any_value(n_docs) - any_value(n_rel) * any_value(n_rel) / 2), 3) AS area FROM jr GROUP BY topic_id)",
     "decile_gain": f"WITH {_RUN} SELECT topic_id, (rank // (n_docs // 10))::INT AS decile, round(seen / n_rel, 9) AS gain FROM jr WHERE rank % (n_docs // 10) = 0 AND rank // (n_docs // 10) <= 10",
     "loss_measures": f"WITH {_RUN}, s AS (SELECT topic_id, any_value(n_docs) AS n, any_value(n_rel) AS rels, count(*) FILTER (rank <= 500) AS shown, count(*) FILTER (rank <= 500 AND rel = 1) AS found FROM jr GROUP BY topic_id), x AS (SELECT topic_id, found / rels AS r, (100 / n) ** 2 * (shown / (rels + 100)) ** 2 AS e FROM s) SELECT topic_id, round(r, 9) AS r, round((1 - r) ** 2, 9) AS loss_r, round(e, 9) AS loss_e, round((1 - r) ** 2 + e, 9) AS loss_er FROM x",
