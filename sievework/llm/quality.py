@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import staged
-from .shingles import PIECE, _grouped, blocks, word_hashes
+from .shingles import PIECE, _grouped, _pieces, blocks, word_hashes
 
 SAMPLE, POOL = 12_000, 6_000
 ROUNDS, SURE, STEP = 4, 0.97, 300
@@ -50,7 +50,7 @@ def _features(histogram: np.ndarray, raws: list[bytes]) -> np.ndarray:
     size = np.maximum(1, histogram.sum(axis=1, keepdims=True))
     extra = np.zeros((len(raws), 6))
     for i, raw in enumerate(raws):
-        _, words = word_hashes(raw) if len(raw) <= PIECE else (None, np.zeros(0, np.uint64))
+        words = np.concatenate([np.zeros(0, np.uint64), *(word_hashes(p)[1] for p in _pieces(raw))])
         lines = [x for x in raw.split(b"\n") if x.strip()]
         n = len(words) or 1
         extra[i] = (np.log1p(len(raw)) / 10, np.log1p(len(raw) / n) / 3, len(np.unique(words)) / n if len(words) else 0.5, np.log1p(len(raw) / max(1, len(lines))) / 8, len(set(lines)) / max(1, len(lines)), float(not raw.strip()))

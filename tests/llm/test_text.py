@@ -137,6 +137,18 @@ def test_quality(spark):
     assert quality.classify(fixtures.empty(spark), labels).collect() == []
 
 
+def test_quality_features_do_not_depend_on_length():
+    draw = random.Random(9)
+    words = ["".join(draw.choice("abcdefghij") for _ in range(draw.randrange(3, 9))) for _ in range(3000)]
+    raw = b"".join(f"{draw.choice(words)}{chr(10) if draw.random() < 0.1 else ' '}".encode() for _ in range(quality.PIECE // 5))
+    under, over = raw[: quality.PIECE - 500], raw[: quality.PIECE + 500]
+    assert len(under) < quality.PIECE < len(over) < len(raw)
+    got = quality.text_features([under, over, b""])
+    assert np.abs(got[0] - got[1]).max() < 0.01
+    own = over.split()
+    assert np.allclose(got[1, 257:259], (np.log1p(len(over) / len(own)) / 3, len(set(own)) / len(own)))
+
+
 def fixtures_offset():
     from pyspark.sql import functions as F
 
