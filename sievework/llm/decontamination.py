@@ -1,14 +1,16 @@
 """Benchmark decontamination: size-partitioned MinHash containment search.
 
-Test items are partitioned by the size of their shingle set. For each partition, documents are cut
+Test items are partitioned by the size of their shingle set, each partition reaching from above half its
+largest size (a power of two, from 1) to that. For each partition, documents are cut
 into windows of the partition's largest size, so that an item and a window that holds it have like
 sizes and containment turns into a high Jaccard similarity, however long the document is. An item is a
 candidate for a document if one of its MinHash values is a window's; candidates are verified by the
 exact share of the item's shingles that the whole document holds.
 
 Of an item's smallest hash, with a share of at least 0.8 of its shingles in the document, a window has
-it with probability 0.8, and it is the window's smallest too with probability 1/3 at least; so 64
-hash functions miss an item with a probability of about 2e-9.
+it with probability 0.8, and it is the window's smallest too with probability 1/3 at least, as the
+window's other shingles are fewer than twice the item's; so 64 hash functions miss an item of any size
+with a probability of about 2e-9. Items of one shingle are never missed: their windows are one shingle.
 """
 
 from __future__ import annotations
@@ -26,8 +28,6 @@ from .shingles import blocks, shingles
 HASHES = 64
 #: Items, and shingles of items, that are searched for in one pass over the documents.
 ITEMS, ITEM_SHINGLES = 4096, 1 << 20
-#: Sizes below this are one partition.
-LEAST = 16
 _SALTS = np.array([pow(0xD1342543DE82EF95, i, 1 << 64) | 1 for i in range(1, HASHES + 1)], np.uint64)
 
 
@@ -38,7 +38,7 @@ class ItemIndex:
         self.ids = [i for i, _ in items]
         self.sets = [np.frombuffer(b, "<u8") for _, b in items]
         size = np.array([len(s) for s in self.sets], np.int64)
-        part = np.maximum(LEAST, 1 << np.ceil(np.log2(np.maximum(size, 1))).astype(np.int64))
+        part = 1 << np.ceil(np.log2(np.maximum(size, 1))).astype(np.int64)
         self.partitions = []
         for width in np.unique(part[size > 0]).tolist():
             members = np.flatnonzero((part == width) & (size > 0))
@@ -50,13 +50,15 @@ class ItemIndex:
 
     def candidates(self, number: np.ndarray, h: np.ndarray) -> np.ndarray:
         """Distinct (text, item) pairs with a common MinHash value; number and h are the texts' shingles in order."""
-        found = [np.zeros((0, 2), np.int64)]
+        found = [np.zeros(0, np.int64)]
         if not len(h) or not self.partitions:
-            return found[0]
+            return np.zeros((0, 2), np.int64)
         place = np.arange(len(h)) - np.searchsorted(number, number, "left")
         for j, salt in enumerate(_SALTS):
             low, starts = h * salt, None
             for width, values, members, maps in self.partitions:
+                if width == 1 and j:  # the first hash has found all items of one shingle
+                    continue
                 # windows of a wider partition are made of the narrower one's
                 at = np.flatnonzero(place % width == 0) if starts is None else np.flatnonzero(place[starts] % width == 0)
                 low = np.minimum.reduceat(low, at)
@@ -66,8 +68,8 @@ class ItemIndex:
                     a, b = np.searchsorted(values[j], low[some], "left"), np.searchsorted(values[j], low[some], "right")
                     hit = np.repeat(np.arange(len(some)), b - a)
                     item = members[j][np.repeat(a, b - a) + np.arange(len(hit)) - np.repeat(np.cumsum(b - a) - (b - a), b - a)]
-                    found.append(np.stack((number[starts[some[hit]]], item), axis=1))
-        return np.unique(np.concatenate(found), axis=0)
+                    found.append(np.unique(number[starts[some[hit]]] * len(self.ids) + item))
+        return np.stack(np.divmod(np.unique(np.concatenate(found)), len(self.ids)), axis=1)
 
     def verified(self, number: np.ndarray, h: np.ndarray, percent: int) -> list[tuple[int, int, int]]:
         """(text, item, shared shingles) of the candidates that reach the containment."""

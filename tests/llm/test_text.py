@@ -110,6 +110,17 @@ def test_leaks(spark):
     assert decontamination.leaks(docs, table.limit(0)).collect() == []
 
 
+def test_short_leaks_are_all_found():
+    draw = np.random.default_rng(10)
+    for size in (1, 2, 3, 5, 9, 16, 17):
+        items = draw.integers(0, 1 << 64, (1000, size), np.uint64)
+        index = decontamination.ItemIndex([(i, np.unique(x).astype("<u8").tobytes()) for i, x in enumerate(items)])
+        noise = draw.integers(0, 1 << 64, (1000, 40), np.uint64)
+        h = np.concatenate([np.concatenate((n[: 20 + i % 16], x, n[20 + i % 16:])) for i, (n, x) in enumerate(zip(noise, items, strict=True))])
+        for number, want in ((np.zeros(len(h), np.int64), np.zeros(1000, np.int64)), (np.repeat(np.arange(1000), 40 + size), np.arange(1000))):
+            assert index.verified(number, h, 80) == [(t, i, size) for t, i in zip(want.tolist(), range(1000), strict=True)]
+
+
 def _judged(n=400):
     draw = random.Random(8)
     out = []
