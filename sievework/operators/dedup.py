@@ -1,7 +1,9 @@
-"""Record deduplication: exact keys, near-equal titles by blocking, and greedy resolution in order."""
+"""Record deduplication: exact keys, near-equal titles by blocks of shared q-grams, and greedy resolution in order."""
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,16 +30,28 @@ def exact(records: DataFrame, key: str, order: str) -> DataFrame:
 def similar_titles(records: DataFrame, order: str, threshold: float = 0.95) -> DataFrame:
     """Pairs (earlier, later) of different titles whose indel ratio reaches the threshold.
 
-    Titles of w words that differ in at most d characters share w - d words or more, so in one order of
-    all words the first d + 1 of both have one in common: those are the blocks. Titles that share no
-    whole word are not compared. The ratio is computed for candidate pairs only.
+    Complete: no pair is lost. An inserted or deleted character spoils at most q of a title's q-grams, so of
+    two titles that are d edits apart any q * d + 1 grams of one hold a gram that is in the other too, at most
+    d places away. With all grams in one order, rare ones first, it is among the first q * d + 1 different
+    grams of both: those are the blocks. The ratio is computed for candidate pairs only.
     """
-    t = records.where(F.length("title_key") > 0).groupBy("title_key").agg(F.min(order).alias("at")).withColumn("n", F.length("title_key"))
-    coded = F.array_sort(F.transform(F.array_distinct(F.split("title_key", " ")), lambda w: F.md5(w.cast("binary"))))
-    most = F.floor((1 - threshold) * F.col("n") * (2 / threshold)).cast("int")
-    tokens = t.select("at", "title_key", "n", F.explode(F.slice(coded, F.lit(1), most + 1)).alias("block"))
+    q = max(1, min(9, math.floor(threshold / (2 * (1 - threshold)) + 1e-9))) if threshold < 1 else 9
+    t = landed(records.where(F.length("title_key") > 0).groupBy("title_key").agg(F.min(order).alias("at")).withColumn("n", F.length("title_key")), "dedup-titles")
+    most = F.floor((1 - threshold) * F.col("n") * (2 / threshold) + 1e-9).cast("int")
+    edge = F.lit("\n" * (q - 1))  # no key has line ends
+    padded = F.concat(edge, "title_key", edge)
+    grams = t.where(most > 0).select("at", F.posexplode(F.transform(F.sequence(F.lit(1), F.col("n") + q - 1), lambda i: F.substring(padded, i, F.lit(q)))).alias("place", "gram"))
+    ranked = grams.join(grams.groupBy("gram").agg(F.count("*").alias("uses")), "gram").groupBy("at").agg(F.array_sort(F.collect_list(F.struct("uses", "gram", "place"))).alias("grams"))
+
+    def bare(g):
+        return F.struct(g["uses"], g["gram"])
+
+    last = F.element_at(F.slice(F.array_distinct(F.transform("grams", bare)), F.lit(1), most * q + 1), -1)
+    first = t.join(ranked, "at").withColumn("last", last).select("at", "title_key", "n", F.explode(F.filter("grams", lambda g: (g["uses"] > 1) & (bare(g) <= F.col("last")))).alias("g"))
+    tokens = landed(first.select("at", "title_key", "n", F.col("g.gram").alias("block"), F.col("g.place").alias("place")), "dedup-blocks")
     a, b = tokens.alias("a"), tokens.alias("b")
-    near = (F.col("a.at") < F.col("b.at")) & (F.least("a.n", "b.n") >= F.greatest("a.n", "b.n") * (threshold / (2 - threshold)))
+    near = (F.col("a.at") < F.col("b.at")) & (F.least("a.n", "b.n") >= F.greatest("a.n", "b.n") * (threshold / (2 - threshold)) - 1e-9)
+    near &= F.abs(F.col("a.place") - F.col("b.place")) <= (1 - threshold) * (F.col("a.n") + F.col("b.n")) + 1e-9
     pairs = a.join(b, (F.col("a.block") == F.col("b.block")) & near).select(F.col("a.at").alias("u"), F.col("b.at").alias("v"), F.col("a.title_key").alias("x"), F.col("b.title_key").alias("y")).distinct()
     # unit-cost edits are never more than insertions and deletions: a bound that stays in the JVM
     limit = F.floor((1 - threshold) * (F.length("x") + F.length("y")) + 1e-9)

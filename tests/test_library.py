@@ -1,9 +1,11 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from sievework.functions import text as tx
+from sievework.functions.numeric import indel_ratio
 from sievework.operators import baselines, dedup, evaluator, ranking, review, routing, splits, votes
 from sievework.plans import screening_run
 from sievework.sources import judgments, stores
@@ -111,6 +113,29 @@ def test_greedy_dedup_is_not_transitive(spark):
     assert dict(map(tuple, dedup.greedy(spark.range(4).toDF("seq"), chain, "seq").collect())) == {0: 0, 1: 0, 2: 2, 3: 2}
 
 
+@pytest.mark.parametrize("threshold", [0.95, 0.9, 0.8, 0.6])
+def test_similar_titles_are_all_pairs(spark, threshold):
+    draw = random.Random(4)
+    titles = ["data base systems", "database systems", "electroencephalography", "electroencephalographi", "a" * 40, "a" * 38, "ab" * 20, "ab" * 19, "x", "xy", "abcdefghij", "abcdefghijk", "0123456789abcdefghi", "0123456789abcdefghijk", "été à la plage municipale", "ete à la plage municipale"]
+    for _ in range(25):
+        title = " ".join("".join(draw.choice("abcdef") for _ in range(draw.randrange(1, 9))) for _ in range(draw.randrange(1, 12)))
+        titles.append(title)
+        for edits in (1, 2, 4):
+            chars = list(title)
+            for _ in range(edits):
+                at = draw.randrange(len(chars) + 1)
+                chars[at:at + draw.randrange(2)] = draw.choice(["", " ", "f", "z"])
+            titles.append("".join(chars))
+    df = dedup.keyed(spark.createDataFrame(list(enumerate(titles)), "seq long, title string"))
+    keys = {}
+    for r in df.orderBy("seq").collect():
+        if r["title_key"]:
+            keys.setdefault(r["title_key"], r["seq"])
+    want = {(min(keys[x], keys[y]), max(keys[x], keys[y])) for x in keys for y in keys if x < y and indel_ratio(x, y) >= threshold}
+    got = [(r["u"], r["v"]) for r in dedup.similar_titles(df, "seq", threshold).collect()]
+    assert sorted(got) == sorted(want) and {(0, 1), (2, 3), (4, 5), (6, 7), (10, 11), (12, 13)} <= want
+
+
 def test_splits_are_nested_and_stratified(spark):
     df = spark.createDataFrame([("t", i, i / 400, int(i % 8 == 0)) for i in range(400)], "topic_id string, pmid long, s double, y int").withColumn("u", F.lit(0.5))
     split = splits.three_way_split(df)
