@@ -307,7 +307,7 @@ def active_learning(spark, d):
     from pyspark.ml.functions import array_to_vector
 
     rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("pmid"), array_to_vector(F.col("embedding").cast("array<double>")).alias("features"), (F.col("label") == 1).cast("int").alias("rel"))
-    return baselines.active_learning(landed(rows.select("pmid", "rel", F.col("features")), "learning"), 20, 0.9, 5)
+    return baselines.active_learning(landed(rows.select("pmid", "rel", F.col("features")), "learning"), 20, 0.9)
 
 
 def validate_corpus(spark, d):

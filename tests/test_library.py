@@ -136,6 +136,16 @@ def test_similar_titles_are_all_pairs(spark, threshold):
     assert sorted(got) == sorted(want) and {(0, 1), (2, 3), (4, 5), (6, 7), (10, 11), (12, 13)} <= want
 
 
+def test_active_learning_goes_on_until_its_rule_holds(spark):
+    from pyspark.ml.functions import array_to_vector
+
+    df = spark.range(150).select(F.col("id").alias("pmid"), array_to_vector(F.array(F.sin("id"), F.cos("id"))).alias("features"), (F.col("id") % 10 == 0).cast("int").alias("rel"))
+    log = baselines.active_learning(df, 5).orderBy("round").collect()
+    assert tuple(log[-1])[1:] == (150, 15) and [r["round"] for r in log] == list(range(len(log)))
+    part = [r["assessed"] for r in baselines.active_learning(df, 20, stop_share=0.3).orderBy("round").collect()]
+    assert part[-1] >= 45 > part[-2]
+
+
 def test_splits_are_nested_and_stratified(spark):
     df = spark.createDataFrame([("t", i, i / 400, int(i % 8 == 0)) for i in range(400)], "topic_id string, pmid long, s double, y int").withColumn("u", F.lit(0.5))
     split = splits.three_way_split(df)
