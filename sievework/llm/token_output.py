@@ -15,6 +15,7 @@ by its row in the manifest, so a repeated or lost attempt leaves nothing visible
 from __future__ import annotations
 
 import itertools
+import json
 import struct
 import zlib
 from array import array
@@ -132,19 +133,43 @@ class TokenReader:
             at = stop
 
 
+# The normaliser, splitter and model setting under which a text's pieces can be encoded apart.
+NORMALISER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLITTER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
+
+def splits_at_white_space(file: dict) -> bool:
+    """Whether a tokenizer's file is of the kind whose pieces between white space can be encoded apart.
+
+    Its added tokens must be such that no word with a tail of marks can hold one.
+    """
+    def apart(token: dict) -> bool:
+        return not (token["normalized"] or token["lstrip"] or token["rstrip"] or token["single_word"] or any(c.isspace() for c in token["content"]) or token["content"][0].isalpha() or token["content"][0] in TAIL)
+
+    return file["normalizer"] == NORMALISER and file["pre_tokenizer"] == SPLITTER and file["model"]["type"] == "BPE" and not file["model"].get("dropout") and file["post_processor"] is None and all(map(apart, file["added_tokens"]))
+
+
 class PieceEncoder:
     """Encodes texts piece by piece, remembering the pieces' ids as little-endian bytes.
 
     Words whose lower case is of ASCII and Latin-1 letters are what the tokenizer's normaliser would
     only put in lower case and its splitter would not split, so in lower case they go straight to its
-    model, byte for byte; all other pieces go through the whole tokenizer, each alone.
+    model, byte for byte; all other pieces go through the whole tokenizer, each alone. Special tokens
+    in a text are what the tokenizer makes of them. A file whose normaliser or splitter isn't the one
+    this relies on (``by_pieces`` False) has every text encoded whole.
     """
 
-    def __init__(self, path: str, ordinary: bool = True):
+    def __init__(self, path: str):
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = ordinary
+        self.by_pieces = splits_at_white_space(json.loads(self.tokenizer.to_str()))
         byte_level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.simple = {c: byte_level.pre_tokenize_str(chr(c))[0][0] for c in [*range(97, 123), *range(0xDF, 0xF7), *range(0xF8, 0x100)]}
         self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
@@ -179,6 +204,8 @@ class PieceEncoder:
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
         """All ids of each text, four bytes each."""
+        if not self.by_pieces:
+            return self._alone(texts)
         split = [_split(t) for t in texts]
         known = self.pieces
         known[""] = b""
@@ -216,10 +243,11 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 1, path: str | N
     """Encode doc_id, text and write packed files in ascending doc_id order; returns the manifest.
 
     The manifest has a row for each file: path, size, first_doc, n_docs, n_ids. Files hold ascending,
-    disjoint ranges of doc_id. A null text counts as empty (its only id is the end id); rows without
-    a doc_id are left out; rows that share a doc_id lie next to each other, ordered by text; an empty
-    table gives an empty manifest; extra columns are ignored. ``tokenizer`` is a tokenizers-library
-    file that every worker can read, ``end_id`` is appended to each document.
+    disjoint ranges of doc_id. A null text counts as empty (its only id is the end id); texts of any
+    length are encoded whole; rows without a doc_id are left out; rows that share a doc_id (ties) lie
+    next to each other, ordered by text; an empty table gives an empty manifest; extra columns are
+    ignored. ``tokenizer`` is a tokenizers-library file that every worker can read, ``end_id`` is
+    appended to each document.
     """
     spark = docs.sparkSession
     root = path or workdir(spark, "tokens")

@@ -55,10 +55,18 @@ def test_token_output(spark):
 
 
 def test_pieces_encode_like_whole_texts():
-    enc = token_output.PieceEncoder(TOKENIZER)
-    texts = ["it's don'T I'LL'd a's'", "x<|endoftext|>y <|ENDOFTEXT|>", "İstanbul ΣΑΣ ǅ ﬁne", "été x́", "a1b2 3.14 ½ Ⅷ x²", "..,!! word!!.. \"quo\"###", "a\u0085c d", "\U0001F600ok 日本語 مرحبا", "a\x00b", "", "   "]
-    want = [np.array(e.ids, "<u4").tobytes() for e in enc.tokenizer.encode_batch(texts, add_special_tokens=False)]
-    assert enc.encode_many(texts) == want == enc.encode_many(texts)
+    from tokenizers import Tokenizer
+
+    enc, plain = token_output.PieceEncoder(TOKENIZER), Tokenizer.from_file(TOKENIZER)
+    draw = random.Random(11)
+    long_ = "".join(draw.choice(["word", "Été", "x1", "<|endoftext|>", "it's", "!?", "\u00a0"]) + draw.choice(" \n ") * draw.randrange(3) for _ in range(300_000))
+    texts = [long_, "x<|endoftext|>y", "a<|startoftext|>. b.<|endoftext|>!", "<|endoftext|", "it's don'T I'LL'd a's'", "x<|endoftext|>y <|ENDOFTEXT|>", "İstanbul ΣΑΣ ǅ ﬁne", "été x́", "a1b2 3.14 ½ Ⅷ x²", "..,!! word!!.. \"quo\"###", "a\u0085c d", "\U0001F600ok 日本語 مرحبا", "a\x00b", "", "   "]
+    want = [np.array(e.ids, "<u4").tobytes() for e in plain.encode_batch(texts, add_special_tokens=False)]
+    assert len(long_) > 1 << 20 and 49407 in np.frombuffer(want[1], "<u4")
+    assert enc.by_pieces and enc.encode_many(texts) == want == enc.encode_many(texts)
+    other = token_output.PieceEncoder(public.path("byte_bpe_50k.json"))
+    whole = Tokenizer.from_file(public.path("byte_bpe_50k.json"))
+    assert not other.by_pieces and other.encode_many(texts) == [np.array(e.ids, "<u4").tobytes() for e in whole.encode_batch(texts, add_special_tokens=False)]
 
 
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
