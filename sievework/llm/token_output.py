@@ -19,7 +19,7 @@ import json
 import struct
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -180,27 +180,39 @@ class PieceEncoder:
     def _alone(self, new: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(new, add_special_tokens=False)]
 
-    def _words(self, words: list[str]) -> list[bytes]:
-        tokenize, table = self.tokenizer.model.tokenize, self.simple
-        return [array("I", [t.id for t in tokenize(w if w.isascii() else w.translate(table))]).tobytes() for w in words]
+    def _word(self, low: str) -> bytes | None:
+        """The ids of a word in lower case; None if it isn't of the plain letters."""
+        if not low.isascii():
+            if not self.simple.keys() >= set(map(ord, low)):
+                return None
+            low = low.translate(self.simple)
+        return array("I", [t.id for t in self.tokenizer.model.tokenize(low)]).tobytes()
 
-    def learn(self, new: list[str]) -> None:
+    def learn(self, new: Iterable[str]) -> None:
         """Remember the ids of new pieces: a word and a tail of marks apart, other pieces whole."""
         if len(self.words) > CACHE:
             self.words.clear()
         if len(self.marks) > CACHE // 4:
             self.marks.clear()
-        stems = [p.rstrip(TAIL) for p in new]
-        simple = self.simple.keys()
-        keys = [(low if (low := w.lower()).isascii() or simple >= set(map(ord, low)) else None) if w.isalpha() else None for w in stems]
-        tails = [p[len(w):] if k else p for p, w, k in zip(new, stems, keys, strict=True)]
-        for missing, known, encode in ((set(keys) - self.words.keys() - {None}, self.words, self._words), (set(tails) - self.marks.keys() - {""}, self.marks, self._alone)):
-            order = sorted(missing)
-            for at in range(0, len(order), 4096):
-                known.update(zip(order[at:at + 4096], encode(order[at:at + 4096]), strict=True))
-        words, marks = self.words, self.marks
-        marks[""] = b""
-        self.pieces.update(zip(new, [words[k] + marks[t] if k else marks[t] for k, t in zip(keys, tails, strict=True)], strict=True))
+        pieces, words, marks, other, word = self.pieces, self.words, self.marks, [], self._word
+        for piece in new:
+            stem = piece.rstrip(TAIL)
+            ids = None
+            if stem.isalpha():
+                low = stem.lower()
+                ids = words.get(low)
+                if ids is None and (ids := word(low)) is not None:
+                    words[low] = ids
+            if ids is None:
+                other.append(piece)
+                continue
+            if len(stem) < len(piece):
+                tail = piece[len(stem):]
+                if tail not in marks:
+                    marks[tail] = self._alone([tail])[0]
+                ids += marks[tail]
+            pieces[piece] = ids
+        pieces.update(zip(other, self._alone(other), strict=True))
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
         """All ids of each text, four bytes each."""
@@ -209,10 +221,10 @@ class PieceEncoder:
         split = [_split(t) for t in texts]
         known = self.pieces
         known[""] = b""
-        new = list(set(itertools.chain.from_iterable(split)) - known.keys())
+        new = set(itertools.chain.from_iterable(split)) - known.keys()
         if len(known) + len(new) > CACHE:
             known.clear()
-            new = list(set(itertools.chain.from_iterable(split)))
+            new = set(itertools.chain.from_iterable(split))
         self.learn(new)
         known[""] = b""
         return [b"".join(map(known.__getitem__, pieces)) for pieces in split]
