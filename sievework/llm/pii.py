@@ -35,15 +35,20 @@ OCTET = r"0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 
 # Candidates of the added kinds.
 SECRET = r"(?<![A-Za-z0-9_/+-])(?=[A-Za-z_-]*[0-9])(?=[0-9_-]*[A-Za-z])[A-Za-z0-9_-]{20,}"
-WRITTEN = r"(?i)(?:\G|(?<![a-z0-9._%+-]))[a-z0-9._%+-]++\s?[(\[]\s?at\s?[)\]]\s?[a-z0-9-]++(?:\s?(?:[(\[]\s?dot\s?[)\]]|\.)\s?[a-z0-9-]++)++"
-LOCAL = r"(?<![0-9+.\x20()-])\(?[0-9]{2,4}[)]?[\x20.-][0-9]{3}[\x20.-][0-9]{3,4}(?![0-9])"
+WRITTEN = r"(?i)(?:\G|(?<![a-z0-9._%+-]))[a-z0-9._%+-]++\s?[(\[]\s?at\s?[)\]]\s?[a-z0-9-]++(?:(?:\s?[(\[]\s?dot\s?[)\]]\s?|\.)[a-z0-9-]++)++"
+LOCAL = r"(?<![0-9+.()-])(?<![0-9)+][\x20.-])\(?[0-9]{2,4}[)]?[\x20.-][0-9]{3}[\x20.-][0-9]{3,4}(?![0-9])"
 NAME = r"(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Monsieur|Madame|Señor|Señora)\.?\x20\p{Lu}\p{Ll}+(?:\x20\p{Lu}\p{Ll}+)?"
 
 #: Gazetteers and cue words of the labelers.
 ISSUERS = r"^(?:4|5[1-5]|2[2-7]|3[47]|6(?:011|5))"
 SECRET_WORDS = "token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key|private[_-]?key|credential|bearer"
 DOMAINS = r"(?i)(?:com|net|org|edu|gov|io|de|fr|es|uk|info)$"
-GIVEN_NAMES = "James|Mary|John|Anna|Peter|Maria|Paul|Laura|Thomas|Sophie|Hans|Claire|Carlos|Lucia"
+GIVEN_NAMES = (
+    "James|Mary|John|Patricia|Robert|Jennifer|Michael|Linda|William|Elizabeth|David|Barbara|Richard|Susan|Joseph|Jessica|Charles|Sarah|Daniel|Karen|Matthew|Nancy|Anthony|Lisa|Mark|Margaret|Paul|Sandra|Steven|Ashley|Andrew|Emily|George|Helen|Peter|Anna|Henry|Alice|Samuel|Grace|"
+    "Hans|Claudia|Klaus|Sabine|Stefan|Petra|Wolfgang|Monika|Jürgen|Ursula|Heinrich|Brigitte|Matthias|Renate|Tobias|Katharina|Florian|Birgit|Andreas|Ingrid|"
+    "Jean|Marie|Pierre|Claire|Philippe|Sophie|Nicolas|Isabelle|François|Nathalie|Jacques|Camille|Antoine|Juliette|Laurent|Céline|Olivier|Mathilde|Julien|Hélène|"
+    "Carlos|Lucía|José|María|Antonio|Carmen|Manuel|Ana|Francisco|Isabel|Javier|Laura|Miguel|Elena|Alejandro|Marta|Pedro|Pilar|Diego|Sofía|Thomas|Maria|Lucia|Sofia"
+)
 CUES = {
     "number": r"card|visa|master|account|iban|credit|debit|payment|karte|konto|carte|compte|tarjeta|cuenta",
     "secret": SECRET_WORDS,
@@ -186,11 +191,11 @@ def _em_sql() -> str:
     k = len(LABELERS)
     sums = ", ".join(f"acc.s{j} + r.n * r.q * int(r.v[{j}] = 1) as s{j}, acc.t{j} + r.n * r.q * int(r.v[{j}] <> 0) as t{j}, acc.f{j} + r.n * (1 - r.q) * int(r.v[{j}] = -1) as f{j}, acc.g{j} + r.n * (1 - r.q) * int(r.v[{j}] <> 0) as g{j}" for j in range(k))
     zero = ", ".join(f"0D as s{j}, 0D as t{j}, 0D as f{j}, 0D as g{j}" for j in range(k))
-    # smoothed towards labelers that are right four times in five
+    # smoothed towards labelers that are right four times in five; that most candidates are right is no evidence for one
     odds = " + ".join(f"case r.v[{j}] when 1 then ln(((m.s{j} + 8) / (m.t{j} + 10)) / (1 - (m.f{j} + 8) / (m.g{j} + 10))) when -1 then ln((1 - (m.s{j} + 8) / (m.t{j} + 10)) / ((m.f{j} + 8) / (m.g{j} + 10))) else 0D end" for j in range(k))
     step = f"""transform(array(aggregate(q, struct(0D as one, 0D as all_, {zero}),
         (acc, r) -> struct(acc.one + r.n * r.q as one, acc.all_ + r.n as all_, {sums}))), m ->
-        transform(q, r -> struct(r.x as x, r.v as v, r.n as n, 1D / (1D + exp(-(ln((m.one + 5) / (m.all_ - m.one + 5)) + {odds}))) as q)))[0]"""
+        transform(q, r -> struct(r.x as x, r.v as v, r.n as n, 1D / (1D + exp(-(least(0D, ln((m.one + 5) / (m.all_ - m.one + 5))) + {odds}))) as q)))[0]"""
     start = "transform(p, r -> struct(r.x as x, r.v as v, double(r.n) as n, 1D / (1D + exp(-double(aggregate(r.v, 0, (a, y) -> a + y)))) as q))"
     return f"aggregate(sequence(1, {EM_ROUNDS}), {start}, (q, i) -> {step})"
 

@@ -96,6 +96,39 @@ def test_pii_base_spans(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_pii_added_spans(spark):
+    """Planted credentials, names, written-out addresses and local numbers are found, look-alikes left alone."""
+    draw = random.Random(12)
+    digits = "0123456789"
+
+    def some(letters, n):
+        return "".join(draw.choice(letters) for _ in range(n))
+
+    good = {
+        "secret": [lambda: f"password={some('abcdef0123456789', 20)}a1", lambda: f'token = "{some("abcdef0123456789", 40)}"', lambda: f"AKIA{some('ABCDEFGHIJKLMNOP0123456789', 12)}7Q2X"],
+        "written_email": [lambda: f"write to {some('abc', 5)} (at) {some('xyz', 5)} (dot) com"],
+        "local_phone": [lambda: f"tel ({some('23456789', 3)}) {some('23456789', 3)}-{some(digits, 4)}"],
+        "name": [lambda: f"contact Dr {draw.choice(['Anna', 'Peter', 'Claire', 'Carlos'])} {draw.choice(['Stone', 'Miller'])}"],
+    }
+    bad = [lambda: f"commit {some('0123456789', 12)}-{some('0123456789', 12)}", lambda: f"version {some(digits, 3)}.{some(digits, 3)}.{some(digits, 3)}", lambda: f"a_{some('abc', 8)}_{some('abc', 8)}_{some('def', 8)}", lambda: "it was done (at) home."]
+    rows, want = [], {}
+    for i in range(400):
+        words = [some("abcdefgh", draw.randrange(2, 9)) for _ in range(30)]
+        if i % 2:
+            kind = draw.choice(list(good))
+            words[15] = draw.choice(good[kind])()
+            want[i] = kind
+        else:
+            words[15] = draw.choice(bad)()
+        rows.append((i, " ".join(words)))
+    got = {r["doc_id"]: {x.split(":")[0] for x in r["spans"].split(",") if x} for r in pii.pii_digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    caught = [want[i] in got[i] for i in want]
+    spoilt = [bool(got[i]) for i in range(0, 400, 2)]
+    missed = sorted({want[i] for i in want if want[i] not in got[i]})
+    assert not missed or sum(caught) >= 0.9 * len(caught), missed
+    assert sum(caught) >= 0.9 * len(caught) and sum(spoilt) <= 0.05 * len(spoilt), (sum(caught) / len(caught), sum(spoilt) / len(spoilt))
+
+
 def test_pii_of_very_long_texts(spark):
     """A megabyte of what a pattern could start with costs a pass, not a pass for each character."""
     size = 1 << 20
