@@ -54,7 +54,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
         rows, on = docs.withColumn("__n", F.lit(0).cast("long")), ["__id"]
     else:  # rows of one doc_id are told apart by their order; equal rows are alike
         rows, on = docs.select("*", (F.row_number().over(Window.partitionBy("doc_id").orderBy("text", "source")) - 1).cast("long").alias("__n")), ["__id", "__m"]
-    mixed = mixing.mix(rows.select("doc_id", "text", "source", F.col("__n").alias("n"))).where("copies > 0").select(F.col("doc_id").alias("__id"), F.col("n").alias("__m"), F.col("copies").alias("__copies"))
+    mixed = mixing.mix(rows.select("doc_id", "text", "source", F.col("__n").alias("n")), row="n").where("copies > 0").select(F.col("doc_id").alias("__id"), F.col("n").alias("__m"), F.col("copies").alias("__copies"))
     rows = rows.withColumnsRenamed({"__n": "__m"}).withColumn("__id", F.col("doc_id").cast("long"))
     # one plan at every size: the mix grows with the documents, so it is merged, never broadcast
     joined = rows.join((mixed if len(on) == 2 else mixed.drop("__m")).hint("merge"), on)

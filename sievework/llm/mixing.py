@@ -85,33 +85,40 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
 
     Sources by code point, null last, weigh ``weights`` in turn; they share ``share`` of all words by
     weight, none above ``most`` times its size: target = min(rate * weight, most * size) with the one
-    rate at which the targets add up.
+    rate at which the targets add up. Sources may be as many as hosts: they are numbered from a sort by
+    range, and the rate is found by a few sums over all of them, each of which caps what is above.
     """
     per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
-    # one row for each source from here on: the windows without a partition see only those
-    rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))
-    per = per.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(rank - 1, F.lit(len(weights))) + 1).cast("int")))
+    order = F.col("source").asc_nulls_last()
+    per = per.repartitionByRange(order).sortWithinPartitions(order).withColumn("place", F.monotonically_increasing_id())
+    per = staged(per.withColumns({"part": F.shiftright("place", 33), "place": F.col("place").bitwiseAND((1 << 33) - 1)}), "mix-sources")
+    # one row for each part of the sort: the only window
+    before = per.groupBy("part").agg(F.count("*").alias("n")).select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    turn = F.pmod(F.col("place") + F.col("before"), F.lit(len(weights))) + 1
+    per = per.join(F.broadcast(before), "part").withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), turn.cast("int")))
     per = per.withColumn("most", F.col("source_size") * F.lit(most))
-    order = Window.orderBy(F.col("most") / F.col("weight"), F.col("source").asc_nulls_last())
-    total = F.sum("source_size").over(Window.partitionBy()) * F.lit(share)
-    capped = F.coalesce(F.sum("most").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    rest = F.sum("weight").over(order.rowsBetween(0, Window.unboundedFollowing))
-    per = per.withColumn("rate", (total - capped) / rest).withColumn("rank", F.row_number().over(order))
-    fits = F.when(F.col("rate") * F.col("weight") <= F.col("most") * (1 + 1e-12), F.struct("rank", "rate"))
-    per = per.withColumn("rate", F.min(fits).over(Window.partitionBy())["rate"])
-    return per.select("source", "source_size", "n_docs", F.least(F.coalesce(F.col("rate") * F.col("weight"), F.col("most")), "most").alias("target"))
+    total = share * (per.agg(F.sum("source_size")).first()[0] or 0)
+    rate, above = 0.0, -1
+    while True:
+        over = F.col("most") < F.lit(rate) * F.col("weight")
+        n, capped, rest = per.agg(F.count_if(over), F.coalesce(F.sum(F.when(over, F.col("most"))), F.lit(0.0)), F.coalesce(F.sum(F.when(~over, F.col("weight"))), F.lit(0.0))).first()
+        if n == above or not rest:
+            break
+        rate, above = (total - capped) / rest, n
+    return per.select("source", "source_size", "n_docs", F.least(F.lit(float(rate)) * F.col("weight"), "most").alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, chunk: int = CHUNK) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, chunk: int = CHUNK, row: str | None = None) -> DataFrame:
     """doc_id, n, size, source_size, target, copies, taken for each row of ``docs`` (doc_id, text, source).
 
-    size is the number of words (null text: 0), copies how often the mix takes the document, taken =
-    copies * size; ``n`` is passed through where ``docs`` has a long column of that name (to tell
+    size is the number of words (null text: 0; texts of any length are counted whole), copies how often
+    the mix takes the document, taken = copies * size; ``n`` is the long column named by ``row`` (to tell
     rows of one doc_id apart), else 0. A null source is a source of its own, the last one. Rows
-    without a doc_id are left out; repeated rows are documents like others; documents without words
-    are taken or not like others; an empty table gives an empty result; extra columns are ignored.
+    without a doc_id are left out; repeated rows (ties) are documents like others; documents without words
+    are taken or not like others; an empty table gives an empty result; extra columns, whatever their
+    names, are ignored.
     """
-    n = F.col("n").cast("long") if "n" in docs.columns else F.lit(0).cast("long")
+    n = (F.col(row) if row else F.lit(0)).cast("long")
     sizes = docs.select(F.col("doc_id").cast("long").alias("doc_id"), n.alias("n"), F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
     sizes = staged(sizes.where("doc_id is not null"), "mix-sizes")
     targets = staged(source_targets(sizes, weights, share, most), "mix-targets")

@@ -19,7 +19,7 @@ def test_flight_keeps_totals():
 
 
 def test_mix(spark):
-    docs = fixtures.docs(spark, n=300).drop("n")
+    docs = fixtures.docs(spark, n=300)
     got = mixing.mix(docs, chunk=32).collect()
     rows = [(r["source"], len([w for w in (r["text"] or "").translate({c: 32 for c in (9, 10, 11, 12, 13)}).split(" ") if w])) for r in docs.where("doc_id is not null").collect()]
     total, per = {}, sorted({s for s, _ in rows}, key=lambda s: (s is None, (s or "").encode()))
@@ -43,7 +43,21 @@ def test_mix(spark):
     assert all(r["taken"] in (0, r["size"], 2 * r["size"]) for r in got)
     again = mixing.mix(docs.repartition(5), chunk=32).collect()
     assert sorted(map(tuple, again)) == sorted(map(tuple, got))
-    assert mixing.mix(fixtures.empty(spark).drop("n")).collect() == []
+    assert mixing.mix(fixtures.empty(spark)).collect() == []
+
+
+def test_targets_of_many_sources(spark):
+    draw = random.Random(5)
+    sizes = {f"host{i}.example": draw.choice([0, 1, 5, 400, 9000]) for i in range(500)} | {None: 77}
+    rows = spark.createDataFrame([(s, n) for s, n in sizes.items()] + [(s, 0) for s in sizes], "source string, size long").repartition(7)
+    got = {r["source"]: r for r in mixing.source_targets(rows).collect()}
+    per, target, left = sorted(sizes, key=lambda s: (s is None, s or "")), {}, 1.5 * sum(sizes.values())
+    weight, free = {s: (3, 1, 2)[i % 3] for i, s in enumerate(per)}, per
+    while over := [s for s in free if left * weight[s] / sum(weight[x] for x in free) > 2 * sizes[s]]:
+        target |= {s: 2.0 * sizes[s] for s in over}
+        left, free = left - sum(2.0 * sizes[s] for s in over), [s for s in free if s not in over]
+    target |= {s: left * weight[s] / sum(weight[x] for x in free) for s in free}
+    assert got.keys() == sizes.keys() and all(abs(got[s]["target"] - target[s]) < 1e-6 and got[s]["source_size"] == sizes[s] for s in sizes)
 
 
 def _pages():
@@ -103,7 +117,7 @@ def test_pipeline_stages(spark, tmp_path):
     for d, _ in _plain(mixed):
         times[d] = times.get(d, 0) + 1
     copies = {}
-    for r in mixing.mix(clean.drop("n")).collect():
+    for r in mixing.mix(clean).collect():
         copies[r["doc_id"]] = copies.get(r["doc_id"], 0) + r["copies"]
     assert mixed.columns == columns and times == {d: c for d, c in copies.items() if c}
     assert pipeline.token_stage(spark, mixed, str(tmp_path)).count() == mixed.count()
@@ -115,7 +129,7 @@ def test_mixing_stage_of_unique_ids(spark, tmp_path):
 
     docs = fixtures.docs(spark).where("doc_id is not null").dropDuplicates(["doc_id"])
     mixed = pipeline.mixing_stage(spark, docs, str(tmp_path))
-    times, copies = {}, {r["doc_id"]: r["copies"] for r in mixing.mix(docs.drop("n")).collect()}
+    times, copies = {}, {r["doc_id"]: r["copies"] for r in mixing.mix(docs).collect()}
     for d, _ in _plain(mixed):
         times[d] = times.get(d, 0) + 1
     assert mixed.columns == docs.columns and times == {d: c for d, c in copies.items() if c}
