@@ -15,7 +15,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: White space as the result contracts define it: space and tab to carriage return.
@@ -30,6 +30,8 @@ def shared_root(spark: SparkSession) -> str:
     if not root:
         context = spark.sparkContext._jsc.sc()
         if context.getCheckpointDir().isEmpty():
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="sievework-"))
         root = context.getCheckpointDir().get()
     return root.rstrip("/")
@@ -71,6 +73,14 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).where(F.col("doc_id").isNotNull())
 
 
+def drawn(id_col: str, share: float, last: bool = False) -> Column:
+    """Whether a row is among this share of all rows by a hash of its identifier, from one end of the hashes or the other."""
+    if share >= 1:
+        return F.lit(True)
+    reach = int(share * 2.0 ** 64)
+    return F.xxhash64(id_col) >= 2 ** 63 - reach if last else F.xxhash64(id_col) < reach - 2 ** 63
+
+
 def slots(spark: SparkSession) -> int:
     """Number of partitions that a keyed shuffle gets."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))

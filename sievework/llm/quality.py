@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import drawn, staged
 from .shingles import PIECE, _grouped, _pieces, blocks, word_hashes
 
 SAMPLE, POOL = 12_000, 6_000
@@ -147,17 +147,18 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, pool: int =
     rows = _rows(docs)
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     n_known, n_docs = known.count(), rows.count()
-    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))
-    some = known.where(draw < int(1e6 * min(1.0, sample / max(1, n_known)))).select("doc_id", "quality")
+    some = known.where(drawn("doc_id", sample / max(1, n_known))).select("doc_id", "quality")
     # at most about ``sample`` rows, whatever the size of the tables
-    joined = rows.join(F.broadcast(some), "doc_id", "left").where(F.col("quality").isNotNull() | (draw >= 1_000_000 - int(1e6 * min(1.0, pool / max(1, n_docs)))))
+    joined = rows.join(F.broadcast(some), "doc_id", "left").where(F.col("quality").isNotNull() | drawn("doc_id", pool / max(1, n_docs), last=True))
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for doc_id, text, lang, source, n_chars, quality in blocks(batches):
             views = _views(text, lang, source, n_chars)
             yield pa.RecordBatch.from_pydict({"doc_id": doc_id, "quality": [-1 if q is None else q for q in quality], "one": [v.astype("<f4").tobytes() for v in views[0]], "two": [v.astype("<f4").tobytes() for v in views[1]]})
 
-    got = staged(joined.mapInArrow(extract, "doc_id long, quality long, one binary, two binary"), "quality-sample").orderBy("doc_id", "quality").collect()
+    got = staged(joined.mapInArrow(extract, "doc_id long, quality long, one binary, two binary"), "quality-sample")
+    # one row for each document: those that repeat a doc_id don't add up
+    got = got.groupBy("doc_id").agg(F.min(F.struct("quality", "one", "two")).alias("row")).select("doc_id", "row.*").orderBy("doc_id").collect()
     if not got:
         return co_train([np.zeros((0, 262)), np.zeros((0, 2 * _BUCKETS + 2))], np.zeros(0, np.int64), np.zeros(0, bool))
     label = np.array([r["quality"] for r in got])

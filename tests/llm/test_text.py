@@ -201,6 +201,19 @@ def test_quality(spark):
     assert quality.classify(fixtures.empty(spark), labels).collect() == []
 
 
+def test_tiny_shares_draw_some(spark):
+    """A share is cut from 64 bits of hash: a billionth of very many rows is some rows, not none."""
+    from sievework.llm.common import drawn
+
+    at = spark.range(1_000_000)
+    for share in (0.5, 1e-2, 1e-4):
+        for last in (False, True):
+            assert abs(at.where(drawn("id", share, last)).count() - 1e6 * share) <= 6 * (1e6 * share) ** 0.5
+    low = at.selectExpr("min(xxhash64(id))").first()[0]
+    assert at.where(drawn("id", (low + 2 ** 63 + 2 ** 12) / 2 ** 64)).count() == 1
+    assert at.where(drawn("id", 1.0)).count() == 1_000_000
+
+
 def test_quality_features_do_not_depend_on_length():
     draw = random.Random(9)
     words = ["".join(draw.choice("abcdefghij") for _ in range(draw.randrange(3, 9))) for _ in range(3000)]
@@ -227,6 +240,12 @@ def test_toxicity(spark):
     test = [(got[r[0]]["predicted"], r[6]) for r in rows if got[r[0]]["held_out"]]
     assert {d for d in got if got[d]["held_out"]} == {d for d in got if zlib.crc32(str(d).encode()) % 3 == 1}
     assert 100 < len(test) and sum(a == b for a, b in test) >= 0.97 * len(test)
+    draw = random.Random(13)
+    forms = ["zornXwurm", "kl-otz-kopf", "m i s t f i n k", "mist.fi.nk", "zor*nwurm", "klotzqkopf", "m1stf1nk"]
+    fresh = [(5000 + i, " ".join(["".join(draw.choice("abcdefghij") for _ in range(draw.randrange(3, 9))) for _ in range(40)] + ([draw.choice(forms) for _ in range(3)] if i % 2 else []))) for i in range(200)]
+    model = toxicity.train(docs, labels)
+    unseen = {r["doc_id"]: r["predicted"] for r in toxicity.score(spark.createDataFrame(fresh, "doc_id long, text string"), model).collect()}
+    assert sum(unseen[d] for d, _ in fresh if d % 2) >= 80 and sum(unseen[d] for d, _ in fresh if d % 2 == 0) <= 5
     flipped = spark.createDataFrame([(r[0], 1 - r[6] if zlib.crc32(str(r[0]).encode()) % 3 == 1 else r[6]) for r in rows], "doc_id long, toxic int")
     again = {r["doc_id"]: r["score"] for r in toxicity.classify(docs, flipped).collect()}
     assert all(again[d] == got[d]["score"] for d in got), "held-out labels must not matter"
