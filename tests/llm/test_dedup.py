@@ -3,7 +3,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from sievework.llm.exact_dedup import LsmIndex, exact_dedup
+from sievework.llm.exact_dedup import LsmIndex, _sorted_run, exact_dedup, merge_runs
 from sievework.llm.jaccard_join import jaccard_components, prefix_tokens, required, t_occurrence
 from sievework.llm.suffix_dedup import suffix_dedup, suffix_sort
 
@@ -40,7 +40,7 @@ def test_exact_dedup_verifies_bytes(spark):
 
 
 def test_lsm_index():
-    index, digests = LsmIndex(memtable=8), np.array([hashlib.sha256(bytes([i % 40])).digest() for i in range(100)], "S32")
+    index, digests = LsmIndex(memtable=8, tiered=False), np.array([hashlib.sha256(bytes([i % 40])).digest() for i in range(100)], "S32")
     index.put(digests, np.arange(100) % 3, np.arange(100))
     assert len(index.runs) > 3
     before = index.get(digests)
@@ -53,6 +53,20 @@ def test_lsm_index():
     assert index.get(np.array([b"\x07" * 32], "S32"))[0]["count"] == 0
 
 
+def test_lsm_index_merges_runs_and_rejects_by_filter():
+    digests = np.array([hashlib.sha256(str(i if i % 50 else 0).encode()).digest() for i in range(5000)], "S32")
+    index = LsmIndex(memtable=64)
+    index.put(digests, np.ones(5000, np.int64), np.arange(5000))
+    assert 1 < len(index.runs) <= 14, "runs of like sizes are merged"
+    shared = index.shared()
+    found = shared.get(digests)
+    assert len(shared.runs[0][0]) == 1 and (found["count"] > 1).sum() == 100 and (found["doc_id"][found["count"] > 1] == 0).all()
+    assert shared.probed == 5000 and shared.rejected > 4000, "the filter rejects digests that only one row has"
+    whole = _sorted_run(np.concatenate([r for r, _ in index.runs]))
+    half = len(whole) // 2
+    assert (merge_runs(whole[:half], whole[half:]) == whole).all() and (merge_runs(whole, whole)["count"] == 2 * whole["count"]).all()
+
+
 def _removed(rows):
     first, out = {}, []
     for d in sorted({d for d, _ in rows}):
