@@ -3,8 +3,10 @@
 STAGES are (name, function) pairs; a function takes (spark, docs, sf_dir) and returns a frame that is
 written as Parquet and read again as the next one's ``docs``. All but the last return the columns of
 ``documents``. Rows whose doc_id is null can't be named in a result and go with the first stage; rows
-that share a doc_id share the decisions on it; null texts count as empty; empty tables pass through as
-empty tables; extra columns, whatever their names, are carried along.
+that share a doc_id are judged each on its own text by the first and third stages, and share the
+decision of the second; equal rows share all but their place in the mix; null texts count as empty;
+texts of any length are judged and encoded whole; empty tables pass through as empty tables; extra
+columns, whatever their names, are carried along.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sievework.llm import decontamination, jaccard_join, mixing, quality, token_output
-from sievework.llm.common import staged
+from sievework.llm.common import fresh, staged
 from sievework.llm.queries import tokenizer_path
 
 #: Shingles of five words, similarity of 0.8 and more: near duplicates and leaks.
@@ -24,41 +26,35 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _within(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is (left_semi) or isn't (left_anti) among ``ids``, with their columns as they are."""
-    key = ids.select(F.col(ids.columns[0]).cast("long")).distinct().toDF("__id")
-    return docs.join(key, docs["doc_id"].cast("long") == key["__id"], how)
-
-
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the co-trained classifier rejects go."""
-    scored = quality.classify(docs, _table(spark, sf_dir, "labels"))
-    return _within(docs.where(F.col("doc_id").isNotNull()), staged(scored.where(~F.col("keep")).select("doc_id"), "pipeline-junk"), "left_anti")
+    return quality.kept(docs, _table(spark, sf_dir, "labels"))
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group that near-duplicate links connect, the document with the smallest doc_id stays."""
     found = jaccard_join.jaccard_components(docs, WORDS, PERCENT)
-    return _within(docs, staged(found.where("component_id <> doc_id").select("doc_id"), "pipeline-copies"), "left_anti")
+    key = fresh(docs, "id")[0]
+    gone = staged(found.where("component_id <> doc_id").select(F.col("doc_id").alias(key)).distinct(), "pipeline-copies")
+    return docs.join(gone, docs["doc_id"].cast("long") == gone[key], "left_anti")
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold an item of the benchmark go."""
-    found = decontamination.leaks(docs, _table(spark, sf_dir, "benchmark"), WORDS, PERCENT)
-    return _within(docs, staged(found.select("doc_id"), "pipeline-leaks"), "left_anti")
+    return decontamination.without_leaks(docs, _table(spark, sf_dir, "benchmark"), WORDS, PERCENT)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it: never, once or twice."""
+    row, key, copies, copy = fresh(docs, "row", "id", "copies", "copy")
     if docs.groupBy("doc_id").count().where("count > 1").isEmpty():
-        rows, on = docs.withColumn("__n", F.lit(0).cast("long")), ["__id"]
+        rows, on = docs.withColumn(row, F.lit(0).cast("long")), [key]
     else:  # rows of one doc_id are told apart by their order; equal rows are alike
-        rows, on = docs.select("*", (F.row_number().over(Window.partitionBy("doc_id").orderBy("text", "source")) - 1).cast("long").alias("__n")), ["__id", "__m"]
-    mixed = mixing.mix(rows.select("doc_id", "text", "source", F.col("__n").alias("n")), row="n").where("copies > 0").select(F.col("doc_id").alias("__id"), F.col("n").alias("__m"), F.col("copies").alias("__copies"))
-    rows = rows.withColumnsRenamed({"__n": "__m"}).withColumn("__id", F.col("doc_id").cast("long"))
+        rows, on = docs.withColumn(row, (F.row_number().over(Window.partitionBy("doc_id").orderBy("text", "source")) - 1).cast("long")), [key, row]
+    mixed = mixing.mix(rows, row=row).where("copies > 0").select(F.col("doc_id").alias(key), F.col("n").alias(row), F.col("copies").alias(copies))
     # one plan at every size: the mix grows with the documents, so it is merged, never broadcast
-    joined = rows.join((mixed if len(on) == 2 else mixed.drop("__m")).hint("merge"), on)
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), "__copies"))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    joined = rows.withColumn(key, F.col("doc_id").cast("long")).join((mixed if len(on) == 2 else mixed.drop(row)).hint("merge"), on)
+    return joined.withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(f"`{copies}`")))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

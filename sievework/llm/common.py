@@ -66,10 +66,51 @@ BATCH_ROWS = 2_000
 _BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Set BATCH_ROWS, unless the session's batch size was set by someone."""
+    if not spark._jsparkSession.sessionState().conf().contains(_BATCH_CONF):
+        spark.conf.set(_BATCH_CONF, str(BATCH_ROWS))
+
+
+def fresh(docs: DataFrame, *names: str) -> list[str]:
+    """Names for working columns that no column of ``docs`` has."""
+    taken = {c.lower() for c in docs.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def only(docs: DataFrame, needed: dict[str, Column], chosen) -> DataFrame:
+    """The rows of ``docs``, with all their columns as they are, that ``chosen`` says yes to; one pass, no join.
+
+    ``needed`` are columns to work on, whatever ``docs`` calls its own; ``chosen`` gets their values as
+    lists, in blocks of rows, and returns a list of truth values.
+    """
+    from .shingles import blocks
+
+    small_batches(docs.sparkSession)
+    names = fresh(docs, *needed)
+    schema, own = docs.schema, len(docs.columns)
+    rows = docs.select(*[F.col(f"`{c}`") for c in docs.columns], *[c.alias(n) for n, c in zip(names, needed.values(), strict=True)])
+
+    def keep(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            work = pa.RecordBatch.from_arrays(batch.columns[own:], names)
+            mask = [yes for block in blocks([work]) for yes in chosen(*block)]
+            yield pa.RecordBatch.from_arrays(batch.columns[:own], schema=pa.schema([batch.schema.field(i) for i in range(own)])).filter(pa.array(mask, pa.bool_()))
+
+    return rows.mapInArrow(keep, schema)
+
+
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and text (null: empty) of the rows that have an identifier."""
-    if docs.sparkSession.conf.get(_BATCH_CONF) == "10000":
-        docs.sparkSession.conf.set(_BATCH_CONF, str(BATCH_ROWS))
+    small_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).where(F.col("doc_id").isNotNull())
 
 

@@ -22,12 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged, texts
+from .common import only, staged, texts
 from .shingles import blocks, shingles
 
 HASHES = 64
 #: Items, and shingles of items, that are searched for in one pass over the documents.
-ITEMS, ITEM_SHINGLES = 4096, 1 << 20
+ITEMS, ITEM_SHINGLES = 16_384, 1 << 21
 _SALTS = np.array([pow(0xD1342543DE82EF95, i, 1 << 64) | 1 for i in range(1, HASHES + 1)], np.uint64)
 
 
@@ -93,25 +93,31 @@ def _item_sets(k: int):
     return sets
 
 
+def _indexes(items: DataFrame, k: int) -> Iterator:
+    """The items' indexes, block by block, as broadcast variables."""
+    spark = items.sparkSession
+    sets = staged(texts(items, "item_id").withColumnRenamed("doc_id", "item_id").mapInArrow(_item_sets(k), "item_id long, n long, body binary").where("n > 0"), "leak-items")
+    n, total = sets.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    passes = max(1, -(-n // ITEMS), -(-total // ITEM_SHINGLES))
+    for number in range(passes):
+        # a block of the query set: at most about ITEMS items and ITEM_SHINGLES shingles, whatever the number of documents
+        block = sets.where(F.pmod(F.xxhash64("item_id"), F.lit(passes)) == number).orderBy("item_id").collect()
+        yield spark.sparkContext.broadcast(ItemIndex([(r["item_id"], bytes(r["body"])) for r in block]))
+
+
 def leaks(docs: DataFrame, items: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, item_id, shared, item_shingles, containment for each document and test item in it.
 
     ``docs`` has doc_id, text; ``items`` item_id, text. An item is in a document if the document holds
     at least ``percent`` of the item's distinct shingles of k words (A-Z in lower case). Null and
-    empty texts, and texts of fewer than k words, hold nothing and are in nothing; rows without an
-    identifier are left out; repeated documents and items are reported each; empty tables give an
-    empty result; extra columns are ignored. The documents are read once for each block of ITEMS items.
+    empty texts, and texts of fewer than k words, hold nothing and are in nothing; texts of any length
+    are searched whole; rows without an identifier are left out; repeated documents and items (ties) are
+    reported each; empty tables give an empty result; extra columns are ignored. The documents are read
+    once for each block of ITEMS items.
     """
-    spark = docs.sparkSession
-    sets = staged(texts(items, "item_id").withColumnRenamed("doc_id", "item_id").mapInArrow(_item_sets(k), "item_id long, n long, body binary").where("n > 0"), "leak-items")
-    n, total = sets.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    passes = max(1, -(-n // ITEMS), -(-total // ITEM_SHINGLES))
     rows, out = texts(docs), None
     schema = "doc_id long, item_id long, shared long, item_shingles long, containment double"
-    for number in range(passes):
-        # a block of the query set: at most about ITEMS items and ITEM_SHINGLES shingles, whatever the number of documents
-        block = sets.where(F.pmod(F.xxhash64("item_id"), F.lit(passes)) == number).orderBy("item_id").collect()
-        index = spark.sparkContext.broadcast(ItemIndex([(r["item_id"], bytes(r["body"])) for r in block]))
+    for index in _indexes(items, k):
 
         def search(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             own = index.value
@@ -125,3 +131,17 @@ def leaks(docs: DataFrame, items: DataFrame, k: int = 5, percent: int = 80) -> D
         part = rows.mapInArrow(search, schema)
         out = part if out is None else out.unionByName(part)
     return out
+
+
+def without_leaks(docs: DataFrame, items: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that hold none of the items; cases as for leaks()."""
+    out = docs
+    for index in _indexes(items, k):
+
+        def chosen(text: list[str], index=index) -> list[bool]:
+            at, h = shingles([t.encode() for t in text], k, short=False)
+            found = {t for t, _, _ in index.value.verified(at, h, percent)}
+            return [t not in found for t in range(len(text))]
+
+        out = only(out, {"text_": F.coalesce(F.col("text").cast("string"), F.lit(""))}, chosen)
+    return out

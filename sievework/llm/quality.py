@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drawn, staged
+from .common import drawn, only, staged
 from .shingles import PIECE, _grouped, _pieces, blocks, word_hashes
 
 SAMPLE, POOL = 12_000, 6_000
@@ -169,7 +169,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, pool: int =
 def score(docs: DataFrame, model: dict) -> DataFrame:
     """doc_id, text_score, meta_score, score, keep for each row of ``docs`` (doc_id, text, lang, source, n_chars).
 
-    Null texts count as empty; null metadata are a value of their own; rows without a doc_id are left
+    Null texts count as empty; texts of any length are scored whole, with the same features; equal rows
+    (ties) get equal scores; null metadata are a value of their own; rows without a doc_id are left
     out; repeated rows get equal scores; an empty table gives an empty result; extra columns are ignored.
     Without labels of both kinds everything is kept.
     """
@@ -182,6 +183,17 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
     return _rows(docs).mapInArrow(apply, "doc_id long, text_score double, meta_score double, score double, keep boolean")
 
 
+def kept(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that the classifier keeps; rows without a doc_id go."""
+    model = train(docs, labels)
+
+    def chosen(text: list[str], lang: list, source: list, n_chars: list) -> list[bool]:
+        return (apply_model(model, _views(text, lang, source, n_chars))[2] >= model["threshold"]).tolist()
+
+    needed = {"text_": F.coalesce(F.col("text").cast("string"), F.lit("")), "lang_": F.col("lang").cast("string"), "source_": F.col("source").cast("string"), "n_chars_": F.col("n_chars").cast("long")}
+    return only(docs.where(F.col("doc_id").isNotNull()), needed, chosen)
+
+
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """train() and score() in turn."""
     return score(docs, train(docs, labels))

@@ -1,6 +1,8 @@
 import hashlib
 import random
 
+from pyspark.sql import functions as F
+
 from sievework.llm import mixing, warc
 
 from . import fixtures
@@ -103,6 +105,8 @@ def test_pipeline_stages(spark, tmp_path):
     spark.createDataFrame([(1, " ".join(words[5:30]))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     docs.write.parquet(f"{tmp_path}/documents.parquet")
+    for name in ("id", "row", "copy", "text_", "ID_"):  # names of working columns
+        docs = docs.withColumn(name, F.lit(name))
     columns = docs.columns
     kept = pipeline.quality_stage(spark, docs, str(tmp_path))
     assert kept.columns == columns and kept.count() == docs.where("doc_id is not null").count()
@@ -124,6 +128,22 @@ def test_pipeline_stages(spark, tmp_path):
     assert pipeline.run(spark, str(tmp_path)).count() == mixed.count()
 
 
+def test_quality_stage_rejects(spark, tmp_path):
+    """The stage leaves out exactly the rows that the classifier, applied row by row, rejects."""
+    import corpus_pipeline as pipeline
+    from sievework.llm import quality
+
+    from .test_text import _judged
+
+    rows = _judged()
+    docs = spark.createDataFrame([(*r[:5], "extra") for r in rows], "doc_id long, text string, lang string, source string, n_chars long, text_ string").repartition(3)
+    spark.createDataFrame([(r[0], r[5], r[6]) for r in rows[:300]], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    kept = sorted(map(tuple, pipeline.quality_stage(spark, docs, str(tmp_path)).collect()))
+    model = quality.train(docs, spark.read.parquet(f"{tmp_path}/labels.parquet"))
+    want = [(*r[:5], "extra") for r in rows if quality.apply_model(model, quality._views([r[1]], [r[2]], [r[3]], [r[4]]))[2][0] >= model["threshold"]]
+    assert kept == sorted(want) and 300 <= len(kept) <= 325 and sum(r[5] for r in rows) - 2 <= len(kept)
+
+
 def test_mixing_stage_of_unique_ids(spark, tmp_path):
     import corpus_pipeline as pipeline
 
