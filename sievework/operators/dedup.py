@@ -1,4 +1,4 @@
-"""Record deduplication: exact keys, near-equal titles by blocks of shared q-grams, and greedy resolution in order."""
+"""Record deduplication: exact keys, near-equal titles by blocks of shared q-grams, and greedy resolution in order against records that stay."""
 
 from __future__ import annotations
 
@@ -64,36 +64,50 @@ def similar_titles(records: DataFrame, order: str, threshold: float = 0.95) -> D
     return pairs.withColumn("ratio", ratio("x", "y")).where(F.col("ratio") >= threshold).select("u", "v", "ratio")
 
 
-def greedy(records: DataFrame, edges: DataFrame, order: str) -> DataFrame:
-    """order, kept: greedy resolution of (u earlier, v later) edges: a record goes if an edge leads to an earlier one that stays.
+def greedy(keys: DataFrame, order: str) -> DataFrame:
+    """order, kept: the records that stay when they are gone through in order and one goes if it shares a key with one that stays.
 
-    Each round settles the records whose earlier neighbours are all settled; chains make rounds, not components.
+    ``keys`` holds (rank, key, order) rows; each key stands for records that are all each other's duplicates.
+    Those that go are given the record that stays by their key of the lowest rank, then the earliest. Each
+    round settles the records that come first by all their keys, and whatever shares a key with them; a key
+    that a third of all records hold is one row in the aggregates. Records without rows aren't returned.
     """
-    spark = records.sparkSession
-    left = landed(edges.select("u", "v").where("u < v").distinct(), "dedup-edges")
-    kept_of = None
+    at = F.col(order)
+    every = landed(keys.where(F.col("key").isNotNull()).select("rank", "key", order).distinct(), "dedup-keys")
+    left, stay = every.select("key", order), None
     while not left.isEmpty():
-        later = left.select(F.col("v").alias("u")).distinct()
-        firm = left.join(later, "u", "left_anti").select("u").distinct()  # no edge to an earlier one: they stay
-        gone = landed(left.join(firm, "u").groupBy("v").agg(F.min("u").alias("kept")), "dedup-gone")
-        kept_of = gone if kept_of is None else kept_of.unionByName(gone)
-        out = gone.select("v")
-        left = landed(left.join(out, "v", "left_anti").join(out.select(F.col("v").alias("u")), "u", "left_anti").join(firm, "u", "left_anti"), "dedup-edges")
-    if kept_of is None:
-        kept_of = spark.createDataFrame([], "v long, kept long")
-    return records.select(order).join(kept_of.select(F.col("v").alias(order), "kept"), order, "left").select(order, F.coalesce("kept", order).alias("kept"))
+        led = landed(left.join(left.groupBy("key").agg(F.min(order).alias("lead")), "key"), "dedup-leads")
+        firm = landed(led.groupBy(order).agg(F.min((at == F.col("lead")).cast("int")).alias("all_")).where("all_ = 1").select(order), "dedup-firm")
+        stay = firm if stay is None else stay.unionByName(firm)
+        settled = landed(led.join(firm.withColumnRenamed(order, "lead"), "lead").select(order).distinct(), "dedup-settled")
+        left = landed(left.join(settled, order, "left_anti"), "dedup-left")
+    if stay is None:
+        return every.select(order, at.alias("kept")).limit(0)
+    holder = every.join(stay, order).select("key", at.alias("kept"))  # at most one for each key
+    gone = every.join(holder, "key").where(F.col("kept") < at).groupBy(order).agg(F.min(F.struct("rank", "kept"))["kept"].alias("kept"))
+    return every.select(order).distinct().join(gone, order, "left").select(order, F.coalesce("kept", order).alias("kept"))
 
 
 def deduplicate(records: DataFrame, order: str, fuzzy: bool = True) -> DataFrame:
-    """order, kept: DOI, then PMID, then title (equal, or near with ``fuzzy``), each against records that stay."""
+    """order, kept: DOI, then PMID, then title (equal, or near with ``fuzzy``), each against records that stay only.
+
+    A null title is none; empty titles are equal to each other.
+    """
     rows = landed(keyed(records), "dedup-keyed")
-    edges = None
-    for key in ("doi_key", "pmid_key", "title_key"):
-        firsts = exact(rows.where(F.col(key) != ""), key, order).where(F.col(order) != F.col("kept")).select(F.col("kept").alias("u"), F.col(order).alias("v"))
-        edges = firsts if edges is None else edges.unionByName(firsts)
-    if fuzzy:
-        edges = edges.unionByName(similar_titles(rows, order).select("u", "v"))
-    return greedy(rows, edges, order)
+    keys = None
+    for rank, (name, test) in enumerate((("doi_key", "doi_key <> ''"), ("pmid_key", "pmid_key <> ''"), ("title_key", "title_key is not null"))):
+        own = rows.where(test).select(F.lit(rank).alias("rank"), F.concat(F.lit(f"{name[0]}:"), F.col(name)).alias("key"), order)
+        keys = own if keys is None else keys.unionByName(own)
+    if fuzzy:  # two near titles are one more key of all records with either
+        pairs = landed(similar_titles(rows, order).select("u", "v"), "dedup-near")
+        sides = pairs.select(F.col("u").alias("at"), "u", "v").unionByName(pairs.select(F.col("v").alias("at"), "u", "v"))
+        titles = rows.where(F.length("title_key") > 0).groupBy("title_key").agg(F.min(order).alias("at"))
+        near = rows.join(titles, "title_key").join(sides, "at").select(F.lit(2).alias("rank"), F.concat_ws(":", F.lit("n"), "u", "v").alias("key"), order)
+        keys = keys.unionByName(near)
+    # only keys that several records hold decide anything
+    shared = keys.join(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "key")
+    found = greedy(shared, order)
+    return rows.select(order).join(found, order, "left").select(order, F.coalesce("kept", order).alias("kept"))
 
 
 def set_overlap(a: DataFrame, b: DataFrame) -> DataFrame:

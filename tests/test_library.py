@@ -109,8 +109,39 @@ def test_greedy_dedup_is_not_transitive(spark):
     titles = ["a study of effects in adult patients with asthma", "a study of effects in adult patients with asthmas", "other title entirely here", None]
     df = spark.createDataFrame([(i, t, None, None) for i, t in enumerate(titles)] + [(4, "x", "10.1/a", None), (5, "y", "https://doi.org/10.1/A", None)], "seq long, title string, doi string, pmid string")
     assert dict(map(tuple, dedup.deduplicate(df, "seq").collect())) == {0: 0, 1: 0, 2: 2, 3: 3, 4: 4, 5: 4}
-    chain = spark.createDataFrame([(0, 1), (1, 2), (2, 3)], "u long, v long")
-    assert dict(map(tuple, dedup.greedy(spark.range(4).toDF("seq"), chain, "seq").collect())) == {0: 0, 1: 0, 2: 2, 3: 2}
+    doi, pmid = [(0, "10.1/a", None), (1, "10.1/a", "9"), (2, None, "9"), (3, None, "9")], "seq long, doi string, pmid string"
+    assert dict(map(tuple, dedup.deduplicate(spark.createDataFrame(doi, pmid), "seq", fuzzy=False).collect())) == {0: 0, 1: 0, 2: 2, 3: 2}, "only records that stay hold keys"
+
+
+@pytest.mark.parametrize("fuzzy", [False, True])
+def test_dedup_equals_a_pass_in_order(spark, fuzzy):
+    from sievework.functions.numeric import indel_ratio
+
+    draw = random.Random(21)
+    base = ["".join(draw.choice("abcdefgh ") for _ in range(40)).strip() for _ in range(12)]
+    rows = []
+    for i in range(220):
+        title = draw.choice(base)
+        for _ in range(draw.randrange(4)):
+            at = draw.randrange(len(title))
+            title = title[:at] + draw.choice(["", "x", "yz"]) + title[at + draw.randrange(2):]
+        rows.append((i, draw.choice([None, "", title, title]), draw.choice([None, "", f"10.1/{draw.randrange(60)}", f"https://doi.org/10.1/{draw.randrange(60)}"]), draw.choice([None, "", str(draw.randrange(60))])))
+    want, held = {}, {"d": {}, "p": {}, "t": {}}
+    for i, title, doi, pmid in rows:
+        d, p = (doi or "").replace("https://doi.org/", ""), pmid or ""
+        t = None if title is None else " ".join(title.split())
+        found = held["d"].get(d) if d else None
+        found = held["p"].get(p) if found is None and p else found
+        if found is None and t is not None:
+            found = next((k for x, k in held["t"].items() if x == t or fuzzy and x and t and indel_ratio(x, t) >= 0.95), None)
+        want[i] = i if found is None else found
+        if found is None:
+            held["d"] |= {d: i} if d else {}
+            held["p"] |= {p: i} if p else {}
+            held["t"] |= {t: i} if t is not None else {}
+    df = spark.createDataFrame(rows, "seq long, title string, doi string, pmid string").repartition(3)
+    assert dict(map(tuple, dedup.deduplicate(df, "seq", fuzzy).collect())) == want
+    assert 20 < sum(k == v for k, v in want.items()) < 200
 
 
 @pytest.mark.parametrize("threshold", [0.95, 0.9, 0.8, 0.6])
