@@ -84,6 +84,18 @@ def hb_pvalue(misses: Column, n: Column, alpha: Column) -> Column:
     return F.least(F.exp(-n * kl(r, alpha)), F.lit(math.e) * binomial_cdf(misses.cast("int"), n, alpha))
 
 
+def hb_pvalues(misses: np.ndarray, n: int, alpha: float) -> np.ndarray:
+    """hb_pvalue() of many numbers of misses at once; from alpha * n misses on the first bound is 1 and the second above it."""
+    least = int(math.ceil(alpha * n))
+    log = np.concatenate(([n * math.log1p(-alpha)], np.log((n - np.arange(1, least) + 1) / np.arange(1, least)) + math.log(alpha) - math.log1p(-alpha))) if least else np.zeros(1)
+    cdf = np.cumsum(np.exp(np.cumsum(log)))
+    k = np.asarray(misses, np.int64)
+    r = np.minimum(k / n, alpha)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        kl = np.where(r > 0, r * np.log(r / alpha), 0.0) + np.where(r < 1, (1 - r) * np.log((1 - r) / (1 - alpha)), 0.0)
+    return np.where(k >= least, 1.0, np.minimum(np.exp(-n * kl), math.e * np.minimum(cdf[np.clip(k, 0, len(cdf) - 1)], 1.0)))
+
+
 def wilson(k: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
     """Wilson interval; (0, 1) without trials."""
     p, den = k / n, 1 + z * z / n
@@ -131,31 +143,32 @@ def betting_lower_bound(x: np.ndarray, delta: float, strategy: str = "prpl", bre
         mean = (mean * t + v) / (t + 1) if t else float(v)
         var = max((var * t + (v - mean) ** 2) / (t + 1), 1 / (4 * (t + 2)))
 
-    def wealth(m: float, stop: int) -> float:
+    def wealths(m: float, stop: int = n) -> np.ndarray:
         own = bets[:stop] if strategy == "prpl" else newton_bets(x[:stop], m)
-        return float(np.log(np.maximum(1 + own * (x[:stop] - m), 1e-300)).sum())
+        return np.log(np.maximum(1 + own * (x[:stop] - m), 1e-300))
 
     best = 0.0
+    so_far = np.cumsum(wealths(best))  # the log-wealth against the best mean yet, at every stop
     for stop in np.unique(np.round(np.linspace(1, n, min(breaks, n))).astype(int)):
-        if wealth(0.0, stop) < goal or wealth(best, stop) < goal:
+        if so_far[stop - 1] < goal:
             continue
         low, high = best, 1.0
         for _ in range(60):
             mid = (low + high) / 2
-            low, high = (mid, high) if wealth(mid, stop) >= goal else (low, mid)
-        best = low
+            if mid in (low, high):
+                break
+            low, high = (mid, high) if wealths(mid, stop).sum() >= goal else (low, mid)
+        if low > best:
+            best = low
+            so_far = np.cumsum(wealths(best))
     return best
 
 
 def newton_bets(x: np.ndarray, m: float) -> np.ndarray:
-    """Online Newton step bets in [0, 0.5]."""
-    bets, bet, total, rate = np.empty(len(x)), 0.0, 1.0, 2 / (2 - math.log(3))
-    for t, v in enumerate(x):
-        bets[t] = bet
-        z = -(v - m) / (1 + bet * (v - m))
-        total += z * z
-        bet = min(0.5, max(0.0, bet - rate * z / total))
-    return bets
+    """Bets in [0, 0.5] by the diagonal Newton rule: the sum of earlier deviations over one plus the sum of their squares."""
+    d = np.asarray(x, float) - m
+    before = np.concatenate(([0.0], np.cumsum(d)[:-1])), np.concatenate(([1.0], 1 + np.cumsum(d * d)[:-1]))
+    return np.clip(before[0] / before[1], 0.0, 0.5)[:len(d)]
 
 
 def inverse_normal(q: float) -> float:

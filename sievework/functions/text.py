@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 # Words that never make a search phrase on their own.
 STOPWORDS = (
-    "a an the and or not no nor of in on at to for with by from is are was were be been being have has had do does did "
-    "will would could should may might its it this that these those other others another such some any all both "
-    "given based including using via versus apparent apparently commonly used patients patient studies study"
-).split()
+    "a", "an", "the", "and", "or", "not", "no", "nor", "of", "in", "on", "at", "to", "for", "with", "by", "from",
+    "is", "are", "was", "were", "be", "been", "being", "have", "has", "had", "do", "does", "did", "will", "would",
+    "could", "should", "may", "might", "its", "it", "this", "that", "these", "those", "other", "others", "another",
+    "such", "some", "any", "all", "both", "given", "based", "including", "using", "via", "versus", "apparent",
+    "apparently", "commonly", "used", "patients", "patient", "studies", "study",
+)
 # Words that lexical retrieval leaves out.
 SEARCH_STOPWORDS = (
     "a an the is are was were be been being have has had do does did will would could should may might shall must can its it the "
@@ -78,7 +80,7 @@ def words(c) -> Column:
 
 def content_words(c) -> Column:
     """Words of three characters and more that aren't stopwords."""
-    return F.filter(words(c), lambda w: ~F.lower(w).isin(STOPWORDS) & (F.length(w) >= 3))
+    return F.filter(words(c), lambda w: ~F.lower(w).isin(*STOPWORDS) & (F.length(w) >= 3))
 
 
 def approx_tokens(c) -> Column:
@@ -132,17 +134,26 @@ def with_keyword(sents: Column, keywords: Column, most: int = 10) -> Column:
     return F.slice(F.filter(sents, lambda s: F.exists(keywords, lambda k: F.contains(F.lower(s), F.lower(k)))), 1, most)
 
 
+def first_of_each(items: Column) -> Column:
+    """Strings without repeats (ignoring case), in the order of their first occurrence; sorted, never compared all with all."""
+    def pick(marked: Column) -> Column:
+        firsts = F.filter(marked, lambda x, i: (i == 0) | (F.get(marked, i - 1)["low"] != x["low"]))
+        return F.transform(F.array_sort(F.transform(firsts, lambda x: F.struct(x["at"].alias("at"), x["item"].alias("item")))), lambda x: x["item"])
+
+    marked = F.array_sort(F.transform(items, lambda p, i: F.struct(F.lower(p).alias("low"), i.alias("at"), p.alias("item"))))
+    # sorted once: the lambda's argument is a value
+    return F.transform(F.array(marked), pick)[0]
+
+
 def phrases(c) -> Column:
-    """Search phrases of a text: split at joining words and marks, leading stopwords off, at least one content word.
+    """Search phrases of a text: split at joining words and marks, parentheses and leading stopwords off, at least one content word.
 
     Order of first occurrence, without repeats (ignoring case).
     """
-    plain = F.regexp_replace(F.regexp_replace(text_or_empty(c), r"\([^)]*\)", " "), r"\s+", " ")
-    parts = F.transform(F.split(plain, SEPARATORS), lambda p: F.trim(p))
+    parts = F.transform(F.split(text_or_empty(c), SEPARATORS), lambda p: F.trim(F.regexp_replace(p, r"[()\s]+", " ")))
     stop = "|".join(STOPWORDS)
     parts = F.transform(parts, lambda p: F.regexp_replace(p, rf"(?i)^(?:(?:{stop})(?:\s+|$))+", ""))
-    kept = F.filter(parts, lambda p: F.size(content_words(p)) > 0)
-    return F.aggregate(kept, F.array().cast("array<string>"), lambda acc, p: F.when(F.exists(acc, lambda q: F.lower(q) == F.lower(p)), acc).otherwise(F.concat(acc, F.array(p))))
+    return first_of_each(F.filter(parts, lambda p: F.size(content_words(p)) > 0))
 
 
 def tiab_term(c) -> Column:

@@ -104,19 +104,19 @@ def score_cutoff(scored: DataFrame, training: DataFrame, recall: float, keys: li
 
 
 def knee_points(rows: DataFrame, keys: list[str] = ["topic_id"]) -> DataFrame:  # noqa: B006
-    """keys, rank: knees of the gain curve, sampled at up to 1000 ranks of a topic."""
+    """keys, rank: knees of the gain curve over all ranks.
+
+    The curve rises at the relevant documents only: their ranks travel, and the curve is made of them.
+    """
     import numpy as np
     import pandas as pd
 
-    step = F.greatest(F.ceil(F.col("n_docs") / 1000), F.lit(1))
-    curve = rows.where((F.col("rank") - 1) % step == 0).select(*keys, "rank", "seen")
-
     def find(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("rank")
-        at = knee(part["seen"].to_numpy(float))
-        return pd.DataFrame([(*key, int(r)) for r in part["rank"].to_numpy()[np.array(at, int)]], columns=[*keys, "rank"])
+        rises = np.zeros(int(part["n_docs"].iloc[0]))
+        rises[part["rank"].to_numpy() - 1] = 1
+        return pd.DataFrame([(*key, i + 1) for i in knee(np.cumsum(rises))], columns=[*keys, "rank"])
 
-    return curve.groupBy(*keys).applyInPandas(find, ", ".join(f"{k} string" for k in keys) + ", rank long")
+    return rows.where("rel = 1").select(*keys, "rank", "n_docs").groupBy(*keys).applyInPandas(find, ", ".join(f"{k} string" for k in keys) + ", rank long")
 
 
 def active_learning(docs: DataFrame, batch: int, stop_recall: float | None = None, stop_share: float = 1.0, growth: float = 0.1, seed=1) -> DataFrame:

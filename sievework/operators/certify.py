@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numeric import betting_lower_bound, hb_pvalue, n_min
+from ..functions.numeric import betting_lower_bound, hb_pvalues, n_min
 
 #: The twelve anchors (lambda_lo, lambda_hi, tau) of the bound on the ensemble's error.
 ANCHORS = [
@@ -68,8 +68,22 @@ def grid_risks(grid: DataFrame, cells: DataFrame, c_human: float = 5.0, c_llm: f
 
 
 def pvalues(risks: DataFrame, alpha: Column) -> DataFrame:
-    """r_hat and the p-value of each grid point against the inflated risk ``alpha``."""
-    return risks.withColumns({"r_hat": F.col("n_miss") / F.col("m_plus"), "p": hb_pvalue(F.col("n_miss"), F.col("m_plus"), alpha)})
+    """r_hat and the p-value of each grid point against the inflated risk ``alpha``.
+
+    A p-value depends on the misses, the positives and the risk only: each distinct triple is computed once,
+    all misses of one risk and number of positives in one pass over the binomial's terms.
+    """
+    rows = risks.withColumns({"r_hat": F.col("n_miss") / F.col("m_plus"), "__alpha": alpha.cast("double")})
+    triples = rows.where("m_plus > 0 and __alpha > 0 and __alpha < 1").select("n_miss", "m_plus", F.col("__alpha").alias("a")).distinct()
+
+    def test(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        return part.assign(p=hb_pvalues(part["n_miss"].to_numpy(), int(key[0]), float(key[1])))[["n_miss", "m_plus", "a", "p"]]
+
+    # a group has at most as many rows as a grid
+    tested = triples.groupBy("m_plus", "a").applyInPandas(test, "n_miss long, m_plus long, a double, p double").withColumnsRenamed({"n_miss": "__n", "m_plus": "__m"})
+    on = (F.col("n_miss") == F.col("__n")) & (F.col("m_plus") == F.col("__m")) & (F.col("__alpha") == F.col("a"))
+    out = rows.join(tested, on, "left")
+    return out.withColumn("p", F.when(F.col("__alpha") >= 1, 0.0).otherwise(F.col("p"))).drop("__n", "__m", "a", "__alpha")
 
 
 def holm(rows: DataFrame, delta: float, keys: list[str] = ["topic_id"]) -> DataFrame:  # noqa: B006
@@ -112,15 +126,20 @@ def slack_samples(scored: DataFrame) -> DataFrame:
 def anchor_bounds(scored: DataFrame, delta_eta: float) -> DataFrame:
     """topic_id, anchor, bound: betting lower bound of each anchor's slack at delta_eta / 12, samples in order of pmid.
 
-    A group is one topic's positives for one anchor: the reference set of a calibration, not the corpus.
+    A group is one topic's positives: the reference set of a calibration, not the corpus. They travel once,
+    with a bit for each anchor.
     """
     level = delta_eta / len(ANCHORS)
+    hits = None
+    for i, (lo, hi, tau) in enumerate(ANCHORS):
+        hit = F.when((F.col("s") >= lo) & (F.col("s") < hi) & (F.col("u") >= tau) & (F.col("y_hat") == 1), 1 << i).otherwise(0)
+        hits = hit if hits is None else hits + hit
 
-    def bound(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        x = rows.sort_values("pmid")["slack"].to_numpy()
-        return pd.DataFrame({"topic_id": [key[0]], "anchor": [key[1]], "bound": [betting_lower_bound(x, level)]})
+    def bounds(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        bits = rows.sort_values("pmid")["hits"].to_numpy()
+        return pd.DataFrame([(key[0], i, betting_lower_bound((bits >> i & 1).astype(float), level)) for i in range(len(ANCHORS))], columns=["topic_id", "anchor", "bound"])
 
-    return slack_samples(scored).groupBy("topic_id", "anchor").applyInPandas(bound, "topic_id string, anchor int, bound double")
+    return scored.where("y = 1").select("topic_id", "pmid", hits.alias("hits")).groupBy("topic_id").applyInPandas(bounds, "topic_id string, anchor int, bound double")
 
 
 def certify(scored: DataFrame, alpha: float = 0.10, delta_eta: float = 0.03, delta_ltt: float = 0.07, k: int = 10, k_tau: int = 5, order: str | None = None, eta: DataFrame | None = None) -> DataFrame:

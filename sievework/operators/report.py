@@ -20,7 +20,7 @@ def merge_counts(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.unionByName(b).agg(*[F.sum(c).alias(c) for c in a.columns])
 
 
-def reasons(decisions: DataFrame, most: int = 5, length: int = 80) -> DataFrame:
+def reasons(decisions: DataFrame, most: int = 5, length: int = 60) -> DataFrame:
     """reason, n: the most frequent heads of exclusion reasons, a top-k report."""
     return decisions.where("decision = 'EXCLUDE'").groupBy(F.substring("reason", 1, length).alias("reason")).agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "reason").limit(most)
 

@@ -37,9 +37,7 @@ def check_budget(delta_eta: float, delta_ltt: float, delta_total: float) -> None
 def keywords(pico: DataFrame, key: str) -> DataFrame:
     """key, domain_keywords: phrases of the four elements in order, without repeats (ignoring case)."""
     parts = [tx.phrases(F.col(f"pico.{c}")) for c in ("population", "intervention", "comparator", "outcome")]
-    every = F.concat(*parts)
-    distinct = F.aggregate(every, F.array().cast("array<string>"), lambda a, p: F.when(F.exists(a, lambda q: F.lower(q) == F.lower(p)), a).otherwise(F.concat(a, F.array(p))))
-    return pico.select(key, distinct.alias("domain_keywords"))
+    return pico.select(key, tx.first_of_each(F.concat(*parts)).alias("domain_keywords"))
 
 
 def query_pair(reply: Column) -> Column:

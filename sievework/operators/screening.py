@@ -18,8 +18,8 @@ def judged(judgments: DataFrame) -> DataFrame:
 
 
 def fused(judgments: DataFrame, keys: list[str], p: str = "p") -> DataFrame:
-    """keys, n_criteria, p_include, decision, confidence by noisy-or; no judgments: 0.5 of the caller's left join."""
-    out = judgments.groupBy(*keys).agg(F.count("*").alias("n_criteria"), clamp(noisy_or(F.col(p))).alias("p_include"))
+    """keys, n_criteria, p_include (to 12 places, so that ties with a threshold don't depend on the order of the factors), decision, confidence by noisy-or; no judgments: 0.5 of the caller's left join."""
+    out = judgments.groupBy(*keys).agg(F.count("*").alias("n_criteria"), F.round(clamp(noisy_or(F.col(p))), 12).alias("p_include"))
     return out.withColumns({"decision": decide(F.col("p_include")), "confidence": confidence(F.col("p_include"))})
 
 
@@ -51,7 +51,7 @@ def verify_spans(rows: DataFrame, span: str, text: str, threshold: float = 0.85)
     plain = F.contains(F.col(text), F.col(span)) | F.contains(F.lower(text), F.lower(span))
     blank = F.trim(F.coalesce(span, F.lit(""))) == ""
     open_ = F.when(~blank & ~F.coalesce(plain, F.lit(False)), F.col(span))
-    return rows.withColumn("verified", F.when(blank, False).when(plain, True).otherwise(near(F.coalesce(open_, F.lit("")), F.coalesce(text, F.lit("")))))
+    return rows.withColumn("verified", F.when(blank, False).when(plain, True).otherwise(near(F.coalesce(open_, F.lit("")), F.when(open_.isNotNull(), F.col(text)).otherwise(""))))
 
 
 def tier(tokens: Column) -> Column:

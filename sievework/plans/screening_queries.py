@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.numeric import wilson
+from ..functions.numeric import inverse_normal, wilson
 from ..operators import baselines, calibration, certify, routing, splits, votes
 from ..operators.report import with_mean
 from ..session import landed, table
@@ -275,7 +275,7 @@ def scrc_sweep(spark, d):
             fitted = baselines.scrc(rows.where("is_split = 1"), 1 - recall, inductive=variant)
             part = baselines.scrc_result(baselines.scrc_accept(test, fitted), "scrc-i" if variant else "scrc-t", recall)
             out = part if out is None else out.unionByName(part)
-    return out
+    return _rounded(out, "recall_achieved", "wss")
 
 
 def reliability_bins(spark, d):
@@ -307,11 +307,11 @@ def hh_estimate(spark, d):
 
 
 def hh_mixture_estimate(spark, d):
-    return baselines.hansen_hurwitz(_sampled(spark, d, baselines.mixture))
+    return _rounded(baselines.hansen_hurwitz(_sampled(spark, d, baselines.mixture)), "total", "variance", places=3)
 
 
 def ht_power_law_estimate(spark, d):
-    return baselines.horvitz_thompson(_sampled(spark, d, baselines.power_law), 300)
+    return _rounded(baselines.horvitz_thompson(_sampled(spark, d, baselines.power_law), 300), "total", "variance", places=3)
 
 
 def stratified_estimate(spark, d):
@@ -320,7 +320,7 @@ def stratified_estimate(spark, d):
 
 def score_distribution_cutoff(spark, d):
     rows = corpus.orders(spark, d).select("topic_id", "pmid", F.col("s").alias("score"), F.col("y").alias("rel"))
-    return baselines.score_cutoff(rows, rows, 0.95)
+    return _rounded(baselines.score_cutoff(rows, rows, 0.95), "cutoff")
 
 
 _SAMPLE_SQL = VOTES + """,
@@ -343,11 +343,33 @@ QUERIES = {
 }
 
 
-def _scrc_sql(tau_from: str, pos_from: str) -> str:
+def _scrc_sql(tau_from: str, pos_from: str, alpha: float = 0.1, select: str = "round(tau, 9) AS tau, round({lambda_star}, 9) AS lambda_star") -> str:
+    lambda_star = f"coalesce((SELECT max(s) FROM ps WHERE ps.topic_id = tq.topic_id AND i = floor({alpha!r}::DOUBLE * (n + 1) + 1e-12::DOUBLE) - 1), 0)"
     return f"""
 tq AS (SELECT topic_id, quantile_cont(u, 0.1) AS tau FROM {tau_from} GROUP BY topic_id),
 ps AS (SELECT c.topic_id, s, row_number() OVER (PARTITION BY c.topic_id ORDER BY s) - 1 AS i, count(*) OVER (PARTITION BY c.topic_id) AS n FROM {pos_from} c JOIN tq USING (topic_id) WHERE y = 1 AND u >= tau)
-SELECT topic_id, round(tau, 9) AS tau, round(coalesce((SELECT max(s) FROM ps WHERE ps.topic_id = tq.topic_id AND i = floor(0.1 * (n + 1) + 1e-12) - 1), 0), 9) AS lambda_star FROM tq"""
+SELECT topic_id, {select.replace("{lambda_star}", lambda_star)} FROM tq"""
+
+
+_HALVES = "hv AS (SELECT *, row_number() OVER (PARTITION BY topic_id, y ORDER BY md5('7:' || pmid), pmid) <= floor(0.5::DOUBLE * count(*) OVER (PARTITION BY topic_id, y) + 0.5) AS first_half FROM calib), one AS (SELECT * FROM hv WHERE first_half), two AS (SELECT * FROM hv WHERE NOT first_half)"
+
+
+def _scrc_sweep_sql() -> str:
+    parts = []
+    for i, recall in enumerate((0.8, 0.9, 0.95)):
+        for name, sides in (("scrc-t", ("calib", "calib")), ("scrc-i", ("one", "two"))):
+            fitted = _scrc_sql(*sides, 1 - recall, "tau, {lambda_star} AS lambda_star")
+            parts.append(f"""SELECT '{name}' AS method, topic_id, {recall!r}::DOUBLE AS target_recall, examined, round(r, 9) AS recall_achieved, round(CASE WHEN r >= {recall!r}::DOUBLE THEN w END, 9) AS wss,
+CASE WHEN r IS NULL THEN 'no_positives' WHEN r >= {recall!r}::DOUBLE THEN 'ok' ELSE 'recall_missed' END AS wss_status
+FROM (SELECT t.topic_id, count(*) FILTER (u >= tau AND s >= lambda_star) AS examined, count(*) FILTER (y = 1 AND u >= tau AND s >= lambda_star) / nullif(count(*) FILTER (y = 1), 0) AS r,
+count(*) FILTER (NOT (u >= tau AND s >= lambda_star)) / count(*) - {(1 - recall)!r}::DOUBLE AS w FROM (SELECT * FROM scored WHERE is_split = 2) t JOIN (WITH {fitted}) f ON f.topic_id = t.topic_id GROUP BY t.topic_id)""")
+    return _with(SCORED + ", " + _HALVES, "\nUNION ALL ".join(parts))
+
+
+def _walks_sql() -> str:
+    orders = [("safest", 0, "lambda_lo, lambda_hi, tau DESC"), ("riskiest", 0, "lambda_lo DESC, lambda_hi DESC, tau"), ("tau_first", 0, "tau, lambda_hi, lambda_lo"), *[("random", i, f"md5('{i}:' || theta_idx)") for i in range(5)]]
+    parts = [f"SELECT topic_id, '{n}' AS walk, {i}::INT AS seed, count(*) FILTER (f = 0) AS n_certified FROM (SELECT topic_id, max((p > {DELTA}::DOUBLE)::INT) OVER (PARTITION BY topic_id ORDER BY {o}, theta_idx ROWS UNBOUNDED PRECEDING) AS f FROM tested) GROUP BY topic_id" for n, i, o in orders]
+    return _with(TESTED, "\nUNION ALL ".join(parts))
 
 
 SQL = {
@@ -381,12 +403,21 @@ SQL = {
     "summary_with_mean": _with(EVALUATED, "SELECT topic_id, round(fnr, 7) AS fnr, round(recall, 7) AS recall FROM summary UNION ALL SELECT 'MEAN', round(avg(fnr), 7), round(avg(recall), 7) FROM summary"),
     "slack_ratio": _with(GRID, "SELECT topic_id, theta_idx, CASE WHEN n_slack > 0 THEN 0.5::DOUBLE END AS ratio FROM risks"),
     "scrc_t_threshold": _with(SCORED + ",", _scrc_sql("calib", "calib")),
-    "scrc_i_threshold": _with(SCORED + ", hv AS (SELECT *, row_number() OVER (PARTITION BY topic_id, y ORDER BY md5('7:' || pmid), pmid) <= floor(0.5::DOUBLE * count(*) OVER (PARTITION BY topic_id, y) + 0.5) AS first_half FROM calib), one AS (SELECT * FROM hv WHERE first_half), two AS (SELECT * FROM hv WHERE NOT first_half),", _scrc_sql("one", "two")),
+    "scrc_i_threshold": _with(SCORED + ", " + _HALVES + ",", _scrc_sql("one", "two")),
     "reliability_bins": _with(SCORED, "SELECT floor(s * 10)::INT AS bin, count(*) AS n, round(avg(s), 7) AS mean_score, round(avg(y), 7) AS positive_rate FROM scored WHERE floor(s * 10) BETWEEN 0 AND 9 GROUP BY bin"),
     "wilson_ci": _with(SCORED, "SELECT topic_id, k, n, round((k / n + 1.96 * 1.96 / (2 * n)) / (1 + 1.96 * 1.96 / n) - 1.96 * sqrt(k / n * (1 - k / n) / n + 1.96 * 1.96 / (4 * n * n)) / (1 + 1.96 * 1.96 / n), 9) AS low, round((k / n + 1.96 * 1.96 / (2 * n)) / (1 + 1.96 * 1.96 / n) + 1.96 * sqrt(k / n * (1 - k / n) / n + 1.96 * 1.96 / (4 * n * n)) / (1 + 1.96 * 1.96 / n), 9) AS high FROM (SELECT topic_id, count(*) FILTER (y = 1 AND y_hat = 1)::DOUBLE AS k, count(*) FILTER (y = 1)::DOUBLE AS n FROM scored GROUP BY topic_id)"),
     "ht_ap_prior_estimate": _with(_SAMPLE_SQL.replace("{weight}", "ln((n_docs + 1) / rank)"), "SELECT topic_id, round(sum(rel / pi), 3) AS total, round(sum(rel * (1 - pi) / (pi * pi)), 3) AS variance FROM sm GROUP BY topic_id"),
     "hh_estimate": _with(_SAMPLE_SQL.replace("{weight}", "1 / n_docs"), "SELECT topic_id, round(avg(rel / p), 3) AS total, round(var_pop(rel / p) / (count(*) - 1), 3) AS variance FROM sm GROUP BY topic_id"),
     "stratified_estimate": _with(_SAMPLE_SQL.replace("{weight}", "1 / n_docs"), "SELECT topic_id, round(sum(rel * size / least(size, 20)), 6) AS total FROM (SELECT *, row_number() OVER (PARTITION BY topic_id, (rank - 1) // 100 ORDER BY md5('5:' || pmid), pmid) AS q, count(*) OVER (PARTITION BY topic_id, (rank - 1) // 100) AS size FROM rk) WHERE q <= 20 GROUP BY topic_id"),
+    "scrc_sweep": _scrc_sweep_sql(),
+    "walk_orders": _walks_sql(),
+    "budget_split": _with(TESTED + """,
+bs AS (SELECT *, row_number() OVER (PARTITION BY topic_id, delta_ltt ORDER BY p, theta_idx) - 1 AS i, count(*) OVER (PARTITION BY topic_id, delta_ltt) AS m FROM tested CROSS JOIN (SELECT unnest([0.05, 0.06, 0.07, 0.08, 0.09])::DOUBLE AS delta_ltt)),
+hm AS (SELECT *, max((p > delta_ltt / (m - i))::INT) OVER (PARTITION BY topic_id, delta_ltt ORDER BY p, theta_idx ROWS UNBOUNDED PRECEDING) = 0 AS certified FROM bs)""",
+        "SELECT topic_id, delta_ltt, n_certified, theta_idx FROM (SELECT *, count(*) FILTER (certified) OVER (PARTITION BY topic_id, delta_ltt) AS n_certified, row_number() OVER (PARTITION BY topic_id, delta_ltt ORDER BY CASE WHEN certified THEN cost ELSE 'inf'::DOUBLE END, theta_idx) AS r FROM hm) WHERE r = 1"),
+    "hh_mixture_estimate": _with(_SAMPLE_SQL.replace("{weight}", "CASE WHEN rank <= 100 THEN 0.9::DOUBLE / least(n_docs, 100) ELSE (1 - 0.9::DOUBLE) / greatest(n_docs - least(n_docs, 100), 1) END"), "SELECT topic_id, round(avg(rel / p), 3) AS total, round(var_pop(rel / p) / (count(*) - 1), 3) AS variance FROM sm GROUP BY topic_id"),
+    "ht_power_law_estimate": _with(_SAMPLE_SQL.replace("{weight}", "pow(rank::DOUBLE, -0.1::DOUBLE)"), "SELECT topic_id, round(sum(rel / pi), 3) AS total, round(sum(rel * (1 - pi) / (pi * pi)), 3) AS variance FROM sm GROUP BY topic_id"),
+    "score_distribution_cutoff": f"WITH z AS (SELECT o_orderpriority AS topic_id, o_orderstatus = 'F' AS rel, (o_totalprice - avg(o_totalprice) OVER w) / nullif(stddev_pop(o_totalprice) OVER w, 0) AS z FROM orders WINDOW w AS (PARTITION BY o_orderpriority)), c AS (SELECT avg(z) + {inverse_normal(1 - 0.95)!r}::DOUBLE * stddev_pop(z) AS cutoff FROM z WHERE rel) SELECT topic_id, round(any_value(cutoff), 9) AS cutoff, count(*) FILTER (z >= cutoff) AS n_kept FROM z, c GROUP BY topic_id",
     "alpha_sweep": _with(GRID + f""",
 sw AS (SELECT *, {_p_sql('alpha')} AS p FROM risks CROSS JOIN (SELECT unnest([0.01, 0.05, 0.1, 0.15, 0.2, 0.3])::DOUBLE AS alpha)),
 st AS (SELECT *, row_number() OVER (PARTITION BY topic_id, alpha ORDER BY p, theta_idx) - 1 AS i, count(*) OVER (PARTITION BY topic_id, alpha) AS m FROM sw),

@@ -23,11 +23,11 @@ def _calibrated(spark: SparkSession, sf_dir: str, done: dict[str, DataFrame]) ->
 
 
 def _certified(spark: SparkSession, sf_dir: str, done: dict[str, DataFrame]) -> DataFrame:
-    return certify.certify(done["scores"].where("is_split = 1"))
+    return certify.certify(done["calibrated"].where("is_split = 1"))
 
 
 def _routes(spark: SparkSession, sf_dir: str, done: dict[str, DataFrame]) -> DataFrame:
-    return routing.routed(done["scores"].where("is_split = 2"), done["certificate"].where("status = 'certified'"))
+    return routing.routed(done["calibrated"].where("is_split = 2"), done["certificate"].where("status = 'certified'"))
 
 
 def _metrics(spark: SparkSession, sf_dir: str, done: dict[str, DataFrame]) -> DataFrame:

@@ -12,6 +12,7 @@ from ..session import landed, table
 from ..sources import judgments, stores
 from ..streaming import events as feed
 from . import corpus
+from .screening_queries import SCORED, _with
 
 QUERY = ["thion", "thea", "onst", "reer", "thea", "ndre"]
 TERMS = ["idiot", "thea", "onst", "eaux", "keit", "ciones", "zzzzzz", "token"]
@@ -26,6 +27,11 @@ def _round(df: DataFrame, *columns: str, places: int = 6) -> DataFrame:
     return df.withColumns({c: F.round(c, places) for c in columns})
 
 
+def _every(parts, n: int, k: int):
+    """The k-th of every n parts of a text."""
+    return F.filter(parts, lambda x, i: i % n == k)
+
+
 def _judgments(spark, d):
     """record_id, criterion_order, criterion_id, satisfies, confidence of the order lines: a criterion each."""
     said = F.when(F.col("l_returnflag") == "A", "true").when(F.col("l_returnflag") == "R", "false").otherwise("unclear")
@@ -34,7 +40,7 @@ def _judgments(spark, d):
 
 JUDGED = """j AS (SELECT l_orderkey AS record_id, l_linenumber AS criterion_order, l_partkey AS criterion_id, 'criterion ' || l_partkey AS criterion_text,
   CASE l_returnflag WHEN 'A' THEN least(greatest(l_quantity / 60, 0), 1) WHEN 'R' THEN least(1 - least(greatest(l_quantity / 60, 0), 1), 0.3::DOUBLE) ELSE 0.5::DOUBLE END AS p FROM lineitem),
-fused AS (SELECT record_id, count(*) AS n_criteria, least(greatest(1 - product(1 - p), 0), 1) AS p_include FROM j GROUP BY record_id)"""
+fused AS (SELECT record_id, count(*) AS n_criteria, round(least(greatest(1 - product(1 - p), 0), 1), 12) AS p_include FROM j GROUP BY record_id)"""
 DECIDE = "CASE WHEN {p} >= 0.7::DOUBLE THEN 'INCLUDE' WHEN {p} <= 0.25::DOUBLE THEN 'EXCLUDE' ELSE 'UNCERTAIN' END"
 TOKENS = "regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')"
 STOP = "[" + ", ".join(f"'{w}'" for w in tx.SEARCH_STOPWORDS) + "]"
@@ -46,7 +52,7 @@ def p_satisfy_map(spark, d):
 
 
 def noisy_or_decision(spark, d):
-    return _round(screening.fused(screening.judged(_judgments(spark, d)), ["record_id"]), "p_include", "confidence").where("abs(p_include - 0.7) > 1e-5 AND abs(p_include - 0.25) > 1e-5")
+    return _round(screening.fused(screening.judged(_judgments(spark, d)), ["record_id"]), "p_include", "confidence")
 
 
 def screen_all(spark, d):
@@ -102,9 +108,8 @@ def dense_topk(spark, d):
 
 
 def nearest_examples(spark, d):
-    rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    # the buffer holds 40 examples: its capacity
-    return _round(ranking.nearest(rows, rows.orderBy("id").limit(40), 3), "score")
+    rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), F.when(F.col("label") == 1, 0.95).otherwise(0.5).alias("confidence"))
+    return _round(ranking.nearest(rows, rows, 3, 0.9), "score")
 
 
 def unit_vectors(spark, d):
@@ -180,12 +185,14 @@ def dedup_without_titles(spark, d):
 
 
 def phrase_extraction(spark, d):
-    first = F.substring_index(F.col("text"), "\n", 1)
-    return _docs(spark, d).select("doc_id", F.array_join(tx.phrases(first), "|").alias("phrases"))
+    found = tx.phrases(F.col("text"))
+    return _docs(spark, d).select("doc_id", F.size(found).alias("n"), F.md5(F.array_join(found, "|").cast("binary")).alias("digest"))
 
 
 def query_text(spark, d):
-    rows = table(spark, d, "benchmark").select("item_id", tx.phrases(F.substring_index(F.col("text"), ".", 1)).alias("a"), tx.phrases(F.substring_index(F.col("text"), ".", -2)).alias("b"))
+    part = F.split("text", r"\.\s*")
+    a, b = (F.array_join(_every(part, 2, odd), ", ") for odd in (0, 1))
+    rows = table(spark, d, "benchmark").select("item_id", tx.phrases(a).alias("a"), tx.phrases(b).alias("b"))
     return rows.select("item_id", tx.boolean_query(F.col("a"), F.col("b"), F.lit("2010"), F.lit("2020")).alias("query"), tx.keyword_query(F.array_join("a", " "), F.col("b")).alias("keywords"))
 
 
@@ -195,7 +202,7 @@ def sentence_candidates(spark, d):
 
 
 def section_split(spark, d):
-    text = F.concat(F.lit("Abstract\n"), F.substring_index(F.col("text"), ".", 1), F.lit("\nMethods:\n"), F.substring_index(F.col("text"), ".", -2), F.lit("\n2. Results\nnone\nMethods\nmore"))
+    text = F.concat(F.lit("Abstract\n"), tx.text_or_empty("text"), F.when(F.col("doc_id") % 3 > 0, F.lit("\nMethods:\nas above")).otherwise(""), F.when(F.col("doc_id") % 2 > 0, F.lit("\n2. Results\nnone\nMethods\nmore")).otherwise(""))
     rows = _docs(spark, d).select("doc_id", tx.text_sections(text).alias("sections"))
     return rows.select("doc_id", F.array_join(F.array_sort(F.map_keys("sections")), ",").alias("labels"), tx.parse_quality(F.col("sections")).alias("quality"))
 
@@ -214,18 +221,21 @@ def reply_verdicts(spark, d):
 
 
 def span_verify(spark, d):
-    rows = table(spark, d, "conversations").select("conv_id", "turn", "text", F.substring("text", 5, 40).alias("span"))
-    return screening.verify_spans(rows.withColumn("span", F.when(F.col("turn") % 2 == 0, F.upper("span")).otherwise("span")), "span", "text").select("conv_id", "turn", "verified")
+    # evidence as replies give it: word for word, in capitals, with some letters wrong, with many wrong
+    rows = table(spark, d, "conversations").select("conv_id", "turn", "text", F.array_join(F.slice(F.split(F.trim("text"), r"\s+"), 3, 8), " ").alias("said"))
+    kind = F.col("turn") % 4
+    span = F.when(kind == 0, F.col("said")).when(kind == 1, F.upper("said")).when(kind == 2, F.regexp_replace("said", "^(.{9}).", "$1#")).otherwise(F.regexp_replace("said", "[aeiou]", "#"))
+    return screening.verify_spans(rows.withColumn("span", span), "span", "text").select("conv_id", "turn", "verified")
 
 
 def merge_canonical(spark, d):
-    fetched = _docs(spark, d).select(F.col("doc_id").alias("pmid"), F.col("source").alias("title"), "lang").where("lang = 'en'").drop("lang")
-    return dedup.complete_with(fetched, table(spark, d, "labels").select(F.col("doc_id").alias("pmid")))
+    fetched = _docs(spark, d).select(F.col("doc_id").alias("pmid"), F.col("source").alias("title"))
+    return dedup.complete_with(fetched, table(spark, d, "orders").select(F.col("o_orderkey").alias("pmid")))
 
 
 def missing_positives(spark, d):
-    have = _docs(spark, d).where("lang = 'en'").select(F.col("doc_id").alias("pmid"))
-    return judgments.missing_ids(table(spark, d, "labels").where("quality = 1").select(F.col("doc_id").alias("pmid")), have)
+    have = _docs(spark, d).select(F.col("doc_id").alias("pmid"))
+    return judgments.missing_ids(table(spark, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("pmid")), have)
 
 
 def topic_overlap_sets(spark, d):
@@ -296,7 +306,8 @@ def target_window(spark, d):
 
 
 def stopping_state(spark, d):
-    return baselines.stopping_state(evaluator.rank_windows(_judged(spark, d)))
+    state = baselines.stopping_state(evaluator.rank_windows(_judged(spark, d)))
+    return state.select("topic_id", F.posexplode("state").alias("window", "rate")).withColumn("rate", F.round("rate", 9))
 
 
 def knee_points(spark, d):
@@ -311,12 +322,16 @@ def active_learning(spark, d):
 
 
 def validate_corpus(spark, d):
-    return review.check(corpus.scored(spark, d), "scored")
+    rows = landed(corpus.scored(spark, d), "scored")
+    spoilt = rows.withColumns({"s": F.col("s") * 1.05, "u": F.nullif("u", F.lit(1.0)), "is_split": F.when(F.col("y") == 1, 3).otherwise(F.col("is_split"))})
+    checks = [review.check(r, "scored").select(F.lit(n).alias("corpus"), "*") for n, r in (("scored", rows), ("spoilt", spoilt))]
+    return checks[0].unionByName(checks[1])
 
 
 def domain_keywords(spark, d):
     part = F.split("text", r"\.\s*")
-    rows = table(spark, d, "benchmark").select("item_id", F.struct(*[F.get(part, i).alias(n) for i, n in enumerate(("population", "intervention", "comparator", "outcome"))]).alias("pico"))
+    share = [F.array_join(_every(part, 4, k), "; ").alias(n) for k, n in enumerate(("population", "intervention", "comparator", "outcome"))]
+    rows = table(spark, d, "benchmark").select("item_id", F.struct(*share).alias("pico"))
     return review.keywords(rows, "item_id")
 
 
@@ -368,15 +383,15 @@ pk AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY CASE WHEN most
 _WORDS = {e: " OR ".join(f"contains(lower(s), '{w}')" for w in ws) for e, ws in tx.ELEMENT_WORDS.items()}
 
 SQL = {
-    "validate_corpus": "SELECT 0::BIGINT AS s, 0::BIGINT AS u, 0::BIGINT AS y, 0::BIGINT AS split",
+    "validate_corpus": _with(SCORED, "SELECT corpus, count(*) FILTER (NOT coalesce(s BETWEEN 0 AND 1, false)) AS s, count(*) FILTER (NOT coalesce(u BETWEEN 0 AND 1, false)) AS u, count(*) FILTER (NOT coalesce(y IN (0, 1), false)) AS y, count(*) FILTER (NOT coalesce(is_split IN (0, 1, 2), false)) AS split FROM (SELECT 'scored' AS corpus, s, u, y, is_split FROM scored UNION ALL SELECT 'spoilt', s * 1.05::DOUBLE, nullif(u, 1), y, CASE WHEN y = 1 THEN 3 ELSE is_split END FROM scored) GROUP BY corpus"),
     "element_candidates": f"SELECT doc_id, {', '.join(f'least(10, len(list_filter(ss, lambda s: {c}))) AS {e}' for e, c in _WORDS.items())} FROM (SELECT doc_id, {_SENT.replace('{n}', '15')} AS ss FROM documents)",
     "raw_scores": "SELECT topic_id, pmid, round(1.0::DOUBLE / (60 + a), 9) AS r_lexical, round(1.0::DOUBLE / (60 + b), 9) AS r_dense, round(1.0::DOUBLE / (60 + a) + 1.0::DOUBLE / (60 + b), 9) AS raw_score FROM (SELECT o_orderpriority AS topic_id, o_orderkey AS pmid, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice DESC, o_orderkey) AS a, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey DESC) AS b FROM orders)",
     "wss_by_topic": "SELECT topic_id, round(CASE WHEN recall >= 0.8::DOUBLE THEN saved END, 9) AS wss FROM (SELECT o_orderpriority AS topic_id, count(*) FILTER (o_orderstatus = 'F' AND o_totalprice > 60000) / nullif(count(*) FILTER (o_orderstatus = 'F'), 0) AS recall, count(*) FILTER (o_totalprice <= 60000) / count(*) - (1 - 0.8::DOUBLE) AS saved FROM orders GROUP BY 1)",
     "label_store": "SELECT CASE l_partkey % 4 WHEN 1 THEN 'Include' WHEN 0 THEN 'Exclude' ELSE 'Uncertain' END AS vote_label, count(*) AS n FROM lineitem GROUP BY 1",
     "ranked_label_topics": "SELECT o_orderpriority AS topic_id, count(*) AS n, count(*) FILTER (o_orderstatus = 'F') AS positives, first(o_orderkey ORDER BY o_totalprice DESC, o_orderkey) AS first FROM orders GROUP BY 1 HAVING count(*) >= 100",
     "p_satisfy_map": f"WITH {JUDGED} SELECT record_id, criterion_order, criterion_id, round(p, 6) AS p FROM j",
-    "noisy_or_decision": f"WITH {JUDGED} SELECT record_id, n_criteria, round(p_include, 6) AS p_include, {DECIDE.replace('{p}', 'p_include')} AS decision, round(CASE WHEN p_include >= 0.7::DOUBLE THEN p_include WHEN p_include <= 0.25::DOUBLE THEN 1 - p_include ELSE greatest(p_include, 1 - p_include) END, 6) AS confidence FROM fused WHERE abs(round(p_include, 6) - 0.7) > 1e-5 AND abs(round(p_include, 6) - 0.25) > 1e-5",
-    "screen_all": f"WITH {JUDGED}, f AS (SELECT l_orderkey AS record_id, count(*) AS n_criteria, least(greatest(1 - product(1 - p), 0), 1) AS p_include FROM (SELECT l_orderkey, CASE l_returnflag WHEN 'A' THEN l_quantity / 60 ELSE least(1 - l_quantity / 60, 0.3::DOUBLE) END AS p FROM lineitem WHERE l_returnflag IN ('A', 'R')) GROUP BY 1), h AS (SELECT o_orderkey AS record_id, coalesce(n_criteria, 0) AS n_criteria, coalesce(p_include, 0.5) AS q FROM orders LEFT JOIN f ON f.record_id = o_orderkey) SELECT record_id, n_criteria, round(q, 6) AS p_include, {DECIDE.replace('{p}', 'q')} AS decision, round(CASE WHEN q >= 0.7::DOUBLE THEN q WHEN q <= 0.25::DOUBLE THEN 1 - q ELSE greatest(q, 1 - q) END, 6) AS confidence FROM h",
+    "noisy_or_decision": f"WITH {JUDGED} SELECT record_id, n_criteria, round(p_include, 6) AS p_include, {DECIDE.replace('{p}', 'p_include')} AS decision, round(CASE WHEN p_include >= 0.7::DOUBLE THEN p_include WHEN p_include <= 0.25::DOUBLE THEN 1 - p_include ELSE greatest(p_include, 1 - p_include) END, 6) AS confidence FROM fused",
+    "screen_all": f"WITH {JUDGED}, f AS (SELECT l_orderkey AS record_id, count(*) AS n_criteria, round(least(greatest(1 - product(1 - p), 0), 1), 12) AS p_include FROM (SELECT l_orderkey, CASE l_returnflag WHEN 'A' THEN l_quantity / 60 ELSE least(1 - l_quantity / 60, 0.3::DOUBLE) END AS p FROM lineitem WHERE l_returnflag IN ('A', 'R')) GROUP BY 1), h AS (SELECT o_orderkey AS record_id, coalesce(n_criteria, 0) AS n_criteria, coalesce(p_include, 0.5) AS q FROM orders LEFT JOIN f ON f.record_id = o_orderkey) SELECT record_id, n_criteria, round(q, 6) AS p_include, {DECIDE.replace('{p}', 'q')} AS decision, round(CASE WHEN q >= 0.7::DOUBLE THEN q WHEN q <= 0.25::DOUBLE THEN 1 - q ELSE greatest(q, 1 - q) END, 6) AS confidence FROM h",
     "pico_penalty_decision": f"WITH {JUDGED}, g AS (SELECT record_id, least(greatest(CASE WHEN n_criteria > 4 THEN p_include * 0.8 ELSE p_include END, 0), 1) AS q FROM fused) SELECT record_id, round(q, 6) AS p, {DECIDE.replace('{p}', 'q')} AS decision FROM g",
     "first_exclusion_reason": f"WITH {JUDGED} SELECT record_id, substr(criterion_text, 1, 80) AS reason FROM (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY criterion_order, criterion_text) AS r FROM j WHERE p <= 0.25::DOUBLE) WHERE r = 1",
     "exclusion_top5": f"WITH {JUDGED}, e AS (SELECT record_id, substr(criterion_text, 1, 80) AS reason FROM (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY criterion_order, criterion_text) AS r FROM j WHERE p <= 0.25::DOUBLE) WHERE r = 1) SELECT reason, count(*) AS n FROM e GROUP BY reason ORDER BY n DESC, reason LIMIT 5",
@@ -386,7 +401,7 @@ SQL = {
     "bm25_scores": f"WITH {_BM25} SELECT doc_id, score FROM sc",
     "bm25_topk": f"WITH {_BM25} SELECT doc_id, score, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM sc ORDER BY score DESC, doc_id LIMIT 20",
     "dense_topk": f"SELECT vec_id, score, row_number() OVER (ORDER BY score DESC, vec_id) AS rank FROM (SELECT vec_id, round({_COS}, 6) AS score FROM embeddings) ORDER BY score DESC, vec_id LIMIT 20",
-    "nearest_examples": "SELECT query_id, example_id, round(score, 6) AS score FROM (SELECT q.vec_id AS query_id, e.vec_id AS example_id, list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) DESC, e.vec_id) AS r FROM embeddings q, (SELECT * FROM embeddings ORDER BY vec_id LIMIT 40) e) WHERE r <= 3",
+    "nearest_examples": "SELECT query_id, example_id, round(score, 6) AS score FROM (SELECT q.vec_id AS query_id, e.vec_id AS example_id, list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) DESC, e.vec_id) AS r FROM embeddings q, (SELECT * FROM embeddings WHERE label = 1) e) WHERE r <= 3",
     "unit_vectors": "SELECT vec_id, round(list_sum(embedding::DOUBLE[]) / sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])), 5) AS sum_unit FROM embeddings",
     "rrf_fusion": "SELECT topic_id, pmid, a AS rank_lexical, b AS rank_dense, round(1.0::DOUBLE / (60 + a) + 1.0::DOUBLE / (60 + b), 9) AS rrf, 1.0::DOUBLE / (60 + a) + 1.0::DOUBLE / (60 + b) >= 0.01::DOUBLE AS kept FROM (SELECT o_orderpriority AS topic_id, o_orderkey AS pmid, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice DESC, o_orderkey) AS a, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey DESC) AS b FROM orders)",
     "sentence_retrieval": f"WITH {_BEST} SELECT doc_id, position, hits FROM pk WHERE r <= 5",
@@ -402,8 +417,8 @@ SQL = {
     "markup_strip": r"SELECT page_id, md5(trim(regexp_replace(regexp_replace(coalesce(html, ''), '<[^>]+>', '', 'g'), '\s+', ' ', 'g'))) AS digest, substr(regexp_replace(regexp_replace(lower(url), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g'), 1, 48) AS slug FROM pages",
     "sentence_candidates": f"SELECT doc_id, len(c) AS n, md5(array_to_string(c, '|')) AS digest FROM (SELECT doc_id, list_filter({_SENT.replace('{n}', '15')}, lambda s: {_HITS} > 0)[1:10] AS c FROM documents)",
     "reply_verdicts": r"SELECT conv_id, turn, CASE WHEN contains(upper(t), 'INCLUDE') AND NOT contains(upper(t), 'EXCLUDE') THEN 'INCLUDE' ELSE 'EXCLUDE' END AS verdict, substr(trim(regexp_extract(t, '(?is)EXCLUDE[:\s]+(.+)', 1)), 1, 40) AS reason FROM (SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 'INCLUDE: ' ELSE 'Exclude: ' END || text AS t FROM conversations)",
-    "merge_canonical": "SELECT doc_id AS pmid, source AS title FROM documents WHERE lang = 'en' UNION ALL SELECT DISTINCT doc_id, NULL FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE lang = 'en')",
-    "missing_positives": "SELECT DISTINCT doc_id AS pmid FROM labels WHERE quality = 1 AND doc_id NOT IN (SELECT doc_id FROM documents WHERE lang = 'en')",
+    "merge_canonical": "SELECT doc_id AS pmid, source AS title FROM documents UNION ALL SELECT DISTINCT o_orderkey, NULL FROM orders WHERE o_orderkey NOT IN (SELECT doc_id FROM documents)",
+    "missing_positives": "SELECT DISTINCT o_orderkey AS pmid FROM orders WHERE o_orderstatus = 'F' AND o_orderkey NOT IN (SELECT doc_id FROM documents)",
     "topic_overlap_sets": "WITH a AS (SELECT DISTINCT l_orderkey FROM lineitem WHERE l_returnflag = 'A'), b AS (SELECT DISTINCT l_orderkey FROM lineitem WHERE l_returnflag = 'R') SELECT *, n_only_a = 0 AND n_only_b = 0 AS equal FROM (SELECT (SELECT count(*) FROM (FROM a INTERSECT FROM b)) AS n_both, (SELECT count(*) FROM (FROM a EXCEPT FROM b)) AS n_only_a, (SELECT count(*) FROM (FROM b EXCEPT FROM a)) AS n_only_b)",
     "confusion_metrics": "WITH c AS (SELECT count(*) AS n_total, count(quality) AS n_judged, count(*) FILTER (quality = 1 AND n_chars >= 800) AS tp, count(*) FILTER (quality = 0 AND n_chars >= 800) AS fp, count(*) FILTER (quality = 1 AND n_chars < 800) AS fn, count(*) FILTER (quality = 0 AND n_chars < 800) AS tn FROM documents LEFT JOIN labels USING (doc_id)), w AS (SELECT *, tp / (tp + fn) AS x, (tp + fn)::DOUBLE AS n FROM c) SELECT n_total, n_judged, tp, fp, fn, tn, round(x, 9) AS recall, round(1 - x, 9) AS fnr, round((tn + fn) / n_total - 0.05, 9) AS wss, round(n_judged / n_total, 9) AS coverage, round((x + 3.8416 / (2 * n) - 1.96 * sqrt(x * (1 - x) / n + 3.8416 / (4 * n * n))) / (1 + 3.8416 / n), 9) AS recall_low, round((x + 3.8416 / (2 * n) + 1.96 * sqrt(x * (1 - x) / n + 3.8416 / (4 * n * n))) / (1 + 3.8416 / n), 9) AS recall_high FROM w",
     "precision_recall_f2": "WITH c AS (SELECT count(*) FILTER (quality = 1 AND n_chars >= 800) AS tp, count(*) FILTER (quality = 0 AND n_chars >= 800) AS fp, count(*) FILTER (quality = 1 AND n_chars < 800) AS fn FROM documents LEFT JOIN labels USING (doc_id)), p AS (SELECT tp / (tp + fp) AS p, tp / (tp + fn) AS r FROM c) SELECT round_even(p, 4) AS precision, round_even(r, 4) AS recall, round_even(2 * p * r / (p + r), 4) AS f1, round_even(5 * p * r / (4 * p + r), 4) AS f2 FROM p",
@@ -416,5 +431,6 @@ SQL = {
     "loss_measures": f"WITH {_RUN}, s AS (SELECT topic_id, any_value(n_docs) AS n, any_value(n_rel) AS rels, count(*) FILTER (rank <= 500) AS shown, count(*) FILTER (rank <= 500 AND rel = 1) AS found FROM jr GROUP BY topic_id), x AS (SELECT topic_id, found / rels AS r, (100 / n) ** 2 * (shown / (rels + 100)) ** 2 AS e FROM s) SELECT topic_id, round(r, 9) AS r, round((1 - r) ** 2, 9) AS loss_r, round(e, 9) AS loss_e, round((1 - r) ** 2 + e, 9) AS loss_er FROM x",
     "cost_measures": f"WITH {_RUN}, a AS (SELECT *, sum((rank > 900 AND rel = 1)::INT) OVER (PARTITION BY topic_id ORDER BY rank) AS k FROM jr) SELECT topic_id, sum(CASE WHEN rank <= 300 THEN 3 WHEN rank <= 900 THEN 1 ELSE 0 END)::BIGINT AS cost, round(count(*) FILTER (rank > 900 AND rel = 1) / any_value(n_rel) * any_value(n_docs), 6) AS penalty_uniform, round(coalesce(sum(CASE WHEN rank > 900 AND rel = 1 THEN 2.0::DOUBLE ** (-k) END), 0) * any_value(n_docs), 6) AS penalty_weighted FROM a GROUP BY topic_id",
     "rank_window_features": f"WITH {_RUN} SELECT topic_id, w::INT AS window, count(*) AS n, sum(rel)::BIGINT AS n_rel, round(avg(rel), 9) AS rate FROM (SELECT *, (rank - 1) // greatest(n_docs // 100, 1) AS w FROM jr) WHERE w < 100 GROUP BY topic_id, w",
+    "stopping_state": f"WITH {_RUN}, f AS (SELECT topic_id, w, avg(rel) AS rate FROM (SELECT *, (rank - 1) // greatest(n_docs // 100, 1) AS w FROM jr) WHERE w < 100 GROUP BY topic_id, w) SELECT t.topic_id, x.i::INT AS window, round(coalesce(rate, -1), 9) AS rate FROM (SELECT DISTINCT topic_id FROM f) t CROSS JOIN range(100) x(i) LEFT JOIN f ON f.topic_id = t.topic_id AND f.w = x.i",
     "target_window": f"WITH {_RUN}, f AS (SELECT topic_id, w, sum(rel) AS r, any_value(n_rel) AS t FROM (SELECT *, (rank - 1) // greatest(n_docs // 100, 1) AS w FROM jr) WHERE w < 100 GROUP BY topic_id, w), c AS (SELECT *, sum(r) OVER (PARTITION BY topic_id ORDER BY w) AS c FROM f) SELECT topic_id, min(w)::INT AS window FROM c WHERE c >= 0.8::DOUBLE * t GROUP BY topic_id",
 }
