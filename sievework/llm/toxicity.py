@@ -264,14 +264,7 @@ class Nystroem:
         self.map = self.map[self.used]
 
     def of(self, codes: np.ndarray, sentence: np.ndarray, sentences: int) -> np.ndarray:
-        """Values of sentences, from their units' symbols and each unit's sentence (ascending)."""
-        out = []
-        for a in range(0, sentences, 256):
-            low, high = np.searchsorted(sentence, (a, a + 256))
-            n = np.bincount(sentence[low:high] - a, minlength=min(256, sentences - a))
-            rows = subsequences(codes[low:high], sentence[low:high] - a, len(n))
-            out.append((rows[:, self.used] @ self.map) / np.sqrt(np.maximum(n, 1))[:, None])
-        return np.concatenate(out) if out else np.zeros((0, self.map.shape[1]))
+        return kernel_values(self.used, self.map, codes, sentence, sentences)
 
     def table(self, w: np.ndarray) -> np.ndarray:
         """The subsequence weights of a combination of the values."""
@@ -280,6 +273,17 @@ class Nystroem:
         return out
 
 
+def kernel_values(used: np.ndarray, whitened: np.ndarray, codes: np.ndarray, sentence: np.ndarray, sentences: int) -> np.ndarray:
+    """Whitened values of sentences, from their units' symbols and each unit's sentence (ascending)."""
+    out = []
+    for a in range(0, sentences, 256):
+        low, high = np.searchsorted(sentence, (a, a + 256))
+        n = np.bincount(sentence[low:high] - a, minlength=min(256, sentences - a))
+        rows = subsequences(codes[low:high], sentence[low:high] - a, len(n))
+        out.append((rows[:, used] @ whitened) / np.sqrt(np.maximum(n, 1))[:, None])
+    return np.concatenate(out) if out else np.zeros((0, whitened.shape[1]))
+
+
 def unit_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """unit (its symbols), and the numbers of toxic and other documents with it; input: doc_id, text, toxic."""
     for _, text, toxic in blocks(batches):
@@ -316,7 +320,7 @@ def choose_landmarks(sample: DataFrame, n_bad: int, n_good: int) -> tuple[np.nda
     return _symbols(telling + [u for u in dict.fromkeys(common + rare) if u not in set(telling)]), len(telling)
 
 
-def _chosen_sentences(nystroem: Nystroem, table: np.ndarray):
+def _chosen_sentences(shared, table: np.ndarray):
     """Per document the values of its WORST worst sentences, and of one drawn by the document's number."""
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -333,7 +337,7 @@ def _chosen_sentences(nystroem: Nystroem, table: np.ndarray):
             by = np.argsort(picked, kind="stable")
             at = np.flatnonzero(np.isin(units.sentence, picked))
             own = np.unique(picked)
-            values = nystroem.of(units.matrix(at), np.searchsorted(own, units.sentence[at]), len(own)).astype("<f4")
+            values = kernel_values(*shared.value, units.matrix(at), np.searchsorted(own, units.sentence[at]), len(own)).astype("<f4")
             worst = (np.arange(len(picked)) < len(most))[by]
             of = number[picked[by]]
             yield pa.RecordBatch.from_pydict({"doc_id": [doc_id[i] for i in of], "toxic": [toxic[i] for i in of], "worst": worst.tolist(), "body": [values[i].tobytes() for i in np.searchsorted(own, picked[by])]}, schema=pa.schema([("doc_id", pa.int64()), ("toxic", pa.int64()), ("worst", pa.bool_()), ("body", pa.binary())]))
@@ -365,8 +369,10 @@ def fit(sample: DataFrame, share: tuple[float, float] = (1.0, 1.0)) -> dict:
     extra = nystroem.of(spoilt, np.arange(len(spoilt)), len(spoilt))
     # at first, the worst sentences are those most like the telling landmarks
     table = nystroem.vectors[:telling].mean(axis=0) - (nystroem.vectors[telling:].mean(axis=0) if telling < len(marks) else 0)
+    # at most LANDMARKS columns of the subsequences that landmarks have, sent once
+    shared = sample.sparkSession.sparkContext.broadcast((nystroem.used, nystroem.map))
     for _ in range(ROUNDS):
-        rows = fitting.mapInArrow(_chosen_sentences(nystroem, table), "doc_id long, toxic long, worst boolean, body binary")
+        rows = fitting.mapInArrow(_chosen_sentences(shared, table.astype(np.float32)), "doc_id long, toxic long, worst boolean, body binary")
         # WORST + 1 short rows of numbers at most for each document of the bounded sample
         got = rows.where("toxic = 0 or worst").orderBy("doc_id", "worst").collect()
         x = np.concatenate((np.stack([np.frombuffer(r["body"], "<f4") for r in got]), extra)).astype(float) if got else extra
@@ -374,7 +380,8 @@ def fit(sample: DataFrame, share: tuple[float, float] = (1.0, 1.0)) -> dict:
         weight = np.r_[np.ones(len(got)), np.full(len(spoilt), 0.2)]
         weight = np.where(y > 0, weight / max(weight[y > 0].sum(), 1e-9), weight / max(weight[y < 0].sum(), 1e-9)) * len(y) / 2
         w = svm(x, y, weight)
-        table, constant = nystroem.table(w[:-1]), float(w[-1])
+        table, constant = nystroem.table(w[:-1]).astype(np.float32), float(w[-1])
+    shared.destroy()
     rows = staged(sample.withColumn("apart", apart).where("apart").drop("apart").mapInArrow(_pooled_sample(table, constant), "doc_id long, toxic long, body binary"), "toxic-pooled").orderBy("doc_id").collect()
     if len({r["toxic"] for r in rows}) < 2:
         rows = sample.mapInArrow(_pooled_sample(table, constant), "doc_id long, toxic long, body binary").orderBy("doc_id").collect()
