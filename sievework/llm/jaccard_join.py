@@ -6,13 +6,18 @@ Links are found in three steps, none of which lists the pairs of a group of copi
 2. Shards send their distinct shingles, once each with a count, to the bucket of their hash, and learn
    which of them several sets have, and about how many. A set of which fewer than ``percent`` in a
    hundred shingles are shared links with nothing. The others have, in one order of all shingles from
-   rare to frequent, a prefix that any set they link with shares a shingle of. Their components by
-   shared prefix shingles are the areas that have to be searched.
-3. Each area is cut into blocks of similar set sizes and bounded numbers; each pair of blocks that
-   can hold links is one T-occurrence search: a block's sets become inverted lists; for each query
-   set the short lists are merged, the longest ones only probed by binary search (DivideSkip), and
-   documents that reach the required overlap are linked. A query skips what is linked to it already,
-   so a dense group costs no more than its spanning tree.
+   rare to frequent, a prefix that any set they link with shares a shingle of.
+3. Sets can only meet in shingles that several sets have. So of sets that agree in all of these, the
+   smallest links with whatever another of them links with: those that link with it leave the search,
+   and those that don't are searched for only if it has a link at all.
+4. Components by shared prefix shingles are the areas that have to be searched. Small areas are packed
+   together. A large one is cut by its prefix shingles: all sets with a rare one are a unit (units of
+   the same sets are one); sets with a frequent one are cut into blocks of similar set sizes and bounded
+   numbers, and each pair of blocks of an area that frequent shingles connect is a unit.
+5. Each unit is one T-occurrence search: its sets become inverted lists; for each query set the short
+   lists are merged, the longest ones only probed by binary search (DivideSkip), and documents that reach
+   the required overlap are linked. A query skips what is linked to it already, so a dense group costs
+   no more than its spanning tree.
 """
 
 from __future__ import annotations
@@ -31,6 +36,8 @@ from .suffix_dedup import _bucket_rows, _read_shard, _read_shard_parts, mixed
 
 #: Documents of a block, about; shingles that a task gathers before it sends them.
 BLOCK, GATHER = 256, 1 << 20
+#: Sets that share a rare prefix shingle at most: they are a unit of their own.
+RARE = 64
 #: Bits of a shingle's hash within a set, and of what travels to its bucket (six bytes).
 BITS, SENT = 52, 48
 #: Cost of a probe against a merge step in the choice of the long lists.
@@ -223,8 +230,11 @@ def _shared_shingles(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["shard", "payload"])
 
 
+_FOUND = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("body", pa.binary()), ("tokens", pa.list_(pa.int64())), ("part", pa.int64()), ("shared", pa.int64())])
+
+
 def _candidates(root: str, shared_root: str, k: int, percent: int):
-    """Candidate documents with their sets and prefix shingles."""
+    """Candidate documents with their sets, prefix shingles, and a fingerprint and number of their shared shingles."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, keys, rarity = None, np.zeros(0, np.uint64), np.zeros(0, np.uint8)
@@ -241,10 +251,12 @@ def _candidates(root: str, shared_root: str, k: int, percent: int):
             rare = np.where(keys[place] == mine, rarity[place], 0)
             ends, out = np.cumsum(count), []
             shared = np.add.reduceat(np.append(rare > 0, False).astype(np.int64), np.append(0, ends[:-1])) if len(count) else ends
+            sums = np.concatenate(([np.uint64(0)], np.cumsum(np.where(rare > 0, mixed(h + np.uint64(0x9FB21C651E98DF25)), np.uint64(0)), dtype=np.uint64)))
             for d in np.flatnonzero((count > 0) & (shared * 100 >= percent * count)):
                 own = slice(ends[d] - count[d], ends[d])
-                out.append((ids[d], count[d], h[own].tobytes(), prefix_tokens(h[own], rare[own], percent).astype(np.int64).tolist()))
-            yield pa.RecordBatch.from_pydict({n: [o[i] for o in out] for i, n in enumerate(("doc_id", "n", "body", "tokens"))}, schema=pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("body", pa.binary()), ("tokens", pa.list_(pa.int64()))]))
+                part = int((sums[ends[d]] - sums[ends[d] - count[d]]) >> np.uint64(1))
+                out.append((ids[d], count[d], h[own].tobytes(), prefix_tokens(h[own], rare[own], percent).astype(np.int64).tolist(), part, int(shared[d])))
+            yield pa.RecordBatch.from_pydict({f.name: [o[i] for o in out] for i, f in enumerate(_FOUND)}, schema=_FOUND)
 
     return find
 
@@ -261,17 +273,34 @@ def _search(percent: int):
     return search
 
 
-def _units(candidates: DataFrame, areas: DataFrame, percent: int) -> DataFrame:
-    """unit, side (0: both, 1: query, 2: indexed), doc_id, body: each pair of blocks that can hold links is a unit."""
+def _units(bodies: DataFrame, tokens: DataFrame, areas: DataFrame, percent: int) -> DataFrame:
+    """unit, side (0: both, 1: query, 2: indexed), doc_id, body: what has to be searched together.
+
+    ``bodies``: doc_id, n, body; ``tokens``: the prefix shingles that several sets have, doc_id and token;
+    ``areas``: doc_id and area.
+    """
     ratio = float(np.log(100 / percent) * 1.0001)
-    where = candidates.select("doc_id", "n").join(areas.select(F.col("node").alias("doc_id"), F.col("component").alias("area")), "doc_id")
-    where = staged(where.withColumn("step", F.floor(F.log(F.col("n").cast("double")) / ratio)), "join-areas")
+    where = staged(areas.join(bodies.select("doc_id", F.floor(F.log(F.col("n").cast("double")) / ratio).alias("step")), "doc_id"), "join-areas")
     sizes = staged(where.groupBy("area").agg(F.count("*").alias("docs")), "join-sizes")
-    small = sizes.where(F.col("docs") <= BLOCK // 4)
+    small = sizes.where(F.col("docs") <= RARE)
     packs = max(1, -(-(small.agg(F.sum("docs")).first()[0] or 0) // BLOCK))
     # an area may hold a third of all rows: the adaptive planner splits these joins' large partitions
-    packed = where.join(small.select("area"), "area").select(F.concat(F.lit("p"), F.pmod(F.xxhash64("area"), F.lit(packs))).alias("unit"), F.lit(0).alias("side"), "doc_id")
-    big = where.join(sizes.where(F.col("docs") > BLOCK // 4).select("area"), "area")
+    units = where.join(small.select("area"), "area").select(F.concat(F.lit("p"), F.pmod(F.xxhash64("area"), F.lit(packs))).alias("unit"), F.lit(0).alias("side"), "doc_id")
+    large = staged(where.join(sizes.where(F.col("docs") > RARE).select("area"), "area").select("doc_id", "step"), "join-large")
+    if not large.isEmpty():
+        units = units.unionByName(_cut(large, tokens.join(large.select("doc_id"), "doc_id")))
+    return units.join(bodies.select("doc_id", "body"), "doc_id")
+
+
+def _cut(large: DataFrame, tokens: DataFrame) -> DataFrame:
+    """unit, side, doc_id of large areas. ``large``: doc_id, step; ``tokens``: their doc_id, token."""
+    use = staged(tokens.groupBy("token").agg(F.count("*").alias("docs"), F.sum(F.xxhash64("doc_id").cast("decimal(38,0)")).alias("sum"), F.sum(F.xxhash64(F.col("doc_id") + 1, "doc_id").cast("decimal(38,0)")).alias("more"), F.min("doc_id").alias("centre")).where("docs > 1"), "join-uses")
+    # a rare shingle's sets are at most RARE; shingles of the same sets (by two sums of hashes) are one unit
+    kinds = use.where(F.col("docs") <= RARE).groupBy("docs", "sum", "more").agg(F.min("token").alias("token"))
+    often = use.where(F.col("docs") > RARE).select("token", "docs", "centre")
+    rare = tokens.join(kinds.select("token"), "token").select(F.concat(F.lit("t"), "token").alias("unit"), F.lit(0).alias("side"), "doc_id")
+    areas = components(_with_uses(tokens, often).select(F.col("doc_id").alias("u"), F.col("centre").alias("v")), "join-often").select(F.col("node").alias("doc_id"), F.col("component").alias("area"))
+    big = staged(large.join(areas, "doc_id"), "join-big")
     count = staged(big.groupBy("area", "step").agg(F.ceil(F.count("*") / BLOCK).alias("m")), "join-blocks")
     own = big.join(count, ["area", "step"]).withColumn("i", F.pmod(F.xxhash64("doc_id"), F.col("m")))
     after = count.select("area", (F.col("step") - 1).alias("step"), F.col("m").alias("m_next"))
@@ -289,8 +318,51 @@ def _units(candidates: DataFrame, areas: DataFrame, percent: int) -> DataFrame:
     up = F.transform(upto(F.coalesce("m_next", F.lit(0).cast("long"))), lambda j: F.struct(name(F.col("step"), F.col("i"), F.col("step") + 1, j).alias("unit"), F.lit(1).alias("side")))
     down = F.transform(upto(F.coalesce("m_last", F.lit(0).cast("long"))), lambda j: F.struct(name(F.col("step") - 1, j, F.col("step"), F.col("i")).alias("unit"), F.lit(2).alias("side")))
     spread = own.select("doc_id", F.explode(F.concat(none, same, up, down)).alias("x")).select("x.unit", "x.side", "doc_id")
-    units = packed.unionByName(spread)
-    return units.join(candidates.select("doc_id", "body"), "doc_id")
+    return rare.unionByName(spread)
+
+
+def _with_uses(tokens: DataFrame, uses: DataFrame) -> DataFrame:
+    """The inner join of doc_id, token rows with token, docs and more. Tokens of over a thousandth of all rows are joined apart: at most 1000."""
+    total = uses.agg(F.sum("docs")).first()[0] or 0
+    hot, other = uses.where(F.col("docs") * 1000 > total), uses.where(F.col("docs") * 1000 <= total)
+    return tokens.join(F.broadcast(hot), "token").unionByName(tokens.join(F.broadcast(hot.select("token")), "token", "left_anti").join(other, "token"))
+
+
+def _areas(tokens: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Prefix shingles that several sets have, as doc_id and token, and doc_id and area of those sets."""
+    centres = staged(tokens.groupBy("token").agg(F.min("doc_id").alias("centre"), F.max("doc_id").alias("last"), F.count("*").alias("docs")).where("centre < last").drop("last"), "join-centres")
+    found = staged(_with_uses(tokens, centres).select("doc_id", "token", "centre"), "join-tokens")
+    areas = components(found.select(F.col("doc_id").alias("u"), F.col("centre").alias("v")), "join-area")
+    return found.select("doc_id", "token"), areas.select(F.col("node").alias("doc_id"), F.col("component").alias("area"))
+
+
+def _links(candidates: DataFrame, percent: int) -> DataFrame:
+    """u, v: links enough to connect all candidates that are linked. ``candidates``: doc_id, n, body, tokens, part, shared."""
+    light = candidates.select("doc_id", "n", "part", "shared")
+    first = light.groupBy("part", "shared").agg(F.min(F.struct("n", "doc_id")).alias("f"), F.count("*").alias("docs")).select("part", "shared", F.col("f.n").alias("least"), F.col("f.doc_id").alias("first"), "docs")
+    # a third of all candidates may agree in their shared shingles: the adaptive planner splits this join
+    agreed = staged(light.join(first.where("docs > 1"), ["part", "shared"]).where("doc_id <> first"), "join-agreed")
+    near = F.col("shared") * (100 + percent) >= percent * (F.col("n") + F.col("least"))
+    out = agreed.where(near).select(F.col("first").alias("u"), F.col("doc_id").alias("v"))
+    far = staged(agreed.where(~near).select("doc_id", "first"), "join-far")
+
+    def search(rows: DataFrame, name: str, among: DataFrame | None = None) -> DataFrame:
+        tokens, areas = _areas(rows.select("doc_id", F.explode("tokens").alias("token")))
+        if among is not None:  # only areas with one of these
+            areas = areas.join(areas.join(among, "doc_id").select("area").distinct(), "area", "left_semi")
+            tokens = tokens.join(areas.select("doc_id"), "doc_id", "left_semi")
+        return staged(_units(rows, tokens, areas, percent).groupBy("unit").applyInPandas(_search(percent), "u long, v long"), name)
+
+    heads = candidates.join(agreed.select("doc_id"), "doc_id", "left_anti")
+    found = search(heads, "join-links")
+    out = out.unionByName(found)
+    if not far.isEmpty():
+        ends = found.select(F.col("u").alias("first")).unionByName(found.select(F.col("v").alias("first"))).distinct()
+        alive = staged(far.join(ends, "first").select("doc_id"), "join-alive")
+        if not alive.isEmpty():
+            both = candidates.join(agreed.select("doc_id").join(alive, "doc_id", "left_anti"), "doc_id", "left_anti")
+            out = out.unionByName(search(both, "join-more", alive))
+    return out
 
 
 def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
@@ -298,8 +370,8 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFr
 
     A document's set are the distinct shingles of k words, or its whole word sequence if it has fewer;
     documents link when 100 * intersection >= percent * union; component_id is the smallest doc_id
-    that links reach. Texts that are null, empty or white space have an empty set and link with
-    nothing, not even with each other. Rows that share a doc_id are one node, so their links add up;
+    that links reach. Texts of any length are taken whole. Texts that are null, empty or white space have
+    an empty set and link with nothing, not even with each other; equal texts (ties) link. Rows that share a doc_id are one node, so their links add up;
     rows without a doc_id are left out; an empty table gives an empty result; extra columns are ignored.
     """
     spark = docs.sparkSession
@@ -321,14 +393,10 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFr
     same.select("at", "stands", "print1").repartition("at").mapInPandas(packed, "shard long, payload binary").write.partitionBy("shard").parquet(chosen)
     sent = rows.mapInArrow(_send_shingles(chosen, k, 2 * slots(spark)), "bucket long, shard long, payload binary")
     sent.groupBy("bucket").applyInPandas(_shared_shingles, "shard long, payload binary").repartition("shard").write.partitionBy("shard").parquet(shared)
-    candidates = staged(rows.mapInArrow(_candidates(chosen, shared, k, percent), "doc_id long, n long, body binary, tokens array<long>"), "join-candidates", body_path)
+    candidates = staged(rows.mapInArrow(_candidates(chosen, shared, k, percent), "doc_id long, n long, body binary, tokens array<long>, part long, shared long"), "join-candidates", body_path)
     for path in (chosen, shared, text_path):
         drop_dir(spark, path)
-    tokens = candidates.select("doc_id", F.explode("tokens").alias("token"))
-    centres = tokens.groupBy("token").agg(F.min("doc_id").alias("centre"), F.max("doc_id").alias("last")).where("centre < last").select("token", "centre")
-    # a shingle may be in a third of all candidates' prefixes: the adaptive planner splits this join's large partitions
-    areas = components(tokens.join(centres, "token").select(F.col("doc_id").alias("u"), F.col("centre").alias("v")), "join-area")
-    links = staged(_units(candidates, areas, percent).groupBy("unit").applyInPandas(_search(percent), "u long, v long"), "join-links")
+    links = staged(_links(candidates, percent), "join-all")
     drop_dir(spark, body_path)
     # rows that share a doc_id but not their set are one node
     own = members.where("doc_id <> stands").select(F.col("doc_id").alias("u"), F.col("stands").alias("v")).join(members.groupBy("doc_id").agg(F.count_distinct("stands").alias("n")).where("n > 1").select(F.col("doc_id").alias("u")), "u")

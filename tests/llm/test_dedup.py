@@ -149,6 +149,59 @@ def test_jaccard_components(spark):
     assert jaccard_components(fixtures.empty(spark)).collect() == []
 
 
+def test_jaccard_of_large_areas(spark, monkeypatch):
+    """Areas above the limits, made of chains, of one passage with tails, and of one group with changes, lose no link."""
+    import random
+
+    from sievework.llm import jaccard_join
+
+    monkeypatch.setattr(jaccard_join, "RARE", 4)
+    monkeypatch.setattr(jaccard_join, "BLOCK", 6)
+    draw = random.Random(7)
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(60):  # a chain: each shares most with the next only
+        rows.append((i, " ".join(f"c{j}" for j in range(4 * i, 4 * i + 70))))
+    for i in range(60):  # one passage, each with a tail of its own
+        rows.append((100 + i, " ".join(base + [f"t{i}_{j}" for j in range(draw.randrange(9))])))
+    for i in range(60):  # one group, changed in few places to few things
+        words = list(base)
+        for _ in range(draw.randrange(4)):
+            words[draw.randrange(60)] = f"x{draw.randrange(5)}"
+        rows.append((200 + i, " ".join(words[draw.randrange(3):])))
+    draw.shuffle(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for k, percent in ((3, 90), (1, 80)):
+        assert sorted(map(tuple, jaccard_join.jaccard_components(docs, k, percent).collect())) == _components(rows, k, percent)
+
+
+def test_rows_of_one_passage_are_linear(spark):
+    """Where one shingle links everything, what is searched grows with the documents, not with their square."""
+    from pyspark.sql import functions as F
+
+    from sievework.llm import jaccard_join
+
+    def searched(n):
+        found = []
+        original = jaccard_join._units
+
+        def counted(*a):
+            out = original(*a)
+            found.append(out.count())
+            return out
+
+        jaccard_join._units = counted
+        try:
+            text = F.concat(F.lit(" ".join(f"w{i}" for i in range(90))), F.lit(" tail"), F.col("id"), F.lit(" end"), F.col("id"), F.when(F.col("id") % 7 == 0, F.concat(F.lit(" more"), F.col("id"), F.lit(" and"), F.col("id") % 50, F.lit(" x y z u v w"))).otherwise(""))
+            got = jaccard_join.jaccard_components(spark.range(n).select(F.col("id").alias("doc_id"), text.alias("text")), 3, 90)
+            assert got.where("component_id = 0 or component_id = 1").count() >= n * 6 // 7
+        finally:
+            jaccard_join._units = original
+        return sum(found)
+
+    assert searched(4000) <= 2.5 * searched(2000) + 1000
+
+
 def test_prefixes_of_links_meet():
     draw = np.random.default_rng(9)
     for percent in (80, 90):
