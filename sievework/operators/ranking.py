@@ -140,8 +140,8 @@ def section_attention(sections: DataFrame, criterion: Column, vector: str, keys:
 
 
 def first_success(attempts: DataFrame, key: str) -> DataFrame:
-    """The successful attempt of the best (lowest) priority of each record."""
-    return attempts.where("success").groupBy(key).agg(F.min_by(F.struct("source", "url"), "priority").alias("r")).select(key, "r.*")
+    """The successful attempt of the best (lowest) priority of each record; ties by source and address."""
+    return attempts.where("success").groupBy(key).agg(F.min_by(F.struct("source", "url"), F.struct("priority", "source", "url")).alias("r")).select(key, "r.*")
 
 
 def best_url(best: Column, locations: Column) -> Column:

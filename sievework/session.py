@@ -24,15 +24,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def landed(df: DataFrame, name: str) -> DataFrame:
-    """Write to the shared checkpoint folder and read again: cuts lineage where executors can be lost."""
-    spark = df.sparkSession
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh path in the folder that driver and executors share (``spark.checkpoint.dir``)."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
         if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="sievework-"))
         root = spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def landed(df: DataFrame, name: str) -> DataFrame:
+    """Write to the shared checkpoint folder and read again: cuts lineage where executors can be lost."""
+    spark, path = df.sparkSession, scratch(df.sparkSession, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
