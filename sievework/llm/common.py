@@ -67,8 +67,11 @@ _BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Set BATCH_ROWS, unless the session's batch size was set by someone."""
-    if not spark._jsparkSession.sessionState().conf().contains(_BATCH_CONF):
+    """Set BATCH_ROWS where the session has Spark's default number of rows, set or not (any other number stays).
+
+    A frame is planned after its operator has returned, so the setting can't be put back.
+    """
+    if spark.conf.get(_BATCH_CONF) == "10000":
         spark.conf.set(_BATCH_CONF, str(BATCH_ROWS))
 
 

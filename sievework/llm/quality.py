@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drawn, only, staged
+from .common import drawn, only, small_batches, staged
 from .shingles import PIECE, _grouped, _pieces, blocks, word_hashes
 
 SAMPLE, POOL = 12_000, 6_000
@@ -135,6 +135,7 @@ _COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def _rows(docs: DataFrame) -> DataFrame:
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.col("lang").cast("string"), F.col("source").cast("string"), F.col("n_chars").cast("long")).toDF(*_COLUMNS).where("doc_id is not null")
 
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drawn, staged
+from .common import drawn, small_batches, staged
 from .quality import logistic, logits, sigmoid
 from .shingles import PIECE, _grouped, _pieces, blocks
 from .suffix_dedup import PrefixHash, mixed
@@ -402,6 +402,7 @@ def held_out(doc_id) -> F.Column:
 
 
 def _rows(docs: DataFrame) -> DataFrame:
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where("doc_id is not null")
 
 
