@@ -420,11 +420,14 @@ def _send_contexts(buckets: int, root: str, copy_root: str):
 
 
 def _best(rows: np.ndarray) -> np.ndarray:
-    """One row for each context, sorted by anchor: the smallest owner, and whether there are several."""
+    """One row for each context, sorted by anchor: the smallest owner, and whether there are several. Equal hashes are verified byte by byte."""
     order = np.lexsort((rows["owner"], rows["hash"], rows["anchor"]))
     a, h, d = rows["anchor"][order], rows["hash"][order], rows["owner"][order]
     first = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (h[1:] != h[:-1])]) if len(rows) else np.zeros(0, np.int64)
     last = np.append(first[1:], len(rows)) - 1
+    again = np.setdiff1d(np.arange(len(rows)), first, assume_unique=True)
+    if any((rows[n][order[again]] != rows[n][order[again - 1]]).any() for n in ("left", "right", "around")):
+        raise ValueError("two contexts have one hash: choose another base")
     out = rows[order[first]]
     out["many"] = np.maximum(np.maximum.reduceat(rows["many"][order], first), d[first] != d[last]) if len(rows) else out["many"]
     return out
@@ -544,7 +547,7 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
 
     ``spans`` are the bounds of the removed runs: begin, end, begin, end, ... in bytes. Null texts count
     as empty; texts of fewer than 50 bytes lose nothing; texts of any length are handled whole, in
-    overlapping segments; rows without a doc_id are left out; rows that share a doc_id never remove
+    overlapping segments; rows without a doc_id are left out; rows that share a doc_id (ties) never remove
     from each other, for neither has the smaller one; an empty table gives an empty result; extra
     columns are ignored.
     """
