@@ -1,6 +1,6 @@
 """Quality classifier by co-training of two views.
 
-One classifier sees the text's content only (its byte histogram and a few counts of words and lines),
+One classifier sees the text's content only (its bytes, its words by hash, and a few counts of words and lines),
 the other the page's metadata only (language, source, stated length). Both start from labelled rows;
 in each round each view labels the documents of a pool of which it is surest and hands them to the
 other. Both are then calibrated on labelled rows kept apart, combined there, and applied to all rows.
@@ -28,11 +28,14 @@ ROUNDS, SURE, STEP = 4, 0.97, 300
 #: a document goes only if it is junk by three to one.
 KEEP, HIGHEST = 0.997, 0.25
 _BUCKETS = 64
+#: Buckets of the text's words, and all features of a text.
+_WORDS = 128
+_TEXT = 256 + _WORDS + 6
 
 
 def text_features(raws: list[bytes]) -> np.ndarray:
-    """Root byte frequencies, and logarithms of length, word length, line length, shares of distinct words and lines."""
-    out = np.zeros((len(raws), 262))
+    """Root frequencies of bytes and of hashed words, and logarithms of length, word length, line length, shares of distinct words and lines."""
+    out = np.zeros((len(raws), _TEXT))
     for group in _grouped(raws):
         if len(group) == 1 and len(raws[group[0]]) > PIECE:
             raw = raws[group[0]]
@@ -48,13 +51,14 @@ def text_features(raws: list[bytes]) -> np.ndarray:
 
 def _features(histogram: np.ndarray, raws: list[bytes]) -> np.ndarray:
     size = np.maximum(1, histogram.sum(axis=1, keepdims=True))
-    extra = np.zeros((len(raws), 6))
+    extra, hashed = np.zeros((len(raws), 6)), np.zeros((len(raws), _WORDS))
     for i, raw in enumerate(raws):
         words = np.concatenate([np.zeros(0, np.uint64), *(word_hashes(p)[1] for p in _pieces(raw))])
         lines = [x for x in raw.split(b"\n") if x.strip()]
         n = len(words) or 1
+        hashed[i] = np.bincount((words >> np.uint64(40)).astype(np.int64) % _WORDS, minlength=_WORDS) / n
         extra[i] = (np.log1p(len(raw)) / 10, np.log1p(len(raw) / n) / 3, len(np.unique(words)) / n if len(words) else 0.5, np.log1p(len(raw) / max(1, len(lines))) / 8, len(set(lines)) / max(1, len(lines)), float(not raw.strip()))
-    return np.hstack((np.sqrt(histogram / size) * 3, extra))
+    return np.hstack((np.sqrt(histogram / size) * 3, np.sqrt(hashed) * 3, extra))
 
 
 def meta_features(lang: list, source: list, n_chars: list) -> np.ndarray:
@@ -161,7 +165,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, pool: int =
     # one row for each document: those that repeat a doc_id don't add up
     got = got.groupBy("doc_id").agg(F.min(F.struct("quality", "one", "two")).alias("row")).select("doc_id", "row.*").orderBy("doc_id").collect()
     if not got:
-        return co_train([np.zeros((0, 262)), np.zeros((0, 2 * _BUCKETS + 2))], np.zeros(0, np.int64), np.zeros(0, bool))
+        return co_train([np.zeros((0, _TEXT)), np.zeros((0, 2 * _BUCKETS + 2))], np.zeros(0, np.int64), np.zeros(0, bool))
     label = np.array([r["quality"] for r in got])
     apart = np.array([zlib.crc32(f"apart{r['doc_id']}".encode()) % 4 == 0 for r in got])
     return co_train([np.stack([np.frombuffer(r[c], "<f4") for r in got]).astype(float) for c in ("one", "two")], label, apart)
