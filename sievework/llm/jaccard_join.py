@@ -11,9 +11,10 @@ Links are found in three steps, none of which lists the pairs of a group of copi
    smallest links with whatever another of them links with: those that link with it leave the search,
    and those that don't are searched for only if it has a link at all.
 4. Components by shared prefix shingles are the areas that have to be searched. Small areas are packed
-   together. A large one is cut by its prefix shingles: all sets with a rare one are a unit (units of
-   the same sets are one); sets with a frequent one are cut into blocks of similar set sizes and bounded
-   numbers, and each pair of blocks of an area that frequent shingles connect is a unit.
+   together. Others are cut into blocks of similar set sizes and bounded numbers, and each pair of blocks
+   is a unit. As pairs grow with the square, areas of more than LARGE sets, which chains of shingles make,
+   are first cut by their prefix shingles: all sets with a rare one are a unit (units of the same sets
+   are one), and only sets that frequent ones connect are an area with blocks.
 5. Each unit is one T-occurrence search: its sets become inverted lists; for each query set the short
    lists are merged, the longest ones only probed by binary search (DivideSkip), and documents that reach
    the required overlap are linked. A query skips what is linked to it already, so a dense group costs
@@ -38,6 +39,8 @@ from .suffix_dedup import _bucket_rows, _read_shard, _read_shard_parts, mixed
 BLOCK, GATHER = 256, 1 << 20
 #: Sets that share a rare prefix shingle at most: they are a unit of their own.
 RARE = 64
+#: Sets of an area that is searched by pairs of blocks: at most LARGE / BLOCK units for each set.
+LARGE = 4096
 #: Bits of a shingle's hash within a set, and of what travels to its bucket (six bytes).
 BITS, SENT = 52, 48
 #: Cost of a probe against a merge step in the choice of the long lists.
@@ -286,7 +289,9 @@ def _units(bodies: DataFrame, tokens: DataFrame, areas: DataFrame, percent: int)
     packs = max(1, -(-(small.agg(F.sum("docs")).first()[0] or 0) // BLOCK))
     # an area may hold a third of all rows: the adaptive planner splits these joins' large partitions
     units = where.join(small.select("area"), "area").select(F.concat(F.lit("p"), F.pmod(F.xxhash64("area"), F.lit(packs))).alias("unit"), F.lit(0).alias("side"), "doc_id")
-    large = staged(where.join(sizes.where(F.col("docs") > RARE).select("area"), "area").select("doc_id", "step"), "join-large")
+    middle = where.join(sizes.where((F.col("docs") > RARE) & (F.col("docs") <= LARGE)).select("area"), "area")
+    units = units.unionByName(_block_pairs(staged(middle, "join-middle"), "m"))
+    large = staged(where.join(sizes.where(F.col("docs") > LARGE).select("area"), "area").select("doc_id", "step"), "join-large")
     if not large.isEmpty():
         units = units.unionByName(_cut(large, tokens.join(large.select("doc_id"), "doc_id")))
     return units.join(bodies.select("doc_id", "body"), "doc_id")
@@ -300,7 +305,11 @@ def _cut(large: DataFrame, tokens: DataFrame) -> DataFrame:
     often = use.where(F.col("docs") > RARE).select("token", "docs", "centre")
     rare = tokens.join(kinds.select("token"), "token").select(F.concat(F.lit("t"), "token").alias("unit"), F.lit(0).alias("side"), "doc_id")
     areas = components(_with_uses(tokens, often).select(F.col("doc_id").alias("u"), F.col("centre").alias("v")), "join-often").select(F.col("node").alias("doc_id"), F.col("component").alias("area"))
-    big = staged(large.join(areas, "doc_id"), "join-big")
+    return rare.unionByName(_block_pairs(staged(large.join(areas, "doc_id"), "join-big"), "h"))
+
+
+def _block_pairs(big: DataFrame, mark: str) -> DataFrame:
+    """unit, side, doc_id: each pair of blocks of an area that can hold links. ``big``: doc_id, step, area."""
     count = staged(big.groupBy("area", "step").agg(F.ceil(F.count("*") / BLOCK).alias("m")), "join-blocks")
     own = big.join(count, ["area", "step"]).withColumn("i", F.pmod(F.xxhash64("doc_id"), F.col("m")))
     after = count.select("area", (F.col("step") - 1).alias("step"), F.col("m").alias("m_next"))
@@ -309,7 +318,7 @@ def _cut(large: DataFrame, tokens: DataFrame) -> DataFrame:
     none = F.array().cast("array<struct<unit:string,side:int>>")
 
     def name(step, i, other, j):
-        return F.concat_ws(":", "area", step, i, other, j)
+        return F.concat_ws(":", F.lit(mark), "area", step, i, other, j)
 
     def upto(m):
         return F.when(m > 0, F.sequence(F.lit(0).cast("long"), m - 1)).otherwise(F.array().cast("array<bigint>"))
@@ -317,8 +326,7 @@ def _cut(large: DataFrame, tokens: DataFrame) -> DataFrame:
     same = F.transform(upto(F.col("m")), lambda j: F.struct(name(F.col("step"), F.least("i", j), F.col("step"), F.greatest("i", j)).alias("unit"), F.when(j == F.col("i"), 0).when(F.col("i") < j, 1).otherwise(2).alias("side")))
     up = F.transform(upto(F.coalesce("m_next", F.lit(0).cast("long"))), lambda j: F.struct(name(F.col("step"), F.col("i"), F.col("step") + 1, j).alias("unit"), F.lit(1).alias("side")))
     down = F.transform(upto(F.coalesce("m_last", F.lit(0).cast("long"))), lambda j: F.struct(name(F.col("step") - 1, j, F.col("step"), F.col("i")).alias("unit"), F.lit(2).alias("side")))
-    spread = own.select("doc_id", F.explode(F.concat(none, same, up, down)).alias("x")).select("x.unit", "x.side", "doc_id")
-    return rare.unionByName(spread)
+    return own.select("doc_id", F.explode(F.concat(none, same, up, down)).alias("x")).select("x.unit", "x.side", "doc_id")
 
 
 def _with_uses(tokens: DataFrame, uses: DataFrame) -> DataFrame:

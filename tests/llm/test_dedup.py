@@ -8,6 +8,7 @@ from sievework.llm.jaccard_join import jaccard_components, prefix_tokens, requir
 from sievework.llm.suffix_dedup import suffix_dedup, suffix_sort
 
 import numpy as np
+import pytest
 
 from . import fixtures
 
@@ -149,7 +150,8 @@ def test_jaccard_components(spark):
     assert jaccard_components(fixtures.empty(spark)).collect() == []
 
 
-def test_jaccard_of_large_areas(spark, monkeypatch):
+@pytest.mark.parametrize("large", [8, 4096])
+def test_jaccard_of_large_areas(spark, monkeypatch, large):
     """Areas above the limits, made of chains, of one passage with tails, and of one group with changes, lose no link."""
     import random
 
@@ -157,6 +159,7 @@ def test_jaccard_of_large_areas(spark, monkeypatch):
 
     monkeypatch.setattr(jaccard_join, "RARE", 4)
     monkeypatch.setattr(jaccard_join, "BLOCK", 6)
+    monkeypatch.setattr(jaccard_join, "LARGE", large)
     draw = random.Random(7)
     base = [f"w{i}" for i in range(60)]
     rows = []
@@ -171,7 +174,7 @@ def test_jaccard_of_large_areas(spark, monkeypatch):
         rows.append((200 + i, " ".join(words[draw.randrange(3):])))
     draw.shuffle(rows)
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    for k, percent in ((3, 90), (1, 80)):
+    for k, percent in ((3, 90) if large == 8 else (1, 80),):
         assert sorted(map(tuple, jaccard_join.jaccard_components(docs, k, percent).collect())) == _components(rows, k, percent)
 
 
