@@ -1,4 +1,4 @@
-"""Baselines: conformal thresholds, inclusion-probability estimators, score distributions and active-learning loops."""
+"""Baselines: conformal thresholds, inclusion-probability estimators, score distributions and knees."""
 
 from __future__ import annotations
 
@@ -119,39 +119,6 @@ def knee_points(rows: DataFrame, keys: list[str] = ["topic_id"]) -> DataFrame:
     return rows.where("rel = 1").select(*keys, "rank", "n_docs").groupBy(*keys).applyInPandas(find, ", ".join(f"{k} string" for k in keys) + ", rank long")
 
 
-def active_learning(docs: DataFrame, batch: int, stop_recall: float | None = None, stop_share: float = 1.0, growth: float = 0.1, seed=1) -> DataFrame:
-    """round, assessed, found: continuous active learning over (pmid, features, rel) with a logistic ranker.
-
-    Each round fits on what is assessed and on 100 random other documents taken as irrelevant, ranks all
-    documents, and assesses the next batch, which grows, so rounds are few. The loop ends when the recall
-    reaches ``stop_recall``, when ``stop_share`` of all documents is assessed, or when none is left. Only the
-    rounds' counts come to the driver.
-    """
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.functions import vector_to_array
-
-    spark, total, n_docs = docs.sparkSession, docs.where("rel = 1").count(), docs.count()
-    order = F.abs(F.xxhash64("pmid", F.lit(seed)))
-    known = landed(docs.orderBy(order).limit(batch).select("pmid"), "learning-known")
-    log, size = [], batch
-    while True:
-        labelled = docs.join(known, "pmid")
-        n, found = labelled.agg(F.count("*"), F.coalesce(F.sum("rel"), F.lit(0))).first()
-        log.append((len(log), n, int(found)))
-        rest = docs.join(known, "pmid", "left_anti")
-        if rest.isEmpty() or n >= int(stop_share * n_docs) or (stop_recall is not None and total and found >= stop_recall * total):
-            break
-        train = labelled.select("features", F.col("rel").cast("double").alias("label")).unionByName(rest.orderBy(order).limit(100).select("features", F.lit(0.0).alias("label")))
-        if 0 < found:
-            model = LogisticRegression(regParam=0.01).fit(train)
-            chosen = model.transform(rest).select("pmid", vector_to_array("probability")[1].alias("p")).orderBy(F.col("p").desc(), "pmid").limit(size).select("pmid")
-        else:
-            chosen = rest.orderBy(order).limit(size).select("pmid")
-        known = landed(known.unionByName(chosen), "learning-known")
-        size += -(-size // int(1 / growth))
-    return spark.createDataFrame(log, "round int, assessed long, found long")
-
-
 def stopping_state(features: DataFrame, windows: int = 100) -> DataFrame:
     """topic_id, state: rates of the windows seen so far, -1 for unseen ones: a stopping policy's input."""
     rates = F.map_from_entries(F.collect_list(F.struct("window", "rate")))

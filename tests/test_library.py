@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from sievework.functions import text as tx
 from sievework.functions.numeric import indel_ratio
-from sievework.operators import baselines, dedup, evaluator, ranking, review, routing, splits, votes
+from sievework.operators import baselines, dedup, evaluator, learning, ranking, review, routing, splits, votes
 from sievework.plans import screening_run
 from sievework.sources import judgments, stores
 from sievework.streaming import events
@@ -171,9 +171,9 @@ def test_active_learning_goes_on_until_its_rule_holds(spark):
     from pyspark.ml.functions import array_to_vector
 
     df = spark.range(150).select(F.col("id").alias("pmid"), array_to_vector(F.array(F.sin("id"), F.cos("id"))).alias("features"), (F.col("id") % 10 == 0).cast("int").alias("rel"))
-    log = baselines.active_learning(df, 5).orderBy("round").collect()
+    log = learning.autotar(df, batch=5).orderBy("round").collect()
     assert tuple(log[-1])[1:] == (150, 15) and [r["round"] for r in log] == list(range(len(log)))
-    part = [r["assessed"] for r in baselines.active_learning(df, 20, stop_share=0.3).orderBy("round").collect()]
+    part = [r["assessed"] for r in learning.autotar(df, stop_share=0.3, batch=20).orderBy("round").collect()]
     assert part[-1] >= 45 > part[-2]
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from sievework.functions.numeric import betting_lower_bound, hb_pvalues, indel_ratio, knee
 from sievework.functions.text import SECTIONS, SEPARATORS, STOPWORDS, phrases
 from sievework.operators import certify, dedup
+from sievework.operators.learning import knee_slopes
 from sievework.plans import catalog, screening_queries, text_queries
 
 DIR = os.environ.get("SIEVEWORK_TEST_DIR", "/root/testdata/sf0.001")
@@ -48,7 +49,7 @@ def test_query(spark, oracle, name):
 
 
 #: Queries that SQL can't express; each is held against a plain version below.
-PLAIN = {"certify", "certify_walk", "wsr_lcb_anchors", "calibrated_scores", "domain_keywords", "dedup_records", "dedup_without_titles", "phrase_extraction", "query_text", "section_split", "span_verify", "knee_points", "active_learning"}
+PLAIN = {"certify", "certify_walk", "wsr_lcb_anchors", "calibrated_scores", "domain_keywords", "dedup_records", "dedup_without_titles", "phrase_extraction", "query_text", "section_split", "span_verify", "knee_points", "active_learning", "knee_learning", "target_learning", "estimate_learning", "estimate_learning_parts", "bucket_learning"}
 
 
 def test_every_query_is_checked():
@@ -196,3 +197,27 @@ def test_active_learning_reaches_its_recall(spark, oracle):
     rows = sorted(_rows(spark, "active_learning"), key=lambda r: r["round"])
     assert rows[-1]["found"] >= 0.9 * total and all(r["found"] < 0.9 * total for r in rows[:-1])
     assert all(b["assessed"] > a["assessed"] and b["found"] >= a["found"] for a, b in zip(rows, rows[1:]))
+
+
+def _log(rows):
+    rows = sorted(rows, key=lambda r: r["round"])
+    assert [r["round"] for r in rows] == list(range(len(rows)))
+    assert all(b["assessed"] >= a["assessed"] and b["found"] >= a["found"] for a, b in zip(rows, rows[1:]))
+    return rows
+
+
+def test_learning_stops_where_its_rule_says(spark, oracle):
+    n, total = oracle.execute("SELECT count(*), count(*) FILTER (label = 1) FROM embeddings").fetchone()
+    log = _log(_rows(spark, "knee_learning"))
+    rule = [r["assessed"] > 100 and knee_slopes([(x["round"], x["assessed"], x["found"]) for x in log[: i + 1]]) > 2.0 for i, r in enumerate(log)]
+    assert not any(rule[:-1]) and (rule[-1] or log[-1]["assessed"] == n)
+    log = _log(_rows(spark, "target_learning"))
+    assert log[-1]["found"] >= min(10, total)
+    for rows, recall in [(_rows(spark, "estimate_learning"), 0.9)] + [([r for r in _rows(spark, "estimate_learning_parts") if r["part"] == p], 0.8) for p in (0, 1)]:
+        log = _log(rows)
+        stops = [r["found"] > 0 and r["round"] > 0 and r["found"] >= recall * r["estimate"] for r in log]
+        assert not any(stops[:-1]) and (stops[-1] or log[-1]["found"] >= recall * total / 2)
+        assert all(r["estimate"] >= r["found"] - 1e-9 for r in log)
+    log = _log(_rows(spark, "bucket_learning"))
+    assert all(b["estimate"] >= a["estimate"] for a, b in zip(log, log[1:])) and log[0]["kept"] and log[-1]["assessed"] < 0.8 * n + 60
+    assert 0.4 * total <= log[-1]["estimate"] <= 1.3 * total
