@@ -93,7 +93,7 @@ def only(docs: DataFrame, needed: dict[str, Column], chosen) -> DataFrame:
     ``needed`` are columns to work on, whatever ``docs`` calls its own; ``chosen`` gets their values as
     lists, in blocks of rows, and returns a list of truth values.
     """
-    from .shingles import blocks
+    from .shingles import parts, release
 
     small_batches(docs.sparkSession)
     names = fresh(docs, *needed)
@@ -105,8 +105,9 @@ def only(docs: DataFrame, needed: dict[str, Column], chosen) -> DataFrame:
 
         for batch in batches:
             work = pa.RecordBatch.from_arrays(batch.columns[own:], names)
-            mask = [yes for block in blocks([work]) for yes in chosen(*block)]
+            mask = [yes for part in parts(work) for yes in chosen(*part)]
             yield pa.RecordBatch.from_arrays(batch.columns[:own], schema=pa.schema([batch.schema.field(i) for i in range(own)])).filter(pa.array(mask, pa.bool_()))
+        release()
 
     return rows.mapInArrow(keep, schema)
 

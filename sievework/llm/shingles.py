@@ -7,6 +7,7 @@ are in; different ones collide with a probability of about 2**-64 a pair.
 
 from __future__ import annotations
 
+import ctypes
 import itertools
 from collections.abc import Iterator
 
@@ -105,12 +106,25 @@ def distinct(number: np.ndarray, h: np.ndarray, texts: int) -> tuple[np.ndarray,
     return key & np.uint64((1 << 52) - 1), np.bincount((key >> np.uint64(52)).astype(np.int64), minlength=texts)
 
 
+def release() -> None:
+    """Give what this worker has freed back to the machine: the allocator keeps it, and workers live on beside others."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
+    if trim:
+        trim(0)
+
+
+def parts(batch: pa.RecordBatch, rows: int = 512) -> Iterator[list[list]]:
+    """The columns of at most ``rows`` rows of a batch at a time, as lists."""
+    for at in range(0, batch.num_rows, rows):
+        yield [c.to_pylist() for c in batch.slice(at, rows).columns]
+
+
 def blocks(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[list[list]]:
-    """The columns of at most ``rows`` rows at a time, as lists."""
+    """The parts of all batches of a task; memory is released at its end."""
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            part = batch.slice(at, rows)
-            yield [c.to_pylist() for c in part.columns]
+        yield from parts(batch, rows)
+    release()
 
 
 def by_shard(columns: list[list]) -> Iterator[tuple[int, list[list]]]:

@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import WHITE, open_fs, slots, staged, texts, workdir
+from .shingles import release
 
 MAGIC = b"SWTOKEN1"
 FOOTER = struct.Struct("<IIQQQ8s")
@@ -286,6 +287,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 1, path: str | N
             writer.close()
             out.close()
             yield pa.RecordBatch.from_pydict({"path": [name], "size": [fs.get_file_info(name).size], "first_doc": [first], "n_docs": [len(writer.ends)], "n_ids": [writer.n_ids]})
+        release()
 
     ordered = texts(docs).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     return staged(ordered.mapInArrow(write, _MANIFEST), "token-manifest")
