@@ -255,10 +255,10 @@ def _candidates(root: str, shared_root: str, k: int, percent: int):
             ends, out = np.cumsum(count), []
             shared = np.add.reduceat(np.append(rare > 0, False).astype(np.int64), np.append(0, ends[:-1])) if len(count) else ends
             sums = np.concatenate(([np.uint64(0)], np.cumsum(np.where(rare > 0, mixed(h + np.uint64(0x9FB21C651E98DF25)), np.uint64(0)), dtype=np.uint64)))
+            part = (sums[ends] - sums[ends - count]) >> np.uint64(1)  # sums wrap at 64 bits, and so do their differences
             for d in np.flatnonzero((count > 0) & (shared * 100 >= percent * count)):
                 own = slice(ends[d] - count[d], ends[d])
-                part = int((sums[ends[d]] - sums[ends[d] - count[d]]) >> np.uint64(1))
-                out.append((ids[d], count[d], h[own].tobytes(), prefix_tokens(h[own], rare[own], percent).astype(np.int64).tolist(), part, int(shared[d])))
+                out.append((ids[d], count[d], h[own].tobytes(), prefix_tokens(h[own], rare[own], percent).astype(np.int64).tolist(), int(part[d]), int(shared[d])))
             yield pa.RecordBatch.from_pydict({f.name: [o[i] for o in out] for i, f in enumerate(_FOUND)}, schema=_FOUND)
 
     return find
