@@ -110,9 +110,39 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lexical_search import ranked_search
+
+    return ranked_search(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
+OP11_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms, row_number() OVER () AS row FROM documents WHERE doc_id IS NOT NULL),
+q AS (SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark WHERE item_id IS NOT NULL),
+asked AS (SELECT item_id, term, count(*) AS times FROM q GROUP BY item_id, term),
+a AS (SELECT count(*) AS documents, sum(len(terms)) AS total FROM d WHERE len(terms) > 0),
+p AS (SELECT row, doc_id, n, term, count(*) AS tf FROM (SELECT row, doc_id, len(terms) AS n, unnest(terms) AS term FROM d) WHERE term IN (SELECT term FROM asked) GROUP BY row, doc_id, n, term),
+w AS (SELECT term, floor(1000 * ln((2 * documents + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM p, a GROUP BY term, documents),
+s AS (SELECT item_id, row, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * documents) // total))))::BIGINT AS score FROM p JOIN w USING (term) JOIN asked USING (term), a GROUP BY item_id, row, doc_id)
+SELECT item_id, rank, doc_id, score FROM (SELECT *, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INT AS rank FROM s WHERE score > 0) WHERE rank <= 10
+"""
+
+
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language import language_id
+
+    return language_id(_read(spark, sf_dir, "documents"))
+
+
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .resampling import resample
+
+    return resample(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Query]:
-    return {"op1_token_output": op1_token_output, "op2_pii": op2_pii, "op3_suffix_dedup": op3_suffix_dedup, "op4_mixing": op4_mixing, "op5_toxicity": op5_toxicity, "op6_exact_dedup": op6_exact_dedup, "op7_decontamination": op7_decontamination, "op8_warc": op8_warc, "op9_jaccard_join": op9_jaccard_join, "op10_quality": op10_quality}
+    return {"op1_token_output": op1_token_output, "op2_pii": op2_pii, "op3_suffix_dedup": op3_suffix_dedup, "op4_mixing": op4_mixing, "op5_toxicity": op5_toxicity, "op6_exact_dedup": op6_exact_dedup, "op7_decontamination": op7_decontamination, "op8_warc": op8_warc, "op9_jaccard_join": op9_jaccard_join, "op10_quality": op10_quality, "op11_lexical_search": op11_lexical_search, "op12_language_id": op12_language_id, "op13_resampling": op13_resampling}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_exact_dedup": OP6_SQL, "op7_decontamination": OP7_SQL, "op8_warc": OP8_SQL}
+    return {"op6_exact_dedup": OP6_SQL, "op7_decontamination": OP7_SQL, "op8_warc": OP8_SQL, "op11_lexical_search": OP11_SQL}
