@@ -191,22 +191,27 @@ def indel_ratio(a: str, b: str) -> float:
     return 2 * row[-1] / (len(a) + len(b))
 
 
-def knee(curve: np.ndarray, window: int = 1, sensitivity: float = 10) -> list[int]:
-    """Kneedle: places where a smoothed, scaled concave curve turns away from its diagonal."""
-    n = len(curve)
+def knee(x: np.ndarray, y: np.ndarray, window: int = 1, sensitivity: float = 10) -> list[int]:
+    """Kneedle: places where the curve (x, y) turns away from its diagonal; x may be uneven.
+
+    Both axes are smoothed over the points from ``window`` before to ``window`` after a point, the last of these
+    and the last of all points left out, and scaled to 0..1. A strict maximum of y - x is a knee if, before the next
+    one, the difference falls below its own by ``sensitivity`` mean steps; steps count from the first x as given.
+    """
+    n = len(x)
     if n < 3:
         return []
-    weight = np.exp(-0.5 * (np.arange(-3 * window, 3 * window + 1) / window) ** 2)
-    padded = np.pad(np.asarray(curve, float), 3 * window, mode="edge")
-    smooth = np.convolve(padded, weight / weight.sum(), "valid")
-    x, spread = np.linspace(0, 1, n), smooth.max() - smooth.min()
-    y = (smooth - smooth.min()) / spread if spread else np.zeros(n)
-    gap = y - x
-    out, limit, top = [], None, None
-    for i in range(1, n):
-        if i < n - 1 and gap[i] > gap[i - 1] and gap[i] >= gap[i + 1]:
-            limit, top = gap[i] - sensitivity / (n - 1), i
-        elif limit is not None and gap[i] < limit:
-            out.append(top)
-            limit = None
-    return out
+    points, at = np.stack((np.asarray(x, float), np.asarray(y, float))), np.arange(n)
+    sums, weights = np.zeros((2, n)), np.zeros(n)
+    for offset in range(-window, window):
+        near = at + offset
+        w = np.where((near >= 0) & (near < n - 1), np.exp(-0.5 * (offset / window) ** 2), 0.0)
+        sums += w * points[:, np.clip(near, 0, n - 1)]
+        weights += w
+    smooth = sums / weights
+    spread = np.ptp(smooth, axis=1, keepdims=True)
+    scaled = (smooth - smooth.min(axis=1, keepdims=True)) / np.where(spread > 0, spread, 1)
+    gap = scaled[1] - scaled[0]
+    tops = [i for i in range(1, n - 1) if gap[i - 1] < gap[i] > gap[i + 1]]
+    limit = sensitivity * (scaled[0, -1] - points[0, 0]) / (n - 1)
+    return [i for i, end in zip(tops, [*tops[1:], n], strict=False) if gap[i:end].min() < gap[i] - limit]

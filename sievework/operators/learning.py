@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import knee
 from ..session import landed
-from .baselines import ap_prior
+from .baselines import ap_prior, history_variance
 from .splits import bucketed_rank
 
 #: Random documents that a fit takes as irrelevant.
@@ -28,14 +28,70 @@ def _order(seed):
     return F.xxhash64("pmid", F.lit(seed))
 
 
-def ranker(labelled: DataFrame, presumed: DataFrame):
-    """The fitted model of a round, or None while nothing relevant is known."""
+def logistic(c: float = 1.0) -> Callable[[DataFrame], object]:
+    """Fits a logistic ranker; ``c`` weighs the examples against the weights' size."""
     from pyspark.ml.classification import LogisticRegression
 
-    if labelled.where("rel = 1").isEmpty():
+    return lambda train: LogisticRegression(regParam=1 / (c * max(1, train.count())), maxIter=50).fit(train)
+
+
+def linear_svm(c: float = 1.0) -> Callable[[DataFrame], object]:
+    """Fits a linear support vector machine."""
+    from pyspark.ml.classification import LinearSVC
+
+    return lambda train: LinearSVC(regParam=1 / (c * max(1, train.count())), maxIter=30).fit(train)
+
+
+def boosted_trees(trees: int = 10, depth: int = 3, features: int = 50) -> Callable[[DataFrame], object]:
+    """Fits boosted trees on the ``features`` whose means over the relevant and the other examples differ most."""
+    from pyspark.ml import PipelineModel
+    from pyspark.ml.classification import GBTClassifier
+    from pyspark.ml.feature import VectorSlicer
+    from pyspark.ml.stat import Summarizer
+
+    def fit(train: DataFrame):
+        means = {r["label"]: r["m"].toArray() for r in train.groupBy("label").agg(Summarizer.mean(F.col("features")).alias("m")).collect()}
+        apart = np.abs(means[1.0] - means[0.0])
+        best = VectorSlicer(inputCol="features", outputCol="chosen", indices=np.sort(np.argsort(-apart, kind="stable")[:features]).tolist())
+        return PipelineModel(stages=[best, GBTClassifier(featuresCol="chosen", maxIter=trees, maxDepth=depth, stepSize=0.3, seed=7).fit(best.transform(train))])
+
+    return fit
+
+
+def tfidf(texts: DataFrame, fit_on: DataFrame | None = None, least: int = 2, most: int = 1 << 18):
+    """A function from (.., text) to (.., features): unit vectors of term counts times log((1 + n) / (1 + df)) + 1.
+
+    Terms are runs of two word characters and more in lower case, without English stop words, in ``least``
+    texts of ``fit_on`` (default: ``texts``) and more; the ``most`` frequent ones make up the vocabulary.
+    """
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import IDF, CountVectorizer, ElementwiseProduct, Normalizer, RegexTokenizer, StopWordsRemover
+
+    counts = Pipeline(stages=[RegexTokenizer(inputCol="text", outputCol="terms", pattern=r"\w\w+", gaps=False), StopWordsRemover(inputCol="terms", outputCol="kept"), CountVectorizer(inputCol="kept", outputCol="counts", minDF=float(least), vocabSize=most)])
+    corpus = (texts if fit_on is None else fit_on).select(F.coalesce("text", F.lit("")).alias("text"))
+    model = counts.fit(corpus)
+    idf = IDF(inputCol="counts", outputCol="idf").fit(model.transform(corpus)).idf.toArray() + 1.0
+    weigh = ElementwiseProduct(inputCol="counts", outputCol="weighed", scalingVec=idf.tolist())
+
+    def transform(rows: DataFrame) -> DataFrame:
+        out = model.transform(rows.withColumn("text", F.coalesce("text", F.lit(""))))
+        return Normalizer(inputCol="weighed", outputCol="features").transform(weigh.transform(out)).select(*[c for c in rows.columns if c != "text"], "features")
+
+    return transform
+
+
+def fitted(labelled: DataFrame, presumed: DataFrame, topic: DataFrame | None, ranker):
+    """The model of a round: from the assessed documents, those presumed irrelevant, and the topic's own text as a relevant one.
+
+    None while nothing relevant is known.
+    """
+    if topic is None and labelled.where("rel = 1").isEmpty():
         return None
     train = labelled.select("features", F.col("rel").cast("double").alias("label")).unionByName(presumed.select("features", F.lit(0.0).alias("label")))
-    return LogisticRegression(regParam=0.01).fit(train)
+    if topic is not None:
+        train = train.unionByName(topic.select("features", F.lit(1.0).alias("label")))
+    train = landed(train, "learning-train")
+    return ranker(train) if train.where("label = 0").limit(1).count() else None
 
 
 def _scored(rest: DataFrame, model, seed) -> DataFrame:
@@ -44,22 +100,34 @@ def _scored(rest: DataFrame, model, seed) -> DataFrame:
 
     if model is None:
         return rest.select("pmid", "rel", (F.pmod(_order(seed), F.lit(1 << 30)) / F.lit(float(1 << 30))).alias("p"))
-    return model.transform(rest).select("pmid", "rel", vector_to_array("probability")[1].alias("p"))
+    out = model.transform(rest)
+    if "probability" in out.columns:
+        return out.select("pmid", "rel", vector_to_array("probability")[1].alias("p"))
+    margin = vector_to_array("rawPrediction")[1]  # of a support vector machine, in the same order
+    return out.select("pmid", "rel", (1 / (1 + F.exp(-margin))).alias("p"))
 
 
 def _best(scored: DataFrame, size: int) -> DataFrame:
     return scored.orderBy(F.col("p").desc(), "pmid").limit(size)
 
 
-def loop(docs: DataFrame, batch: int, growth: float, seed, choose: Callable, done: Callable) -> DataFrame:
+def loop(docs: DataFrame, batch: int, growth: float, seed, choose: Callable, done: Callable, topic: DataFrame | None = None, ranker=None) -> DataFrame:
     """round, assessed, found, estimate of each round.
 
     ``choose(scored, size, round)`` gives (pmid, assessed) rows of the rest: those that leave it, and whether they
     are assessed. ``done(log)`` gives the estimate of all relevant documents, or None, and whether to stop; the
-    loop ends at the latest when no document is left.
+    loop ends at the latest when no document is left. ``topic`` has the features of the topic's own text, a
+    relevant example from the start; without it the first batch is random. ``ranker`` fits the model of a
+    round (default: logistic).
     """
     spark, docs = docs.sparkSession, landed(docs.select("pmid", "features", "rel"), "learning-docs")
-    seen = landed(docs.orderBy(_order(seed)).limit(batch).select("pmid", F.lit(True).alias("assessed")), "learning-seen")
+    ranker = ranker or logistic()
+    if topic is None:
+        seen = docs.orderBy(_order(seed)).limit(batch).select("pmid", F.lit(True).alias("assessed"))
+    else:
+        model = fitted(docs.limit(0), docs.orderBy(_order(f"{seed}:0")).limit(PRESUMED), topic, ranker)
+        seen = choose(_scored(docs, model, seed), batch, 0)
+    seen = landed(seen, "learning-seen")
     log, size = [], batch
     while True:
         labelled = landed(docs.join(seen.where("assessed").select("pmid"), "pmid"), "learning-labelled")
@@ -70,16 +138,16 @@ def loop(docs: DataFrame, batch: int, growth: float, seed, choose: Callable, don
         rest = docs.join(seen.select("pmid"), "pmid", "left_anti")
         if stop or rest.isEmpty():
             return spark.createDataFrame(log, LOG)
-        model = ranker(labelled, rest.orderBy(_order(f"{seed}:{len(log)}")).limit(PRESUMED))
-        seen = landed(seen.unionByName(choose(_scored(rest, model, seed), size, len(log))), "learning-seen")
         size += math.ceil(size * growth)
+        model = fitted(labelled, rest.orderBy(_order(f"{seed}:{len(log)}")).limit(PRESUMED), topic, ranker)
+        seen = landed(seen.unionByName(choose(_scored(rest, model, seed), size, len(log))), "learning-seen")
 
 
 def _assess_best(scored: DataFrame, size: int, number: int) -> DataFrame:
     return _best(scored, size).select("pmid", F.lit(True).alias("assessed"))
 
 
-def autotar(docs: DataFrame, stop_recall: float | None = None, stop_share: float = 1.0, batch: int = 1, growth: float = 0.1, seed=1) -> DataFrame:
+def autotar(docs: DataFrame, stop_recall: float | None = None, stop_share: float = 1.0, batch: int = 1, growth: float = 0.1, seed=1, **settings) -> DataFrame:
     """Stops when the recall is reached, or the share of all documents is assessed."""
     total, n_docs = docs.where("rel = 1").count(), docs.count()
 
@@ -87,26 +155,32 @@ def autotar(docs: DataFrame, stop_recall: float | None = None, stop_share: float
         _, n, found = log[-1]
         return None, n >= int(stop_share * n_docs) or bool(stop_recall is not None and total and found >= stop_recall * total)
 
-    return loop(docs, batch, growth, seed, _assess_best, done)
+    return loop(docs, batch, growth, seed, _assess_best, done, **settings)
 
 
-def knee_slopes(log: list[tuple]) -> float:
-    """Gain per document up to the last knee of (assessed, found), over that after it; 0 without a knee."""
-    at = knee(np.array([r[2] for r in log], float))
-    if not at or not log[at[-1]][1] or log[-1][1] == log[at[-1]][1]:
-        return 0.0
+def knee_slopes(log: list[tuple]) -> float | None:
+    """Gain per document up to the last knee of (assessed, found), over that after it; None without a knee."""
+    at = knee([r[1] for r in log], [r[2] for r in log])
+    if not at:
+        return None
     (_, n1, r1), (_, n2, r2) = log[at[-1]][:3], log[-1][:3]
-    return (r1 / n1) / ((r2 - r1 + 1) / (n2 - n1))
+    return (r1 / n1) / ((r2 - r1 + 1) / (n2 - n1)) if n1 and n2 > n1 else 0.0
 
 
-def knee_stop(docs: DataFrame, least: int = 100, ratio: float | None = None, batch: int = 1, growth: float = 0.1, seed=1) -> DataFrame:
-    """Stops behind a knee: when the slopes before and after it are ``ratio`` apart (default: 156 less the found ones, 6 at least) and over ``least`` documents are assessed."""
+def knee_stop(docs: DataFrame, least: int = 100, ratio: float | None = None, batch: int = 1, growth: float = 0.1, seed=1, **settings) -> DataFrame:
+    """Stops behind a knee: when the slopes before and after it are ``ratio`` apart and over ``least`` documents are assessed.
+
+    The default ratio is 156 less the documents found when the first knee shows, 6 at least; it then stays.
+    """
+    state = {"ratio": ratio}
 
     def done(log):
-        _, n, found = log[-1]
-        return None, n > least and knee_slopes(log) > (156 - min(found, 150) if ratio is None else ratio)
+        slopes = knee_slopes(log)
+        if slopes is not None and state["ratio"] is None:
+            state["ratio"] = 156 - min(log[-1][2], 150)
+        return None, slopes is not None and slopes > state["ratio"] and log[-1][1] > least
 
-    return loop(docs, batch, growth, seed, _assess_best, done)
+    return loop(docs, batch, growth, seed, _assess_best, done, **settings)
 
 
 def target_stop(docs: DataFrame, targets: int = 10, batch: int = 100, growth: float = 0.1, seed=1) -> DataFrame:
@@ -128,41 +202,85 @@ def target_stop(docs: DataFrame, targets: int = 10, batch: int = 100, growth: fl
     return loop(docs, batch, growth, seed, choose, lambda log: (None, hidden.join(state["found"], "pmid", "left_anti").isEmpty()))
 
 
-def autostop(docs: DataFrame, recall: float = 1.0, weight=ap_prior, strict: bool = False, batch: int = 1, growth: float = 0.1, seed=1) -> DataFrame:
-    """Stops when the found documents are ``recall`` of a Horvitz-Thompson estimate of all (``strict``: plus its standard deviation).
+#: Ranks of a block in which draws find their documents.
+BLOCK = 4096
+
 
-    Every document, assessed or not, is drawn anew in each round, independently, with the chance of being among
-    ``size`` draws in proportion to ``weight(rank, n)``; inclusion probabilities build up over the rounds.
+def draw_ranks(ranks: DataFrame, size: int, seed: str) -> DataFrame:
+    """pmid of the documents hit by ``size`` draws with replacement in proportion to w; ``ranks`` has pmid, rank (from 1), w.
+
+    A draw is a hash of its number on a line that the weights fill in the order of ranks. It finds its block
+    by the blocks' sums, and its document inside; blocks are bounded, so no task sees a whole ranking.
     """
-    docs = landed(docs.select("pmid", "features", "rel"), "autostop-docs")
-    n_docs = docs.count()
-    state = {"chance": landed(docs.select("pmid", (F.lit(batch) * F.log(F.lit(1 - 1 / max(2, n_docs)))).alias("log_out")), "autostop-chance"), "model": None, "labelled": None}
+    import numpy as np
+    import pandas as pd
 
-    def estimate():
-        pi = 1 - F.exp("log_out")
-        rows = state["seen"].join(state["chance"], "pmid").join(docs.select("pmid", "rel"), "pmid").where("rel = 1").withColumn("pi", pi)
-        return rows.agg(F.coalesce(F.sum(1 / F.col("pi")), F.lit(0.0)), F.coalesce(F.sum((1 - F.col("pi")) / (F.col("pi") * F.col("pi"))), F.lit(0.0))).first()
+    ranks = ranks.withColumn("block", F.floor((F.col("rank") - 1) / BLOCK))
+    sums = ranks.groupBy("block").agg(F.sum("w").alias("w")).orderBy("block").collect()  # one number a block
+    ends, names = np.cumsum([r["w"] for r in sums]), np.array([r["block"] for r in sums], np.int64)
+    starts, whole = np.r_[0.0, ends[:-1]], float(ends[-1])
 
-    state["seen"] = landed(docs.orderBy(_order(seed)).limit(batch).select("pmid"), "autostop-seen")
+    def to_blocks(batches):
+        for batch in batches:
+            at = batch["u"].to_numpy() * whole
+            block = np.minimum(np.searchsorted(ends, at, "right"), len(ends) - 1)
+            yield pd.DataFrame({"block": names[block], "at": at - starts[block]})
+
+    def inside(docs: pd.DataFrame, hits: pd.DataFrame) -> pd.DataFrame:
+        docs = docs.sort_values("rank")
+        at = np.minimum(np.searchsorted(np.cumsum(docs["w"].to_numpy()), hits["at"].to_numpy(), "right"), len(docs) - 1)
+        return docs.iloc[np.unique(at)][["pmid"]] if len(docs) and len(hits) else docs.iloc[:0][["pmid"]]
+
+    u = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 52)) / F.lit(float(1 << 52))
+    draws = ranks.sparkSession.range(size).select(u.alias("u")).mapInPandas(to_blocks, "block long, at double")
+    return ranks.select("block", "pmid", "rank", "w").groupBy("block").cogroup(draws.groupBy("block")).applyInPandas(inside, f"pmid {dict(ranks.dtypes)['pmid']}")
+
+
+def autostop(docs: DataFrame, recall: float = 1.0, weight=ap_prior, condition: str = "loose", batch: int = 1, growth: float = 0.1, seed=1, topic: DataFrame | None = None, ranker=None) -> DataFrame:
+    """Stops when the found documents are ``recall`` of a Horvitz-Thompson estimate of all.
+
+    In each round all documents, assessed or not, are ranked anew, and ``size`` are drawn with replacement in
+    proportion to ``weight(rank, n, size)``; inclusion probabilities build up over the rounds. The conditions strict1 and
+    strict2 add the estimate's standard deviation: with joint inclusion probabilities, or as of a simple
+    sample. The log has the estimate and that deviation. Without a ``topic`` the first round draws evenly.
+    """
+    if condition not in ("loose", "strict1", "strict2"):
+        raise ValueError(f"unknown condition: {condition}")
+    ranker = ranker or logistic()
+    docs = landed(docs.select("pmid", "features", "rel"), "autostop-docs")
+    n_docs, spark = docs.count(), docs.sparkSession
+    none = docs.select("pmid").limit(0)
+    chance, seen, rounds = docs.select("pmid", F.lit(0.0).alias("log_out")), none, []
     log, size = [], batch
-    while True:
-        labelled = landed(docs.join(state["seen"], "pmid"), "autostop-labelled")
-        n, found = labelled.agg(F.count("*"), F.coalesce(F.sum("rel"), F.lit(0))).first()
-        total, variance = estimate()
-        log.append((len(log), n, int(found), float(total)))
-        if n == n_docs or found and len(log) > 1 and found >= recall * (total + (math.sqrt(variance) if strict else 0.0)):
-            return docs.sparkSession.createDataFrame(log, LOG)
-        rest = docs.join(state["seen"], "pmid", "left_anti")
-        scored = _scored(docs, ranker(labelled, rest.orderBy(_order(f"{seed}:{len(log)}")).limit(PRESUMED)), seed)
+    while n_docs:
+        labelled = landed(docs.join(seen, "pmid"), "autostop-labelled")
+        rest = docs.join(seen, "pmid", "left_anti")
+        model = fitted(labelled, rest.orderBy(_order(f"{seed}:{len(log)}")).limit(PRESUMED), topic, ranker)
+        scored = _scored(docs, model, seed)
         ranks = bucketed_rank(landed(scored.withColumn("all", F.lit(0)), "autostop-scored"), ["all"], [F.col("p").desc(), F.col("pmid")], F.floor((1 - F.col("p")) * 1000), "rank")
-        ranks = landed(ranks.select("pmid", weight(F.col("rank"), F.lit(n_docs)).cast("double").alias("w")), "autostop-ranks")
+        ranks = landed(ranks.select("pmid", "rank", (weight(F.col("rank"), F.lit(n_docs), size) if model else F.lit(1.0)).cast("double").alias("w")), "autostop-ranks")
         whole = ranks.agg(F.sum("w")).first()[0]
-        out = ranks.select("pmid", (F.lit(size) * F.log(1 - F.least(F.col("w") / whole, F.lit(1 - 1e-12)))).alias("step"))
-        chance = F.pmod(F.xxhash64("pmid", F.lit(f"{seed}:draw:{len(log)}")), F.lit(1 << 52)) / F.lit(float(1 << 52))
-        drawn = landed(out.where(chance < 1 - F.exp("step")).select("pmid"), "autostop-drawn")
-        state["chance"] = landed(state["chance"].join(out, "pmid").select("pmid", (F.col("log_out") + F.col("step")).alias("log_out")), "autostop-chance")
-        state["seen"] = landed(state["seen"].unionByName(drawn).distinct(), "autostop-seen")
+        p = F.least(F.col("w") / whole, F.lit(1 - 1e-12))
+        rounds.append((size, ranks.select("pmid", p.alias("p"))))
+        seen = landed(seen.unionByName(draw_ranks(ranks, size, f"{seed}:draw:{len(log)}")).distinct(), "autostop-seen")
+        chance = landed(chance.join(rounds[-1][1], "pmid").select("pmid", (F.col("log_out") + size * F.log(1 - F.col("p"))).alias("log_out")), "autostop-chance")
+        known = landed(seen.join(chance, "pmid").join(docs.select("pmid", "rel"), "pmid").withColumn("pi", 1 - F.exp("log_out")), "autostop-known")
+        v, found, total, squares = known.agg(F.count("*"), F.coalesce(F.sum("rel"), F.lit(0)), F.coalesce(F.sum(F.col("rel") / F.col("pi")), F.lit(0.0)), F.coalesce(F.sum(F.col("rel") / (F.col("pi") * F.col("pi"))), F.lit(0.0))).first()
+        variance = 0.0
+        if condition == "strict1" and rounds[1:]:
+            relevant, history = known.where("rel = 1").select("pmid"), None
+            for t, (_, own) in enumerate(rounds):
+                part = own.join(relevant, "pmid").withColumn("t", F.lit(t))
+                history = part if history is None else history.unionByName(part)
+            history = history.groupBy("pmid").agg(F.array_sort(F.collect_list(F.struct("t", "p"))).alias("h")).select("pmid", F.transform("h", lambda x: x["p"]).alias("p"))
+            variance = history_variance(landed(history, "autostop-history"), [n for n, _ in rounds])
+        elif condition == "strict2" and rounds[1:] and v > 1:
+            variance = (n_docs - v) / n_docs / v / (v - 1) * (v * v * squares - v * total * total)
+        log.append((len(log), v, int(found), float(total), math.sqrt(max(0.0, variance))))
+        if v == n_docs or found and found >= recall * (total + log[-1][4]):
+            break
         size += math.ceil(size * growth)
+    return spark.createDataFrame(log, LOG + ", deviation double")
 
 
 def autostop_collections(docs: DataFrame, part: str, **settings) -> DataFrame:

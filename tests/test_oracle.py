@@ -9,12 +9,13 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sievework.functions.numeric import betting_lower_bound, hb_pvalues, indel_ratio, knee
+from sievework.functions.numeric import betting_lower_bound, hb_pvalues, indel_ratio
 from sievework.functions.text import SECTIONS, SEPARATORS, STOPWORDS, phrases
 from sievework.operators import certify, dedup
-from sievework.operators.learning import knee_slopes
 from sievework.plans import catalog, screening_queries, text_queries
 
+from .plain import plain_knees
+
 DIR = os.environ.get("SIEVEWORK_TEST_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 pytestmark = pytest.mark.skipif(not os.path.exists(DIR), reason="no test tables")
@@ -49,7 +50,7 @@ def test_query(spark, oracle, name):
 
 
 #: Queries that SQL can't express; each is held against a plain version below.
-PLAIN = {"certify", "certify_walk", "wsr_lcb_anchors", "calibrated_scores", "domain_keywords", "dedup_records", "dedup_without_titles", "phrase_extraction", "query_text", "section_split", "span_verify", "knee_points", "active_learning", "knee_learning", "target_learning", "estimate_learning", "estimate_learning_parts", "bucket_learning"}
+PLAIN = {"certify", "certify_walk", "wsr_lcb_anchors", "calibrated_scores", "domain_keywords", "dedup_records", "dedup_without_titles", "phrase_extraction", "query_text", "section_split", "span_verify", "active_learning", "knee_learning", "target_learning", "estimate_learning", "estimate_learning_parts", "bucket_learning", "text_learning_logistic", "text_learning_svm", "text_learning_trees"}
 
 
 def test_every_query_is_checked():
@@ -177,12 +178,6 @@ def test_certificates(spark, oracle):
             assert got[topic]["theta_idx"] == (min(good, key=lambda g: (round(g[8], 12), g[2]))[2] if good else 0)
 
 
-def test_knees(spark, oracle):
-    rank = oracle.execute("SELECT o_orderpriority, (o_orderstatus = 'F')::INT FROM orders ORDER BY o_orderpriority, o_totalprice DESC, o_orderkey").fetchall()
-    want = {(t, i + 1) for t in {r[0] for r in rank} for i in knee(np.cumsum([y for x, y in rank if x == t]).astype(float))}
-    assert {(r["topic_id"], r["rank"]) for r in _rows(spark, "knee_points")} == want
-
-
 def test_calibrated_scores_are_monotone_and_better(spark, oracle):
     label = dict(oracle.execute("SELECT o_orderkey, (o_orderstatus = 'F')::INT FROM orders").fetchall())
     rows = sorted((r["s_raw"], r["s"], label[r["pmid"]]) for r in _rows(spark, "calibrated_scores"))
@@ -192,6 +187,15 @@ def test_calibrated_scores_are_monotone_and_better(spark, oracle):
     assert sum((s - y) ** 2 for _, s, y in rows) < sum((r - y) ** 2 for r, _, y in rows)
 
 
+@pytest.mark.parametrize("kind", ["logistic", "svm", "trees"])
+def test_text_learning_starts_from_the_topics_text(spark, oracle, kind):
+    n, total = oracle.execute("SELECT count(*), count(*) FILTER (contains(text, 'General Public License')) FROM documents").fetchone()
+    log = _log(_rows(spark, f"text_learning_{kind}"))
+    assert log[-1]["found"] >= 0.9 * total and all(r["found"] < 0.9 * total for r in log[:-1])
+    # at random, as many of the relevant ones would be found as of all documents
+    assert log[-1]["assessed"] <= 0.35 * n and log[0]["found"] / total >= 3 * log[0]["assessed"] / n
+
+
 def test_active_learning_reaches_its_recall(spark, oracle):
     total = oracle.execute("SELECT count(*) FROM embeddings WHERE label = 1").fetchone()[0]
     rows = sorted(_rows(spark, "active_learning"), key=lambda r: r["round"])
@@ -209,7 +213,12 @@ def _log(rows):
 def test_learning_stops_where_its_rule_says(spark, oracle):
     n, total = oracle.execute("SELECT count(*), count(*) FILTER (label = 1) FROM embeddings").fetchone()
     log = _log(_rows(spark, "knee_learning"))
-    rule = [r["assessed"] > 100 and knee_slopes([(x["round"], x["assessed"], x["found"]) for x in log[: i + 1]]) > 2.0 for i, r in enumerate(log)]
+    curve = [(r["assessed"], r["found"]) for r in log]
+    rule = []
+    for i, (n2, r2) in enumerate(curve):
+        at = plain_knees(curve[: i + 1])
+        n1, r1 = curve[at[-1]] if at else (0, 0)
+        rule.append(n2 > 100 and bool(at) and (r1 / n1) / ((r2 - r1 + 1) / (n2 - n1)) > 2.0)
     assert not any(rule[:-1]) and (rule[-1] or log[-1]["assessed"] == n)
     log = _log(_rows(spark, "target_learning"))
     assert log[-1]["found"] >= min(10, total)
