@@ -42,18 +42,24 @@ def linear_svm(c: float = 1.0) -> Callable[[DataFrame], object]:
     return lambda train: LinearSVC(regParam=1 / (c * max(1, train.count())), maxIter=30).fit(train)
 
 
-def boosted_trees(trees: int = 10, depth: int = 3, features: int = 50) -> Callable[[DataFrame], object]:
-    """Fits boosted trees on the ``features`` whose means over the relevant and the other examples differ most."""
+def boosted_trees(trees: int = 10, depth: int = 3, features: int = 50, presence: bool = True) -> Callable[[DataFrame], object]:
+    """Fits boosted trees on the ``features`` whose means over the relevant and the other examples differ most.
+
+    With ``presence``, trees ask whether a term occurs: a threshold on its weight, learned from the topic's short text,
+    would lie above that of any long document.
+    """
     from pyspark.ml import PipelineModel
     from pyspark.ml.classification import GBTClassifier
-    from pyspark.ml.feature import VectorSlicer
+    from pyspark.ml.feature import Binarizer, VectorSlicer
     from pyspark.ml.stat import Summarizer
 
     def fit(train: DataFrame):
         means = {r["label"]: r["m"].toArray() for r in train.groupBy("label").agg(Summarizer.mean(F.col("features")).alias("m")).collect()}
         apart = np.abs(means[1.0] - means[0.0])
         best = VectorSlicer(inputCol="features", outputCol="chosen", indices=np.sort(np.argsort(-apart, kind="stable")[:features]).tolist())
-        return PipelineModel(stages=[best, GBTClassifier(featuresCol="chosen", maxIter=trees, maxDepth=depth, stepSize=0.3, seed=7).fit(best.transform(train))])
+        stages = [best, Binarizer(threshold=0.0, inputCol="chosen", outputCol="asked")] if presence else [best]
+        ready = PipelineModel(stages=stages).transform(train)
+        return PipelineModel(stages=[*stages, GBTClassifier(featuresCol="asked" if presence else "chosen", maxIter=trees, maxDepth=depth, stepSize=0.3, seed=7).fit(ready)])
 
     return fit
 

@@ -26,13 +26,13 @@ def stops(judged: DataFrame, methods: dict[str, tuple[int, float]] = BATCHES, wi
     most = judged.agg(F.max("n_docs")).first()[0] or 0
     ends = {m: batch_ends(most, *how) for m, how in methods.items()} if most else {m: [] for m in methods}
     cuts = sorted({e for own in ends.values() for e in own})
-    cells = Bucketizer(splits=[0.5, *(c + 0.5 for c in cuts), float("inf")], inputCol="__rank", outputCol="__cell").transform(judged.withColumn("__rank", F.col("rank").cast("double")))
+    cells = Bucketizer(splits=[float("-inf"), 0.5, *(c + 0.5 for c in cuts), float("inf")], inputCol="__rank", outputCol="__cell").transform(judged.withColumn("__rank", F.col("rank").cast("double")))
     sums = cells.groupBy("topic_id", "n_docs", "n_rel", F.col("__cell").cast("int").alias("__cell")).agg(F.count("*").alias("n"), F.sum("rel").cast("long").alias("hits"))
     along = Window.partitionBy("topic_id").orderBy("__cell").rowsBetween(Window.unboundedPreceding, 0)
     run = sums.select("topic_id", "n_docs", "n_rel", "__cell", F.sum("n").over(along).alias("examined"), F.sum("hits").over(along).alias("found"))
     # the stop in a method's last batch is the ranking's end, wherever that lies
     last = run.withColumn("__next", F.lead("__cell").over(Window.partitionBy("topic_id").orderBy("__cell")))
-    at = {c: i for i, c in enumerate(cuts)}
+    at = {c: i for i, c in enumerate(cuts, 1)}
     table = spark.createDataFrame([(m, at[e]) for m, own in ends.items() for e in own], "method string, __cell int")
     inner = last.where("__next is not null").join(F.broadcast(table), "__cell")  # a number of stops logarithmic, or in hundreds, of a topic's documents
     names = F.explode(F.array(*[F.lit(m) for m in (*methods, "all")]))

@@ -1,6 +1,7 @@
 """Every query with SQL gives what DuckDB gives, on the driver's smallest tables."""
 
 import hashlib
+import math
 import os
 import re
 
@@ -11,8 +12,9 @@ from pyspark.sql import functions as F
 
 from sievework.functions.numeric import betting_lower_bound, hb_pvalues, indel_ratio
 from sievework.functions.text import SECTIONS, SEPARATORS, STOPWORDS, phrases
-from sievework.operators import certify, dedup
-from sievework.plans import catalog, screening_queries, text_queries
+from sievework.operators import certify, dedup, learning
+from sievework.plans import catalog, screening_queries, stopping_queries, text_queries
+from sievework.session import landed
 
 from .plain import plain_knees
 
@@ -187,13 +189,43 @@ def test_calibrated_scores_are_monotone_and_better(spark, oracle):
     assert sum((s - y) ** 2 for _, s, y in rows) < sum((r - y) ** 2 for r, _, y in rows)
 
 
-@pytest.mark.parametrize("kind", ["logistic", "svm", "trees"])
-def test_text_learning_starts_from_the_topics_text(spark, oracle, kind):
-    n, total = oracle.execute("SELECT count(*), count(*) FILTER (contains(text, 'General Public License')) FROM documents").fetchone()
-    log = _log(_rows(spark, f"text_learning_{kind}"))
+LICENSED = "/root/testdata/sf0.01"
+
+
+@pytest.fixture(scope="module")
+def licensed(spark):
+    rows = stopping_queries._texts(spark, LICENSED)
+    features = learning.tfidf(rows)
+    return landed(features(rows), "licensed"), landed(features(spark.createDataFrame([(stopping_queries.TOPIC,)], "text string")), "licensed-topic")
+
+
+@pytest.mark.parametrize("kind", ["logistic", "linear_svm", "boosted_trees"])
+def test_rankers_start_from_the_topics_text(licensed, kind):
+    docs, topic = licensed
+    n, total = docs.agg(F.count("*"), F.sum("rel")).first()
+    model = learning.fitted(docs.limit(0), docs.orderBy(F.xxhash64("pmid")).limit(100), topic, getattr(learning, kind)())
+    first = learning._best(learning._scored(docs, model, 1), 60).agg(F.sum("rel")).first()[0]
+    assert first >= 3 * total * 60 / n  # at random, total * 60 / n
+
+
+def test_text_learning_reaches_its_recall(licensed):
+    docs, topic = licensed
+    n, total = docs.agg(F.count("*"), F.sum("rel")).first()
+    log = _log([r.asDict() for r in learning.autotar(docs, 0.9, batch=20, growth=1.0, topic=topic).collect()])
     assert log[-1]["found"] >= 0.9 * total and all(r["found"] < 0.9 * total for r in log[:-1])
-    # at random, as many of the relevant ones would be found as of all documents
-    assert log[-1]["assessed"] <= 0.35 * n and log[0]["found"] / total >= 3 * log[0]["assessed"] / n
+    assert log[-1]["assessed"] <= 0.35 * n
+
+
+def test_tfidf_equals_a_plain_count(spark):
+    texts = ["Alpha beta beta gamma", "the beta of gamma delta", "alpha x 12 12", None, "The"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "pmid long, text string")
+    got = {r["pmid"]: sorted(r["features"].values) for r in learning.tfidf(rows)(rows).collect()}
+    words = [[w for w in re.findall(r"\w\w+", (t or "").lower()) if w not in ("the", "of")] for t in texts]
+    df = {w: sum(w in ws for ws in words) for ws in words for w in ws}
+    for i, ws in enumerate(words):
+        raw = [ws.count(w) * (math.log((1 + 5) / (1 + df[w])) + 1) for w in set(ws) if df[w] >= 2]
+        norm = math.sqrt(sum(x * x for x in raw)) or 1
+        assert got[i] == pytest.approx(sorted(x / norm for x in raw))
 
 
 def test_active_learning_reaches_its_recall(spark, oracle):

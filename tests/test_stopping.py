@@ -138,7 +138,7 @@ def test_policy_steps(spark):
         n = draw.randrange(5, 400)
         topics += [(f"t{t}", i + 1, int(draw.random() < (0.5 if i < n / 4 else 0.05)) if t else 0, n) for i in range(n)]
     judged = spark.createDataFrame(topics, "topic_id string, rank int, rel int, n_docs int")
-    limits = [0.0] * 4 + [draw.random() * 0.2 for _ in range(size - 4)]
+    limits = [0.0] * 4 + [0.005 + draw.random() * 0.01 for _ in range(size - 4)]
     table = spark.createDataFrame(list(enumerate(limits)), "location int, threshold double")
     counted = stopping.with_thresholds(stopping.window_counts(judged, size), table)
     got = {r["topic_id"]: r for r in stopping.follow(counted, stopping.threshold_policy(3), 0.8, size).collect()}
