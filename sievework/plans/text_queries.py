@@ -102,6 +102,13 @@ def _vectors(spark, d):
     return rows, [float(x) for x in rows.orderBy("vec_id").limit(1).first()["embedding"]]
 
 
+def bm25_stemmed_topk(spark, d):
+    from pyspark.ml.feature import StopWordsRemover
+
+    found = ranking.bm25_stemmed(_docs(spark, d), "text", "works licensed by the licensing authorities, at worthless versions of hatred", StopWordsRemover.loadDefaultStopWords("english"))
+    return ranking.top(_round(found, "score"), "score", "doc_id", 20)
+
+
 def dense_topk(spark, d):
     rows, q = _vectors(spark, d)
     return ranking.top(_round(ranking.dense_scores(rows, q, "vec_id", "embedding"), "score"), "score", "vec_id", 20)
@@ -379,7 +386,7 @@ def ranked_label_topics(spark, d):
     return got.select("topic_id", F.size("pmids").alias("n"), F.aggregate("labels", F.lit(0), lambda a, x: a + x).alias("positives"), F.get("pmids", 0).alias("first"))
 
 
-QUERIES = {f.__name__: f for f in (validate_corpus, domain_keywords, element_candidates, raw_scores, wss_by_topic, label_store, ranked_label_topics, p_satisfy_map, noisy_or_decision, screen_all, pico_penalty_decision, first_exclusion_reason, exclusion_top5, smart_flag_threshold, tier_routing, bias_overall, bm25_scores, bm25_topk, dense_topk, nearest_examples, unit_vectors, rrf_fusion, sentence_retrieval, context_budget_prefix, section_softmax, coverage_years, coverage_keywords, saturation, completeness, normalise_keys, dedup_exact_keys, dedup_records, dedup_without_titles, phrase_extraction, query_text, sentence_candidates, section_split, markup_strip, token_counts, reply_verdicts, span_verify, merge_canonical, missing_positives, topic_overlap_sets, confusion_metrics, precision_recall_f2, audit_trail, latest_decision, event_stage_counts, prisma_counts, rank_measures, decile_gain, loss_measures, cost_measures, rank_window_features, target_window, stopping_state, active_learning, knee_learning, target_learning, estimate_learning, estimate_learning_parts, bucket_learning)}
+QUERIES = {f.__name__: f for f in (validate_corpus, domain_keywords, element_candidates, raw_scores, wss_by_topic, label_store, ranked_label_topics, p_satisfy_map, noisy_or_decision, screen_all, pico_penalty_decision, first_exclusion_reason, exclusion_top5, smart_flag_threshold, tier_routing, bias_overall, bm25_scores, bm25_topk, bm25_stemmed_topk, dense_topk, nearest_examples, unit_vectors, rrf_fusion, sentence_retrieval, context_budget_prefix, section_softmax, coverage_years, coverage_keywords, saturation, completeness, normalise_keys, dedup_exact_keys, dedup_records, dedup_without_titles, phrase_extraction, query_text, sentence_candidates, section_split, markup_strip, token_counts, reply_verdicts, span_verify, merge_canonical, missing_positives, topic_overlap_sets, confusion_metrics, precision_recall_f2, audit_trail, latest_decision, event_stage_counts, prisma_counts, rank_measures, decile_gain, loss_measures, cost_measures, rank_window_features, target_window, stopping_state, active_learning, knee_learning, target_learning, estimate_learning, estimate_learning_parts, bucket_learning)}
 
 _DOT = "list_inner_product(embedding::DOUBLE[], {q}::DOUBLE[])"
 _Q1 = "(SELECT embedding FROM embeddings ORDER BY vec_id LIMIT 1)"

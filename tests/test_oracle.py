@@ -4,6 +4,7 @@ import hashlib
 import math
 import os
 import re
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -11,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sievework.functions.numeric import betting_lower_bound, hb_pvalues, indel_ratio
+from sievework.functions.stemming import stem
 from sievework.functions.text import SECTIONS, SEPARATORS, STOPWORDS, phrases
 from sievework.operators import certify, dedup, learning
 from sievework.plans import catalog, screening_queries, stopping_queries, text_queries
@@ -52,7 +54,7 @@ def test_query(spark, oracle, name):
 
 
 #: Queries that SQL can't express; each is held against a plain version below.
-PLAIN = {"certify", "certify_walk", "wsr_lcb_anchors", "calibrated_scores", "domain_keywords", "dedup_records", "dedup_without_titles", "phrase_extraction", "query_text", "section_split", "span_verify", "active_learning", "knee_learning", "target_learning", "estimate_learning", "estimate_learning_parts", "bucket_learning", "text_learning_logistic", "text_learning_svm", "text_learning_trees"}
+PLAIN = {"certify", "certify_walk", "wsr_lcb_anchors", "calibrated_scores", "domain_keywords", "dedup_records", "dedup_without_titles", "phrase_extraction", "query_text", "section_split", "span_verify", "active_learning", "knee_learning", "target_learning", "estimate_learning", "estimate_learning_parts", "bucket_learning", "text_learning_logistic", "text_learning_svm", "text_learning_trees", "bm25_stemmed_topk"}
 
 
 def test_every_query_is_checked():
@@ -228,6 +230,25 @@ def test_tfidf_equals_a_plain_count(spark):
         assert got[i] == pytest.approx(sorted(x / norm for x in raw))
 
 
+def test_stemmed_ranking(spark, oracle):
+    from pyspark.ml.feature import StopWordsRemover
+
+    stop = set(StopWordsRemover.loadDefaultStopWords("english"))
+    bags = {d: [stem(w) for w in re.sub("[!-/:-@\\[-`{-~]+", " ", (t or "").lower()).split() if w not in stop] for d, t in oracle.execute("SELECT doc_id, text FROM documents").fetchall()}
+    n, avg = len(bags), sum(map(len, bags.values())) / len(bags)
+    df = Counter(s for b in bags.values() for s in set(b))
+    idf = {s: math.log(n - k + 0.5) - math.log(k + 0.5) for s, k in df.items()}
+    mean, scores = sum(idf.values()) / len(idf), {}
+    for d, b in bags.items():
+        held = Counter(b)
+        parts = [(idf[q] if idf[q] >= 0 else 0.25 * mean) * held[q] * 2.5 / (held[q] + 1.5 * (0.25 + 0.75 * len(b) / avg)) for q in ("work", "licens", "licens", "author", "worthless", "version", "hatr") if held[q]]
+        if parts:
+            scores[d] = round(sum(parts), 6)
+    want = sorted(scores.items(), key=lambda x: (-x[1], x[0]))[:20]
+    got = sorted(_rows(spark, "bm25_stemmed_topk"), key=lambda r: r["rank"])
+    assert got and [(r["doc_id"], r["score"]) for r in got] == [(d, pytest.approx(s, abs=2e-6)) for d, s in want]
+
+
 def test_active_learning_reaches_its_recall(spark, oracle):
     total = oracle.execute("SELECT count(*) FROM embeddings WHERE label = 1").fetchone()[0]
     rows = sorted(_rows(spark, "active_learning"), key=lambda r: r["round"])
