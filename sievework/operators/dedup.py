@@ -1,16 +1,25 @@
-"""Record deduplication: exact keys, near-equal titles by blocks of shared q-grams, and greedy resolution in order against records that stay."""
+"""Record deduplication: exact keys, near-equal titles by matching segments, and a pass in order against records that stay.
 
-from __future__ import annotations
+Decisions are made for distinct (DOI, PMID, title) triples: of records with equal keys only the first can stay.
+Triples that keys or near titles connect are found as components; each small one is gone through in order by one
+task, a large one in rounds. Holders of keys are at most one row a key, so all records find theirs by joins that the
+adaptive planner can split. ``RecordIndex`` keeps the keys and title segments of records that stay, so that a
+search round is compared with what is held without a rerun.
+"""
 
-import math
+from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.numeric import indel_ratio
 from ..functions.text import doi_key, pmid_key, title_key
-from ..session import landed
+from ..session import landed, scratch
+
+#: Triples of a component that one task goes through; larger components take rounds.
+COMPONENT = 100_000
+THRESHOLD = 0.95
 
 
 def keyed(records: DataFrame) -> DataFrame:
@@ -27,87 +36,240 @@ def exact(records: DataFrame, key: str, order: str) -> DataFrame:
     return records.select(order, key).join(first, key, "left").select(order, F.coalesce("kept", order).alias("kept"))
 
 
-def similar_titles(records: DataFrame, order: str, threshold: float = 0.95) -> DataFrame:
-    """Pairs (earlier, later) of different titles whose indel ratio reaches the threshold.
+def _edits(n: Column, threshold: float) -> Column:
+    """Insertions and deletions between a title of n characters and the longest that can be near it."""
+    return F.floor(2 * n * ((1 - threshold) / threshold) + 1e-9).cast("int")
+
+
+def _segment(n: Column, parts: Column, i: Column) -> tuple[Column, Column]:
+    """Place and length of the i-th (from 0) of so many even parts of n characters; the last ones are a character longer."""
+    base, longer = F.floor(n / parts).cast("int"), parts - F.pmod(n, parts)
+    return i * base + F.greatest(F.lit(0), i - longer), base + F.when(i >= longer, 1).otherwise(0)
+
 
-    Complete: no pair is lost. An inserted or deleted character spoils at most q of a title's q-grams, so of
-    two titles that are d edits apart any q * d + 1 grams of one hold a gram that is in the other too, at most
-    d places away. With all grams in one order, rare ones first, it is among the first q * d + 1 different
-    grams of both: those are the blocks. The ratio is computed for candidate pairs only.
+def title_segments(titles: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """n, part, segment, title_key: one more part than there can be edits, so one is in every near title unchanged."""
+    rows = titles.select("title_key", F.length("title_key").alias("n")).withColumn("parts", _edits(F.col("n"), threshold) + 1).where("parts > 1")
+    rows = rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    place, size = _segment(F.col("n"), F.col("parts"), F.col("part"))
+    return rows.select("n", "part", F.substring("title_key", place + 1, size).alias("segment"), "title_key")
+
+
+def title_probes(titles: DataFrame, threshold: float = THRESHOLD, longer: bool = True) -> DataFrame:
+    """n, part, segment, title_key: where a title may hold a part of another title of n characters.
+
+    A part is where the edits before and behind it allow: if it is the first to agree from the left, as many places
+    away at most as there are parts before it, and likewise from the right. ``longer``: also for others longer than it.
     """
-    q = max(1, min(9, math.floor(threshold / (2 * (1 - threshold)) + 1e-9))) if threshold < 1 else 9
-    t = landed(records.where(F.length("title_key") > 0).groupBy("title_key").agg(F.min(order).alias("at")).withColumn("n", F.length("title_key")), "dedup-titles")
-    most = F.floor((1 - threshold) * F.col("n") * (2 / threshold) + 1e-9).cast("int")
-    edge = F.lit("\n" * (q - 1))  # no key has line ends
-    padded = F.concat(edge, "title_key", edge)
-    grams = t.where(most > 0).select("at", F.posexplode(F.transform(F.sequence(F.lit(1), F.col("n") + q - 1), lambda i: F.substring(padded, i, F.lit(q)))).alias("place", "gram"))
-    ranked = grams.join(grams.groupBy("gram").agg(F.count("*").alias("uses")), "gram").groupBy("at").agg(F.array_sort(F.collect_list(F.struct("uses", "gram", "place"))).alias("grams"))
-
-    def bare(g):
-        return F.struct(g["uses"], g["gram"])
-
-    last = F.element_at(F.slice(F.array_distinct(F.transform("grams", bare)), F.lit(1), most * q + 1), -1)
-    first = t.join(ranked, "at").withColumn("last", last).select("at", "title_key", "n", F.explode(F.filter("grams", lambda g: (g["uses"] > 1) & (bare(g) <= F.col("last")))).alias("g"))
-    tokens = landed(first.select("at", "title_key", "n", F.col("g.gram").alias("block"), F.col("g.place").alias("place")), "dedup-blocks")
-    a, b = tokens.alias("a"), tokens.alias("b")
-    near = (F.col("a.at") < F.col("b.at")) & (F.least("a.n", "b.n") >= F.greatest("a.n", "b.n") * (threshold / (2 - threshold)) - 1e-9)
-    near &= F.abs(F.col("a.place") - F.col("b.place")) <= (1 - threshold) * (F.col("a.n") + F.col("b.n")) + 1e-9
-    pairs = a.join(b, (F.col("a.block") == F.col("b.block")) & near).select(F.col("a.at").alias("u"), F.col("b.at").alias("v"), F.col("a.title_key").alias("x"), F.col("b.title_key").alias("y")).distinct()
-    # unit-cost edits are never more than insertions and deletions: a bound that stays in the JVM
+    m = F.length("title_key")
+    ratio = threshold / (2 - threshold)
+    low, high = F.ceil(m * ratio - 1e-9).cast("int"), F.floor(m / ratio + 1e-9).cast("int") if longer else m
+    rows = titles.select("title_key", m.alias("m"), F.explode(F.sequence(F.greatest(low, F.lit(1)), F.greatest(high, F.lit(1)))).alias("n"))
+    rows = rows.withColumn("parts", _edits(F.col("n"), threshold) + 1).withColumn("d", F.floor((1 - threshold) * (F.col("n") + F.col("m")) + 1e-9).cast("int")).where("parts > 1 and abs(m - n) <= d")
+    rows = rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    place, size = _segment(F.col("n"), F.col("parts"), F.col("part"))
+    rows = rows.withColumns({"place": place, "size": size, "more": F.col("m") - F.col("n")})
+    after = F.col("parts") - 1 - F.col("part")
+    first = F.greatest(F.lit(0), F.col("place") - F.col("part"), F.col("place") + F.col("more") - after, F.col("place") - F.floor((F.col("d") - F.col("more")) / 2).cast("int"))
+    last = F.least(F.col("m") - F.col("size"), F.col("place") + F.col("part"), F.col("place") + F.col("more") + after, F.col("place") + F.floor((F.col("d") + F.col("more")) / 2).cast("int"))
+    rows = rows.withColumns({"first": first, "last": last}).where("first <= last").withColumn("at", F.explode(F.sequence("first", "last")))
+    return rows.select("n", "part", F.substring("title_key", F.col("at") + 1, F.col("size")).alias("segment"), "title_key")
+
+
+def near_titles(probes: DataFrame, segments: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """x, y: each pair of different titles, once, whose indel ratio reaches the threshold; complete over both sides."""
+    a, b = probes.withColumnRenamed("title_key", "p"), segments.withColumnRenamed("title_key", "q")
+    pairs = a.join(b, ["n", "part", "segment"]).where("p <> q").select(F.least("p", "q").alias("x"), F.greatest("p", "q").alias("y"))
+    # unit-cost edits are never more than insertions and deletions: a bound that stays in the JVM, before any shuffle of pairs
     limit = F.floor((1 - threshold) * (F.length("x") + F.length("y")) + 1e-9)
-    pairs = pairs.where(F.levenshtein("x", "y") <= limit)
+    pairs = pairs.where(F.abs(F.length("x") - F.length("y")) <= limit).where(F.levenshtein("x", "y") <= limit).distinct()
 
     @F.pandas_udf("double")
     def ratio(x: pd.Series, y: pd.Series) -> pd.Series:
         return pd.Series([indel_ratio(p, q) for p, q in zip(x, y, strict=True)])
 
-    return pairs.withColumn("ratio", ratio("x", "y")).where(F.col("ratio") >= threshold).select("u", "v", "ratio")
+    return pairs.withColumn("ratio", ratio("x", "y")).where(F.col("ratio") >= threshold).select("x", "y", "ratio")
+
+
+def similar_titles(records: DataFrame, order: str, threshold: float = THRESHOLD) -> DataFrame:
+    """u, v, ratio: pairs (earlier, later) of different titles whose indel ratio reaches the threshold; titles are named by their first record."""
+    titles = landed(records.where(F.length("title_key") > 0).groupBy("title_key").agg(F.min(order).alias("at")), "dedup-titles")
+    pairs = near_titles(title_probes(titles, threshold, longer=False), title_segments(titles, threshold), threshold)
+    named = pairs.join(titles.select(F.col("title_key").alias("x"), F.col("at").alias("a")), "x").join(titles.select(F.col("title_key").alias("y"), F.col("at").alias("b")), "y")
+    return named.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"), "ratio")
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """node, component: connected components of (u, v) edges, named by one of their nodes.
+
+    In each round every node joins the one of itself and its neighbours that comes first by a hash, anew for each
+    round, so that even a chain in order of its numbers shrinks by a share each time; the edges between what they
+    joined remain. Then all is followed back.
+    """
+    left, parents = landed(edges.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "components-edges"), []
+    while not left.isEmpty():
+        def first(c: str, salt=len(parents)) -> Column:
+            return F.struct(F.xxhash64(c, F.lit(salt)), F.col(c).alias("node"))
+
+        both = left.unionByName(left.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        parent = both.groupBy("u").agg(F.min(first("v")).alias("best")).select(F.col("u").alias("node"), F.least("best", first("u"))["node"].alias("parent"))
+        parents.append(landed(parent, "components-parents"))
+        moved = left.join(parents[-1].toDF("u", "pu"), "u").join(parents[-1].toDF("v", "pv"), "v").where("pu <> pv")
+        left = landed(moved.select(F.least("pu", "pv").alias("u"), F.greatest("pu", "pv").alias("v")).distinct(), "components-edges")
+    if not parents:
+        return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).limit(0)
+    top = parents[-1].withColumnRenamed("parent", "component")
+    for parent in reversed(parents[:-1]):
+        top = landed(parent.join(top.withColumnRenamed("node", "parent"), "parent", "left").select("node", F.coalesce("component", "parent").alias("component")), "components")
+    return top
 
 
 def greedy(keys: DataFrame, order: str) -> DataFrame:
-    """order, kept: the records that stay when they are gone through in order and one goes if it shares a key with one that stays.
+    """The records (order) that stay when all are gone through in order and one goes if it shares a key with one that stays.
 
-    ``keys`` holds (rank, key, order) rows; each key stands for records that are all each other's duplicates.
-    Those that go are given the record that stays by their key of the lowest rank, then the earliest. Each
-    round settles the records that come first by all their keys, and whatever shares a key with them; a key
-    that a third of all records hold is one row in the aggregates. Records without rows aren't returned.
+    ``keys`` holds (key, order) rows; each key stands for records that are all each other's duplicates. Each
+    round settles the records that come first by all their keys, and whatever shares a key with them; a key that
+    a third of all records hold is one row in the aggregates. Records without rows aren't returned.
     """
     at = F.col(order)
-    every = landed(keys.where(F.col("key").isNotNull()).select("rank", "key", order).distinct(), "dedup-keys")
-    left, stay = every.select("key", order), None
+    left, stay = landed(keys.select("key", order).distinct(), "dedup-keys"), None
     while not left.isEmpty():
         led = landed(left.join(left.groupBy("key").agg(F.min(order).alias("lead")), "key"), "dedup-leads")
         firm = landed(led.groupBy(order).agg(F.min((at == F.col("lead")).cast("int")).alias("all_")).where("all_ = 1").select(order), "dedup-firm")
         stay = firm if stay is None else stay.unionByName(firm)
         settled = landed(led.join(firm.withColumnRenamed(order, "lead"), "lead").select(order).distinct(), "dedup-settled")
         left = landed(left.join(settled, order, "left_anti"), "dedup-left")
-    if stay is None:
-        return every.select(order, at.alias("kept")).limit(0)
-    holder = every.join(stay, order).select("key", at.alias("kept"))  # at most one for each key
-    gone = every.join(holder, "key").where(F.col("kept") < at).groupBy(order).agg(F.min(F.struct("rank", "kept"))["kept"].alias("kept"))
-    return every.select(order).distinct().join(gone, order, "left").select(order, F.coalesce("kept", order).alias("kept"))
+    return keys.select(order).limit(0) if stay is None else stay
+
+
+#: A record's keys in the order in which they decide, and what tells them apart.
+KEYS = (("doi_key", "d:"), ("pmid_key", "p:"), ("title_key", "t:"))
+
 
+def _keys(triples: DataFrame, order: str) -> DataFrame:
+    """key, order of each triple's keys."""
+    names = F.array(*[F.concat(F.lit(sign), F.col(name)) for name, sign in KEYS])
+    return triples.select(order, F.explode(F.filter(names, lambda k: k.isNotNull())).alias("key"))
 
-def deduplicate(records: DataFrame, order: str, fuzzy: bool = True) -> DataFrame:
+
+def decide(triples: DataFrame, near: DataFrame | None, order: str, component: int = COMPONENT) -> DataFrame:
+    """The triples (order, doi_key, pmid_key, title_key) that stay; ``near`` has pairs (x, y) of titles."""
+    keys = _keys(triples, order)
+    leads = landed(keys.groupBy("key").agg(F.min(order).alias("lead"), F.count("*").alias("n")), "dedup-leads")
+    edges = keys.join(leads.where("n > 1"), "key").select(F.col(order).alias("u"), F.col("lead").alias("v"))
+    if near is not None:
+        titles = leads.where(F.col("key").startswith("t:"))
+        a, b = (titles.select(F.expr("substring(key, 3)").alias(c), F.col("lead").alias(n)) for c, n in (("x", "u"), ("y", "v")))
+        edges = edges.unionByName(near.join(a, "x").join(b, "y").select("u", "v"))
+    found = components(edges)
+    sizes = landed(found.groupBy("component").agg(F.count("*").alias("n")), "dedup-sizes")
+    alone = triples.join(found.select(F.col("node").alias(order)), order, "left_anti").select(order)
+    placed = landed(triples.join(found.withColumnRenamed("node", order), order).join(sizes, "component"), "dedup-placed")
+    titles = placed.where("title_key is not null").select("component", "n", F.col("title_key").alias("x")).distinct()
+    joined = None if near is None else landed(near.select("x", "y").join(titles, "x"), "dedup-placed-near")
+    small, kind = placed.where(F.col("n") <= component), dict(triples.dtypes)[order]
+
+    def in_order(rows: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
+        others: dict[str, list[str]] = {}
+        for x, y in zip(pairs["x"], pairs["y"], strict=True):
+            others.setdefault(x, []).append(y)
+            others.setdefault(y, []).append(x)
+        held, stay = set(), []
+        for at, *own in rows.sort_values(order)[[order, *(k for k, _ in KEYS)]].itertuples(index=False):
+            own = [(i, k) for i, k in enumerate(own) if isinstance(k, str)]
+            if not any(k in held for k in own) and not any((2, y) in held for i, k in own if i == 2 for y in others.get(k, ())):
+                stay.append(at)
+                held.update(own)
+        return pd.DataFrame({order: stay})
+
+    pairs = (placed.select("component", F.col("title_key").alias("x"), F.col("title_key").alias("y")).limit(0) if near is None else joined.where(F.col("n") <= component).select("component", "x", "y"))
+    stay = alone.unionByName(small.groupBy("component").cogroup(pairs.groupBy("component")).applyInPandas(in_order, f"{order} {kind}"))
+    large = placed.where(F.col("n") > component)
+    if not sizes.where(F.col("n") > component).isEmpty():
+        rows = _keys(large, order)
+        if near is not None:  # two near titles are one more key of the triples with either
+            either = joined.where(F.col("n") > component).select(F.explode(F.array("x", "y")).alias("title_key"), F.concat_ws("\n", F.lit("n:"), "x", "y").alias("key"))
+            rows = rows.unionByName(large.select(order, "title_key").join(either, "title_key").select(order, "key"))
+        stay = stay.unionByName(greedy(rows, order))
+    return stay
+
+
+def _resolved(rows: DataFrame, holders: DataFrame, near: DataFrame | None, order: str) -> DataFrame:
+    """order, kept: each record's holder by DOI, else PMID, else title (the earliest of equal and near ones), of those before it."""
+    out = rows
+    for name, _ in KEYS:
+        own = holders.where(F.col(name).isNotNull()).select(name, F.col(order).alias("__h"))
+        if name == "title_key" and near is not None:
+            sides = near.select(F.col("x").alias(name), F.col("y").alias("__o")).unionByName(near.select(F.col("y").alias(name), F.col("x").alias("__o")))
+            own = own.unionByName(sides.join(own.withColumnRenamed(name, "__o"), "__o").select(name, "__h"))
+        out = out.join(own.groupBy(name).agg(F.min("__h").alias(f"__{name}")), name, "left")
+    at = F.col(order)
+    return out.select(order, F.coalesce(*[F.when(F.col(f"__{name}") < at, F.col(f"__{name}")) for name, _ in KEYS], at).alias("kept"))
+
+
+def _rows(records: DataFrame, order: str) -> DataFrame:
+    """order and keys; empty identifiers are none, an empty title is one."""
+    rows = keyed(records)
+    return rows.select(order, *[F.nullif(F.col(n), F.lit("")).alias(n) if n != "title_key" else F.col(n) for n, _ in KEYS])
+
+
+def _triples(rows: DataFrame, order: str) -> DataFrame:
+    return rows.groupBy(*[n for n, _ in KEYS]).agg(F.min(order).alias(order)).where(" or ".join(f"{n} is not null" for n, _ in KEYS))
+
+
+def _titles(triples: DataFrame) -> DataFrame:
+    return triples.where(F.length("title_key") > 0).select("title_key").distinct()
+
+
+def deduplicate(records: DataFrame, order: str, fuzzy: bool = True, component: int = COMPONENT) -> DataFrame:
     """order, kept: DOI, then PMID, then title (equal, or near with ``fuzzy``), each against records that stay only.
 
     A null title is none; empty titles are equal to each other.
     """
-    rows = landed(keyed(records), "dedup-keyed")
-    keys = None
-    for rank, (name, test) in enumerate((("doi_key", "doi_key <> ''"), ("pmid_key", "pmid_key <> ''"), ("title_key", "title_key is not null"))):
-        own = rows.where(test).select(F.lit(rank).alias("rank"), F.concat(F.lit(f"{name[0]}:"), F.col(name)).alias("key"), order)
-        keys = own if keys is None else keys.unionByName(own)
-    if fuzzy:  # two near titles are one more key of all records with either
-        pairs = landed(similar_titles(rows, order).select("u", "v"), "dedup-near")
-        sides = pairs.select(F.col("u").alias("at"), "u", "v").unionByName(pairs.select(F.col("v").alias("at"), "u", "v"))
-        titles = rows.where(F.length("title_key") > 0).groupBy("title_key").agg(F.min(order).alias("at"))
-        near = rows.join(titles, "title_key").join(sides, "at").select(F.lit(2).alias("rank"), F.concat_ws(":", F.lit("n"), "u", "v").alias("key"), order)
-        keys = keys.unionByName(near)
-    # only keys that several records hold decide anything
-    shared = keys.join(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "key")
-    found = greedy(shared, order)
-    return rows.select(order).join(found, order, "left").select(order, F.coalesce("kept", order).alias("kept"))
+    rows = landed(_rows(records, order), "dedup-rows")
+    triples, near = landed(_triples(rows, order), "dedup-triples"), None
+    if fuzzy:
+        titles = landed(_titles(triples), "dedup-titles")
+        near = landed(near_titles(title_probes(titles, longer=False), title_segments(titles)), "dedup-near")
+    holders = landed(triples.join(decide(triples, near, order, component), order), "dedup-holders")
+    return _resolved(rows, holders, near, order)
+
+
+class RecordIndex:
+    """Records that stay, by rounds: each round's records come after all before, and are compared with those held and each other.
+
+    Keys and title segments of the records held are tables under ``path`` (default: a fresh folder of the shared one),
+    to which a round adds its own; a round that is run again replaces what it had added.
+    """
+
+    def __init__(self, spark: SparkSession, order: str, fuzzy: bool = True, path: str | None = None):
+        self.spark, self.order, self.fuzzy, self.path, self.rounds = spark, order, fuzzy, path or scratch(spark, "record-index"), 0
+
+    def _held(self, table: str) -> DataFrame | None:
+        paths = [f"{self.path}/{table}-{i}" for i in range(self.rounds)]
+        return self.spark.read.parquet(*paths) if paths else None
+
+    def add(self, records: DataFrame) -> DataFrame:
+        """order, kept of a round's records."""
+        order = self.order
+        rows = landed(_rows(records, order), "dedup-rows")
+        triples, held, near = landed(_triples(rows, order), "dedup-triples"), self._held("keys"), None
+        if self.fuzzy:
+            titles = landed(_titles(triples), "dedup-titles")
+            near = near_titles(title_probes(titles, longer=False), title_segments(titles))
+            if held is not None:
+                near = near.unionByName(near_titles(title_probes(titles), self._held("segments")))
+            near = landed(near.distinct(), "dedup-near")
+        left = triples
+        if held is not None:
+            gone = _resolved(triples, held, near, order).where(F.col("kept") < F.col(order)).select(order)
+            left = landed(triples.join(gone, order, "left_anti"), "dedup-left")
+        fresh = triples.join(decide(left, near, order), order)
+        fresh.write.mode("overwrite").parquet(f"{self.path}/keys-{self.rounds}")
+        if self.fuzzy:
+            title_segments(_titles(self.spark.read.parquet(f"{self.path}/keys-{self.rounds}"))).write.mode("overwrite").parquet(f"{self.path}/segments-{self.rounds}")
+        self.rounds += 1
+        return _resolved(rows, self._held("keys"), near, order)
 
 
 def set_overlap(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -113,19 +113,20 @@ def test_greedy_dedup_is_not_transitive(spark):
     assert dict(map(tuple, dedup.deduplicate(spark.createDataFrame(doi, pmid), "seq", fuzzy=False).collect())) == {0: 0, 1: 0, 2: 2, 3: 2}, "only records that stay hold keys"
 
 
-@pytest.mark.parametrize("fuzzy", [False, True])
-def test_dedup_equals_a_pass_in_order(spark, fuzzy):
-    from sievework.functions.numeric import indel_ratio
-
+def _record_rows(n=220):
     draw = random.Random(21)
     base = ["".join(draw.choice("abcdefgh ") for _ in range(40)).strip() for _ in range(12)]
     rows = []
-    for i in range(220):
+    for i in range(n):
         title = draw.choice(base)
         for _ in range(draw.randrange(4)):
             at = draw.randrange(len(title))
             title = title[:at] + draw.choice(["", "x", "yz"]) + title[at + draw.randrange(2):]
         rows.append((i, draw.choice([None, "", title, title]), draw.choice([None, "", f"10.1/{draw.randrange(60)}", f"https://doi.org/10.1/{draw.randrange(60)}"]), draw.choice([None, "", str(draw.randrange(60))])))
+    return rows
+
+
+def _in_order(rows, fuzzy):
     want, held = {}, {"d": {}, "p": {}, "t": {}}
     for i, title, doi, pmid in rows:
         d, p = (doi or "").replace("https://doi.org/", ""), pmid or ""
@@ -139,11 +140,37 @@ def test_dedup_equals_a_pass_in_order(spark, fuzzy):
             held["d"] |= {d: i} if d else {}
             held["p"] |= {p: i} if p else {}
             held["t"] |= {t: i} if t is not None else {}
+    return want
+
+
+@pytest.mark.parametrize(("fuzzy", "component"), [(False, 100_000), (True, 100_000), (True, 3)])
+def test_dedup_equals_a_pass_in_order(spark, fuzzy, component):
+    rows = _record_rows()
     df = spark.createDataFrame(rows, "seq long, title string, doi string, pmid string").repartition(3)
-    assert dict(map(tuple, dedup.deduplicate(df, "seq", fuzzy).collect())) == want
+    want = _in_order(rows, fuzzy)
+    assert dict(map(tuple, dedup.deduplicate(df, "seq", fuzzy, component).collect())) == want
     assert 20 < sum(k == v for k, v in want.items()) < 200
 
 
+def test_rounds_of_dedup_equal_one_run(spark):
+    rows = _record_rows(150)
+    index, got = dedup.RecordIndex(spark, "seq"), {}
+    for low, high in ((0, 60), (60, 100), (100, 150)):
+        part = spark.createDataFrame(rows[low:high], "seq long, title string, doi string, pmid string").repartition(2)
+        got |= dict(map(tuple, index.add(part).collect()))
+    assert got == _in_order(rows, True)
+    assert {r["seq"] for r in index._held("keys").collect()} == {k for k, v in got.items() if k == v and any(x is not None and x != "" or i == 0 and x is not None for i, x in enumerate(rows[k][1:]))}
+
+
+def test_components_of_chains_take_few_rounds(spark, monkeypatch):
+    landed, names = dedup.landed, []
+    monkeypatch.setattr(dedup, "landed", lambda df, name: (names.append(name), landed(df, name))[1])
+    edges = [(i, i + 1) for i in range(400)] + [(1000, i) for i in range(1001, 1100)] + [(5000, 5000)]
+    got = dict(map(tuple, dedup.components(spark.createDataFrame(edges, "u long, v long")).collect()))
+    assert len({got[i] for i in range(401)}) == 1 and len({got[i] for i in range(1000, 1100)}) == 1 and got[0] != got[1000] and 5000 not in got
+    assert names.count("components-parents") <= 16  # a chain in order would take 400 rounds by its smallest numbers
+
+
 @pytest.mark.parametrize("threshold", [0.95, 0.9, 0.8, 0.6])
 def test_similar_titles_are_all_pairs(spark, threshold):
     draw = random.Random(4)
