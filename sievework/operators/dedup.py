@@ -1,8 +1,9 @@
 """Record deduplication: exact keys, near-equal titles by matching segments, and a pass in order against records that stay.
 
 Decisions are made for distinct (DOI, PMID, title) triples: of records with equal keys only the first can stay.
-Triples that keys or near titles connect are found as components; each small one is gone through in order by one
-task, a large one in rounds. Holders of keys are at most one row a key, so all records find theirs by joins that the
+Two rounds settle those that come first by all their keys and all that share a key with these, so keys that many hold
+are used up; what keys or near titles still connect are components, each small one gone through in order by one task, a
+large one in more rounds. Holders of keys are at most one row a key, so all records find theirs by joins that the
 adaptive planner can split. ``RecordIndex`` keeps the keys and title segments of records that stay, so that a
 search round is compared with what is held without a rerun.
 """
@@ -18,7 +19,7 @@ from ..functions.text import doi_key, pmid_key, title_key
 from ..session import landed, scratch
 
 #: Triples of a component that one task goes through; larger components take rounds.
-COMPONENT = 100_000
+COMPONENT = 5_000
 THRESHOLD = 0.95
 
 
@@ -124,37 +125,51 @@ def components(edges: DataFrame) -> DataFrame:
     return top
 
 
-def greedy(keys: DataFrame, order: str) -> DataFrame:
-    """The records (order) that stay when all are gone through in order and one goes if it shares a key with one that stays.
+#: A record's keys in the order in which they decide, and what tells them apart.
+KEYS = (("doi_key", "d:"), ("pmid_key", "p:"), ("title_key", "t:"))
 
-    ``keys`` holds (key, order) rows; each key stands for records that are all each other's duplicates. Each
-    round settles the records that come first by all their keys, and whatever shares a key with them; a key that
-    a third of all records hold is one row in the aggregates. Records without rows aren't returned.
-    """
-    at = F.col(order)
-    left, stay = landed(keys.select("key", order).distinct(), "dedup-keys"), None
-    while not left.isEmpty():
-        led = landed(left.join(left.groupBy("key").agg(F.min(order).alias("lead")), "key"), "dedup-leads")
-        firm = landed(led.groupBy(order).agg(F.min((at == F.col("lead")).cast("int")).alias("all_")).where("all_ = 1").select(order), "dedup-firm")
-        stay = firm if stay is None else stay.unionByName(firm)
-        settled = landed(led.join(firm.withColumnRenamed(order, "lead"), "lead").select(order).distinct(), "dedup-settled")
-        left = landed(left.join(settled, order, "left_anti"), "dedup-left")
-    return keys.select(order).limit(0) if stay is None else stay
 
+def _near_sides(near: DataFrame) -> DataFrame:
+    """title_key, other: each pair of near titles from both sides."""
+    return near.select(F.col("x").alias("title_key"), F.col("y").alias("other")).unionByName(near.select(F.col("y").alias("title_key"), F.col("x").alias("other")))
 
-#: A record's keys in the order in which they decide, and what tells them apart.
-KEYS = (("doi_key", "d:"), ("pmid_key", "p:"), ("title_key", "t:"))
 
+def settle(triples: DataFrame, near: DataFrame | None, order: str) -> tuple[DataFrame, DataFrame]:
+    """Triples that stay because they come first by all their keys and near titles, and those that share none with them.
+
+    Near titles are joined title by title, so that a title of many triples counts once.
+    """
+    out, at = triples, F.col(order)
+    for name, _ in KEYS:
+        leads = triples.where(F.col(name).isNotNull()).groupBy(name).agg(F.min(order).alias(f"__{name}"))
+        if name == "title_key" and near is not None:
+            around = _near_sides(near).join(leads.withColumnRenamed(name, "other"), "other").groupBy(name).agg(F.min(f"__{name}").alias("__near"))
+            leads = leads.join(around, name, "left").select(name, F.least(f"__{name}", "__near").alias(f"__{name}"))
+        out = out.join(leads, name, "left")
+    firm = landed(out.where(" and ".join(f"(__{n} is null or __{n} >= {order})" for n, _ in KEYS)).select(triples.columns), "dedup-firm")
+    left = triples
+    for name, _ in KEYS:
+        held = firm.where(F.col(name).isNotNull()).select(name)
+        if name == "title_key" and near is not None:
+            held = held.unionByName(_near_sides(near).join(held.withColumnRenamed(name, "other"), "other").select(name)).distinct()
+        left = left.join(held, name, "left_anti")
+    return firm.select(at), landed(left.select(triples.columns), "dedup-left")
 
-def _keys(triples: DataFrame, order: str) -> DataFrame:
-    """key, order of each triple's keys."""
-    names = F.array(*[F.concat(F.lit(sign), F.col(name)) for name, sign in KEYS])
-    return triples.select(order, F.explode(F.filter(names, lambda k: k.isNotNull())).alias("key"))
 
+def decide(triples: DataFrame, near: DataFrame | None, order: str, component: int = COMPONENT, rounds: int = 2) -> DataFrame:
+    """The triples (order, doi_key, pmid_key, title_key) that stay; ``near`` has pairs (x, y) of titles.
 
-def decide(triples: DataFrame, near: DataFrame | None, order: str, component: int = COMPONENT) -> DataFrame:
-    """The triples (order, doi_key, pmid_key, title_key) that stay; ``near`` has pairs (x, y) of titles."""
-    keys = _keys(triples, order)
+    A few rounds of ``settle`` first: a key that many hold is then used up. What is left falls into components.
+    """
+    stay, left = triples.select(order).limit(0), triples
+    for _ in range(rounds):
+        firm, left = settle(left, near, order)
+        stay = stay.unionByName(firm)
+        if left.isEmpty():
+            return stay
+    triples = left
+    names = F.array(*[F.concat(F.lit(sign), F.col(name)) for name, sign in KEYS])
+    keys = triples.select(order, F.explode(F.filter(names, lambda k: k.isNotNull())).alias("key"))
     leads = landed(keys.groupBy("key").agg(F.min(order).alias("lead"), F.count("*").alias("n")), "dedup-leads")
     edges = keys.join(leads.where("n > 1"), "key").select(F.col(order).alias("u"), F.col("lead").alias("v"))
     if near is not None:
@@ -165,9 +180,10 @@ def decide(triples: DataFrame, near: DataFrame | None, order: str, component: in
     sizes = landed(found.groupBy("component").agg(F.count("*").alias("n")), "dedup-sizes")
     alone = triples.join(found.select(F.col("node").alias(order)), order, "left_anti").select(order)
     placed = landed(triples.join(found.withColumnRenamed("node", order), order).join(sizes, "component"), "dedup-placed")
-    titles = placed.where("title_key is not null").select("component", "n", F.col("title_key").alias("x")).distinct()
-    joined = None if near is None else landed(near.select("x", "y").join(titles, "x"), "dedup-placed-near")
     small, kind = placed.where(F.col("n") <= component), dict(triples.dtypes)[order]
+    pairs = small.select("component", F.col("title_key").alias("x")).where("x is not null").distinct()
+    pairs = pairs.withColumn("y", F.lit(None).cast("string")).limit(0) if near is None else near.select("x", "y").join(pairs, "x").select("component", "x", "y")
+    pairs = landed(pairs, "dedup-placed-near")
 
     def in_order(rows: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
         others: dict[str, list[str]] = {}
@@ -182,15 +198,11 @@ def decide(triples: DataFrame, near: DataFrame | None, order: str, component: in
                 held.update(own)
         return pd.DataFrame({order: stay})
 
-    pairs = (placed.select("component", F.col("title_key").alias("x"), F.col("title_key").alias("y")).limit(0) if near is None else joined.where(F.col("n") <= component).select("component", "x", "y"))
-    stay = alone.unionByName(small.groupBy("component").cogroup(pairs.groupBy("component")).applyInPandas(in_order, f"{order} {kind}"))
-    large = placed.where(F.col("n") > component)
-    if not sizes.where(F.col("n") > component).isEmpty():
-        rows = _keys(large, order)
-        if near is not None:  # two near titles are one more key of the triples with either
-            either = joined.where(F.col("n") > component).select(F.explode(F.array("x", "y")).alias("title_key"), F.concat_ws("\n", F.lit("n:"), "x", "y").alias("key"))
-            rows = rows.unionByName(large.select(order, "title_key").join(either, "title_key").select(order, "key"))
-        stay = stay.unionByName(greedy(rows, order))
+    stay = stay.unionByName(alone).unionByName(small.groupBy("component").cogroup(pairs.groupBy("component")).applyInPandas(in_order, f"{order} {kind}"))
+    large = placed.where(F.col("n") > component).select(triples.columns)
+    while not large.isEmpty():
+        firm, large = settle(large, near, order)
+        stay = stay.unionByName(firm)
     return stay
 
 
@@ -200,8 +212,7 @@ def _resolved(rows: DataFrame, holders: DataFrame, near: DataFrame | None, order
     for name, _ in KEYS:
         own = holders.where(F.col(name).isNotNull()).select(name, F.col(order).alias("__h"))
         if name == "title_key" and near is not None:
-            sides = near.select(F.col("x").alias(name), F.col("y").alias("__o")).unionByName(near.select(F.col("y").alias(name), F.col("x").alias("__o")))
-            own = own.unionByName(sides.join(own.withColumnRenamed(name, "__o"), "__o").select(name, "__h"))
+            own = own.unionByName(_near_sides(near).join(own.withColumnRenamed(name, "other"), "other").select(name, "__h"))
         out = out.join(own.groupBy(name).agg(F.min("__h").alias(f"__{name}")), name, "left")
     at = F.col(order)
     return out.select(order, F.coalesce(*[F.when(F.col(f"__{name}") < at, F.col(f"__{name}")) for name, _ in KEYS], at).alias("kept"))
