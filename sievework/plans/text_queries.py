@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions.numeric import cosine, unit
-from ..operators import baselines, coverage, dedup, evaluator, learning, ranking, report, review, routing, screening
+from ..operators import baselines, coverage, dedup, evaluator, learning, ranking, replies, report, retrieval, review, routing, screening
 from ..session import landed, table
 from ..sources import judgments, stores
 from ..streaming import events as feed
@@ -348,6 +348,35 @@ def bucket_learning(spark, d):
     return learning.scal(_learnable(spark, d), 0.9, batch=40)
 
 
+def _criteria(spark, d):
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("criterion_id"), F.col("text").alias("criterion_text"))
+
+
+def criterion_retrieval(spark, d):
+    found = retrieval.retrieve(_docs(spark, d), _criteria(spark, d), 3)
+    return found.groupBy("doc_id", "criterion_id").agg(F.count("*").alias("n"), F.sum("position").alias("positions"), F.round(F.max("score"), 6).alias("best"))
+
+
+def criterion_judgments(spark, d):
+    found = retrieval.retrieve(_docs(spark, d), _criteria(spark, d), 3)
+    best = found.groupBy("doc_id").agg(F.max_by(F.struct("criterion_id", "position", "score"), F.struct("score", -F.col("criterion_id"), -F.col("position"))).alias("b")).select("doc_id", "b.*")
+    text = tx.text_or_empty("text")
+    rows = best.join(_docs(spark, d).select("doc_id", text.alias("text")), "doc_id").withColumn("sentence", F.get(tx.sentences("text"), F.col("position")))
+    told = rows.withColumns({"satisfies": F.when(F.col("score") >= 0.2, "true").otherwise("false"), "confidence": F.round("score", 6), "span": F.when(F.col("doc_id") % 3 == 0, F.repeat(F.lit("#"), F.lit(40))).otherwise(F.col("sentence"))})
+    return _round(retrieval.judged(told).select("doc_id", "criterion_id", "p", "verified", "hallucinated"), "p")
+
+
+def reply_failures(spark, d):
+    rows = table(spark, d, "events").select(F.col("event_type").alias("topic_id"), F.col("event_id").alias("seq"), (F.col("user_id") % 5 != 0).alias("failed"))
+    return replies.failure_runs(rows, block=64).select("topic_id", "total", "processed", "failed", "aborted", "aborted_at")
+
+
+def template_checks(spark, d):
+    rows = table(spark, d, "conversations").select("conv_id", "turn", tx.text_or_empty("text").alias("text"))
+    stored = F.when(F.col("turn") % 3 == 0, F.sha2("text", 256)).when(F.col("turn") % 3 == 1, F.sha2(F.concat("text", F.lit(" ")), 256))
+    return rows.groupBy(replies.template_status(stored, F.col("text")).alias("status")).agg(F.count("*").alias("n"))
+
+
 def validate_corpus(spark, d):
     rows = landed(corpus.scored(spark, d), "scored")
     spoilt = rows.withColumns({"s": F.col("s") * 1.05, "u": F.nullif("u", F.lit(1.0)), "is_split": F.when(F.col("y") == 1, 3).otherwise(F.col("is_split"))})
@@ -386,7 +415,7 @@ def ranked_label_topics(spark, d):
     return got.select("topic_id", F.size("pmids").alias("n"), F.aggregate("labels", F.lit(0), lambda a, x: a + x).alias("positives"), F.get("pmids", 0).alias("first"))
 
 
-QUERIES = {f.__name__: f for f in (validate_corpus, domain_keywords, element_candidates, raw_scores, wss_by_topic, label_store, ranked_label_topics, p_satisfy_map, noisy_or_decision, screen_all, pico_penalty_decision, first_exclusion_reason, exclusion_top5, smart_flag_threshold, tier_routing, bias_overall, bm25_scores, bm25_topk, bm25_stemmed_topk, dense_topk, nearest_examples, unit_vectors, rrf_fusion, sentence_retrieval, context_budget_prefix, section_softmax, coverage_years, coverage_keywords, saturation, completeness, normalise_keys, dedup_exact_keys, dedup_records, dedup_without_titles, phrase_extraction, query_text, sentence_candidates, section_split, markup_strip, token_counts, reply_verdicts, span_verify, merge_canonical, missing_positives, topic_overlap_sets, confusion_metrics, precision_recall_f2, audit_trail, latest_decision, event_stage_counts, prisma_counts, rank_measures, decile_gain, loss_measures, cost_measures, rank_window_features, target_window, stopping_state, active_learning, knee_learning, target_learning, estimate_learning, estimate_learning_parts, bucket_learning)}
+QUERIES = {f.__name__: f for f in (criterion_retrieval, criterion_judgments, reply_failures, template_checks, validate_corpus, domain_keywords, element_candidates, raw_scores, wss_by_topic, label_store, ranked_label_topics, p_satisfy_map, noisy_or_decision, screen_all, pico_penalty_decision, first_exclusion_reason, exclusion_top5, smart_flag_threshold, tier_routing, bias_overall, bm25_scores, bm25_topk, bm25_stemmed_topk, dense_topk, nearest_examples, unit_vectors, rrf_fusion, sentence_retrieval, context_budget_prefix, section_softmax, coverage_years, coverage_keywords, saturation, completeness, normalise_keys, dedup_exact_keys, dedup_records, dedup_without_titles, phrase_extraction, query_text, sentence_candidates, section_split, markup_strip, token_counts, reply_verdicts, span_verify, merge_canonical, missing_positives, topic_overlap_sets, confusion_metrics, precision_recall_f2, audit_trail, latest_decision, event_stage_counts, prisma_counts, rank_measures, decile_gain, loss_measures, cost_measures, rank_window_features, target_window, stopping_state, active_learning, knee_learning, target_learning, estimate_learning, estimate_learning_parts, bucket_learning)}
 
 _DOT = "list_inner_product(embedding::DOUBLE[], {q}::DOUBLE[])"
 _Q1 = "(SELECT embedding FROM embeddings ORDER BY vec_id LIMIT 1)"
@@ -409,7 +438,24 @@ pk AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY CASE WHEN most
 
 _WORDS = {e: " OR ".join(f"contains(lower(s), '{w}')" for w in ws) for e, ws in tx.ELEMENT_WORDS.items()}
 
+_RETRIEVED = f"""sn AS (SELECT doc_id, {_SENT.replace('{n}', '10')} AS ss FROM documents), su AS (SELECT doc_id, i - 1 AS position, ss[i] AS s, len(ss) AS n FROM (SELECT doc_id, ss, unnest(range(1, len(ss) + 1)) AS i FROM sn)),
+tt AS (SELECT doc_id, position, term, count(*) AS tf FROM (SELECT doc_id, position, unnest({SEARCH.replace('text', 's')}) AS term FROM su) GROUP BY ALL),
+ak AS (SELECT item_id AS criterion_id, term, count(*) AS times FROM (SELECT item_id, unnest({SEARCH}) AS term FROM benchmark) GROUP BY ALL),
+qn AS (SELECT criterion_id, sqrt(sum(times * times)) AS q FROM ak GROUP BY 1),
+ow AS (SELECT doc_id, position, sum(tf) AS dl, sqrt(sum(tf * tf)) AS norm FROM tt GROUP BY ALL),
+av AS (SELECT doc_id, any_value(n) AS n, sum(dl) / any_value(n) AS avgdl FROM ow JOIN su USING (doc_id, position) GROUP BY 1),
+hd AS (SELECT doc_id, term, any_value(avgdl) AS avgdl, ln(any_value(n) - count(*) + 0.5) - ln(count(*) + 0.5) AS idf FROM tt JOIN av USING (doc_id) GROUP BY ALL),
+wt AS (SELECT doc_id, term, avgdl, CASE WHEN idf < 0 THEN 0.25 * avg(idf) OVER (PARTITION BY doc_id) ELSE idf END AS idf FROM hd),
+mt AS (SELECT doc_id, criterion_id, position, round(sum(tf * times) / (any_value(norm) * any_value(q)), 12) AS cosine, round(sum(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 12) AS lexical FROM tt JOIN ak USING (term) JOIN wt USING (doc_id, term) JOIN ow USING (doc_id, position) JOIN qn USING (criterion_id) GROUP BY ALL),
+al AS (SELECT doc_id, criterion_id, position, coalesce(cosine, 0) AS cosine, coalesce(lexical, 0) AS lexical FROM (SELECT doc_id, position, item_id AS criterion_id FROM su CROSS JOIN benchmark) LEFT JOIN mt USING (doc_id, criterion_id, position)),
+rk AS (SELECT *, row_number() OVER (PARTITION BY doc_id, criterion_id ORDER BY cosine DESC, position) AS a, row_number() OVER (PARTITION BY doc_id, criterion_id ORDER BY lexical DESC, position) AS b FROM al),
+rt AS (SELECT * FROM rk WHERE a <= 3 OR b <= 3 AND lexical > 0)"""
+
 SQL = {
+    "criterion_retrieval": f"WITH {_RETRIEVED} SELECT doc_id, criterion_id, count(*) AS n, sum(position)::BIGINT AS positions, round(max(cosine), 6) AS best FROM rt GROUP BY ALL",
+    "criterion_judgments": f"WITH {_RETRIEVED}, bs AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY cosine DESC, criterion_id, position) AS r FROM rt) SELECT doc_id, criterion_id, round(CASE WHEN cosine >= 0.2::DOUBLE THEN round(cosine, 6) ELSE least(1 - round(cosine, 6), 0.3::DOUBLE) END * CASE WHEN doc_id % 3 = 0 THEN 0.3::DOUBLE ELSE 1 END, 6) AS p, doc_id % 3 <> 0 AS verified, doc_id % 3 = 0 AS hallucinated FROM bs WHERE r = 1",
+    "reply_failures": "WITH e AS (SELECT event_type AS topic_id, event_id AS seq, user_id % 5 <> 0 AS failed FROM events), i AS (SELECT *, count(*) FILTER (NOT failed) OVER (PARTITION BY topic_id ORDER BY seq) AS island FROM e), r AS (SELECT *, row_number() OVER (PARTITION BY topic_id, island, failed ORDER BY seq) AS run FROM i), a AS (SELECT topic_id, min(seq) FILTER (failed AND run >= 10) AS aborted_at FROM r GROUP BY topic_id) SELECT topic_id, count(*) AS total, count(*) FILTER (aborted_at IS NULL OR seq <= aborted_at) AS processed, count(*) FILTER (failed AND (aborted_at IS NULL OR seq <= aborted_at)) AS failed, aborted_at IS NOT NULL AS aborted, aborted_at FROM e JOIN a USING (topic_id) GROUP BY topic_id, aborted_at",
+    "template_checks": "SELECT CASE turn % 3 WHEN 0 THEN 'ok' WHEN 1 THEN 'mismatch' ELSE 'unrecorded' END AS status, count(*) AS n FROM conversations GROUP BY 1",
     "validate_corpus": _with(SCORED, "SELECT corpus, count(*) FILTER (NOT coalesce(s BETWEEN 0 AND 1, false)) AS s, count(*) FILTER (NOT coalesce(u BETWEEN 0 AND 1, false)) AS u, count(*) FILTER (NOT coalesce(y IN (0, 1), false)) AS y, count(*) FILTER (NOT coalesce(is_split IN (0, 1, 2), false)) AS split FROM (SELECT 'scored' AS corpus, s, u, y, is_split FROM scored UNION ALL SELECT 'spoilt', s * 1.05::DOUBLE, nullif(u, 1), y, CASE WHEN y = 1 THEN 3 ELSE is_split END FROM scored) GROUP BY corpus"),
     "element_candidates": f"SELECT doc_id, {', '.join(f'least(10, len(list_filter(ss, lambda s: {c}))) AS {e}' for e, c in _WORDS.items())} FROM (SELECT doc_id, {_SENT.replace('{n}', '15')} AS ss FROM documents)",
     "raw_scores": "SELECT topic_id, pmid, round(1.0::DOUBLE / (60 + a), 9) AS r_lexical, round(1.0::DOUBLE / (60 + b), 9) AS r_dense, round(1.0::DOUBLE / (60 + a) + 1.0::DOUBLE / (60 + b), 9) AS raw_score FROM (SELECT o_orderpriority AS topic_id, o_orderkey AS pmid, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice DESC, o_orderkey) AS a, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey DESC) AS b FROM orders)",
