@@ -145,7 +145,7 @@ def settle(triples: DataFrame, near: DataFrame | None, order: str) -> tuple[Data
         if name == "title_key" and near is not None:
             around = _near_sides(near).join(leads.withColumnRenamed(name, "other"), "other").groupBy(name).agg(F.min(f"__{name}").alias("__near"))
             leads = leads.join(around, name, "left").select(name, F.least(f"__{name}", "__near").alias(f"__{name}"))
-        out = out.join(leads, name, "left")
+        out = out.join(landed(leads, "dedup-lead"), name, "left")  # written: a hot key's triples can then be split
     firm = landed(out.where(" and ".join(f"(__{n} is null or __{n} >= {order})" for n, _ in KEYS)).select(triples.columns), "dedup-firm")
     left = triples
     for name, _ in KEYS:
@@ -213,7 +213,8 @@ def _resolved(rows: DataFrame, holders: DataFrame, near: DataFrame | None, order
         own = holders.where(F.col(name).isNotNull()).select(name, F.col(order).alias("__h"))
         if name == "title_key" and near is not None:
             own = own.unionByName(_near_sides(near).join(own.withColumnRenamed(name, "other"), "other").select(name, "__h"))
-        out = out.join(own.groupBy(name).agg(F.min("__h").alias(f"__{name}")), name, "left")
+        # written, so that the join reads one row a key from a shuffle of its own and a hot key's records can be split
+        out = out.join(landed(own.groupBy(name).agg(F.min("__h").alias(f"__{name}")), "dedup-holder"), name, "left")
     at = F.col(order)
     return out.select(order, F.coalesce(*[F.when(F.col(f"__{name}") < at, F.col(f"__{name}")) for name, _ in KEYS], at).alias("kept"))
 
