@@ -137,30 +137,39 @@ def betting_lower_bound(x: np.ndarray, delta: float, strategy: str = "prpl", bre
     if n == 0:
         return 0.0
     goal = math.log(1 / level)
-    bets, mean, var = np.empty(n), 0.5, 0.25
-    for t, v in enumerate(x):
-        bets[t] = min(1.0, math.sqrt(2 * math.log(2 / level) / ((t + 1) * max(var, 1e-10))))
-        mean = (mean * t + v) / (t + 1) if t else float(v)
-        var = max((var * t + (v - mean) ** 2) / (t + 1), 1 / (4 * (t + 2)))
+    x, t = np.asarray(x, float), np.arange(n)
+    # t + 1 times the variance is the larger of (its predecessor + a squared deviation) and a floor: a running maximum
+    deviations = np.cumsum((x - np.cumsum(x) / (t + 1)) ** 2)
+    spread = deviations + np.maximum.accumulate(np.maximum((t + 1) / (4 * (t + 2)) - deviations, 0.0))
+    before = np.concatenate(([0.25], (spread / (t + 1))[:-1]))
+    bets = np.minimum(1.0, np.sqrt(2 * math.log(2 / level) / ((t + 1) * np.maximum(before, 1e-10))))
+    stops = np.unique(np.round(np.linspace(1, n, min(breaks, n))).astype(int))
 
     def wealths(m: float, stop: int = n) -> np.ndarray:
         own = bets[:stop] if strategy == "prpl" else newton_bets(x[:stop], m)
         return np.log(np.maximum(1 + own * (x[:stop] - m), 1e-300))
 
-    best = 0.0
-    so_far = np.cumsum(wealths(best))  # the log-wealth against the best mean yet, at every stop
-    for stop in np.unique(np.round(np.linspace(1, n, min(breaks, n))).astype(int)):
-        if so_far[stop - 1] < goal:
-            continue
-        low, high = best, 1.0
+    def largest(low: float, ruled_out) -> float:
+        high = 1.0
         for _ in range(60):
             mid = (low + high) / 2
             if mid in (low, high):
                 break
-            low, high = (mid, high) if wealths(mid, stop).sum() >= goal else (low, mid)
-        if low > best:
-            best = low
-            so_far = np.cumsum(wealths(best))
+            low, high = (mid, high) if ruled_out(mid) else (low, mid)
+        return low
+
+    def reached(m: float) -> np.ndarray:
+        return np.cumsum(wealths(m))[stops - 1] >= goal
+
+    if strategy == "prpl":  # bets don't depend on m, so wealth falls with m at every stop: one search does for all of them
+        return largest(0.0, lambda m: reached(m).any()) if reached(0.0).any() else 0.0
+    best = 0.0
+    passes = reached(best)
+    for i, stop in enumerate(stops):
+        if passes[i]:
+            low = largest(best, lambda m, stop=stop: wealths(m, stop).sum() >= goal)
+            if low > best:
+                best, passes = low, reached(low)
     return best
 
 

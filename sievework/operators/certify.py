@@ -48,21 +48,43 @@ def histogram(scored: DataFrame, points: DataFrame, k_tau: int, keys: list[str]
     return rows.select(*keys, "y", "y_hat", bin_s.alias("bin_s"), bin_u.alias("bin_u")).groupBy(*keys, "y", "y_hat", "bin_s", "bin_u").agg(F.count("*").alias("n"))
 
 
+def prefix_counts(cells: DataFrame, keys: list[str] = ["topic_id"]) -> DataFrame:  # noqa: B006
+    """keys, top_s, top_u, sums: for each i and t, flat at i * (top_u + 1) + t, the rows with bin_s <= i and bin_u >= t.
+
+    ``sums`` has three counts an element: of all rows, of positives, of positives voted in. A key's table has as many
+    elements as breakpoints times levels, whatever its rows; all steps follow the one shuffle that packs its cells.
+    """
+    packed = cells.groupBy(*keys).agg(F.collect_list(F.struct("y", "y_hat", "bin_s", "bin_u", "n")).alias("cells"), F.max("bin_s").alias("top_s"), F.max("bin_u").alias("top_u"))
+    # empty cells at the highest level, so that no place of the table is missing
+    empty = F.transform(F.sequence(F.lit(0), F.col("top_s")), lambda i: F.struct(F.lit(0).alias("y"), F.lit(0).alias("y_hat"), i.alias("bin_s"), F.col("top_u").alias("bin_u"), F.lit(0).cast("long").alias("n")))
+    rows = packed.select(*keys, "top_s", "top_u", F.explode("cells").alias("c")).unionByName(packed.select(*keys, "top_s", "top_u", F.explode(empty).alias("c")))
+    levels = rows.select(*keys, "top_s", "top_u", "c.*", F.explode(F.sequence(F.lit(0), F.col("c.bin_u"))).alias("t"))
+    own = {"n_all": F.col("n"), "n_pos": F.when(F.col("y") == 1, F.col("n")).otherwise(0), "n_voted": F.when((F.col("y") == 1) & (F.col("y_hat") == 1), F.col("n")).otherwise(0)}
+    at = levels.groupBy(*keys, "top_s", "top_u", "bin_s", "t").agg(*[F.sum(c).alias(name) for name, c in own.items()])
+    up_to = Window.partitionBy(*keys, "t").orderBy("bin_s").rowsBetween(Window.unboundedPreceding, 0)
+    return at.withColumns({name: F.sum(name).over(up_to) for name in own}).groupBy(*keys, "top_s", "top_u").agg(F.array_sort(F.collect_list(F.struct("bin_s", "t", *own))).alias("sums"))
+
+
 def grid_risks(grid: DataFrame, cells: DataFrame, c_human: float = 5.0, c_llm: float = 0.001, keys: list[str] = ["topic_id"]) -> DataFrame:  # noqa: B006
-    """grid with m_plus, n_miss (positives below lambda_lo, or in the band with u >= tau), n_slack, n_all and cost."""
-    packed = cells.groupBy(*keys).agg(F.collect_list(F.struct("y", "y_hat", "bin_s", "bin_u", "n")).alias("cells"))
-    rows = grid.join(packed, keys)
-    low, accept, sure = (lambda c: c["bin_s"] <= F.col("i_lo")), (lambda c: c["bin_s"] > F.col("i_hi")), (lambda c: c["bin_u"] > F.col("i_tau"))
+    """grid with m_plus, n_miss (positives below lambda_lo, or in the band with u >= tau), n_slack, n_all and cost.
+
+    Each count is a difference of entries of prefix_counts(), so a grid point costs a few lookups, not a pass over the cells.
+    """
+    rows = grid.join(prefix_counts(cells, keys), keys)
+
+    def upto(what: str, i: Column, t: Column) -> Column:
+        inside = F.get("sums", F.least(i, F.col("top_s")) * (F.col("top_u") + 1) + t)[what]
+        return F.when(t <= F.col("top_u"), inside).otherwise(F.lit(0).cast("long"))
 
-    def total(test) -> Column:
-        return F.aggregate("cells", F.lit(0).cast("long"), lambda a, c: a + F.when(test(c), c["n"]).otherwise(0))
+    low, high, any_u, sure, end = F.col("i_lo"), F.col("i_hi"), F.lit(0), F.col("i_tau") + 1, F.col("top_s")
 
-    def band(c) -> Column:
-        return ~low(c) & ~accept(c)
+    def band(what: str, t: Column) -> Column:
+        return upto(what, high, t) - upto(what, low, t)
 
-    out = rows.select(*grid.columns, total(lambda c: c["y"] == 1).alias("m_plus"), total(lambda c: (c["y"] == 1) & (low(c) | band(c) & sure(c))).alias("n_miss"),
-                      total(lambda c: (c["y"] == 1) & band(c) & sure(c) & (c["y_hat"] == 1)).alias("n_slack"), total(lambda c: F.lit(True)).alias("n_all"),
-                      total(accept).alias("n_accept"), total(band).alias("n_band"), total(lambda c: band(c) & ~sure(c)).alias("n_human"))
+    n_all, n_band = upto("n_all", end, any_u), band("n_all", any_u)
+    counts = {"m_plus": upto("n_pos", end, any_u), "n_miss": upto("n_pos", low, any_u) + band("n_pos", sure), "n_slack": band("n_voted", sure), "n_all": n_all,
+              "n_accept": n_all - upto("n_all", high, any_u), "n_band": n_band, "n_human": n_band - band("n_all", sure)}
+    out = rows.select(*grid.columns, *[c.alias(name) for name, c in counts.items()])
     cost = (F.lit(c_human) * F.col("n_accept") + F.lit(c_llm) * F.col("n_band") + F.lit(c_human) * F.col("n_human")) / F.col("n_all")
     return out.withColumn("cost", cost)
 
@@ -126,20 +148,16 @@ def slack_samples(scored: DataFrame) -> DataFrame:
 def anchor_bounds(scored: DataFrame, delta_eta: float) -> DataFrame:
     """topic_id, anchor, bound: betting lower bound of each anchor's slack at delta_eta / 12, samples in order of pmid.
 
-    A group is one topic's positives: the reference set of a calibration, not the corpus. They travel once,
-    with a bit for each anchor.
+    A group is one anchor of one topic's positives, the reference set of a calibration: their order matters, so they
+    stay together, as one byte each.
     """
     level = delta_eta / len(ANCHORS)
-    hits = None
-    for i, (lo, hi, tau) in enumerate(ANCHORS):
-        hit = F.when((F.col("s") >= lo) & (F.col("s") < hi) & (F.col("u") >= tau) & (F.col("y_hat") == 1), 1 << i).otherwise(0)
-        hits = hit if hits is None else hits + hit
 
-    def bounds(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        bits = rows.sort_values("pmid")["hits"].to_numpy()
-        return pd.DataFrame([(key[0], i, betting_lower_bound((bits >> i & 1).astype(float), level)) for i in range(len(ANCHORS))], columns=["topic_id", "anchor", "bound"])
+    def bound(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([(*key, betting_lower_bound(rows.sort_values("pmid")["slack"].to_numpy(float), level))], columns=["topic_id", "anchor", "bound"])
 
-    return scored.where("y = 1").select("topic_id", "pmid", hits.alias("hits")).groupBy("topic_id").applyInPandas(bounds, "topic_id string, anchor int, bound double")
+    samples = slack_samples(scored).withColumn("slack", F.col("slack").cast("byte"))
+    return samples.groupBy("topic_id", "anchor").applyInPandas(bound, "topic_id string, anchor int, bound double")
 
 
 def certify(scored: DataFrame, alpha: float = 0.10, delta_eta: float = 0.03, delta_ltt: float = 0.07, k: int = 10, k_tau: int = 5, order: str | None = None, eta: DataFrame | None = None) -> DataFrame:

@@ -58,3 +58,38 @@ def plain_run(rates, hits, sizes, policy, target, steps):
             rewards.append(1 - (a - 1) / t if a <= t else -(a - t) / (steps - t))
         if over:
             return at, taken, stop, rewards[-1] if rewards else None, sum(rewards) if rewards else None, sum(sizes[: at + 1])
+
+
+def plain_betting_bound(x, delta, strategy="prpl", steps=200):
+    """Largest mean that a bettor, sample by sample, rules out at one of the stops; every stop is searched for itself."""
+    n, level, best = len(x), 2 * delta, 0.0
+    stops = sorted({round(1 + (n - 1) * i / (min(steps, n) - 1)) if n > 1 else 1 for i in range(min(steps, n))})
+
+    def wealth(m, stop):
+        total, mean, var, ahead, square = 0.0, 0.5, 0.25, 0.0, 1.0
+        for t, v in enumerate(x[:stop], 1):
+            bet = min(1.0, math.sqrt(2 * math.log(2 / level) / (t * max(var, 1e-10)))) if strategy == "prpl" else min(0.5, max(0.0, ahead / square))
+            total += math.log(max(1 + bet * (v - m), 1e-300))
+            mean = (mean * (t - 1) + v) / t
+            var = max((var * (t - 1) + (v - mean) ** 2) / t, 1 / (4 * (t + 1)))
+            ahead, square = ahead + v - m, square + (v - m) ** 2
+        return total
+
+    for stop in stops:
+        if wealth(best, stop) >= math.log(1 / level):
+            low, high = best, 1.0
+            for _ in range(45):
+                mid = (low + high) / 2
+                low, high = (mid, high) if wealth(mid, stop) >= math.log(1 / level) else (low, mid)
+            best = low
+    return best
+
+
+def plain_quantile(values, q):
+    """Linear interpolation between the neighbours of q * (n - 1)."""
+    values = sorted(v for v in values if v is not None)
+    if not values:
+        return None
+    at = q * (len(values) - 1)
+    low = math.floor(at)
+    return values[low] + (at - low) * (values[min(low + 1, len(values) - 1)] - values[low])

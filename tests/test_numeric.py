@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from sievework.functions import numeric as nm
 from sievework.operators import certify
 
+from .plain import plain_betting_bound
+
 
 def _binomial_cdf(k, n, p):
     return math.fsum(math.comb(n, i) * p ** i * (1 - p) ** (n - i) for i in range(k + 1))
@@ -43,6 +45,16 @@ def test_betting_bound_is_a_bound(x):
     assert 0 <= bound <= 1 and (bound == 0 or sum(x) > 0)
 
 
+@pytest.mark.parametrize("strategy", ["prpl", "ons"])
+def test_betting_bound_equals_the_plain_search(strategy):
+    draw = np.random.default_rng(3)
+    for n in (1, 2, 7, 40, 130):
+        for share in (0.0, 0.2, 0.7, 1.0):
+            x = (draw.random(n) < share).astype(float)
+            assert nm.betting_lower_bound(x, 0.05, strategy, 20) == pytest.approx(plain_betting_bound(list(x), 0.05, strategy, 20), abs=1e-9)
+    assert nm.betting_lower_bound(np.array([]), 0.05, strategy) == 0
+
+
 def test_betting_bound_covers():
     draw = np.random.default_rng(1)
     misses = sum(nm.betting_lower_bound((draw.random(60) < 0.3).astype(float), 0.05) > 0.3 for _ in range(150))
@@ -97,6 +109,21 @@ def test_histogram_equals_direct_counts(spark):
         assert r.cost == pytest.approx((5 * (s >= r.lambda_hi).sum() + 0.001 * band.sum() + 5 * (band & (u < r.tau)).sum()) / len(s))
 
 
+def test_risks_of_few_cells(spark):
+    """Topics whose rows leave most of the table empty: none below the first breakpoint, none sure, a single row."""
+    rows = [("one", 1, 0.5, 0.5, 1, 1), ("unsure", 1, 0.2, 0.0, 1, 1), ("unsure", 2, 0.9, 0.1, 0, 0), ("top", 1, 1.0, 1.0, 1, 0), ("top", 2, 0.0, 1.0, 1, 1), ("top", 3, 0.0, 0.3, 0, 1)]
+    df = spark.createDataFrame(rows, "topic_id string, pmid long, s double, u double, y int, y_hat int")
+    points = certify.breakpoints(df, 4)
+    got = certify.grid_risks(certify.theta_grid(points, 3), certify.histogram(df, points, 3)).collect()
+    assert {r.topic_id for r in got} == {"one", "unsure", "top"}
+    for r in got:
+        own = [x for x in rows if x[0] == r.topic_id]
+        band = [x for x in own if r.lambda_lo <= x[2] < r.lambda_hi]
+        assert (r.m_plus, r.n_all, r.n_band, r.n_accept) == (sum(x[4] for x in own), len(own), len(band), sum(x[2] >= r.lambda_hi for x in own))
+        assert r.n_miss == sum(x[4] for x in own if x[2] < r.lambda_lo) + sum(x[4] for x in band if x[3] >= r.tau)
+        assert (r.n_human, r.n_slack) == (sum(x[3] < r.tau for x in band), sum(x[4] * x[5] for x in band if x[3] >= r.tau))
+
+
 def test_walks_and_holm(spark):
     p = [0.001, 0.001, 0.5, 0.001]
     rows = spark.createDataFrame([("t", i, float(i), 1.0, 0.0, x) for i, x in enumerate(p)], "topic_id string, theta_idx int, lambda_lo double, lambda_hi double, tau double, p double")
