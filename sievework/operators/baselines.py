@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import inverse_normal
 from ..session import landed
-from .splits import bucketed_rank, draw, stratified_split
+from .splits import bucketed_rank, draw, quantiles, stratified_split
 
 
 def crc_threshold(positives: DataFrame, alpha: Column | float, keys: list[str]) -> DataFrame:
@@ -25,7 +25,7 @@ def scrc(scored: DataFrame, alpha: float, abstain: float = 0.1, inductive: bool
     if inductive:
         split = landed(stratified_split(scored, [*keys, "y"], "pmid", seed, [0.5], "__half"), "scrc-halves")
         one, two = split.where("__half = 0"), split.where("__half = 1")
-    tau = one.groupBy(*keys).agg(F.percentile("u", F.lit(abstain)).alias("tau"))
+    tau = quantiles(one, "u", [abstain], keys).select(*keys, F.get("q", 0).alias("tau"))
     chosen = two.join(tau, keys).where((F.col("y") == 1) & (F.col("u") >= F.col("tau")))
     return tau.join(crc_threshold(chosen, alpha, keys), keys, "left").withColumn("lambda_star", F.coalesce("lambda_star", F.lit(0.0)))
 

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import betting_lower_bound, hb_pvalues, n_min
+from .splits import quantiles
 
 #: The twelve anchors (lambda_lo, lambda_hi, tau) of the bound on the ensemble's error.
 ANCHORS = [
@@ -22,8 +23,8 @@ ANCHORS = [
 
 def breakpoints(scored: DataFrame, k: int, keys: list[str] = ["topic_id"]) -> DataFrame:  # noqa: B006
     """keys, points: k even quantiles of s with 0 and 1, sorted and distinct."""
-    q = F.percentile("s", F.array(*[F.lit(i / (k - 1)) for i in range(k)]))
-    return scored.groupBy(*keys).agg(F.array_sort(F.array_distinct(F.concat(q, F.array(F.lit(0.0), F.lit(1.0))))).alias("points"))
+    q = quantiles(scored, "s", [i / (k - 1) for i in range(k)], keys)
+    return q.select(*keys, F.array_sort(F.array_distinct(F.concat("q", F.array(F.lit(0.0), F.lit(1.0))))).alias("points"))
 
 
 def theta_grid(points: DataFrame, k_tau: int, keys: list[str] = ["topic_id"]) -> DataFrame:  # noqa: B006

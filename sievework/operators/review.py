@@ -9,6 +9,7 @@ from ..functions import text as tx
 from ..functions.numeric import dot
 from ..session import violations
 from .ranking import rrf
+from .splits import quantiles
 
 
 #: Rules of the entities, in SQL: what each row has to satisfy.
@@ -164,8 +165,8 @@ def article_sections(xml: DataFrame, key: str, column: str = "xml") -> DataFrame
 
 def similarity_test(observed: float, null: DataFrame, column: str = "similarity") -> DataFrame:
     """One row: 2.5 % and 97.5 % points of a null distribution, the observed value's p and whether it is above."""
-    q = F.percentile(column, F.array(F.lit(0.025), F.lit(0.975)))
-    return null.agg(q.alias("q"), F.avg((F.col(column) >= observed).cast("double")).alias("p_value")).select(F.get("q", 0).alias("low"), F.get("q", 1).alias("high"), "p_value", (F.lit(observed) > F.get("q", 1)).alias("above"))
+    q = quantiles(null, column, [0.025, 0.975], []).scalar()
+    return null.agg(F.avg((F.col(column) >= observed).cast("double")).alias("p_value")).withColumn("q", q).select(F.get("q", 0).alias("low"), F.get("q", 1).alias("high"), "p_value", (F.lit(observed) > F.get("q", 1)).alias("above"))
 
 
 def attention_input(vector: Column, criterion: Column) -> Column:

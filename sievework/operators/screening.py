@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import clamp, confidence, cosine, decide, indel_ratio, noisy_or, p_satisfy
+from .splits import quantiles
 
 MISMATCH = "abstract_fulltext_pico_mismatch"
 #: Domains of the two risk-of-bias tools.
@@ -81,7 +82,7 @@ def first_exclusion(judgments: DataFrame, key: str, length: int = 80) -> DataFra
 
 def flag_threshold(rows: DataFrame) -> DataFrame:
     """One row, threshold: p75 if it flags at most 400, p85 at most 250, p90 at most 150, else p95."""
-    q = rows.agg(F.percentile("p", F.array(F.lit(0.75), F.lit(0.85), F.lit(0.9), F.lit(0.95))).alias("q"))
+    q = quantiles(rows, "p", [0.75, 0.85, 0.9, 0.95], [])
     n = rows.withColumn("q", q.scalar()).agg(F.first("q").alias("q"), *[F.count_if(F.col("p") >= F.get("q", i)).alias(f"n{i}") for i in range(3)])
     return n.select(F.when(F.col("n0") <= 400, F.get("q", 0)).when(F.col("n1") <= 250, F.get("q", 1)).when(F.col("n2") <= 150, F.get("q", 2)).otherwise(F.get("q", 3)).alias("threshold"))
 

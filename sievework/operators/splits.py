@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import landed
+
 
 def draw(seed, key) -> Column:
     """Hex digits that order rows as if at random."""
@@ -77,13 +79,47 @@ def m_grid(m_plus: Column, n_min: Column, candidates: list[int]) -> Column:
     return F.array_sort(F.array_distinct(F.concat(inside, F.array(m_plus.cast("int")))))
 
 
+def borders(df: DataFrame, value: str, buckets: int) -> list[float]:
+    """Rough even borders of a column's values, by one pass; they only deal work out, so their error is harmless."""
+    return sorted({b for b in df.stat.approxQuantile(value, [i / buckets for i in range(1, buckets)], 0.001)})
+
+
+def bucket_of(value: Column, cuts: list[float]) -> Column:
+    return F.size(F.filter(F.array(*[F.lit(float(b)) for b in cuts]), lambda b: b < value)) if cuts else F.lit(0)
+
+
+def quantiles(df: DataFrame, value: str, shares: list[float], keys: list[str] = ["topic_id"], buckets: int = 256) -> DataFrame:  # noqa: B006
+    """keys, q: exact quantiles of ``value`` at ``shares``, interpolated between the neighbours of share * (n - 1).
+
+    Rows shrink to counts of distinct values, so a hot value is one row. Counts of buckets tell which buckets hold the
+    places asked for; only those are put in order, each by itself. Nulls don't count; a key with nothing else has null.
+    The result, a row a key, is landed: most callers join it more than once.
+    """
+    by = list(keys) or ["__all"]
+    rows = df.withColumns({"__all": F.lit(0), "__v": F.col(value).cast("double")}).select(*by, "__v")
+    tally = landed(rows.groupBy(*by, "__v").agg(F.count("*").alias("__n")).withColumn("__b", bucket_of(F.col("__v"), borders(rows.where("__v is not null"), "__v", buckets))), "value-counts")
+    sums = tally.groupBy(*by, "__b").agg(F.coalesce(F.sum(F.when(F.col("__v").isNotNull(), F.col("__n"))), F.lit(0)).alias("__n"))
+    w = Window.partitionBy(*by)
+    shifts = sums.select(*by, "__b", "__n", F.sum("__n").over(w.orderBy("__b").rowsBetween(Window.unboundedPreceding, 0)).alias("__end"), F.sum("__n").over(w).alias("__total"))
+    places = F.array(*[F.struct(F.lit(i).alias("i"), (F.lit(q) * (F.col("__total") - 1)).alias("at")) for i, q in enumerate(shares)])
+    wanted = shifts.select(*by, "__b", (F.col("__end") - F.col("__n")).alias("__start"), "__end", F.explode(places).alias("p")).select("*", F.explode(F.array(F.floor("p.at"), F.ceil("p.at"))).alias("__place"))
+    wanted = wanted.where((F.col("__place") >= F.col("__start")) & (F.col("__place") < F.col("__end"))).select(*by, "__b", "p", "__place", (F.col("__place") - F.col("__start")).alias("__local"))
+    some = tally.where("__v is not null").join(wanted.select(*by, "__b").distinct(), [*by, "__b"], "left_semi")
+    upto = some.withColumn("__upto", F.sum("__n").over(Window.partitionBy(*by, "__b").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)))
+    hits = upto.join(wanted, [*by, "__b"]).where((F.col("__local") < F.col("__upto")) & (F.col("__local") >= F.col("__upto") - F.col("__n")))
+    ends = hits.groupBy(*by, "p").agg(F.min("__v").alias("low"), F.max("__v").alias("high"))
+    at = F.col("p.at")
+    value_at = F.when(F.col("low") == F.col("high"), F.col("low")).otherwise((F.ceil(at) - at) * F.col("low") + (at - F.floor(at)) * F.col("high"))
+    found = ends.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("p.i", value_at.alias("v")))).alias("f")).select(*by, F.transform("f", lambda x: x["v"]).alias("q"))
+    return landed(sums.select(*by).distinct().join(found, by, "left").select(*keys, "q"), "quantiles")
+
+
 def quantile_scale(df: DataFrame, value: str = "s", buckets: int = 256) -> DataFrame:
     """Each score as rank / N within its topic, ties sharing the lowest rank; constant topics stay.
 
     One pass finds bucket borders over all scores; they only deal the work out, so their error is harmless.
     """
-    borders = sorted({b for b in df.stat.approxQuantile(value, [i / buckets for i in range(1, buckets)], 0.001)})
-    bucket = F.size(F.filter(F.array(*[F.lit(b) for b in borders]), lambda b: b < F.col(value))) if borders else F.lit(0)
+    bucket = bucket_of(F.col(value), borders(df, value, buckets))
     spread = df.groupBy("topic_id").agg((F.max(value) > F.min(value)).alias("__varies"))
     ranked = bucketed_rank(df, ["topic_id"], [F.col(value)], bucket, "__r", F.rank).join(spread, "topic_id")
     return ranked.withColumn(value, F.when(F.col("__varies"), F.col("__r") / F.col("stratum_size")).otherwise(F.col(value))).drop("__r", "stratum_size", "__varies")

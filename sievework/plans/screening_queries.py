@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import inverse_normal, wilson
-from ..operators import baselines, calibration, certify, routing, splits, votes
+from ..operators import baselines, calibration, certify, routing, splits, synthetic, votes
 from ..operators.report import with_mean
-from ..session import landed, table
+from ..session import landed, scratch, table
 from ..sources import stores
-from . import corpus
+from . import corpus, topic_runs
 
 K, K_TAU, ALPHA, DELTA = 10, 5, 0.10, 0.07
 THETA = (0.3, 0.7, 0.6)
@@ -200,6 +200,40 @@ def alpha_sweep(spark, d):
     return certify.cheapest(certify.holm(tested, DELTA, ["topic_id", "alpha"]), ["topic_id", "alpha"]).select("topic_id", "alpha", "n_certified", "theta_idx")
 
 
+def synthetic_corpus(spark, d):
+    """The beta mixture over every order's id."""
+    rows = synthetic.beta_mixture(corpus.orders(spark, d).select("topic_id", "pmid"))
+    return _rounded(rows, "s", "u")
+
+
+def synthetic_certificate(spark, d):
+    """Certified points of the beta mixture, one topic over all orders."""
+    rows = landed(synthetic.beta_mixture(corpus.orders(spark, d).select(F.lit("all").alias("topic_id"), "pmid")), "synthetic-rows")
+    points = certify.breakpoints(rows, K)
+    tested = certify.pvalues(certify.grid_risks(certify.theta_grid(points, K_TAU), certify.histogram(rows, points, K_TAU)), F.lit(ALPHA))
+    return _rounded(certify.cheapest(certify.holm(tested, DELTA)), "lambda_lo", "lambda_hi", "tau")
+
+
+def topic_fanout(spark, d):
+    """The cheapest certified point of each topic, topics side by side: first their rows, then their thresholds."""
+    shared, root = scratch(spark, "topic-rows"), scratch(spark, "topic-runs")
+    corpus.scored(spark, d).where("is_split = 1").write.partitionBy("topic_id").parquet(shared)
+
+    def rows(spark: SparkSession, topic: str, _: dict[str, DataFrame]) -> DataFrame:
+        return spark.read.parquet(shared).where(F.col("topic_id") == topic)
+
+    def thresholds(spark: SparkSession, topic: str, done: dict[str, DataFrame]) -> DataFrame:
+        points = certify.breakpoints(done["rows"], K)
+        risks = certify.grid_risks(certify.theta_grid(points, K_TAU), certify.histogram(done["rows"], points, K_TAU))
+        return certify.cheapest(certify.holm(certify.pvalues(risks, F.lit(ALPHA)), DELTA))
+
+    topics = [r.topic_id for r in spark.read.parquet(shared).select("topic_id").distinct().collect()]
+    log = topic_runs.run_topics(spark, topics, [topic_runs.Phase("rows", rows, 8), topic_runs.Phase("thresholds", thresholds, 3)], root)
+    if failed := log.where("status = 'failed'").first():
+        raise RuntimeError(f"{failed.topic_id}: {failed.error}")
+    return _rounded(topic_runs.gathered(spark, topics, "thresholds", root), "lambda_lo", "lambda_hi", "tau")
+
+
 def budget_split(spark, d):
     """Certified points by how the confidence is divided: five levels of the tests in one job."""
     rows = _tested(spark, d)
@@ -336,7 +370,7 @@ QUERIES = {
     "purge_empty": purge_empty, "dry_run_calls": dry_run_calls, "quantile_scale": quantile_scale, "nested_subsample": nested_subsample, "nmin_compliance": nmin_compliance,
     "theta_breakpoints": theta_breakpoints, "theta_grid": theta_grid, "theta_risk_histogram": theta_risk_histogram, "hb_pvalues": hb_pvalues, "holm_reject": holm_reject,
     "walk_reject_safest": _walk("safest"), "walk_reject_riskiest": _walk("riskiest"), "walk_reject_tau_first": _walk("tau_first"), "theta_argmin": theta_argmin, "certify": certify_rule, "certify_walk": certify_walk,
-    "wsr_lcb_anchors": wsr_lcb_anchors, "alpha_sweep": alpha_sweep, "budget_split": budget_split, "walk_orders": walk_orders, "cross_topic_stats": cross_topic_stats, "theorem_violations": theorem_violations,
+    "wsr_lcb_anchors": wsr_lcb_anchors, "alpha_sweep": alpha_sweep, "budget_split": budget_split, "synthetic_corpus": synthetic_corpus, "synthetic_certificate": synthetic_certificate, "topic_fanout": topic_fanout, "walk_orders": walk_orders, "cross_topic_stats": cross_topic_stats, "theorem_violations": theorem_violations,
     "summary_with_mean": summary_with_mean, "slack_ratio": slack_ratio, "scrc_t_threshold": scrc_t_threshold, "scrc_i_threshold": scrc_i_threshold, "scrc_sweep": scrc_sweep, "reliability_bins": reliability_bins,
     "calibrated_scores": calibrated_scores, "wilson_ci": wilson_ci, "ht_ap_prior_estimate": ht_ap_prior_estimate, "hh_estimate": hh_estimate, "hh_mixture_estimate": hh_mixture_estimate, "ht_power_law_estimate": ht_power_law_estimate,
     "stratified_estimate": stratified_estimate, "score_distribution_cutoff": score_distribution_cutoff,
@@ -366,6 +400,19 @@ count(*) FILTER (NOT (u >= tau AND s >= lambda_star)) / count(*) - {(1 - recall)
     return _with(SCORED + ", " + _HALVES, "\nUNION ALL ".join(parts))
 
 
+_UNIFORM = "(('0x' || substr(md5('0:{}:' || pmid), 1, 13))::BIGINT + 1) / 4503599627370496.0::DOUBLE"
+
+
+def _synthetic_sql() -> str:
+    def beta(name: str, a: int, b: int) -> str:
+        return f"list_sort([{', '.join(_UNIFORM.format(f'{name}{i}') for i in range(a + b - 1))}])[{a}]"
+
+    return f"""ids AS (SELECT o_orderpriority AS topic_id, o_orderkey AS pmid FROM orders),
+lab AS (SELECT *, ({_UNIFORM.format('y')} <= 0.05::DOUBLE)::INT AS y FROM ids),
+sco AS (SELECT *, CASE WHEN y = 1 THEN {beta('p', 8, 2)} ELSE {beta('n', 2, 8)} END AS s, {beta('u', 5, 5)} AS u FROM lab),
+syn AS (SELECT *, CASE WHEN {_UNIFORM.format('f')} <= 0.1::DOUBLE AND s BETWEEN 0.3::DOUBLE AND 0.7::DOUBLE THEN 1 - y ELSE y END AS y_hat FROM sco)"""
+
+
 def _walks_sql() -> str:
     orders = [("safest", 0, "lambda_lo, lambda_hi, tau DESC"), ("riskiest", 0, "lambda_lo DESC, lambda_hi DESC, tau"), ("tau_first", 0, "tau, lambda_hi, lambda_lo"), *[("random", i, f"md5('{i}:' || theta_idx)") for i in range(5)]]
     parts = [f"SELECT topic_id, '{n}' AS walk, {i}::INT AS seed, count(*) FILTER (f = 0) AS n_certified FROM (SELECT topic_id, max((p > {DELTA}::DOUBLE)::INT) OVER (PARTITION BY topic_id ORDER BY {o}, theta_idx ROWS UNBOUNDED PRECEDING) AS f FROM tested) GROUP BY topic_id" for n, i, o in orders]
@@ -373,6 +420,7 @@ def _walks_sql() -> str:
 
 
 SQL = {
+    "synthetic_corpus": _with(_synthetic_sql(), "SELECT topic_id, pmid, y, round(s, 9) AS s, round(u, 9) AS u, y_hat FROM syn"),
     "vote_majority": _with(MAJORITY, "SELECT pmid, n, n_include, n_exclude, majority, round(u, 9) AS u, y_hat FROM majority"),
     "vote_include_share": _with(VOTES, "SELECT pmid, round(avg((vote = 'Include')::INT), 9) AS u FROM votes GROUP BY pmid"),
     "vote_complete_ensembles": _with(MAJORITY, "SELECT pmid, n, n_include, n_exclude, majority, round(u, 9) AS u, y_hat FROM majority WHERE n = 5"),
@@ -424,3 +472,5 @@ st AS (SELECT *, row_number() OVER (PARTITION BY topic_id, alpha ORDER BY p, the
 hm AS (SELECT *, max((p > {DELTA}::DOUBLE / (m - i))::INT) OVER (PARTITION BY topic_id, alpha ORDER BY p, theta_idx ROWS UNBOUNDED PRECEDING) = 0 AS certified FROM st)""",
         "SELECT topic_id, alpha, n_certified, theta_idx FROM (SELECT *, count(*) FILTER (certified) OVER (PARTITION BY topic_id, alpha) AS n_certified, row_number() OVER (PARTITION BY topic_id, alpha ORDER BY CASE WHEN certified THEN cost ELSE 'inf'::DOUBLE END, theta_idx) AS r FROM hm) WHERE r = 1"),
 }
+SQL["topic_fanout"] = SQL["theta_argmin"]
+SQL["synthetic_certificate"] = SQL["theta_argmin"].replace(SCORED, _synthetic_sql() + ",\ncalib AS (SELECT * REPLACE ('all' AS topic_id) FROM syn)")
