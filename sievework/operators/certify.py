@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import betting_lower_bound, hb_pvalues, n_min
+from ..session import landed
 from .splits import quantiles
 
 #: The twelve anchors (lambda_lo, lambda_hi, tau) of the bound on the ensemble's error.
@@ -94,9 +95,10 @@ def pvalues(risks: DataFrame, alpha: Column) -> DataFrame:
     """r_hat and the p-value of each grid point against the inflated risk ``alpha``.
 
     A p-value depends on the misses, the positives and the risk only: each distinct triple is computed once,
-    all misses of one risk and number of positives in one pass over the binomial's terms.
+    all misses of one risk and number of positives in one pass over the binomial's terms. The grid's risks are landed:
+    their plan is long, and both the triples and the rows they are joined to come of it.
     """
-    rows = risks.withColumns({"r_hat": F.col("n_miss") / F.col("m_plus"), "__alpha": alpha.cast("double")})
+    rows = landed(risks.withColumns({"r_hat": F.col("n_miss") / F.col("m_plus"), "__alpha": alpha.cast("double")}), "grid-risks")
     triples = rows.where("m_plus > 0 and __alpha > 0 and __alpha < 1").select("n_miss", "m_plus", F.col("__alpha").alias("a")).distinct()
 
     def test(key: tuple, part: pd.DataFrame) -> pd.DataFrame:

@@ -228,7 +228,7 @@ def topic_fanout(spark, d):
         return certify.cheapest(certify.holm(certify.pvalues(risks, F.lit(ALPHA)), DELTA))
 
     topics = [r.topic_id for r in spark.read.parquet(shared).select("topic_id").distinct().collect()]
-    log = topic_runs.run_topics(spark, topics, [topic_runs.Phase("rows", rows, 8), topic_runs.Phase("thresholds", thresholds, 3)], root)
+    log = topic_runs.run_topics(spark, topics, [topic_runs.Phase("rows", rows, 4), topic_runs.Phase("thresholds", thresholds, 2)], root)
     if failed := log.where("status = 'failed'").first():
         raise RuntimeError(f"{failed.topic_id}: {failed.error}")
     return _rounded(topic_runs.gathered(spark, topics, "thresholds", root), "lambda_lo", "lambda_hi", "tau")
