@@ -14,7 +14,8 @@ with a smaller doc_id. No position is left out, yet few leave their task. Whole
    sorted neighbours, verified byte by byte against collisions, split the contexts into classes for
    each offset of the window, and each class has a smallest doc_id.
 3. Each shard reads the answers to its own contexts and marks, per document, the windows whose
-   smallest doc_id is smaller than its own.
+   smallest doc_id is smaller than its own. A context is named by its hash; where two contexts of an
+   anchor have one hash, their answers carry their bytes.
 
 A passage that a third of all documents share is one anchor and one context per shard.
 """
@@ -241,6 +242,8 @@ def smallest_owner(anchor: np.ndarray, around: np.ndarray, left: np.ndarray, rig
 
 _CONTEXT = np.dtype([("anchor", "<u8"), ("hash", "<u8"), ("owner", "<i8"), ("many", "u1"), ("left", "u1"), ("right", "u1"), ("around", "u1", (LEFT + RIGHT,))])
 _ANSWER = np.dtype([("anchor", "<u8"), ("hash", "<u8"), ("owner", "<i8"), ("where", "<u4")])
+#: An answer to a context whose hash another context of the anchor has too: it names the context by its bytes.
+_TWIN = np.dtype([*_ANSWER.descr, ("left", "u1"), ("right", "u1"), ("around", "u1", (LEFT + RIGHT,))])
 _SCHEMA = "bucket long, shard long, payload binary"
 #: Bits of an anchor's hash; it travels as six bytes. The lowest bit says whether several documents have it.
 ANCHOR_BITS = 48
@@ -420,27 +423,51 @@ def _send_contexts(buckets: int, root: str, copy_root: str):
 
 
 def _best(rows: np.ndarray) -> np.ndarray:
-    """One row for each context, sorted by anchor: the smallest owner, and whether there are several. Equal hashes are verified byte by byte."""
+    """One row for each context, sorted by anchor and hash: the smallest owner, and whether there are several.
+
+    Equal hashes are verified byte by byte: contexts that share a hash only stay rows of their own, next to each other.
+    """
+    if not len(rows):
+        return rows
     order = np.lexsort((rows["owner"], rows["hash"], rows["anchor"]))
-    a, h, d = rows["anchor"][order], rows["hash"][order], rows["owner"][order]
-    first = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (h[1:] != h[:-1])]) if len(rows) else np.zeros(0, np.int64)
-    last = np.append(first[1:], len(rows)) - 1
+    first = _starts(rows, order, "anchor", "hash")
     again = np.setdiff1d(np.arange(len(rows)), first, assume_unique=True)
     if any((rows[n][order[again]] != rows[n][order[again - 1]]).any() for n in ("left", "right", "around")):
-        raise ValueError("two contexts have one hash: choose another base")
+        content = np.unique(_content(rows), axis=0, return_inverse=True)[1].ravel()
+        order = np.lexsort((rows["owner"], content, rows["hash"], rows["anchor"]))
+        first = np.union1d(_starts(rows, order, "anchor", "hash"), np.flatnonzero(np.r_[True, np.diff(content[order]) != 0]))
+    d = rows["owner"][order]
+    last = np.append(first[1:], len(rows)) - 1
     out = rows[order[first]]
-    out["many"] = np.maximum(np.maximum.reduceat(rows["many"][order], first), d[first] != d[last]) if len(rows) else out["many"]
+    out["many"] = np.maximum(np.maximum.reduceat(rows["many"][order], first), d[first] != d[last])
     return out
 
 
+def _starts(rows: np.ndarray, order: np.ndarray, *fields: str) -> np.ndarray:
+    """Places in this order where one of the fields changes."""
+    change = np.zeros(len(order), bool)
+    change[0] = True
+    for n in fields:
+        value = rows[n][order]
+        change[1:] |= value[1:] != value[:-1]
+    return np.flatnonzero(change)
+
+
+def _content(rows: np.ndarray) -> np.ndarray:
+    """All bytes that make a context, a row each: both lengths and what is around the anchor."""
+    return np.column_stack((rows["left"], rows["right"], rows["around"]))
+
+
 def _answer_contexts(rows: pd.DataFrame) -> pd.DataFrame:
     own = [_unsqueeze(p) for p in rows["payload"]]
     whole = _best(np.concatenate(own))
     low = smallest_owner(whole["anchor"], whole["around"], whole["left"], whole["right"], whole["owner"])
+    like_next = (whole["anchor"][1:] == whole["anchor"][:-1]) & (whole["hash"][1:] == whole["hash"][:-1])
+    twin = np.r_[False, like_next] | np.r_[like_next, False]
     useful = (whole["many"] > 0) | (low < whole["owner"][:, None]).any(axis=1)
-    whole, low = whole[useful], low[useful]
+    whole, low, twin = whole[useful], low[useful], twin[useful]
     # a row for each context and smallest owner; nearly always one for a context
-    answers, left = [], low != NONE
+    answers, of, left = [], [], low != NONE
     while left.any():
         rest = np.where(left, low, NONE)
         owner = rest.min(axis=1)
@@ -450,23 +477,49 @@ def _answer_contexts(rows: pd.DataFrame) -> pd.DataFrame:
         part["anchor"], part["hash"], part["owner"] = whole["anchor"][some], whole["hash"][some], owner[some]
         part["where"] = now[some] @ (np.uint32(1) << np.arange(LEFT + 1, dtype=np.uint32))
         answers.append(part)
+        of.append(some)
         left &= ~now
     if not answers:
         return pd.DataFrame(columns=["shard", "payload"])
-    answers = np.concatenate(answers)
-    names = np.sort(answers["anchor"] ^ (answers["hash"] << np.uint64(1)))
-    keys = answers["anchor"] ^ (answers["hash"] << np.uint64(1))
+    answers, of = np.concatenate(answers), np.concatenate(of)
+    keys = _keys(answers)
     order = np.argsort(keys, kind="stable")
+    names = keys[order]
     out = []
     for s, x in zip(rows["shard"], own, strict=True):
-        mine = np.unique(x["anchor"] ^ (x["hash"] << np.uint64(1)))
+        mine = np.unique(_keys(x))
         a, b = np.searchsorted(names, mine, "left"), np.searchsorted(names, mine, "right")
-        pick = np.repeat(a, b - a) + _within(b - a)
-        if len(pick):
-            out.append((s, answers[order[pick]].tobytes()))
+        pick = order[np.repeat(a, b - a) + _within(b - a)]
+        apart = twin[of[pick]]
+        if not apart.all():
+            out.append((s, b"\0" + answers[pick[~apart]].tobytes()))
+        if apart.any():
+            rows_of = np.zeros(int(apart.sum()), _TWIN)
+            for n in _TWIN.names:
+                rows_of[n] = answers[n][pick[apart]] if n in _ANSWER.names else whole[n][of[pick[apart]]]
+            out.append((s, b"\1" + rows_of.tobytes()))
     return pd.DataFrame(out, columns=["shard", "payload"])
 
 
+def _read_answers(root: str, shard: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Answers to a shard, sorted by their keys; for each the row of its context's content (-1: its hash tells it); these contents."""
+    parts = _read_shard_parts(root, shard)
+    plain, named = ([np.frombuffer(p, kind, offset=1) for p in parts if p[0] == mark] for mark, kind in ((0, _ANSWER), (1, _TWIN)))
+    plain = np.unique(np.concatenate(plain)) if plain else np.zeros(0, _ANSWER)
+    named = np.concatenate(named) if named else np.zeros(0, _TWIN)
+    answers = np.zeros(len(plain) + len(named), _ANSWER)
+    answers[:len(plain)] = plain
+    for n in _ANSWER.names:
+        answers[n][len(plain):] = named[n]
+    twin = np.r_[np.full(len(plain), -1), np.arange(len(named))]
+    order = np.argsort(_keys(answers), kind="stable")
+    return answers[order], twin[order], _content(named)
+
+
+def _keys(rows: np.ndarray) -> np.ndarray:
+    return rows["anchor"] ^ (rows["hash"] << np.uint64(1))
+
+
 def _within(counts: np.ndarray) -> np.ndarray:
     """0, 1, ... for each count in turn."""
     return np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
@@ -484,22 +537,22 @@ def _mark(copy_root: str, answer_root: str):
                     else:
                         yield doc
 
-            answers = np.unique(_read_shard(answer_root, shard, _ANSWER))
-            keys = answers["anchor"] ^ (answers["hash"] << np.uint64(1))
-            order = np.argsort(keys, kind="stable")
-            answers, keys = answers[order], keys[order]
-            shared = np.unique(answers["anchor"])
+            answers, twin, content = _read_answers(answer_root, shard)
+            keys, shared = _keys(answers), np.unique(answers["anchor"])
             starts: dict[int, list[np.ndarray]] = {}
             for data, ends, segments in chunks(rest()):
                 at, h = _anchored(data, ends, shared)
                 if len(at):
-                    segment, _, _, _, key = contexts(data, ends, at)
+                    segment, around, left, right, key = contexts(data, ends, at)
                     name = h ^ (key << np.uint64(1))
                     a, b = np.searchsorted(keys, name, "left"), np.searchsorted(keys, name, "right")
                     hit = np.repeat(np.arange(len(at)), b - a)
-                    got = answers[np.repeat(a, b - a) + _within(b - a)]
+                    pick = np.repeat(a, b - a) + _within(b - a)
+                    got = answers[pick]
                     doc = np.array([s[0] for s in segments])[segment[hit]]
                     good = (got["owner"] < doc) & (got["anchor"] == h[hit]) & (got["hash"] == key[hit])
+                    for i in np.flatnonzero(good & (twin[pick] >= 0)):
+                        good[i] = (content[twin[pick[i]]] == np.r_[left[hit[i]], right[hit[i]], around[hit[i]]]).all()
                     hit, where = hit[good], got["where"][good]
                     which, offset = np.nonzero((where[:, None] >> np.arange(LEFT + 1, dtype=np.uint32)) & 1)
                     hit = hit[which]

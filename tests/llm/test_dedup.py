@@ -3,11 +3,15 @@ import re
 
 from pyspark.sql import functions as F
 
+from sievework.llm import suffix_dedup as suffix_dedup_module
 from sievework.llm.exact_dedup import LsmIndex, _sorted_run, exact_dedup, merge_runs
 from sievework.llm.jaccard_join import jaccard_components, prefix_tokens, required, t_occurrence
 from sievework.llm.suffix_dedup import suffix_dedup, suffix_sort
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from . import fixtures
@@ -94,6 +98,41 @@ def test_suffix_dedup(spark):
     assert suffix_dedup(fixtures.empty(spark)).collect() == []
 
 
+def test_contexts_of_one_hash_are_kept_apart(tmp_path, monkeypatch):
+    whole = suffix_dedup_module.contexts
+
+    def coarse(data, ends, at):
+        *rest, key = whole(data, ends, at)
+        return *rest, key & np.uint64(1)
+
+    monkeypatch.setattr(suffix_dedup_module, "contexts", coarse)
+    draw = np.random.default_rng(5)
+    letters = np.array(list("abcdefgh"))
+    shared = ["".join(draw.choice(letters, n)) for n in (40, 52, 60, 90, 140)]
+    docs = [(d, "".join(x for _ in range(4) for x in ("".join(draw.choice(letters, int(draw.integers(0, 20)))), shared[int(draw.integers(5))]))) for d in range(60)]
+    shards = [docs[s::3] for s in range(3)]
+
+    def land(name, frames):
+        for i, (shard, payload) in enumerate(r for f in frames for r in f[["shard", "payload"]].itertuples(index=False)):
+            folder = tmp_path / name / f"shard={shard}"
+            folder.mkdir(parents=True, exist_ok=True)
+            pq.write_table(pa.table({"payload": pa.array([payload], pa.binary())}), folder / f"{i}.parquet")
+
+    def sent(stage):
+        batches = [pa.RecordBatch.from_pydict({"shard": [s] * len(own), "doc_id": [d for d, _ in own], "text": [t for _, t in own]}) for s, own in enumerate(shards)]
+        return list(stage(iter(batches)))
+
+    copies, anchors, answers = ((tmp_path / n).as_uri() for n in ("copies", "anchors", "answers"))
+    rows = pd.concat([b.to_pandas() for b in sent(suffix_dedup_module._send_anchors(4, copies))])
+    land("anchors", [suffix_dedup_module._shared_anchors(g) for _, g in rows.groupby("bucket")])
+    rows = pd.concat([b.to_pandas() for b in sent(suffix_dedup_module._send_contexts(4, anchors, copies))])
+    replies = [suffix_dedup_module._answer_contexts(g) for _, g in rows.groupby("bucket")]
+    assert {p[0] for f in replies for p in f["payload"]} == {0, 1}, "some contexts need their bytes, some don't"
+    land("answers", replies)
+    got = [tuple(r.values())[:5] for b in sent(suffix_dedup_module._mark(copies, answers)) for r in b.to_pylist()]
+    assert sorted(got) == _removed(docs) and sum(r[2] for r in got) > 1000
+
+
 def test_suffix_sort_orders_and_verifies():
     draw = np.random.default_rng(3)
     rows = draw.integers(97, 99, (300, 20)).astype(np.uint8)
