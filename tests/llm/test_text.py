@@ -1,7 +1,9 @@
 import hashlib
+import itertools
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -232,6 +234,53 @@ def fixtures_offset():
     return F.col("doc_id") + 10_000
 
 
+def test_subsequence_kernel_equals_plain_enumeration():
+    draw = random.Random(8)
+    units = [bytes([27, *(draw.randrange(1, 6) for _ in range(draw.randrange(0, 14))), 28]) for _ in range(40)] + [bytes([27, 28]), bytes([27, 3, 28])]
+
+    def plain(unit):
+        weights = Counter()
+        for at in itertools.combinations(range(len(unit)), 3):
+            skipped = at[2] - at[0] - 2
+            if at[2] - at[0] < toxicity.SPAN:  # all three within SPAN symbols
+                weights[tuple(unit[i] for i in at)] += toxicity.DECAY**skipped
+        return {s: w / max(1, len(unit) - 2) ** 0.5 for s, w in weights.items()}
+
+    want = [plain(u) for u in units]
+    codes = toxicity._symbols(units)
+    full = toxicity.subsequences(codes)
+    for got, w in zip(full, want, strict=True):
+        at = np.flatnonzero(got)
+        assert {(i // 1024, i // 32 % 32, i % 32) for i in at.tolist()} == set(w)
+        np.testing.assert_allclose([got[(a * 32 + b) * 32 + c] for a, b, c in w], list(w.values()), rtol=1e-5)
+    for i in (0, 7, len(units) - 2):  # a unit's decision by another's table is their kernel value
+        kernel = [sum(w * x.get(s, 0) for s, w in want[i].items()) for x in want]
+        np.testing.assert_allclose(toxicity.decisions(codes, full[i]), kernel, rtol=1e-4, atol=1e-6)
+    row = np.arange(len(units)) % 5
+    np.testing.assert_allclose(toxicity.subsequences(codes, row, 5), np.stack([full[row == r].sum(axis=0) for r in range(5)]), rtol=1e-4, atol=1e-6)
+
+
+def test_views_teach_each_other():
+    draw = np.random.default_rng(11)
+
+    def sample(n):
+        y = draw.integers(0, 2, n)
+        return y, [np.where(draw.random((n, 40)) < np.where(y[:, None] == side, 0.72, 0.5), 1.0, 0.0) for side in (1, 0)]
+
+    y, views = sample(4000)
+    few = np.arange(4000) < 60
+    label, apart = np.where(few, y, -1), (np.arange(4000) % 3 == 0) & few
+    alone, taught = (quality.co_train(views, label, apart, rounds) for rounds in (0, quality.ROUNDS))
+    fresh, seen = sample(4000)
+
+    def right(model):
+        return [((score > 0.5) == fresh).mean() for score in quality.apply_model(model, seen)]
+
+    before, after = right(alone), right(taught)
+    assert after[0] > before[0] + 0.02 and after[1] > before[1] + 0.02, (before, after)
+    assert after[2] > max(before) + 0.02 and after[2] > max(after[:2]), (before, after)
+
+
 def test_toxicity(spark):
     rows = _judged()
     docs = fixtures.docs(spark).select("doc_id", "text", "digest").withColumn("doc_id", fixtures_offset()).unionByName(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), allowMissingColumns=True)
