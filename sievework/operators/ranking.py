@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -79,47 +77,6 @@ def dense_scores(vectors: DataFrame, query: list[float], key: str, column: str)
     return vectors.select(key, cosine(F.col(column), F.array(*[F.lit(float(x)) for x in query])).alias("score"))
 
 
-def nearest(queries: DataFrame, examples: DataFrame, k: int = 3, least_confidence: float | None = None, block: int = 4096) -> DataFrame:
-    """query_id, example_id, score: the k most similar stored examples, ties by id; queries and examples have id, vector.
-
-    Examples of at least ``least_confidence`` (column confidence) are searched in blocks of about ``block``,
-    each of which travels to the queries; a query's best of all blocks are merged.
-    """
-    if least_confidence is not None:
-        examples = examples.where(F.col("confidence") >= least_confidence)
-    examples = landed(examples.select(F.col("id").cast("long").alias("id"), F.col("vector").cast("array<double>").alias("vector")), "examples")
-    queries = queries.select(F.col("id").cast("long").alias("id"), F.col("vector").cast("array<double>").alias("vector"))
-    passes, found = max(1, -(-examples.count() // block)), None
-    for number in range(passes):
-        # about ``block`` rows, whatever the number of examples
-        own = examples.where(F.pmod(F.xxhash64("id"), F.lit(passes)) == number).orderBy("id").collect()
-        if not own:
-            continue
-        ids, matrix = np.array([r["id"] for r in own]), _unit_rows([r["vector"] for r in own])
-
-        def search(batches, ids=ids, matrix=matrix):
-            for batch in batches:
-                if len(batch):
-                    score = _unit_rows(batch["vector"].tolist()) @ matrix.T
-                    best = np.argsort(-score, axis=1, kind="stable")[:, :k]
-                    yield pd.DataFrame({"query_id": np.repeat(batch["id"].to_numpy(), best.shape[1]), "example_id": ids[best].ravel(), "score": np.take_along_axis(score, best, 1).ravel()})
-
-        part = queries.mapInPandas(search, "query_id long, example_id long, score double")
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        return queries.select(F.col("id").alias("query_id"), F.col("id").alias("example_id"), F.lit(0.0).alias("score")).limit(0)
-    if passes == 1:
-        return found
-    best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("minus"), F.col("example_id").alias("id")))), 1, k)
-    return found.groupBy("query_id").agg(best.alias("best")).select("query_id", F.explode("best").alias("e")).select("query_id", F.col("e.id").alias("example_id"), (-F.col("e.minus")).alias("score"))
-
-
-def _unit_rows(vectors: list) -> np.ndarray:
-    x = np.array([list(v) for v in vectors], float)
-    norm = np.linalg.norm(x, axis=1, keepdims=True)
-    return x / np.where(norm < 1e-12, 1.0, norm)
-
-
 def rrf(a: Column, b: Column) -> Column:
     """Reciprocal rank fusion of two ranks."""
     return 1.0 / (RRF_K + a) + 1.0 / (RRF_K + b)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions.numeric import cosine, unit
-from ..operators import baselines, coverage, dedup, evaluator, learning, ranking, replies, report, retrieval, review, routing, screening
+from ..operators import baselines, coverage, dedup, evaluator, learning, neighbours, ranking, replies, report, retrieval, review, routing, screening
 from ..session import landed, table
 from ..sources import judgments, stores
 from ..streaming import events as feed
@@ -116,7 +116,7 @@ def dense_topk(spark, d):
 
 def nearest_examples(spark, d):
     rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), F.when(F.col("label") == 1, 0.95).otherwise(0.5).alias("confidence"))
-    return _round(ranking.nearest(rows, rows, 3, 0.9), "score")
+    return _round(neighbours.nearest(rows, rows, 3, 0.9), "score")
 
 
 def unit_vectors(spark, d):
