@@ -5,8 +5,9 @@ only look like cards, credentials, written-out mail addresses, local phone numbe
 form of address - are judged: labelers (pattern, gazetteer, context before, context against, structure)
 vote on each candidate; expectation-maximisation estimates how reliable each labeler is from the
 counts of vote patterns; its posteriors train a logistic span classifier, whose verdict by pattern
-decides. Patterns are combinations of a few small features, so their table has a proven bound
-(kinds * 3^labelers * shapes) whatever the corpus.
+decides. The classifier sees more than the votes: how the span is written (by kind), and three features of
+what stands around it, on which no labeler votes. Patterns are combinations of a few small features, so
+their table has a proven bound (kinds * 3^labelers * 2^features) whatever the corpus.
 
 Everything stays in the JVM: matches come from regexp_extract_all, their places from the lengths of
 what split() leaves between them, and the estimation runs in aggregate() over the pattern table.
@@ -57,6 +58,9 @@ CUES = {
     "name": r"contact|author|by|signed|attn|from",
 }
 AGAINST = r"(?i)(?:version|isbn|issn|page|figure|table|total|price|\$|€|£|#|no\.|nr\.|vol\.|section|line|sha-?1|sha-?256|md5|commit|hash|checksum)[\x20:=\"']*$"
+#: Features of the classifier alone: what a candidate is opened by, whether it begins a line, what it is closed by.
+OPENED, LINE, CLOSED = r"""["'(\[{<=:]\x20?$""", r"(?:^|\n)[\x20\t]*$", r"""^(?:$|[\n.,;:!?)\]}>"'])"""
+FEATURES = 3
 #: Characters before a candidate that the context labelers see.
 WINDOW = 24
 LABELERS = ("pattern", "gazetteer", "context", "against", "structure")
@@ -131,7 +135,7 @@ def _vote(yes: Column, no: Column | None = None) -> Column:
 
 
 def _candidate(kind: str, text: Column, m: Column) -> Column:
-    """start, kind, end and the pattern - votes and shape, as one string - of one candidate."""
+    """start, kind, end and the pattern - votes, shape and features of the context, as one string - of one candidate."""
     before = F.substring(text, F.greatest(m["start"] - WINDOW, F.lit(0)) + 1, F.least(m["start"], F.lit(WINDOW)))
     body, d = m["body"], _digits(m["body"])
     n = F.length(body)
@@ -154,7 +158,9 @@ def _candidate(kind: str, text: Column, m: Column) -> Column:
         votes = [_vote(body.rlike("^\\S+ \\S+ \\S+$")), _vote(body.rlike(f"\\b(?:{GIVEN_NAMES})\\b")), _vote(cue), _vote(n.between(8, 40), n > 48)]
         shape = F.when(body.rlike("\\."), 1).otherwise(0)
     votes.insert(3, _vote(F.lit(False), before.rlike(AGAINST)))
-    pattern = F.concat_ws(",", F.lit(KINDS.index(kind)), *votes, shape)
+    line = F.when(m["start"] <= WINDOW, before.rlike(LINE)).otherwise(before.rlike(LINE.replace("^|", "")))
+    around = [before.rlike(OPENED), line, F.substring(text, m["end"] + 1, F.lit(1)).rlike(CLOSED)]
+    pattern = F.concat_ws(",", F.lit(KINDS.index(kind)), *votes, shape, *[a.cast("int") for a in around])
     return F.struct(m["start"].alias("start"), F.lit(KINDS.index(kind)).alias("kind"), m["end"].alias("end"), pattern.alias("pattern"))
 
 
@@ -214,7 +220,8 @@ def span_classifier(found: DataFrame) -> DataFrame:
     k = len(LABELERS)
     votes = F.transform(F.slice(parts, 2, k), lambda x: x.cast("int"))
     kind, shape = parts[0].cast("int"), parts[k + 1].cast("double")
-    x = [F.lit(1.0), *[(kind == KINDS.index(a)).cast("double") for a in ADDED], shape]
+    own = [(kind == KINDS.index(a)).cast("double") for a in ADDED]
+    x = [F.lit(1.0), *own, *[o * shape for o in own], *[parts[k + 2 + i].cast("double") for i in range(FEATURES)]]
     x += [(votes[j] == s).cast("double") for j in range(k) for s in (1, -1)]
     row = F.struct("pattern", F.struct(F.array(*x).alias("x"), votes.alias("v"), F.col("n").cast("double").alias("n")).alias("r"))
     rows = counts.withColumn("row", row).agg(F.array_sort(F.collect_list("row")).alias("rows"))

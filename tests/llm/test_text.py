@@ -131,6 +131,19 @@ def test_pii_added_spans(spark):
     assert sum(caught) >= 0.9 * len(caught) and sum(spoilt) <= 0.05 * len(spoilt), (sum(caught) / len(caught), sum(spoilt) / len(spoilt))
 
 
+def test_pii_classifier_sees_more_than_votes(spark):
+    # patterns: kind, five votes, shape, and the features of the context
+    sure, unsure, split = "4,1,1,1,0,1,0", "4,0,0,0,-1,-1,0", "4,1,0,0,-1,0,0"
+    counts = {f"{sure},1,0,1": 90, f"{sure},0,0,0": 10, f"{unsure},1,0,1": 10, f"{unsure},0,0,0": 90, f"{split},1,0,1": 5, f"{split},0,0,0": 5}
+    found = spark.createDataFrame([([(p,)] * n,) for p, n in counts.items()], "candidates array<struct<pattern:string>>")
+    verdict = pii.span_classifier(found).first()["verdict"]
+    assert set(verdict) == set(counts) and verdict[f"{sure},1,0,1"] > 0.8 and verdict[f"{unsure},0,0,0"] < 0.2
+    assert verdict[f"{split},1,0,1"] > verdict[f"{split},0,0,0"] + 0.1, "equal votes, unlike contexts"
+    texts = ["Dr. Ann Poe", "see (Dr. Ann Poe)", "so says Dr. Ann Poe of", "x" * 40 + " Dr. Ann Poe", "y" * 40 + "\n Dr. Ann Poe,"]
+    rows = pii._found(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [r["candidates"][0]["pattern"].split(",")[-3:] for r in rows] == [["0", "1", "1"], ["1", "0", "1"], ["0", "0", "0"], ["0", "0", "1"], ["0", "1", "1"]]
+
+
 def test_pii_of_very_long_texts(spark):
     """A megabyte of what a pattern could start with costs a pass, not a pass for each character."""
     size = 1 << 20
