@@ -152,7 +152,8 @@ def phrases(c) -> Column:
     """
     parts = F.transform(F.split(text_or_empty(c), SEPARATORS), lambda p: F.trim(F.regexp_replace(p, r"[()\s]+", " ")))
     stop = "|".join(STOPWORDS)
-    parts = F.transform(parts, lambda p: F.regexp_replace(p, rf"(?i)^(?:(?:{stop})(?:\s+|$))+", ""))
+    # possessive: a loop, where the plain repeat calls itself for each word and a long run of stopwords ends the stack
+    parts = F.transform(parts, lambda p: F.regexp_replace(p, rf"(?i)^(?:(?:{stop})(?:\s+|$))++", ""))
     return first_of_each(F.filter(parts, lambda p: F.size(content_words(p)) > 0))
 
 

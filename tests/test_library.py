@@ -27,6 +27,11 @@ def test_phrases(spark):
     assert r == ["adults", "type 2 diabetes T2D", "Obesity"]
 
 
+def test_phrases_after_a_long_run_of_stopwords(spark):
+    got = _one(spark, "the of " * 20_000 + "aspirin, a " + "an " * 50_000, "THE " * 30_000).select(tx.phrases(F.col("x"))).collect()
+    assert [r[0] for r in got] == [["aspirin"], []]
+
+
 def test_json_replies(spark):
     rows = _one(spark, '{"satisfies": true}', 'text\n```json\n{"satisfies": "false"}\n```', "nothing").select(votes.parse_vote(F.col("x"))).collect()
     assert [r[0] for r in rows] == ["Include", "Exclude", "Uncertain"]
