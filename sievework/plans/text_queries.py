@@ -353,15 +353,16 @@ def _criteria(spark, d):
 
 
 def criterion_retrieval(spark, d):
-    found = retrieval.retrieve(_docs(spark, d), _criteria(spark, d), 3)
-    return found.groupBy("doc_id", "criterion_id").agg(F.count("*").alias("n"), F.sum("position").alias("positions"), F.round(F.max("score"), 6).alias("best"))
+    found = retrieval.with_found(_docs(spark, d), _criteria(spark, d), ["doc_id"], 3).select("doc_id", F.explode("found").alias("f"))
+    positions = F.aggregate("f.sentences", F.lit(0).cast("long"), lambda a, x: a + x["position"])
+    return found.select("doc_id", "f.criterion_id", F.size("f.sentences").cast("long").alias("n"), positions.alias("positions"), F.round(F.array_max("f.sentences.score"), 6).alias("best"))
 
 
 def criterion_judgments(spark, d):
-    found = retrieval.retrieve(_docs(spark, d), _criteria(spark, d), 3)
-    best = found.groupBy("doc_id").agg(F.max_by(F.struct("criterion_id", "position", "score"), F.struct("score", -F.col("criterion_id"), -F.col("position"))).alias("b")).select("doc_id", "b.*")
-    text = tx.text_or_empty("text")
-    rows = best.join(_docs(spark, d).select("doc_id", text.alias("text")), "doc_id").withColumn("sentence", F.get(tx.sentences("text"), F.col("position")))
+    found = retrieval.with_found(_docs(spark, d), _criteria(spark, d), ["doc_id", "text"], 3)
+    each = F.flatten(F.transform("found", lambda f: F.transform(f["sentences"], lambda x: F.struct(x["score"].alias("score"), (-f["criterion_id"]).alias("c"), (-x["position"]).alias("p")))))
+    best = found.select("doc_id", "text", F.array_max(each).alias("b")).select("doc_id", "text", (-F.col("b.c")).alias("criterion_id"), (-F.col("b.p")).alias("position"), "b.score")
+    rows = best.withColumn("sentence", F.get(tx.sentences("text"), F.col("position")))
     told = rows.withColumns({"satisfies": F.when(F.col("score") >= 0.2, "true").otherwise("false"), "confidence": F.round("score", 6), "span": F.when(F.col("doc_id") % 3 == 0, F.repeat(F.lit("#"), F.lit(40))).otherwise(F.col("sentence"))})
     return _round(retrieval.judged(told).select("doc_id", "criterion_id", "p", "verified", "hallucinated"), "p")
 

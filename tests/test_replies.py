@@ -1,6 +1,8 @@
 """Runs of failures over block borders, templates, and judgments by criterion."""
 
+import math
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -51,3 +53,29 @@ def test_documents_without_shared_terms_give_their_first_sentences(spark):
         got.setdefault((r["doc_id"], r["criterion_id"]), []).append((r["position"], round(r["score"], 3)))
     assert sorted(got[1, 7]) == [(0, 0.707), (2, 0.707)] and sorted(got[2, 7]) == [(0, 0.0), (1, 0.0)]
     assert sorted(got[1, 8]) == sorted(got[1, 9]) == [(0, 0.0), (1, 0.0)] and {d for d, _ in got} == {1, 2}
+
+
+def test_sentences_meet_criteria_without_a_shuffle(spark):
+    draw, words = random.Random(4), [f"word{i}" for i in range(30)]
+    texts = {i: [draw.choices(words, k=draw.randrange(2, 7)) for _ in range(n)] for i, n in enumerate((2500, 3, 1, 40))}
+    asked = {i: draw.choices([*words, "elsewhere"], k=3) for i in range(300)}
+    docs = spark.createDataFrame([(i, " ".join(" ".join(s) + "." for s in own)) for i, own in texts.items()], "doc_id int, text string")
+    criteria = spark.createDataFrame([(i, " ".join(q)) for i, q in asked.items()], "criterion_id int, criterion_text string")
+    found = retrieval.retrieve(docs, criteria, 2)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    got = {}
+    for r in found.collect():
+        got.setdefault((r["doc_id"], r["criterion_id"]), {})[r["position"]] = r["score"]
+    assert len(got) == len(texts) * len(asked)
+    for (d, c), own in got.items():
+        if c % 20 == 0:
+            rows, q = [Counter(s) for s in texts[d] if len(" ".join(s)) + 1 > 10], Counter(asked[c])
+            cosine = [round(sum(r[t] * n for t, n in q.items()) / (math.sqrt(sum(x * x for x in r.values())) * math.sqrt(sum(x * x for x in q.values()))), 12) for r in rows]
+            near = sorted(range(len(rows)), key=lambda i: (-cosine[i], i))[:2]
+            df, size = Counter(t for r in rows for t in r), [sum(r.values()) for r in rows]
+            idf = {t: math.log(len(rows) - n + 0.5) - math.log(n + 0.5) for t, n in df.items()}
+            mean = sum(idf.values()) / len(idf)
+            weight = {t: 0.25 * mean if x < 0 else x for t, x in idf.items()}
+            score = [round(sum(weight[t] * r[t] * 2.5 / (r[t] + 1.5 * (0.25 + 0.75 * size[i] * len(rows) / sum(size))) for t in q if r[t]), 12) for i, r in enumerate(rows)]
+            best = [i for i in sorted(range(len(rows)), key=lambda i: (-score[i], i))[:2] if score[i] > 0]
+            assert own == pytest.approx({i: cosine[i] for i in {*near, *best}}, abs=1e-12), (d, c)
