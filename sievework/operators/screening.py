@@ -38,14 +38,21 @@ def span_penalty(p: Column, span: Column, verified: Column) -> Column:
 def verify_spans(rows: DataFrame, span: str, text: str, threshold: float = 0.85) -> DataFrame:
     """verified: the span is in the text - exactly, ignoring case, or with an indel ratio of a window of its length.
 
-    The two plain tests run in the JVM; only what they leave open goes to the windows.
+    The two plain tests run in the JVM; only what they leave open goes to the windows, and of these only the ones
+    that share enough characters, in whatever order, with the span.
     """
+    def shared(a: str, b: str) -> int:  # no common subsequence is longer
+        return sum(min(a.count(c), b.count(c)) for c in set(a))
+
     @F.pandas_udf("boolean")
     def near(spans: pd.Series, texts: pd.Series) -> pd.Series:
         def test(s, t) -> bool:
             n, step = len(s), max(1, len(s) // 2)
+            least = threshold * (n + min(n, len(t))) / 2 - 1e-6
+            if shared(s, t) < least:
+                return False
             starts = {*range(0, max(1, len(t) - n + 1), step), max(0, len(t) - n)}
-            return any(indel_ratio(s, t[i:i + n]) >= threshold for i in starts)
+            return any(shared(s, t[i:i + n]) >= least and indel_ratio(s, t[i:i + n]) >= threshold for i in starts)
 
         return pd.Series([bool(s) and bool(t) and test(s.lower(), t.lower()) for s, t in zip(spans, texts, strict=True)])
 

@@ -2,12 +2,13 @@
 
 import math
 import random
+import time
 from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
-from sievework.operators import replies, retrieval
+from sievework.operators import replies, retrieval, screening
 
 
 def test_failure_runs_cross_blocks(spark):
@@ -79,3 +80,11 @@ def test_sentences_meet_criteria_without_a_shuffle(spark):
             score = [round(sum(weight[t] * r[t] * 2.5 / (r[t] + 1.5 * (0.25 + 0.75 * size[i] * len(rows) / sum(size))) for t in q if r[t]), 12) for i, r in enumerate(rows)]
             best = [i for i in sorted(range(len(rows)), key=lambda i: (-score[i], i))[:2] if score[i] > 0]
             assert own == pytest.approx({i: cosine[i] for i in {*near, *best}}, abs=1e-12), (d, c)
+
+
+def test_spans_without_enough_of_the_text_are_not_aligned(spark):
+    text = "adults were treated twice a day and nothing else was said. " * 60_000
+    rows = spark.createDataFrame([(1, "#" * 200, text), (2, "adults were xreated twice a day and nothing", text), (3, "yaD a eciwt detaert erew stluda", "short")], "i int, span string, text string")
+    began = time.monotonic()
+    assert {r["i"]: r["verified"] for r in screening.verify_spans(rows, "span", "text").collect()} == {1: False, 2: True, 3: False}
+    assert time.monotonic() - began < 20  # 35,000 windows of 200 characters, were each aligned
