@@ -80,7 +80,8 @@ def title_probes(titles: DataFrame, threshold: float = THRESHOLD, longer: bool =
 def near_titles(probes: DataFrame, segments: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """x, y: each pair of different titles, once, whose indel ratio reaches the threshold; complete over both sides."""
     a, b = probes.withColumnRenamed("title_key", "p"), segments.withColumnRenamed("title_key", "q")
-    pairs = a.join(b, ["n", "part", "segment"]).where("p <> q").select(F.least("p", "q").alias("x"), F.greatest("p", "q").alias("y"))
+    # many segments a title: the planner sees the titles' size only and would send them all through the driver
+    pairs = a.join(b.hint("merge"), ["n", "part", "segment"]).where("p <> q").select(F.least("p", "q").alias("x"), F.greatest("p", "q").alias("y"))
     # unit-cost edits are never more than insertions and deletions: a bound that stays in the JVM, before any shuffle of pairs
     limit = F.floor((1 - threshold) * (F.length("x") + F.length("y")) + 1e-9)
     pairs = pairs.where(F.abs(F.length("x") - F.length("y")) <= limit).where(F.levenshtein("x", "y") <= limit).distinct()

@@ -32,6 +32,13 @@ def test_phrases_after_a_long_run_of_stopwords(spark):
     assert [r[0] for r in got] == [["aspirin"], []]
 
 
+def test_title_segments_are_not_sent_through_the_driver(spark):
+    titles = spark.createDataFrame([("effects of aspirin on adults with fever",), ("effects of aspirin on adults with fevers",), ("another",)], "title_key string")
+    pairs = dedup.near_titles(dedup.title_probes(titles, longer=False), dedup.title_segments(titles))
+    assert "Broadcast" not in pairs._jdf.queryExecution().executedPlan().toString()
+    assert [(r["x"], r["y"]) for r in pairs.collect()] == [("effects of aspirin on adults with fever", "effects of aspirin on adults with fevers")]
+
+
 def test_json_replies(spark):
     rows = _one(spark, '{"satisfies": true}', 'text\n```json\n{"satisfies": "false"}\n```', "nothing").select(votes.parse_vote(F.col("x"))).collect()
     assert [r[0] for r in rows] == ["Include", "Exclude", "Uncertain"]
