@@ -11,6 +11,7 @@ import math
 from collections.abc import Callable
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +22,8 @@ from .splits import bucketed_rank
 
 #: Random documents that a fit takes as irrelevant.
 PRESUMED = 100
+#: Examples of a fit that one task goes through.
+EXAMPLES = 4096
 LOG = "round int, assessed long, found long, estimate double"
 
 
@@ -28,18 +31,65 @@ def _order(seed):
     return F.xxhash64("pmid", F.lit(seed))
 
 
+class SparseLinear:
+    """A linear model of sparse vectors, by the weights of the features that its examples have; those of all others are 0."""
+
+    def __init__(self, weights: np.ndarray, intercept: float):
+        self.weights, self.intercept = weights, intercept
+
+    def transform(self, rows: DataFrame) -> DataFrame:
+        """Adds margin."""
+        intercept, shared = self.intercept, rows.sparkSession.sparkContext.broadcast(self.weights)
+
+        @F.pandas_udf("double")
+        def margin(indices: pd.Series, values: pd.Series) -> pd.Series:
+            row = np.repeat(np.arange(len(indices)), indices.map(len))
+            if not len(row):
+                return pd.Series(np.full(len(indices), intercept))
+            at, x = np.concatenate(indices.to_list()).astype(np.int64), np.concatenate(values.to_list())
+            return pd.Series(np.bincount(row, shared.value[at] * x, len(indices)) + intercept)
+
+        v = F.unwrap_udt("features")
+        return rows.withColumn("margin", margin(v["indices"], v["values"]))
+
+
+def _fit_linear(estimator: Callable[[int], object], train: DataFrame):
+    """Fits ``estimator(n)``; of sparse vectors over the features that occur in the examples, as all others get no weight.
+
+    Each step of a fit sends a vector as long as the features to the driver for each of a few partitions; examples are
+    few beside the vocabulary, and partitions follow the examples' number.
+    """
+    from pyspark.ml.linalg import Vectors, VectorUDT
+
+    n, v = train.count(), F.unwrap_udt("features")
+    dense = train.where(v["type"] == 1).limit(1).count()
+    active = np.array([] if dense else [r[0] for r in train.select(F.explode(v["indices"]).alias("i")).distinct().orderBy("i").collect()], np.int64)
+    if not len(active):
+        return estimator(n).fit(train)
+    shared = train.sparkSession.sparkContext.broadcast(active)
+
+    @F.udf(VectorUDT())
+    def narrow(x):
+        return Vectors.sparse(len(shared.value), np.searchsorted(shared.value, x.indices), x.values)
+
+    model = estimator(n).fit(landed(train.select(narrow("features").alias("features"), "label").coalesce(1 + n // EXAMPLES), "learning-narrow"))
+    weights = np.zeros(train.select(v["size"].alias("n")).first()[0])
+    weights[active] = model.coefficients.toArray()
+    return SparseLinear(weights, float(model.intercept))
+
+
 def logistic(c: float = 1.0) -> Callable[[DataFrame], object]:
     """Fits a logistic ranker; ``c`` weighs the examples against the weights' size."""
     from pyspark.ml.classification import LogisticRegression
 
-    return lambda train: LogisticRegression(regParam=1 / (c * max(1, train.count())), maxIter=50).fit(train)
+    return lambda train: _fit_linear(lambda n: LogisticRegression(regParam=1 / (c * max(1, n)), maxIter=50, aggregationDepth=4), train)
 
 
 def linear_svm(c: float = 1.0) -> Callable[[DataFrame], object]:
     """Fits a linear support vector machine."""
     from pyspark.ml.classification import LinearSVC
 
-    return lambda train: LinearSVC(regParam=1 / (c * max(1, train.count())), maxIter=30).fit(train)
+    return lambda train: _fit_linear(lambda n: LinearSVC(regParam=1 / (c * max(1, n)), maxIter=30, aggregationDepth=4), train)
 
 
 def boosted_trees(trees: int = 10, depth: int = 3, features: int = 50, presence: bool = True) -> Callable[[DataFrame], object]:
@@ -109,7 +159,7 @@ def _scored(rest: DataFrame, model, seed) -> DataFrame:
     out = model.transform(rest)
     if "probability" in out.columns:
         return out.select("pmid", "rel", vector_to_array("probability")[1].alias("p"))
-    margin = vector_to_array("rawPrediction")[1]  # of a support vector machine, in the same order
+    margin = F.col("margin") if "margin" in out.columns else vector_to_array("rawPrediction")[1]  # of a support vector machine, in the same order
     return out.select("pmid", "rel", (1 / (1 + F.exp(-margin))).alias("p"))
 
 
@@ -218,9 +268,6 @@ def draw_ranks(ranks: DataFrame, size: int, seed: str) -> DataFrame:
     A draw is a hash of its number on a line that the weights fill in the order of ranks. It finds its block
     by the blocks' sums, and its document inside; blocks are bounded, so no task sees a whole ranking.
     """
-    import numpy as np
-    import pandas as pd
-
     ranks = ranks.withColumn("block", F.floor((F.col("rank") - 1) / BLOCK))
     sums = ranks.groupBy("block").agg(F.sum("w").alias("w")).orderBy("block").collect()  # one number a block
     ends, names = np.cumsum([r["w"] for r in sums]), np.array([r["block"] for r in sums], np.int64)

@@ -1,6 +1,7 @@
 import json
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -39,6 +40,22 @@ def test_title_segments_are_not_sent_through_the_driver(spark):
     assert [(r["x"], r["y"]) for r in pairs.collect()] == [("effects of aspirin on adults with fever", "effects of aspirin on adults with fevers")]
 
 
+@pytest.mark.parametrize("ranker", [learning.logistic, learning.linear_svm])
+def test_linear_rankers_weigh_only_what_their_examples_have(spark, ranker):
+    from pyspark.ml.classification import LinearSVC, LogisticRegression
+    from pyspark.ml.linalg import Vectors
+
+    draw, size = random.Random(2), 1 << 18
+    rows = [(i, Vectors.sparse(size, sorted((draw.randrange(60) * 4000 + 1000 * (i % 2) + j, draw.random() + 0.1) for j in range(5))), float(i % 2)) for i in range(80)]
+    rows = spark.createDataFrame([*rows, (80, Vectors.sparse(size, [], []), 0.0)], ["pmid", "features", "label"])
+    train, rest = rows.where("pmid < 40").select("features", "label"), rows.select("pmid", "features", F.col("label").cast("int").alias("rel"))
+    model = ranker()(train)
+    assert isinstance(model, learning.SparseLinear) and np.count_nonzero(model.weights) <= 200
+    whole = (LogisticRegression(regParam=1 / 40, maxIter=50) if ranker is learning.logistic else LinearSVC(regParam=1 / 40, maxIter=30)).fit(train)
+    got, want = ({r["pmid"]: r["p"] for r in learning._scored(rest, m, 1).collect()} for m in (model, whole))
+    assert got == pytest.approx(want, abs=1e-4) and len(got) == 81
+
+
 def test_json_replies(spark):
     rows = _one(spark, '{"satisfies": true}', 'text\n```json\n{"satisfies": "false"}\n```', "nothing").select(votes.parse_vote(F.col("x"))).collect()
     assert [r[0] for r in rows] == ["Include", "Exclude", "Uncertain"]
