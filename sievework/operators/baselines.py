@@ -7,15 +7,16 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import inverse_normal
 from ..session import landed
-from .splits import bucketed_rank, draw, quantiles, stratified_split
+from .splits import borders, bucket_of, bucketed_rank, draw, quantiles, stratified_split
 
 
 def crc_threshold(positives: DataFrame, alpha: Column | float, keys: list[str]) -> DataFrame:
     """keys, lambda_star: the k-th smallest positive score, k = floor(alpha (n + 1)) - 1 from 0; none: 0."""
     a = F.lit(alpha) if isinstance(alpha, float) else alpha
-    w = Window.partitionBy(*keys)
-    # a key's positives are its calibration set, not the corpus
-    rows = positives.withColumn("__i", F.row_number().over(w.orderBy("s")) - 1).withColumn("__k", F.floor(a * (F.count("*").over(w) + 1) + 1e-12) - 1)
+    rows = landed(positives, "crc-positives")
+    # places by buckets: a key's positives grow with the corpus
+    rows = bucketed_rank(rows, keys, [F.col("s")], bucket_of(F.col("s"), borders(rows, "s", 256)), "__i").withColumn("__i", F.col("__i") - 1)
+    rows = rows.withColumn("__k", F.floor(a * (F.col("stratum_size") + 1) + 1e-12) - 1)
     return rows.groupBy(*keys).agg(F.coalesce(F.max(F.when(F.col("__i") == F.col("__k"), F.col("s"))), F.lit(0.0)).alias("lambda_star"))
 
 

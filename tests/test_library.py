@@ -1,5 +1,7 @@
 import json
+import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -257,6 +259,18 @@ def test_routing_crossed_thresholds(spark):
     assert r.fnr == 0.5 and r.wss is None and r.n_auto_reject == 1
 
 
+def test_crc_threshold_ranks_by_buckets(spark):
+    draw = random.Random(8)
+    scores = {t: [round(draw.random(), 3) for _ in range(n)] for t, n in (("a", 1500), ("b", 40), ("c", 3))}
+    df = spark.createDataFrame([(t, s) for t, own in scores.items() for s in own], "topic_id string, s double")
+    found = baselines.crc_threshold(df, 0.1, ["topic_id"])
+    windows = re.findall(r"row_number\(\) windowspecdefinition\(([^)]*)", found._jdf.queryExecution().analyzed().toString())
+    assert windows and all("__b#" in w for w in windows)
+    places = {t: math.floor(0.1 * (len(own) + 1) + 1e-12) - 1 for t, own in scores.items()}
+    assert {r["topic_id"]: r["lambda_star"] for r in found.collect()} == {t: sorted(own)[places[t]] if places[t] >= 0 else 0.0 for t, own in scores.items()}
+    assert baselines.crc_threshold(df.limit(0), 0.1, ["topic_id"]).count() == 0
+
+
 def test_crc_threshold(spark):
     df = spark.createDataFrame([("t", i / 10) for i in range(1, 21)], "topic_id string, s double")
     assert baselines.crc_threshold(df, 0.10, ["topic_id"]).first().lambda_star == pytest.approx(0.2)
