@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import certify, ranking, report, review, routing, screening, votes
-from ..session import scratch, table
+from ..session import scratch, spread, table
 from ..sources import judgments, stores
 from . import corpus, screening_run
 from .screening_queries import GRID, K, K_TAU, SCORED, _with
@@ -90,7 +90,9 @@ def medline_fields(spark, d):
 
 def article_xml(spark, d):
     body = F.concat(F.lit("<PubmedArticle><MedlineCitation>"), F.when(F.col("p_size") > 5, F.concat(F.lit("<PMID>"), "p_partkey", F.lit("</PMID>"))).otherwise(""), F.lit("</MedlineCitation><ArticleTitle>On  <i>"), "p_name", F.lit("</i></ArticleTitle><Abstract><AbstractText>"), "p_type", F.lit("</AbstractText><AbstractText>"), "p_brand", F.lit("</AbstractText></Abstract><MeshHeading><DescriptorName>"), "p_brand", F.lit("</DescriptorName></MeshHeading></PubmedArticle>"))
-    return judgments.article_records(table(spark, d, "part").select(body.alias("xml"))).select("pmid", "title", "abstract", F.get("mesh", 0).alias("mesh"))
+    # parsing costs more than the rows: a compact file would be parsed by one task
+    rows = spread(table(spark, d, "part"), "p_partkey")
+    return judgments.article_records(rows.select(body.alias("xml"))).select("pmid", "title", "abstract", F.get("mesh", 0).alias("mesh"))
 
 
 def _scholar(spark, d):

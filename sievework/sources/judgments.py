@@ -92,13 +92,25 @@ def medline_records(records: DataFrame) -> DataFrame:
     return rows.select(F.lit("pubmed").alias("source_database"), F.col("pmid").alias("external_id"), F.trim("ti").alias("title"), F.col("ab").alias("abstract"), F.col("au").alias("authors"), F.col("jt").alias("journal"), medline_year("dp").alias("year"), medline_doi(F.col("aid"), F.col("lid")).alias("doi"), "pmid")
 
 
+#: Stands between two strings of one XPath result; no XML text can hold it.
+APART = "\uffff"
+
+
 def article_records(xml: DataFrame, column: str = "xml") -> DataFrame:
-    """pmid, title, abstract, mesh of article XML; articles without an id are dropped."""
-    def one(path: str) -> Column:
-        return F.nullif(strip_markup(F.xpath_string(F.col(column), F.lit(path))), F.lit(""))
+    """pmid, title, abstract, mesh of article XML; articles without an id are dropped.
+
+    Each path parses the text anew, so both strings come from one, and the generated row keeps the filter on the id
+    from evaluating any of them again.
+    """
+    def nodes(path: str) -> Column:
+        return F.xpath(F.col(column), F.lit(path))
+
+    def one(i: int) -> Column:
+        return F.nullif(strip_markup(F.get(F.split("heads", APART), i)), F.lit(""))
 
-    rows = xml.select(one("//MedlineCitation/PMID").alias("pmid"), one("//ArticleTitle").alias("title"), F.nullif(F.array_join(F.xpath(F.col(column), F.lit("//Abstract/AbstractText/text()")), " "), F.lit("")).alias("abstract"), F.xpath(F.col(column), F.lit("//MeshHeading/DescriptorName/text()")).alias("mesh"))
-    return rows.where("pmid is not null")
+    heads = F.xpath_string(F.col(column), F.lit(f"concat(//MedlineCitation/PMID, '{APART}', //ArticleTitle)"))
+    parsed = xml.select(F.inline(F.array(F.struct(heads.alias("heads"), nodes("//Abstract/AbstractText/text()").alias("texts"), nodes("//MeshHeading/DescriptorName/text()").alias("mesh")))))
+    return parsed.select(one(0).alias("pmid"), one(1).alias("title"), F.nullif(F.array_join("texts", " "), F.lit("")).alias("abstract"), "mesh").where("pmid is not null")
 
 
 def scholar_records(items: DataFrame, column: str = "item") -> DataFrame:

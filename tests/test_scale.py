@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from sievework.operators import certify, review, screening, splits, synthetic
-from sievework.plans import topic_runs
+from sievework.plans import record_queries, topic_runs
+from sievework.sources import judgments
 
 from .plain import plain_quantile
 
@@ -95,3 +96,13 @@ def test_a_failing_topic_leaves_the_others_committed(spark, tmp_path):
     assert {s for s, _ in run(resume=False).values()} == {"done"} and len(calls) == 6
     assert spark.sparkContext.getLocalProperty("spark.scheduler.pool") is None
     assert topic_runs.run_topics(spark, [], phases, root).count() == 0 and topic_runs.gathered(spark, [], "rows", root) is None
+
+
+def test_articles_are_parsed_by_all_cores_and_three_times_at_most(spark):
+    heads = "<MedlineCitation><PMID> <b>1</b>\n2</PMID><PMID>9</PMID></MedlineCitation><ArticleTitle>A &lt;i&gt;b&lt;/i&gt; <i>c</i></ArticleTitle>"
+    texts = [f"<a>{heads}<Abstract><AbstractText>x<!-- y -->z</AbstractText><AbstractText>w<b>v</b></AbstractText></Abstract></a>", "<a><ArticleTitle>none</ArticleTitle></a>", "<a><MedlineCitation><PMID>3</PMID></MedlineCitation></a>", None]
+    found = judgments.article_records(spark.createDataFrame([(t,) for t in texts], "xml string"))
+    assert sorted(map(tuple, found.collect())) == [("1 2", "A b c", "x z w", []), ("3", None, None, [])]
+    assert found._jdf.queryExecution().executedPlan().toString().count("Evaluator(") == 3
+    whole = record_queries.article_xml(spark, "/root/testdata/sf0.001")
+    assert whole.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
