@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import cosine, dot
-from ..functions.stemming import plain_words, stems
+from ..functions.stemming import plain_words, stem_counts, stems
 from ..functions.text import approx_tokens, sentences
 from ..session import landed
 
@@ -42,23 +42,22 @@ def bm25(docs: DataFrame, tokens: Column, query: list[str], key: str = "doc_id")
 def bm25_stemmed(docs: DataFrame, text: str, query: str, stop: list[str], key: str = "doc_id") -> DataFrame:
     """key, score of the documents with a score: Okapi BM25 over stems, of words without punctuation and stop words.
 
-    The distinct words are stemmed once and joined with the postings, which are summed by stem.
+    One pass lands a row a document, with its stems and their counts; only the stems' document frequencies are
+    shuffled, and a document is scored where its row is. ``key`` is unique.
     """
     spark = docs.sparkSession
-    found = landed(postings(docs.select(key, plain_words(F.col(text), stop).alias("words")), F.col("words"), key), "stem-words")
-    stemmed = landed(stems(found), "stem-vocabulary")
-    by_stem = landed(found.join(stemmed, "term").groupBy(key, "stem").agg(F.sum("tf").alias("tf")), "stem-postings")
-    lengths = by_stem.groupBy(key).agg(F.sum("tf").alias("dl"))
-    n_docs, total = docs.count(), by_stem.agg(F.sum("tf")).first()[0] or 0
+    found = landed(stem_counts(docs, plain_words(F.col(text), stop), key), "stem-counts")
+    n_docs, total = found.agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0))).first()
     idf = F.log(n_docs - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
-    vocabulary = by_stem.groupBy("stem").agg(F.count("*").alias("df")).withColumn("idf", idf)
-    mean = vocabulary.agg(F.avg("idf")).first()[0] or 0.0
+    vocabulary = landed(found.select(F.explode("stems").alias("stem")).groupBy("stem").agg(F.count("*").alias("df")), "stem-vocabulary")
+    mean = vocabulary.groupBy("df").agg(F.count("*").alias("n")).agg(F.sum(idf * F.col("n")) / F.sum("n")).first()[0] or 0.0
     asked = spark.createDataFrame([(query,)], "q string").select(F.explode(plain_words(F.col("q"), stop)).alias("term"))
     asked = asked.join(stems(asked), "term").groupBy("stem").agg(F.count("*").alias("times"))
-    weights = vocabulary.join(F.broadcast(asked), "stem").select("stem", "times", F.when(F.col("idf") < 0, EPSILON * mean).otherwise(F.col("idf")).alias("idf"))
+    weights = vocabulary.withColumn("idf", idf).join(F.broadcast(asked), "stem").select("stem", "times", F.when(F.col("idf") < 0, EPSILON * mean).otherwise(F.col("idf")).alias("idf"))
     # the query's stems: no more rows than the query has words
+    hits = found.select(key, "dl", F.explode(F.arrays_zip("stems", "tf")).alias("x")).select(key, "dl", F.col("x.stems").alias("stem"), "x.tf")
     part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") * n_docs / max(total, 1)))
-    return by_stem.join(F.broadcast(weights), "stem").join(lengths, key).groupBy(key).agg(F.sum(part).alias("score"))
+    return hits.join(F.broadcast(weights), "stem").groupBy(key).agg(F.sum(part).alias("score"))
 
 
 def top(df: DataFrame, score: str, key: str, k: int) -> DataFrame:

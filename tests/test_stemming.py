@@ -2,7 +2,10 @@
 
 import math
 
-from sievework.functions.stemming import stem, stems
+from pyspark.sql import functions as F
+
+from sievework.functions import stemming
+from sievework.functions.stemming import plain_words, stem, stems
 from sievework.operators import ranking
 
 #: Words and their stems, from the published description of the steps and its sample vocabulary.
@@ -62,3 +65,16 @@ def test_bm25_over_stems(spark):
         if score:
             want[d] = score
     assert got.keys() == want.keys() and all(abs(got[d] - want[d]) < 1e-9 for d in want)
+
+
+def test_stem_counts_are_a_row_a_document(spark, monkeypatch):
+    texts = ["Running runs; he CANNOT run, gonna!", None, "", "hatred\tHatred the hating", "can-not cannot_x écannot cannoté"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    monkeypatch.setattr(stemming, "SLICE", 3)
+    got = {r.doc_id: (r.dl, dict(zip(r.stems, r.tf))) for r in stemming.stem_counts(docs.coalesce(1), plain_words(F.col("text"), ["the", "he"]), "doc_id").collect()}
+    assert got[0] == (7, {"run": 3, "can": 1, "not": 1, "gon": 1, "na": 1}) and got[1] == got[2] == (0, {}) and got[3] == (3, {"hatr": 2, "hate": 1})
+    assert len(got) == 5 and got[4][0] == sum(got[4][1].values()) and got[4][1]["can"] == 2 and got[4][1]["not"] == 2
+    sizes = {}
+    monkeypatch.setattr(ranking, "landed", lambda df, name: sizes.setdefault(name, df.cache()))
+    ranking.bm25_stemmed(docs, "text", "running hatred", ["the"]).collect()
+    assert all(df.count() <= len(texts) for name, df in sizes.items() if "doc_id" in df.columns) and sizes
