@@ -57,15 +57,15 @@ def _fit_linear(estimator: Callable[[int], object], train: DataFrame):
     """Fits ``estimator(n)``; of sparse vectors over the features that occur in the examples, as all others get no weight.
 
     Each step of a fit sends a vector as long as the features to the driver for each of a few partitions; examples are
-    few beside the vocabulary, and partitions follow the examples' number.
+    few beside the vocabulary, and partitions follow the examples' number, not the number of files that they come from.
     """
     from pyspark.ml.linalg import Vectors, VectorUDT
 
-    n, v = train.count(), F.unwrap_udt("features")
-    dense = train.where(v["type"] == 1).limit(1).count()
+    v = F.unwrap_udt("features")
+    n, dense = train.agg(F.count("*"), F.count_if(v["type"] == 1)).first()
     active = np.array([] if dense else [r[0] for r in train.select(F.explode(v["indices"]).alias("i")).distinct().orderBy("i").collect()], np.int64)
     if not len(active):
-        return estimator(n).fit(train)
+        return estimator(n).fit(train.coalesce(1 + n // EXAMPLES))
     shared = train.sparkSession.sparkContext.broadcast(active)
 
     @F.udf(VectorUDT())
@@ -141,13 +141,12 @@ def fitted(labelled: DataFrame, presumed: DataFrame, topic: DataFrame | None, ra
 
     None while nothing relevant is known.
     """
-    if topic is None and labelled.where("rel = 1").isEmpty():
-        return None
     train = labelled.select("features", F.col("rel").cast("double").alias("label")).unionByName(presumed.select("features", F.lit(0.0).alias("label")))
     if topic is not None:
         train = train.unionByName(topic.select("features", F.lit(1.0).alias("label")))
     train = landed(train, "learning-train")
-    return ranker(train) if train.where("label = 0").limit(1).count() else None
+    relevant, other = train.agg(F.count_if(F.col("label") == 1), F.count_if(F.col("label") == 0)).first()
+    return ranker(train) if relevant and other else None
 
 
 def _scored(rest: DataFrame, model, seed) -> DataFrame:

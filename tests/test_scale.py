@@ -3,9 +3,10 @@
 import random
 
 import pytest
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
-from sievework.operators import certify, review, screening, splits, synthetic
+from sievework.operators import certify, learning, review, screening, splits, synthetic
 from sievework.plans import record_queries, topic_runs
 from sievework.sources import judgments
 
@@ -106,3 +107,20 @@ def test_articles_are_parsed_by_all_cores_and_three_times_at_most(spark):
     assert found._jdf.queryExecution().executedPlan().toString().count("Evaluator(") == 3
     whole = record_queries.article_xml(spark, "/root/testdata/sf0.001")
     assert whole.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def _examples(spark, n, parts):
+    rows = [(i, [float(i % 7), float(i % 5), 1.0], int(i % 7 == 0), i % parts) for i in range(n)]
+    return spark.createDataFrame(rows, "pmid long, features array<double>, rel int, part int").withColumn("features", array_to_vector("features"))
+
+
+def test_a_fit_of_dense_examples_has_tasks_by_their_number(spark):
+    seen = []
+
+    class Estimator:
+        def fit(self, train):
+            seen.append((train.count(), train.rdd.getNumPartitions()))
+
+    train = _examples(spark, 60, 2).select("features", F.col("rel").cast("double").alias("label")).repartition(12)
+    learning._fit_linear(lambda n: Estimator(), train)
+    assert seen == [(60, 1)]
