@@ -9,9 +9,12 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from functools import partial, reduce
 
 import numpy as np
 import pandas as pd
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -305,7 +308,7 @@ def autostop(docs: DataFrame, recall: float = 1.0, weight=ap_prior, condition: s
     chance, seen, rounds = docs.select("pmid", F.lit(0.0).alias("log_out")), none, []
     log, size = [], batch
     while n_docs:
-        labelled = landed(docs.join(seen, "pmid"), "autostop-labelled")
+        labelled = docs.join(seen, "pmid")
         rest = docs.join(seen, "pmid", "left_anti")
         model = fitted(labelled, rest.orderBy(_order(f"{seed}:{len(log)}")).limit(PRESUMED), topic, ranker)
         scored = _scored(docs, model, seed)
@@ -316,7 +319,7 @@ def autostop(docs: DataFrame, recall: float = 1.0, weight=ap_prior, condition: s
         rounds.append((size, ranks.select("pmid", p.alias("p"))))
         seen = landed(seen.unionByName(draw_ranks(ranks, size, f"{seed}:draw:{len(log)}")).distinct(), "autostop-seen")
         chance = landed(chance.join(rounds[-1][1], "pmid").select("pmid", (F.col("log_out") + size * F.log(1 - F.col("p"))).alias("log_out")), "autostop-chance")
-        known = landed(seen.join(chance, "pmid").join(docs.select("pmid", "rel"), "pmid").withColumn("pi", 1 - F.exp("log_out")), "autostop-known")
+        known = seen.join(chance, "pmid").join(docs.select("pmid", "rel"), "pmid").withColumn("pi", 1 - F.exp("log_out"))
         v, found, total, squares = known.agg(F.count("*"), F.coalesce(F.sum("rel"), F.lit(0)), F.coalesce(F.sum(F.col("rel") / F.col("pi")), F.lit(0.0)), F.coalesce(F.sum(F.col("rel") / (F.col("pi") * F.col("pi"))), F.lit(0.0))).first()
         variance = 0.0
         if condition == "strict1" and rounds[1:]:
@@ -335,13 +338,19 @@ def autostop(docs: DataFrame, recall: float = 1.0, weight=ap_prior, condition: s
     return spark.createDataFrame(log, LOG + ", deviation double")
 
 
-def autostop_collections(docs: DataFrame, part: str, **settings) -> DataFrame:
-    """autostop() of each part of a large collection in turn; a part is a column's value, and there are few."""
-    out = None
-    for value in sorted(r[0] for r in docs.select(part).distinct().collect()):
-        log = autostop(docs.where(F.col(part) == value), **settings).withColumn(part, F.lit(value))
-        out = log if out is None else out.unionByName(log)
-    return out
+def autostop_collections(docs: DataFrame, part: str, at_once: int = 4, **settings) -> DataFrame:
+    """autostop() of each part of a large collection, ``at_once`` side by side; a part is a column's value, and there are few.
+
+    A round is many short jobs that leave cores idle, so another part's jobs fit between them.
+    """
+    run = inheritable_thread_target(docs.sparkSession)
+    values = sorted(r[0] for r in docs.select(part).distinct().collect())
+    if not values:
+        return docs.sparkSession.createDataFrame([], LOG + ", deviation double").withColumn(part, F.lit(None).cast("int"))
+    with ThreadPoolExecutor(at_once) as pool:
+        # each task inherits the caller's job properties by a wrapper of its own
+        logs = list(pool.map(lambda f: f(), [run(partial(autostop, docs.where(F.col(part) == value), **settings)) for value in values]))
+    return reduce(DataFrame.unionByName, [log.withColumn(part, F.lit(value)) for value, log in zip(values, logs)])
 
 
 def scal(docs: DataFrame, recall: float = 1.0, share: float = 0.8, most: int = 30, calibration: float = 1.05, batch: int = 1, growth: float = 0.5, seed=1) -> DataFrame:

@@ -1,6 +1,7 @@
 """Exact quantiles by buckets, the beta mixture, and topics run side by side."""
 
 import random
+import threading
 
 import pytest
 from pyspark.ml.functions import array_to_vector
@@ -124,3 +125,17 @@ def test_a_fit_of_dense_examples_has_tasks_by_their_number(spark):
     train = _examples(spark, 60, 2).select("features", F.col("rel").cast("double").alias("label")).repartition(12)
     learning._fit_linear(lambda n: Estimator(), train)
     assert seen == [(60, 1)]
+
+
+def test_parts_of_a_collection_run_side_by_side(spark, monkeypatch):
+    docs, inner, met = _examples(spark, 120, 2), learning.autostop, threading.Barrier(2)
+
+    def autostop(rows, **settings):
+        met.wait(60)  # each waits for the other: one after the other would never get past
+        return inner(rows, **settings)
+
+    monkeypatch.setattr(learning, "autostop", autostop)
+    got = learning.autostop_collections(docs, "part", recall=0.8, batch=20, growth=0.5).collect()
+    want = [(*r, p) for p in (0, 1) for r in inner(docs.where(F.col("part") == p), recall=0.8, batch=20, growth=0.5).collect()]
+    assert sorted(map(tuple, got)) == sorted(want) and {r.part for r in got} == {0, 1}
+    assert learning.autostop_collections(docs.limit(0), "part").collect() == []
