@@ -117,24 +117,32 @@ def boosted_trees(trees: int = 10, depth: int = 3, features: int = 50, presence:
     return fit
 
 
+def kept_terms(rows: DataFrame) -> DataFrame:
+    """(.., text) to (.., kept): runs of two word characters and more in lower case, without English stop words."""
+    from pyspark.ml.feature import RegexTokenizer, StopWordsRemover
+
+    split = RegexTokenizer(inputCol="text", outputCol="terms", pattern=r"\w\w+", gaps=False)
+    return StopWordsRemover(inputCol="terms", outputCol="kept").transform(split.transform(rows.withColumn("text", F.coalesce("text", F.lit(""))))).drop("text", "terms")
+
+
 def tfidf(texts: DataFrame, fit_on: DataFrame | None = None, least: int = 2, most: int = 1 << 18):
     """A function from (.., text) to (.., features): unit vectors of term counts times log((1 + n) / (1 + df)) + 1.
 
-    Terms are runs of two word characters and more in lower case, without English stop words, in ``least``
-    texts of ``fit_on`` (default: ``texts``) and more; the ``most`` frequent ones make up the vocabulary.
+    Terms are those of ``kept_terms``, in ``least`` texts of ``fit_on`` (default: ``texts``) and more; the ``most``
+    frequent ones make up the vocabulary. Rows may have their terms as kept in place of text: texts are cut into terms
+    once, not for each pass over them.
     """
-    from pyspark.ml import Pipeline
-    from pyspark.ml.feature import IDF, CountVectorizer, ElementwiseProduct, Normalizer, RegexTokenizer, StopWordsRemover
+    from pyspark.ml.feature import IDF, CountVectorizer, ElementwiseProduct, Normalizer
 
-    counts = Pipeline(stages=[RegexTokenizer(inputCol="text", outputCol="terms", pattern=r"\w\w+", gaps=False), StopWordsRemover(inputCol="terms", outputCol="kept"), CountVectorizer(inputCol="kept", outputCol="counts", minDF=float(least), vocabSize=most)])
-    corpus = (texts if fit_on is None else fit_on).select(F.coalesce("text", F.lit("")).alias("text"))
-    model = counts.fit(corpus)
+    corpus = texts if fit_on is None else fit_on
+    corpus = corpus.select("kept") if "kept" in corpus.columns else landed(kept_terms(corpus.select("text")), "tfidf-terms")
+    model = CountVectorizer(inputCol="kept", outputCol="counts", minDF=float(least), vocabSize=most).fit(corpus)
     idf = IDF(inputCol="counts", outputCol="idf").fit(model.transform(corpus)).idf.toArray() + 1.0
     weigh = ElementwiseProduct(inputCol="counts", outputCol="weighed", scalingVec=idf.tolist())
 
     def transform(rows: DataFrame) -> DataFrame:
-        out = model.transform(rows.withColumn("text", F.coalesce("text", F.lit(""))))
-        return Normalizer(inputCol="weighed", outputCol="features").transform(weigh.transform(out)).select(*[c for c in rows.columns if c != "text"], "features")
+        out = model.transform(rows if "kept" in rows.columns else kept_terms(rows))
+        return Normalizer(inputCol="weighed", outputCol="features").transform(weigh.transform(out)).select(*[c for c in rows.columns if c not in ("text", "kept")], "features")
 
     return transform
 

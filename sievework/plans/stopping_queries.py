@@ -63,10 +63,10 @@ def _texts(spark, d):
 
 
 def _text_learning(spark, d, ranker):
-    rows = _texts(spark, d)
+    rows = landed(learning.kept_terms(_texts(spark, d)), "learning-terms")
     features = learning.tfidf(rows)
     topic = landed(features(spark.createDataFrame([(TOPIC,)], "text string")), "learning-topic")
-    return learning.autotar(landed(features(rows), "learning-features"), 0.9, batch=20, growth=1.0, topic=topic, ranker=ranker)
+    return learning.autotar(features(rows), 0.9, batch=20, growth=1.0, topic=topic, ranker=ranker)
 
 
 def text_learning_logistic(spark, d):

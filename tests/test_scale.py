@@ -139,3 +139,21 @@ def test_parts_of_a_collection_run_side_by_side(spark, monkeypatch):
     want = [(*r, p) for p in (0, 1) for r in inner(docs.where(F.col("part") == p), recall=0.8, batch=20, growth=0.5).collect()]
     assert sorted(map(tuple, got)) == sorted(want) and {r.part for r in got} == {0, 1}
     assert learning.autostop_collections(docs.limit(0), "part").collect() == []
+
+
+def test_text_learning_cuts_texts_into_terms_once(spark, monkeypatch):
+    calls = spark.sparkContext.accumulator(0)
+
+    def counted(text):
+        calls.add(1)
+        return text
+
+    texts = ["The brown cats, 7 cats of a house", None, "brown houses and cats", "", "house cats"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "pmid long, text string").withColumn("text", F.udf(counted)("text"))
+    made = learning.tfidf(rows, least=1)
+    assert calls.value == len(texts)
+    by_text = {r.pmid: r.features for r in made(spark.createDataFrame(list(enumerate(texts)), "pmid long, text string")).collect()}
+    terms = learning.kept_terms(spark.createDataFrame(list(enumerate(texts)), "pmid long, text string"))
+    assert {r.pmid: r.kept for r in terms.collect()}[0] == ["brown", "cats", "cats", "house"]
+    of_terms = made(terms)
+    assert of_terms.columns == ["pmid", "features"] and {r.pmid: r.features for r in of_terms.collect()} == by_text and by_text[1].numNonzeros() == 0
